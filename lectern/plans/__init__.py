@@ -1,0 +1,6 @@
+"""The engine's queries: importing this package fills the registry."""
+
+from . import relational, scalars  # noqa: F401
+from .registry import ORACLES, PLANS
+
+__all__ = ["ORACLES", "PLANS"]
