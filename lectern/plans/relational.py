@@ -311,7 +311,7 @@ def audit_library(spark, sf_dir) -> DataFrame:
 
 
 @query(with_views("works chunks vectors edges", """WITH $ f AS (SELECT w.work_id, w.source_class, count(c.chunk_id) > 0 AS chunked, count(v.chunk_id) > 0 AS embedded, count(e.src) > 0 AS linked, w.source_class <> 'primary' OR count(v.chunk_id) > 2 AS voiced
-    FROM works w LEFT JOIN chunks c USING (work_id) LEFT JOIN vectors v ON v.chunk_id = c.chunk_id LEFT JOIN (SELECT DISTINCT src FROM edges) e ON e.src = c.chunk_id::VARCHAR GROUP BY ALL)
+    FROM works w LEFT JOIN chunks c USING (work_id) LEFT JOIN vectors v ON v.chunk_id = c.chunk_id LEFT JOIN (SELECT DISTINCT src FROM edges) e ON e.src = c.chunk_id::VARCHAR GROUP BY w.work_id, w.source_class)
   SELECT *, chunked AND embedded AND linked AND voiced AS fully_done FROM f"""))
 def pipeline_status(spark, sf_dir) -> DataFrame:
     v = vectors(spark, sf_dir).select("chunk_id", F.lit(1).alias("v"))

@@ -77,7 +77,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(quality, F.col("doc_id").cast("string"), "EXPLORES_THEME", F.concat(F.lit("quality-"), F.col("quality").cast("string"))),
         rows(v.filter(i % 6 < 2), chunk, "MAKES_ARGUMENT", F.concat(F.lit("argument-"), (i % 17).cast("string"))),
         rows(v.filter(i % 2 == 0), chunk, "CONCEPT_USED_IN", F.concat(F.lit("concept-"), (i % 13).cast("string"))),
-        rows(v.filter(i % 3 == 0), chunk, "REFERENCES_PERSON", F.concat(F.lit("person-"), (i % 7).cast("string"))),
+        rows(v.filter(i % 2 == 0), chunk, "REFERENCES_PERSON", F.concat(F.lit("person-"), (i % 7).cast("string"))),
         rows(sized, chunk, "ENGAGES_WITH", ((i * 7 + 3) % F.col("size")).cast("string"), link, level, (i % 10) / 10.0),
         rows(sized.filter(i % 5 == 0), chunk, "THEMATIC_PARALLEL", ((i * 3 + 1) % F.col("size")).cast("string"), none, F.lit("low"), F.lit(0.9)),
         rows(v.filter("vec_id between 1 and 16"), F.concat(F.lit("argument-"), chunk), "DEVELOPS_FROM", F.concat(F.lit("argument-"), (i - 1).cast("string"))),
@@ -122,7 +122,7 @@ VIEWS = {
   UNION ALL SELECT doc_id::VARCHAR, 'EXPLORES_THEME', 'quality-'||quality, NULL, NULL, NULL FROM labels
   UNION ALL SELECT vec_id::VARCHAR, 'MAKES_ARGUMENT', 'argument-'||(vec_id % 17), NULL, NULL, NULL FROM embeddings WHERE vec_id % 6 < 2
   UNION ALL SELECT vec_id::VARCHAR, 'CONCEPT_USED_IN', 'concept-'||(vec_id % 13), NULL, NULL, NULL FROM embeddings WHERE vec_id % 2 = 0
-  UNION ALL SELECT vec_id::VARCHAR, 'REFERENCES_PERSON', 'person-'||(vec_id % 7), NULL, NULL, NULL FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id::VARCHAR, 'REFERENCES_PERSON', 'person-'||(vec_id % 7), NULL, NULL, NULL FROM embeddings WHERE vec_id % 2 = 0
   UNION ALL SELECT vec_id::VARCHAR, 'ENGAGES_WITH', ((vec_id*7+3) % (SELECT count(*) FROM embeddings))::VARCHAR, ['quotes','alludes','responds','cites'][vec_id % 4 + 1], ['high','medium','low'][vec_id % 3 + 1], (vec_id % 10) / 10.0::DOUBLE FROM embeddings
   UNION ALL SELECT vec_id::VARCHAR, 'THEMATIC_PARALLEL', ((vec_id*3+1) % (SELECT count(*) FROM embeddings))::VARCHAR, NULL, 'low', 0.9 FROM embeddings WHERE vec_id % 5 = 0
   UNION ALL SELECT 'argument-'||vec_id, 'DEVELOPS_FROM', 'argument-'||(vec_id-1), NULL, NULL, NULL FROM embeddings WHERE vec_id BETWEEN 1 AND 16
