@@ -25,9 +25,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of text tokenised at a time, and members of a block that are compared at a time.
+#: Bytes of text tokenised at a time; strays and texts of a bucket that meet in one group.
 _CHUNK = 1 << 20
-_BLOCK = 64
+_STRAYS, _MEMBERS = 256, 1024
 
 
 def shingles(hasher: WordHasher, texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,18 +178,27 @@ def _bags(hasher: WordHasher, texts: list[bytes]) -> list[tuple[np.ndarray, np.n
 
 
 def _block_links(threshold: float):
-    """Links between the components of two blocks of a bucket: each pair of components at most once."""
+    """Links between strays (side 0) and texts (side 1) of a bucket that are in other components.
+
+    A stray's weights fill a table over the shingles of the group, so one pass over those of all the
+    texts gives its overlap with each.  Links that join nothing new are left out.
+    """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         hasher = WordHasher()
-        frame = frame.drop_duplicates("node").sort_values("node")
-        node, label, block = frame["node"].tolist(), frame["label"].tolist(), frame["block"].tolist()
-        ends = frame["first_block"].iloc[0], frame["second_block"].iloc[0]
-        bags: list = []
         raw = [t.encode() for t in frame["text"]]
+        bags: list = []
         for a, b in chunks_of([len(t) for t in raw], _CHUNK):
             bags += _bags(hasher, raw[a:b])
-        sizes = [int(w.sum()) for _, w in bags]
+        node, label, side = frame["node"].tolist(), frame["label"].tolist(), frame["side"].to_numpy()
+        strays, texts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(strays) or not len(texts):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sizes = np.array([int(w.sum()) for _, w in bags], dtype=np.int64)
+        lengths = np.array([len(bags[i][0]) for i in texts])
+        known, code = np.unique(np.concatenate([bags[i][0] for i in texts]), return_inverse=True)
+        weight = np.concatenate([bags[i][1] for i in texts])
+        row = np.repeat(np.arange(len(texts)), lengths)
         group = {x: x for x in label}
 
         def root(x):
@@ -198,9 +207,16 @@ def _block_links(threshold: float):
             return x
 
         out = []
-        for i in range(len(node)):
-            for j in range(i):
-                if {block[i], block[j]} == set(ends) and (p := root(label[i])) != (q := root(label[j])) and min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) and similarity(bags[i], bags[j]) >= threshold:
+        for i in strays:
+            value, own = bags[i]
+            at = np.searchsorted(known, value)
+            hit = at < len(known)
+            hit[hit] = known[at[hit]] == value[hit]
+            table = np.zeros(len(known), dtype=np.int64)
+            table[at[hit]] = own[hit]
+            common = np.bincount(row, weights=np.minimum(table[code], weight), minlength=len(texts))
+            for j in texts[common >= threshold * (sizes[i] + sizes[texts] - common)]:
+                if (p := root(label[i])) != (q := root(label[j])):
                     group[p] = q
                     out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -214,8 +230,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     Classes are the connected components of the links between texts with a weighted Jaccard similarity
     of ``threshold`` or more; class_id is their smallest doc_id (null if all are null), whose row is
     kept, exactly one.  Equal texts are one node, so copies cost a row each and no pairs.  A bucket's
-    texts are compared with its first one; where that leaves texts of a bucket in several components,
-    they are compared with each other block by block, so that a bucket loses no link.  A pair at 0.8
+    texts are compared with its first one; those that this leaves in other components are compared with
+    all the bucket's texts, block by block, so that a bucket loses no link.  A pair at 0.8
     shares one of 24 bands of 4 with probability 1 - 3e-6.  Null texts count as empty; texts without
     words only equal the same text.  Rows with equal id and text are equal texts; empty tables give
     empty results; further columns are not read.
@@ -233,18 +249,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     links = cut(_verify(pairs, texts, threshold))
     labels = components(links)
 
-    # Buckets whose texts, the compared first one aside, still are in several components.
-    placed = shared.filter("node <> head and n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
-    mixed = mixed.filter("low < high")
-    once = mixed.groupBy("members", "content").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "members")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / _BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    open_rows = cut(placed.join(once, ["band", "bucket"]).select("band", "bucket", "node", "label", block.alias("block"), blocks.alias("blocks")))
+    # A bucket's strays, those not in the component of its first text, meet all its texts but that one.
+    of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    placed = shared.filter("node <> head and n > 2").join(labels, "node", "left").join(of_head, "head", "left")
+    placed = placed.select("band", "bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("head_label", "head").alias("head_label"))
+    placed = placed.withColumn("stray", F.col("label") != F.col("head_label"))
+    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.count_if("stray").alias("strays"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
+    once = mixed.filter("low < high and strays > 0").groupBy("members", "strays", "content").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "members", "strays")
+    parts = [F.ceil(F.col(c) / size).cast("int") for c, size in (("strays", _STRAYS), ("members", _MEMBERS))]
+    open_rows = cut(placed.join(once, ["band", "bucket"]).select("band", "bucket", "node", "label", "stray", parts[0].alias("blocks"), parts[1].alias("chunks")))
     if not open_rows.isEmpty():
-        dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"first_block": F.least("block", "other"), "second_block": F.greatest("block", "other")})
-        more = dealt.join(texts, "node").groupBy("band", "bucket", "first_block", "second_block").applyInPandas(_block_links(threshold), "a long, b long")
+        hashed = F.xxhash64("node")
+        every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name) for c, name in (("chunks", "chunk"), ("blocks", "block"))]
+        strays = open_rows.filter("stray").select("band", "bucket", "node", "label", F.lit(0).alias("side"), F.pmod(hashed, "blocks").cast("int").alias("block"), every[0])
+        texts_of = open_rows.select("band", "bucket", "node", "label", F.lit(1).alias("side"), every[1], F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"))
+        dealt = strays.unionByName(texts_of)
+        more = dealt.join(texts, "node").groupBy("band", "bucket", "block", "chunk").applyInPandas(_block_links(threshold), "a long, b long")
         labels = components(links.union(cut(more)))
 
     full = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
