@@ -1,6 +1,6 @@
 """The engine's queries: importing this package fills the registry."""
 
-from . import graph, relational, retrieval, scalars  # noqa: F401
+from . import graph, reading, relational, retrieval, scalars, surfacing  # noqa: F401
 from .registry import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]
