@@ -77,7 +77,7 @@ def gathered_reflections(spark, sf_dir) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("chunk_id", "day").agg(F.min("origin").alias("origin"))
 
 
-@query(with_views("works chunks edges", """SELECT author, count(DISTINCT c.work_id) AS works, sum(CASE WHEN e.src IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS theme_passages, list_sort(list(DISTINCT chunk_id) FILTER (e.src IS NOT NULL))[1:2] AS samples
+@query(with_views("works chunks edges", """SELECT author, count(DISTINCT c.work_id) AS works, sum(CASE WHEN e.src IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS theme_passages, coalesce(list_sort(list(DISTINCT chunk_id) FILTER (e.src IS NOT NULL))[1:2], []) AS samples
   FROM works w JOIN chunks c USING (work_id) LEFT JOIN (SELECT DISTINCT src FROM edges WHERE type = 'EXPLORES_THEME' AND dst = 'theme-1') e ON e.src = chunk_id::VARCHAR GROUP BY author"""))
 def compare_ideas(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir).filter("type = 'EXPLORES_THEME' and dst = 'theme-1'").select(F.col("src").cast("long").alias("chunk_id")).distinct().withColumn("themed", F.lit(True))
