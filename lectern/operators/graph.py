@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Every edge from both ends."""
@@ -107,13 +109,13 @@ def greedy_clusters(ranked: DataFrame, similar: DataFrame, spark) -> DataFrame:
     neighbours are settled, so there are as many rounds as the longest falling chain, not items.
     """
     near = similar.join(ranked.select(F.col("item").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("item").alias("b"), F.col("rank").alias("rb")), "b")
-    smaller = near.filter("rb < ra").select("a", "b", "rb").checkpoint()
-    state = ranked.select("item", F.lit(None).cast("boolean").alias("head")).checkpoint()
+    smaller = cut(near.filter("rb < ra").select("a", "b", "rb"))
+    state = cut(ranked.select("item", F.lit(None).cast("boolean").alias("head")))
     while True:
         seen = smaller.join(state, F.col("b") == F.col("item"), "left").groupBy("a").agg(F.max(F.col("head")).alias("some"), F.count_if(F.col("head").isNull()).alias("open"))
         step = state.join(seen, F.col("item") == F.col("a"), "left")
         settled = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("some"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = step.select("item", settled.alias("head")).checkpoint()
+        state = cut(step.select("item", settled.alias("head")))
         if state.filter("head is null").isEmpty():
             break
     heads = state.filter("head").select(F.col("item").alias("b"))
