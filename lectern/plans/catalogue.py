@@ -60,7 +60,7 @@ def graph_expansion(spark, sf_dir) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PARAS}, t AS (SELECT doc_id, sum(words)::BIGINT AS words FROM p GROUP BY doc_id), l AS (SELECT p.* FROM p JOIN t USING (doc_id) WHERE t.words > 300), {_pack_sql('l', 'doc_id', 120)}
   SELECT doc_id, 'meso' AS granularity, 0 AS position, words FROM t WHERE words <= 300 UNION ALL SELECT doc_id, 'meso', pack, sum(words)::BIGINT FROM s GROUP BY doc_id, pack UNION ALL SELECT doc_id, 'micro', pos, words FROM l WHERE words >= 30""")
 def chunk_essays(spark, sf_dir) -> DataFrame:
-    return C.essays(docs(spark, sf_dir), 300, 120, 30)
+    return C.essays(docs(spark, sf_dir), 300, 120, 30).withColumn("position", F.col("position").cast("long"))
 
 
 @query("""SELECT conv_id AS doc_id, 0 AS pair, 'first '||conv_id AS question, 'yes' AS answer FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 1, 'second', 'no '||conv_id FROM conversations WHERE turn = 0""")

@@ -32,11 +32,11 @@ def docs(spark, sf_dir) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PARAS}, {_pack_sql('p', 'doc_id', 200)},
   g AS (SELECT doc_id, pack, min(pos) AS first, max(pos) AS last, sum(words)::BIGINT AS words, max(pack) OVER (PARTITION BY doc_id) AS top FROM s GROUP BY doc_id, pack),
   m AS (SELECT doc_id, CASE WHEN pack = top AND pack > 0 AND words < 60 THEN pack - 1 ELSE pack END AS pack, first, last, words FROM g)
-  SELECT doc_id, 'meso' AS granularity, pack::BIGINT AS position, min(first)::INT AS first, max(last)::INT AS last, sum(words)::BIGINT AS words FROM m GROUP BY doc_id, pack
+  SELECT doc_id, 'meso' AS granularity, pack::BIGINT AS position, min(first) AS first, max(last) AS last, sum(words)::BIGINT AS words FROM m GROUP BY doc_id, pack
   UNION ALL SELECT doc_id, 'macro', 0, min(pos), max(pos), sum(words)::BIGINT FROM p GROUP BY doc_id
   UNION ALL SELECT doc_id, 'micro', row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1, pos, pos, words FROM p WHERE length(trim(para)) >= 50""")
 def chunk_paragraphs_packed(spark, sf_dir) -> DataFrame:
-    return K.scholarly(docs(spark, sf_dir), 200, 60)
+    return K.scholarly(docs(spark, sf_dir), 200, 60).withColumns({c: F.col(c).cast("long") for c in ("first", "last")})
 
 
 @query(r"""SELECT doc_id, 'meso' AS granularity, 0 AS position, n AS lines FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents)
@@ -89,7 +89,7 @@ def chunking_strategy(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {_PARAS} SELECT doc_id, pos, last_value(CASE WHEN words <= 2 THEN trim(para) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chapter FROM p""")
 def carried_chapters(spark, sf_dir) -> DataFrame:
     rows = K.paragraph_rows(docs(spark, sf_dir))
-    return K.carried(rows, F.col("words") <= 2).select("doc_id", "pos", "chapter")
+    return K.carried(rows, F.col("words") <= 2).select("doc_id", F.col("pos").cast("long").alias("pos"), "chapter")
 
 
 @query("""WITH l AS (SELECT conv_id % 10 AS k, turn * 25 + conv_id AS second_at, turn FROM conversations), c AS (SELECT k, (k * 7 + s)::BIGINT AS second, s AS capture_id FROM (SELECT unnest(range(10)) AS k), (SELECT unnest(range(0, 200, 40)) AS s)) SELECT c.k AS key, capture_id, second_at, count(*) AS lines FROM c JOIN l ON l.k = c.k AND second_at BETWEEN greatest(0, second - 30) AND second + 30 GROUP BY ALL""")
@@ -97,7 +97,7 @@ def capture_windows(spark, sf_dir) -> DataFrame:
     at = F.col("turn") * 25 + F.col("conv_id")
     lines = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("key"), F.concat_ws(" ", stamp(at), F.lit("x")).alias("line"))
     c = spark.range(10).crossJoin(F.broadcast(spark.range(0, 200, 40).select(F.col("id").alias("capture_id")))).select(F.col("id").alias("key"), "capture_id", (F.col("id") * 7 + F.col("capture_id")).alias("second"))
-    return K.in_window(lines, c).groupBy("key", "capture_id", F.col("at").alias("second_at")).agg(F.count(F.lit(1)).alias("lines"))
+    return K.in_window(lines, c).groupBy("key", "capture_id", F.col("at").cast("long").alias("second_at")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 _DECIDED = """WITH $ l AS (SELECT *, lag(ts) OVER w AS pts, lag(work_id) OVER w AS pwork, lag(themes) OVER w AS pthemes FROM captures WINDOW w AS (PARTITION BY user_id ORDER BY ts, capture_id)),
