@@ -26,7 +26,7 @@ GRAMS = (2, 3, 4)
 class Settings:
     """``sample_docs`` bounds the labelled rows used for the fit, shared evenly among the languages."""
 
-    sample_docs: int = 4800
+    sample_docs: int = 2400
     buckets: int = 1 << 15
     width: int = 16
     epochs: int = 4
@@ -92,7 +92,7 @@ def _features(settings: Settings):
             for lang, order, text in zip(batch["lang"], batch["order"], batch["text"], strict=True):
                 _, found = subwords([text], settings.buckets)
                 index, count = np.unique(found, return_counts=True)
-                rows.append((lang, order, index.astype(np.int32), count.astype(np.float32)))
+                rows.append((lang, order, index.astype("<i4").tobytes(), count.astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "order", "index", "weight"])
 
     return work
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, training: Column, settings: Settings = Settings(), *, i
     """Train on a sample of the rows of ``docs`` for which ``training`` holds.
 
     At most ``sample_docs`` rows are taken, by the order of a hash of the id; a row reaches the driver
-    as at most ``buckets`` counts, whatever its text's length.  Rows without language, text or id are
+    as at most ``buckets`` counts in binary form, whatever its text's length.  Rows without language, text or id are
     not used.  The sample is chosen by hash thresholds, so no language is gathered in one task.
     """
     slim = docs.filter(training).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("order"))
@@ -166,13 +166,13 @@ def fit(docs: DataFrame, training: Column, settings: Settings = Settings(), *, i
     each = max(1, settings.sample_docs // len(counts))
     unit = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n + 20 / n))])
-    sample = slim.filter(unit < share[F.col("lang")]).mapInPandas(_features(settings), "lang string, order long, index array<int>, weight array<float>")
+    sample = slim.filter(unit < share[F.col("lang")]).mapInPandas(_features(settings), "lang string, order long, index binary, weight binary")
     taken: dict[str, int] = {}
     rows = []
     for r in sorted(sample.collect(), key=lambda r: (r.order % (1 << 30), r.order, r.lang)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= each:
-            rows.append((r.lang, np.array(r["index"], dtype=np.int32), np.array(r["weight"], dtype=np.float32)))
+            rows.append((r.lang, np.frombuffer(r["index"], dtype="<i4"), np.frombuffer(r["weight"], dtype="<f4")))
     return train(rows, settings)
 
 
