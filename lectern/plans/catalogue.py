@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
 from ..functions.text import word_count
 from ..operators import catalogue as C
 from ..operators import graph as G
+from ..operators.chunking import paragraph_rows
+from ..operators.fusion import packed
+from ..operators.search import vector_search
 from ..tables import chunks, edges, load, vectors, with_views, works
 from .reading import _PARAS, _WC, _pack_sql, docs
 from .registry import query
@@ -137,3 +141,65 @@ def chapter_list(spark, sf_dir) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("para")).withColumn("words", word_count(F.col("para")))
     head = F.col("words") <= 2
     return rows.groupBy("doc_id").agg(F.count_if(head).alias("headings"), F.count_if(~head).alias("bodies"), F.coalesce(F.sum(F.when(~head, F.col("words"))), F.lit(0)).alias("words"))
+
+
+@query(with_views("works chunks vectors", """SELECT rank() OVER (ORDER BY score DESC, chunk_id) AS n, chunk_id, score, title, coalesce(publication_year::VARCHAR, 'undated') AS year FROM (SELECT chunk_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM vectors WHERE chunk_id = 0)), 6) AS score FROM vectors ORDER BY score DESC, chunk_id LIMIT 20) JOIN chunks USING (chunk_id) JOIN works USING (work_id)"""))
+def answer_citations(spark, sf_dir) -> DataFrame:
+    """The passages an answer would cite, in order, with their works; writing it is left to a model."""
+    v = vectors(spark, sf_dir)
+    found = vector_search(v, v.filter("chunk_id = 0").select(F.col("embedding").alias("query_vector")), 20, -1.0)
+    joined = found.join(chunks(spark, sf_dir).select("chunk_id", "work_id"), "chunk_id").join(works(spark, sf_dir).select("work_id", "title", "publication_year"), "work_id")
+    n = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).cast("long")
+    return joined.select(n.alias("n"), "chunk_id", "score", "title", F.coalesce(F.col("publication_year").cast("string"), F.lit("undated")).alias("year"))
+
+
+@query(with_views("chunks", """SELECT count(*) AS reflections, count(DISTINCT work_id) AS works, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (chunk_id * 2 IN (SELECT chunk_id FROM chunks)) AS verified FROM chunks WHERE source_class = 'personal'"""))
+def synthesis_summary(spark, sf_dir) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    known = c.select(F.col("chunk_id").alias("cited"), F.lit(1).alias("known"))
+    own = c.filter("source_class = 'personal'").select("work_id", "day", (F.col("chunk_id") * 2).alias("cited")).join(known, "cited", "left")
+    return own.agg(F.count(F.lit(1)).alias("reflections"), F.countDistinct("work_id").alias("works"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("known").alias("verified"))
+
+
+@query(with_views("works", """SELECT work_id, CASE WHEN author = 'author-en' THEN 'primary' WHEN contains(title, '1') THEN 'secondary' WHEN list_contains(genre_tags, 'fiction') THEN 'contextual' ELSE 'reference' END AS class, CASE WHEN author = 'author-en' THEN 0.9 WHEN contains(title, '1') THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM works"""))
+def source_classes(spark, sf_dir) -> DataFrame:
+    """Classification by rules on author, title and tags: the offline stand-in of a model's."""
+    own, about = F.col("author") == "author-en", F.col("title").contains("1")
+    kind = F.when(own, "primary").when(about, "secondary").when(F.array_contains("genre_tags", "fiction"), "contextual").otherwise("reference")
+    return works(spark, sf_dir).select("work_id", kind.alias("class"), F.when(own, 0.9).when(about, 0.7).otherwise(0.5).alias("confidence"))
+
+
+@query(with_views("works chunks", """SELECT work_id, publication_year, n, chunk_id FROM (SELECT w.work_id, publication_year, chunk_id, row_number() OVER (PARTITION BY w.work_id ORDER BY position) AS n FROM works w JOIN chunks c USING (work_id) WHERE w.source_class = 'primary' AND publication_year IS NOT NULL) WHERE n <= 5"""))
+def evolution_samples(spark, sf_dir) -> DataFrame:
+    w = works(spark, sf_dir).filter("source_class = 'primary' and publication_year is not null").select("work_id", "publication_year")
+    c = chunks(spark, sf_dir).select("work_id", "chunk_id", "position").join(w, "work_id")
+    n = F.row_number().over(Window.partitionBy("work_id").orderBy("position")).cast("long")
+    return c.withColumn("n", n).filter("n <= 5").select("work_id", "publication_year", "n", "chunk_id")
+
+
+@query(with_views("chunks", """SELECT work_id, count(*) AS filled, 1.0::DOUBLE AS length FROM chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings) AND length(text) >= 50 GROUP BY work_id"""))
+def embedding_backfill(spark, sf_dir) -> DataFrame:
+    missing = chunks(spark, sf_dir).select("chunk_id", "work_id", "text").join(vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "left_anti").filter(F.length("text") >= 50)
+    made = missing.select("work_id", V.embed(F.col("text")).alias("e"))
+    return made.groupBy("work_id").agg(F.count(F.lit(1)).alias("filled"), F.round(F.avg(V.norm(F.col("e"))), 6).alias("length"))
+
+
+@query(with_views("chunks", """SELECT work_id, coalesce(a, 0) AS stored, coalesce(b, 0) AS in_graph, coalesce(a, 0) = coalesce(b, 0) AS in_sync FROM (SELECT work_id, count(*) AS a FROM chunks WHERE chunk_id % 7 <> 0 GROUP BY 1) FULL JOIN (SELECT work_id, count(*) AS b FROM chunks JOIN embeddings ON vec_id = chunk_id GROUP BY 1) USING (work_id)"""))
+def sync_diagnosis(spark, sf_dir) -> DataFrame:
+    c = chunks(spark, sf_dir).select("chunk_id", "work_id")
+    a = c.filter("chunk_id % 7 <> 0").groupBy("work_id").agg(F.count(F.lit(1)).alias("stored"))
+    b = c.join(vectors(spark, sf_dir).select("chunk_id"), "chunk_id").groupBy("work_id").agg(F.count(F.lit(1)).alias("in_graph"))
+    return a.join(b, "work_id", "full_outer").fillna(0, ["stored", "in_graph"]).withColumn("in_sync", F.col("stored") == F.col("in_graph"))
+
+
+@query(f"""WITH RECURSIVE {_PARAS}, e AS (SELECT * FROM p WHERE doc_id % 2 = 1), {_pack_sql('e', 'doc_id', 250)}
+  SELECT doc_id, 'macro' AS granularity, 0::BIGINT AS position, sum(words)::BIGINT AS words FROM p GROUP BY doc_id UNION ALL SELECT doc_id, 'meso', pack, sum(words)::BIGINT FROM s GROUP BY doc_id, pack UNION ALL SELECT doc_id, 'micro', pos, words FROM e WHERE words >= 15""")
+def chunk_poetry_collection(spark, sf_dir) -> DataFrame:
+    """Poems (even ids) and essays (odd) both whole; essays also packed and by paragraph."""
+    rows = paragraph_rows(docs(spark, sf_dir))
+    essays = rows.filter("doc_id % 2 = 1")
+    zero = F.lit(0).cast("long").alias("position")
+    macro = rows.groupBy("doc_id").agg(F.sum("words").alias("words")).select("doc_id", F.lit("macro").alias("granularity"), zero, "words")
+    meso = essays.join(packed(essays, ["doc_id"], 250), ["doc_id", "pos"]).groupBy("doc_id", F.col("pack").cast("long").alias("position")).agg(F.sum("words").alias("words")).select("doc_id", F.lit("meso").alias("granularity"), "position", "words")
+    micro = essays.filter("words >= 15").select("doc_id", F.lit("micro").alias("granularity"), F.col("pos").cast("long").alias("position"), "words")
+    return macro.unionByName(meso).unionByName(micro)
