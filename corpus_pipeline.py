@@ -26,15 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the row with the largest doc_id."""
-    marked = exact_dedup.mark(docs, F.xxhash64("doc_id") < 0).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_sha"))
-    return one_each(docs.join(marked, same, "left_semi"), docs)
+    marked = exact_dedup.mark(docs, F.xxhash64("doc_id") < 0).filter("kept")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.sha2(F.coalesce("d.text", F.lit("")), 256) == F.col("m.text_sha256"))
+    return one_each(docs.alias("d").join(marked.alias("m"), same, "left_semi"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates keep the row with the smallest doc_id."""
-    kept = near_dedup.classes(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_dedup.classes(docs).filter("kept")
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

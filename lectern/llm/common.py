@@ -38,6 +38,13 @@ def wide(spark: SparkSession, least: int) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_of(col: str):
     """The text column, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

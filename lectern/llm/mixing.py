@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, unused
 
 #: Schedules as knots (time from 0 to 1, relative demand), linear between: falling, even, rising.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Sequenc
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(_WORD)).cast("long").alias("size"))
     out = place(cut(slim), weights, share, most)
     out = out.withColumn("taken", sum((_in_lap(lap) for lap in range(most)), F.lit(0)).cast("long"))
-    at = position(F.col("start") / F.col("goal"), F.col("number"), schedules)
+    at = position(F.col("start") / F.nullif(F.col("goal"), F.lit(0)), F.col("number"), schedules)
     out = out.withColumn("position", F.when(F.col("taken") > 0, at)).orderBy(F.col("position").asc_nulls_last(), "order", "doc_id")
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
 
@@ -119,14 +119,15 @@ def materialise(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules:
     slim = docs.select(*key, F.regexp_count(text_of("text"), F.lit(_WORD)).cast("long").alias("words"))
     rows = cut(slim.groupBy("doc_id", "source", "hash", "words").agg(F.count(F.lit(1)).alias("twins"))).withColumn("size", F.col("words") * F.col("twins"))
     placed = place(rows, weights, share, most)
-    laps = F.array(*[F.struct(F.lit(lap).alias("lap"), F.floor(_in_lap(lap) / F.col("twins")).alias("take"), position((F.col("start") + F.col("source_size") * lap) / F.col("goal"), F.col("number"), schedules).alias("position")) for lap in range(most)])
+    laps = F.array(*[F.struct(F.lit(lap).alias("lap"), F.floor(_in_lap(lap) / F.col("twins")).alias("take"), position((F.col("start") + F.col("source_size") * lap) / F.nullif(F.col("goal"), F.lit(0)), F.col("number"), schedules).alias("position")) for lap in range(most)])
     plan = placed.withColumn("laps", F.filter(laps, lambda x: x["take"] > 0)).filter(F.size("laps") > 0).select("doc_id", "source", "hash", "words", "order", "laps")
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(text_of("d.text")) == F.col("_hash"))
-    each = docs.alias("d").join(plan, on).withColumn("_lap", F.explode("_laps"))
-    part = F.col("_lap.take") < F.col("_words")
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_lap.take").cast("int")), "")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("p.source")) & (F.xxhash64(text_of("d.text")) == F.col("p.hash"))
+    plan = plan.select("doc_id", "source", "hash", F.struct("words", "order", "laps").alias("plan"))
+    whole, lap = unused(docs, "_plan"), unused(docs, "_lap")
+    each = docs.alias("d").join(plan.alias("p"), on).select("d.*", F.col("p.plan").alias(whole)).withColumn(lap, F.explode(F.col(whole)["laps"]))
+    part = F.col(lap)["take"] < F.col(whole)["words"]
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col(lap)["take"].cast("int")), "")
     each = each.withColumn("text", F.when(part, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return each.orderBy("_lap.position", "_order", "_lap.lap").select(*docs.columns)
+    return each.orderBy(F.col(lap)["position"], F.col(whole)["order"], F.col(lap)["lap"]).select(*docs.columns)
