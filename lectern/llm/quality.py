@@ -154,15 +154,27 @@ def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return rows.join(fit.alias("f"), same).select(*[rows[c] for c in rows.columns], "f.mean", "f.inverse", "f.usable")
 
 
+def _robust_start(rows: DataFrame, floors: tuple[float, ...], least: int) -> DataFrame:
+    """Medians, and a diagonal inverse scatter from median absolute deviations."""
+    middle = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
+    same = F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source"))
+    centred = rows.alias("r").join(middle.alias("f"), same).select("r.lang", "r.source", "n", *[f"m{i}" for i in range(_D)], *[F.abs(F.col(v) - F.col(f"m{i}")).alias(v) for i, v in enumerate(VECTOR)])
+    spread = centred.groupBy("lang", "source").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
+    mean = F.array(*[F.col(f"m{i}") / float(_SCALE) for i in range(_D)])
+    scale = [1.0 / (F.pow(1.4826 * F.col(v) / float(_SCALE), F.lit(2.0)) + float(floors[i]) ** 2) for i, v in enumerate(VECTOR)]
+    inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
+    return spread.select("lang", "source", "n", mean.alias("mean"), inverse.alias("inverse"), (F.col("n") >= least).alias("usable"))
+
+
 def concentrate(rows: DataFrame, *, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30) -> DataFrame:
     """lang, source, n, mean, inverse, usable: the estimate for every group of ``rows``.
 
-    Starts from the moments of all texts.  The nearest ``share`` is cut at a bin's border (bins are
+    Starts from medians and median absolute deviations, which far groups of texts don't move; values are
+    whole numbers of a bounded range, so exact medians are counts by value.  The nearest ``share`` is cut at a bin's border (bins are
     1/32 of a power of two wide), so a little more than the share is in.  Groups of fewer than ``least``
     texts are not usable.
     """
-    count = rows.groupBy("lang", "source").agg(*_sums())
-    fit = cut(count.mapInPandas(_estimate(1.0, floors, least), _FIT))
+    fit = cut(_robust_start(rows, floors, least))
     for _ in range(steps):
         near = _with_fit(rows, fit).withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
         bins = near.groupBy("lang", "source", "bin").agg(*_sums())
