@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from lectern.llm.common import small_batches
 from lectern.llm.queries import tokenizer_path, training_fold
 
 ORACLE_SQL = None
@@ -21,6 +22,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the language model rejects: texts without a letter or below its calibrated threshold."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs, training_fold()))
 
 
@@ -33,6 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates keep the row with the smallest doc_id."""
+    small_batches(spark)
     kept = near_dedup.classes(docs).filter("kept")
     return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
@@ -44,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every row of the mix."""
+    small_batches(spark)
     return bpe.encode(docs, tokenizer_path(), texts=False)
 
 

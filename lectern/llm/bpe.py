@@ -52,10 +52,10 @@ class ForcedBoundaryBpe:
     """Encodes as the tokenizer file at ``path`` says, without special tokens being added.
 
     The file's own normaliser and pre-tokeniser turn each white-space separated chunk into words;
-    merging is done here.  ``cache_size`` bounds each of the two memories of a worker.
+    merging is done here.  ``cache_size`` bounds the words that each generation of a worker's memory holds.
     """
 
-    def __init__(self, path: str, cache_size: int = 150_000) -> None:
+    def __init__(self, path: str, cache_size: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -79,7 +79,7 @@ class ForcedBoundaryBpe:
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and splits == [_WORDS, None]
         self.to_bytes = {c: self.pre_tokenise(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} | {c: w[0][0] for c in range(0x80) if (w := self.pre_tokenise(chr(c)))}
         self.words = Recent(cache_size)
-        self.fragments = Recent(cache_size)
+        self.fragments = Recent(cache_size // 5)
 
     def _symbols(self, word: str, last: bool) -> list[str]:
         symbols = list(word)

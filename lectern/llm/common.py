@@ -38,6 +38,13 @@ def wide(spark: SparkSession, least: int) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Limit Arrow batches to ``most`` bytes, so that a Python worker holds few texts at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m").lower() in ("64m", "67108864b", "67108864", "-1"):
+        spark.conf.set(name, str(most))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column."""
     while name in df.columns:

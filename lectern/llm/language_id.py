@@ -186,7 +186,7 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[st
     k = len(model.languages)
     total = np.zeros((len(texts), k))
     count = np.zeros(len(texts))
-    for a, b in chunks_of([len(t) for t in whole], 1 << 20):
+    for a, b in chunks_of([len(t) for t in whole], 1 << 18):
         owner, found = subwords(whole[a:b], len(model.table))
         for j in range(k):
             total[a:b, j] = np.bincount(owner, weights=model.table[:, j][found], minlength=b - a)

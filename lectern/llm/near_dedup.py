@@ -26,8 +26,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text tokenised at a time; strays and texts of a bucket that meet in one group.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _STRAYS, _MEMBERS = 256, 1024
+#: Texts of fewer shingles are signed together.
+_TINY = 32
 
 
 def shingles(hasher: WordHasher, texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +134,23 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, *, id_col: str
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
-            raw = [t.encode() for t in batch["text"]]
-            found: list = []
-            for a, b in chunks_of([len(t) for t in raw], _CHUNK):
-                of, value, weight = shingles(hasher, raw[a:b])
-                signature = bag_minhash(of, value, weight, b - a, bands * rows)
-                some = np.bincount(of, minlength=b - a) > 0
-                found += [x if s else None for x, s in zip(_bands(signature, bands, rows), some, strict=True)]
+            texts = batch["text"].tolist()
+            found: list = [None] * len(texts)
+            tiny: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, b in chunks_of([len(t) for t in texts], _CHUNK):
+                of, value, weight = shingles(hasher, [t.encode() for t in texts[a:b]])
+                total = np.bincount(of, weights=weight, minlength=b - a)
+                # Short texts take many steps, so those of the whole batch are signed together.
+                short = total[of] < _TINY
+                tiny.append((of[short] + a, value[short], weight[short]))
+                signature = bag_minhash(of[~short], value[~short], weight[~short], b - a, bands * rows)
+                for i, x in zip(np.flatnonzero(total >= _TINY), _bands(signature[total >= _TINY], bands, rows), strict=True):
+                    found[a + i] = x
+            if tiny:
+                of, value, weight = (np.concatenate(x) for x in zip(*tiny, strict=True))
+                which, of = np.unique(of, return_inverse=True)
+                for i, x in zip(which, _bands(bag_minhash(of, value, weight, len(which), bands * rows), bands, rows), strict=True):
+                    found[i] = x
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "bands": found})
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("digest"), text_of(text_col).alias("text"))

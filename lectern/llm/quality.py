@@ -53,7 +53,7 @@ def covered_by_repeats(words: np.ndarray, size: int = 5) -> int:
 def measure(hasher: WordHasher, texts: list[str]) -> list[tuple]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and odd characters of each text."""
     out = []
-    for a, b in chunks_of([len(t) for t in texts], 1 << 20):
+    for a, b in chunks_of([len(t) for t in texts], 1 << 18):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
         words, owner, *_ = hasher.words(raw)
         ends = np.searchsorted(owner, np.arange(b - a + 1))
