@@ -24,8 +24,9 @@ from .common import SPACES, WordHasher, chunks_of, cut, window_hashes
 #: The transformed statistics: word length, symbols a word, repeated lines and words, letters of words.
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_odd")
 _D = len(VECTOR)
-#: Least standard deviations of the statistics, so that a group in which one hardly varies rejects no small difference.
-FLOORS = (0.15, 0.4, 0.6, 0.6, 0.4)
+#: Least standard deviations of the statistics, so that a group in which one hardly varies rejects no small difference;
+#: each is small enough against the statistic's range that it alone can reject.
+FLOORS = (0.15, 0.4, 0.2, 0.25, 0.4)
 _SCALE = 10_000
 _SYMBOLS = re.compile("[#*$%&|<>]+")
 _GAPS = " \t\n\x0b\x0c\r"
@@ -186,7 +187,7 @@ def concentrate(rows: DataFrame, *, share: float = 0.75, steps: int = 4, floors:
     return fit
 
 
-def judge(docs: DataFrame, *, cut_off: float = 1e-9, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated five-word windows.  Of the

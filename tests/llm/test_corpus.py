@@ -239,6 +239,21 @@ def test_quality_rejects_outliers_of_a_group(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(8)) and got[2000]
 
 
+def test_quality_rejects_by_lines_or_repeats_alone(spark):
+    """Short lines that come again in another order, and a passage that comes twice: all else is as in the group."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(100))) for i in range(200)]
+    menu = [f"{word()} {word()} {word()}" for _ in range(150)]
+    listed = [x for _ in range(4) for x in r.sample(menu, 150)]
+    passage = [word() for _ in range(9)]
+    twice = [*passage, *(word() for _ in range(41)), *passage, *(word() for _ in range(41))]
+    rows += [(1000, "\n".join(listed)), (1001, " ".join(twice))]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")).collect()}
+    assert got[1000].n_dup_lines == 450 and got[1001].n_repeat_words == 18 and not got[1000].base_failed and not got[1001].base_failed
+    assert not got[1000].kept and not got[1001].kept and sum(got[i].kept for i in range(200)) >= 199
+
+
 def test_concentration_finds_the_bulk(spark):
     r = np.random.default_rng(5)
     x = np.concatenate((r.normal(0, 0.5, (600, 5)), r.normal(6, 0.2, (120, 5))))
