@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -97,10 +99,13 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *singles, *[F.sum((F.col(VECTOR[i]) * F.col(VECTOR[j])).cast("decimal(38,0)")).alias(f"c{i}_{j}") for i, j in _PAIRS]]
 
 
-_FIT = "lang string, source string, n long, mean array<double>, inverse array<double>, usable boolean"
+_GROUP = ("lang", "source")
+#: Groups of a text for pooled estimates: level 0 is language and source, 1 the language, 2 all texts.
+_LEVELS = ("level", *_GROUP)
+_FIT = "n long, mean array<double>, inverse array<double>, usable boolean"
 
 
-def _estimate(share: float, floors: tuple[float, ...], least: int):
+def _estimate(share: float, floors: tuple[float, ...], least: float, by: tuple[str, ...]):
     """mean and inverse scatter of each row of sums, the scatter widened by a floor on every axis."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,8 +118,8 @@ def _estimate(share: float, floors: tuple[float, ...], least: int):
                 for i, j in _PAIRS:
                     second[i, j] = second[j, i] = float(r[f"c{i}_{j}"]) / n / _SCALE**2
                 scatter = (second - np.outer(mean, mean)) * _consistency(share) + np.diag(np.square(floors))
-                rows.append((r["lang"], r["source"], n, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), n >= least))
-            yield pd.DataFrame(rows, columns=["lang", "source", "n", "mean", "inverse", "usable"])
+                rows.append((*[r[k] for k in by], n, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), n >= least))
+            yield pd.DataFrame(rows, columns=[*by, "n", "mean", "inverse", "usable"])
 
     return work
 
@@ -150,58 +155,80 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    same = rows["lang"].eqNullSafe(F.col("f.lang")) & rows["source"].eqNullSafe(F.col("f.source"))
-    return rows.join(fit.alias("f"), same).select(*[rows[c] for c in rows.columns], "f.mean", "f.inverse", "f.usable")
+def _same(by: tuple[str, ...]) -> Column:
+    """Whether rows called r and f are of the same group; nulls are a value."""
+    return reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in by], F.lit(True))
 
 
-def _robust_start(rows: DataFrame, floors: tuple[float, ...], least: int) -> DataFrame:
+def _with_fit(rows: DataFrame, fit: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return rows.alias("r").join(fit.alias("f"), _same(by)).select("r.*", "f.mean", "f.inverse", "f.usable")
+
+
+def _robust_start(rows: DataFrame, floors: tuple[float, ...], least: int, by: tuple[str, ...]) -> DataFrame:
     """Medians, and a diagonal inverse scatter from median absolute deviations."""
-    middle = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    same = F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source"))
-    centred = rows.alias("r").join(middle.alias("f"), same).select("r.lang", "r.source", "n", *[f"m{i}" for i in range(_D)], *[F.abs(F.col(v) - F.col(f"m{i}")).alias(v) for i, v in enumerate(VECTOR)])
-    spread = centred.groupBy("lang", "source").agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
+    middle = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
+    centred = rows.alias("r").join(middle.alias("f"), _same(by)).select(*[f"r.{k}" for k in by], "f.n", *[f"f.m{i}" for i in range(_D)], *[F.abs(F.col(f"r.{v}") - F.col(f"f.m{i}")).alias(v) for i, v in enumerate(VECTOR)])
+    spread = centred.groupBy(*by).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
     mean = F.array(*[F.col(f"m{i}") / float(_SCALE) for i in range(_D)])
     scale = [1.0 / (F.pow(1.4826 * F.col(v) / float(_SCALE), F.lit(2.0)) + float(floors[i]) ** 2) for i, v in enumerate(VECTOR)]
     inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
-    return spread.select("lang", "source", "n", mean.alias("mean"), inverse.alias("inverse"), (F.col("n") >= least).alias("usable"))
+    return spread.select(*by, "n", mean.alias("mean"), inverse.alias("inverse"), (F.col("n") >= least).alias("usable"))
 
 
-def concentrate(rows: DataFrame, *, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30) -> DataFrame:
-    """lang, source, n, mean, inverse, usable: the estimate for every group of ``rows``.
+def concentrate(rows: DataFrame, *, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, by: tuple[str, ...] = _GROUP) -> DataFrame:
+    """``by``, n, mean, inverse, usable: the estimate for every group of ``rows``.
 
     Starts from medians and median absolute deviations, which far groups of texts don't move; values are
     whole numbers of a bounded range, so exact medians are counts by value.  The nearest ``share`` is cut at a bin's border (bins are
     1/32 of a power of two wide), so a little more than the share is in.  Groups of fewer than ``least``
     texts are not usable.
     """
-    fit = cut(_robust_start(rows, floors, least))
+    fit = cut(_robust_start(rows, floors, least, by))
     for _ in range(steps):
-        near = _with_fit(rows, fit).withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
-        bins = near.groupBy("lang", "source", "bin").agg(*_sums())
-        order = Window.partitionBy("lang", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        group = Window.partitionBy("lang", "source")
+        near = _with_fit(rows, fit, by).withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
+        bins = near.groupBy(*by, "bin").agg(*_sums())
+        order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        group = Window.partitionBy(*by)
         kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(group)}).filter(F.col("before") < F.lit(share) * F.col("all"))
-        sums = kept.groupBy("lang", "source").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
-        fit = cut(sums.mapInPandas(_estimate(share, floors, least * share), _FIT))
+        sums = kept.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
+        keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
+        fit = cut(sums.mapInPandas(_estimate(share, floors, least * share, by), f"{keys}, {_FIT}"))
     return fit
 
 
-def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def _pooled(rows: DataFrame, sound: DataFrame, least: int, **options) -> DataFrame:
+    """lang, source, mean, inverse and usable for every group of ``rows``.
+
+    The estimate is the group's own from ``least`` sound texts on, else its language's from as many on,
+    else that of all sound texts, however few.
+    """
+    levels = sound.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    levels = levels.withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")), "source": F.when(F.col("level") < 1, F.col("source"))})
+    fits = concentrate(levels, least=least, by=_LEVELS, **options)
+    groups = rows.select(*_GROUP).distinct()
+    for i, by in enumerate((_GROUP, _GROUP[:1], ())):
+        fit = fits.filter((F.col("level") == i) & (F.col("usable") if by else F.lit(True))).select(*by, F.struct("mean", "inverse").alias("fit")).alias("f")
+        groups = groups.alias("r").join(fit, _same(by), "left").select("r.*", F.col("f.fit").alias(f"fit{i}"))
+    found = F.coalesce("fit0", "fit1", "fit2")
+    return cut(groups.select(*_GROUP, found["mean"].alias("mean"), found["inverse"].alias("inverse"), found.isNotNull().alias("usable")))
+
+
+def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, pooled: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated five-word windows.  Of the
     others those are kept whose squared distance is at most the chi-square quantile at 1 - ``cut_off``.
     Null and empty texts have no words and fail.  Null languages and sources make groups of their own;
-    groups of fewer than ``least`` texts reject nothing.  Repeated rows count each; an empty table gives
+    groups of fewer than ``least`` sound texts are judged by the estimate of their language, or of all
+    texts where the language has fewer too, if ``pooled``, and reject nothing if not.  Repeated rows count each; an empty table gives
     an empty result; further columns are not read.  ``floors`` are least standard deviations of
     the statistics.
     """
     rows = cut(statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col))
     sound = rows.filter("not base_failed")
-    fit = concentrate(sound, share=share, steps=steps, floors=floors, least=least)
-    same = rows["lang"].eqNullSafe(F.col("f.lang")) & rows["source"].eqNullSafe(F.col("f.source"))
+    options = {"share": share, "steps": steps, "floors": floors, "least": least}
+    fit = _pooled(rows, sound, **options) if pooled else concentrate(sound, **options)
     far = F.when(F.col("usable"), _distance())
-    joined = rows.join(fit.alias("f"), same, "left").select(*[rows[c] for c in rows.columns], "f.mean", "f.inverse", "f.usable").withColumn("distance2", far)
+    joined = rows.alias("r").join(fit.alias("f"), _same(_GROUP), "left").select("r.*", "f.mean", "f.inverse", "f.usable").withColumn("distance2", far)
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= _quantile5(1 - cut_off))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))

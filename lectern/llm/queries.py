@@ -67,7 +67,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir))
+    return quality.judge(documents(spark, sf_dir), pooled=True)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lectern.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup
 from lectern.llm.common import WordHasher
 from lectern.llm.components import components
 from lectern.llm.oracle import EXACT, LINES, MIXING
-from lectern.llm.queries import op1_language_id, op4_exact_dedup, op5_mixing, op7_line_dedup, training_fold
+from lectern.llm.queries import op1_language_id, op4_exact_dedup, op5_mixing, op7_line_dedup, op9_quality, training_fold
 
 from ..compare import connect, duck_rows, spark_rows
 
@@ -254,6 +254,21 @@ def test_quality_rejects_by_lines_or_repeats_alone(spark):
     assert not got[1000].kept and not got[1001].kept and sum(got[i].kept for i in range(200)) >= 199
 
 
+def test_quality_query_judges_small_groups(spark, tmp_path):
+    """Groups under the least size are judged by their language, or by all texts where that is small too."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(100))
+    junk = lambda: " ".join(word() + "***" for _ in range(60))
+    rows = [(i, prose(), "en", f"s{i % 20}") for i in range(200)] + [(300 + i, prose(), None if i % 2 else "xx", None) for i in range(6)]
+    rows += [(1000, junk(), "en", "s1"), (1001, junk(), "xx", "rare"), (1002, junk(), None, None), (2000, "few words", "yy", "rare")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op9_quality(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(x.distance2 is not None for x in got.values())
+    assert not any(got[i].kept for i in (1000, 1001, 1002)) and got[2000].base_failed
+    assert sum(got[i].kept for i in range(200)) >= 199 and all(got[300 + i].kept for i in range(6))
+
+
 def test_concentration_finds_the_bulk(spark):
     r = np.random.default_rng(5)
     x = np.concatenate((r.normal(0, 0.5, (600, 5)), r.normal(6, 0.2, (120, 5))))
