@@ -111,23 +111,18 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Sequenc
 def materialise(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = CURRICULUM, share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of the mix with the columns of ``docs`` (doc_id, text, source and others), by training position.
 
-    A document comes once for each lap that takes it, the one on which its source's target falls with
-    that many of its first words; n_chars follows the text.  Rows that agree in id, source and text are
+    A document comes whole, once for each lap that takes any of its words, so a source goes beyond its
+    target by less than the document on which that falls.  Rows that agree in id, source and text are
     placed as one and share alike, so that the join has one decision for each row.
     """
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of("text")).alias("hash")]
     slim = docs.select(*key, F.regexp_count(text_of("text"), F.lit(_WORD)).cast("long").alias("words"))
     rows = cut(slim.groupBy("doc_id", "source", "hash", "words").agg(F.count(F.lit(1)).alias("twins"))).withColumn("size", F.col("words") * F.col("twins"))
     placed = place(rows, weights, share, most)
-    laps = F.array(*[F.struct(F.lit(lap).alias("lap"), F.floor(_in_lap(lap) / F.col("twins")).alias("take"), position((F.col("start") + F.col("source_size") * lap) / F.nullif(F.col("goal"), F.lit(0)), F.col("number"), schedules).alias("position")) for lap in range(most)])
-    plan = placed.withColumn("laps", F.filter(laps, lambda x: x["take"] > 0)).filter(F.size("laps") > 0).select("doc_id", "source", "hash", "words", "order", "laps")
+    laps = F.array(*[F.struct(F.lit(lap).alias("lap"), _in_lap(lap).alias("taken"), position((F.col("start") + F.col("source_size") * lap) / F.nullif(F.col("goal"), F.lit(0)), F.col("number"), schedules).alias("position")) for lap in range(most)])
+    plan = placed.withColumn("laps", F.filter(laps, lambda x: x["taken"] > 0)).filter(F.size("laps") > 0).select("doc_id", "source", "hash", "words", "order", "laps")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("p.source")) & (F.xxhash64(text_of("d.text")) == F.col("p.hash"))
     plan = plan.select("doc_id", "source", "hash", F.struct("words", "order", "laps").alias("plan"))
     whole, lap = unused(docs, "_plan"), unused(docs, "_lap")
     each = docs.alias("d").join(plan.alias("p"), on).select("d.*", F.col("p.plan").alias(whole)).withColumn(lap, F.explode(F.col(whole)["laps"]))
-    part = F.col(lap)["take"] < F.col(whole)["words"]
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col(lap)["take"].cast("int")), "")
-    each = each.withColumn("text", F.when(part, head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return each.orderBy(F.col(lap)["position"], F.col(whole)["order"], F.col(lap)["lap"]).select(*docs.columns)

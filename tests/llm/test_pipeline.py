@@ -44,6 +44,35 @@ def test_run_as_brute_force(spark, docs):
     assert got == want
 
 
+def test_run_encodes_whole_texts(spark, docs):
+    from tokenizers import Tokenizer
+
+    from lectern.llm.queries import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    digest = {i: sha(" ".join(map(str, library.encode(text[i], add_special_tokens=False).ids))) for i in {r.doc_id for r in got}}
+    assert got and all(r.ids_sha256 == digest[r.doc_id] for r in got)
+
+
+def test_mix_takes_documents_whole(spark):
+    """Every row of the mix is a row of its input, and a source misses its target by less than a document."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(7 + 13 * (i % 5))), f"s{i % 4}") for i in range(60)]
+    rows = [(i, t, s, len(t)) for i, t, s in rows] + [(60, " \n" + "long " * 3000, "s4", 15_002), (61, "", "s4", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mixing.materialise(frame).collect()
+    assert {tuple(r) for r in got} <= set(rows)
+    plan = mixing.mix(frame).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += len(r.text.split())
+    part = [p for p in plan if p.size and p.taken % p.size]
+    assert part and {p.doc_id for p in plan if p.taken} == {r.doc_id for r in got}
+    most = {s: max(p.size for p in plan if p.source == s) for s in taken}
+    assert all(int(p.target) <= taken[p.source] < p.target + most[p.source] for p in plan)
+
+
 def test_stages_keep_the_columns(spark, odd, none):
     for frame in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
