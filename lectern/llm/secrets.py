@@ -1,8 +1,8 @@
 """Operator 8 (DataFrame functions only): secrets, judged by how widely their owners share them.
 
 Patterns give candidates.  The hash of each candidate's value is counted over the corpus by distinct
-repositories and owners: a value copied among many owners is an example, one that a single owner holds
-in few repositories and that looks random is taken for live.
+repositories and owners: a value copied among many owners is an example, one that a single owner holds,
+in however many repositories, and that looks random is taken for live.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def _random_looking(value: Column) -> Column:
     return (F.char_length(value) >= 16) & (classes >= 2) & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike("(?i)example|sample|dummy|changeme|xxxx|1234567|placeholder")
 
 
-def scan(docs: DataFrame, *, max_owners: int = 1, max_repositories: int = 3, wide_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, *, max_owners: int = 1, wide_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): every row of ``docs`` with its seq, and every span found.
 
     Spans have seq, kind, start, end (code points), value_hash, owners, repositories and verdict: live,
@@ -71,7 +71,7 @@ def scan(docs: DataFrame, *, max_owners: int = 1, max_repositories: int = 3, wid
     held = placed.groupBy("value_hash", "owner", "repository").agg(F.max("random").alias("random"))
     by_owner = held.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("random").alias("random"))
     spread = by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.max("random").alias("random"))
-    live = F.col("random") & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    live = F.col("random") & (F.col("owners") <= max_owners)
     spread = spread.withColumn("verdict", F.when(live, "live").when(F.col("owners") >= wide_owners, "example").otherwise("unclear")).drop("random")
     spans = placed.drop("owner", "repository", "random").join(spread, "value_hash")
     return rows.select("seq", "doc_id"), spans

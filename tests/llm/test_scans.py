@@ -163,6 +163,12 @@ def test_ownership_separates_examples_from_live(spark):
     assert all(got[i].spans == "" for i in (2, 7, 9))
 
 
+def test_copies_of_one_owner_stay_live(spark):
+    rows = [(i, "key ghp_a8Kq2LmZx91Pw0RtYv5Nc7Bd3Fg6Hj4S" + " again" * (i % 2), "a") for i in range(12)]
+    got = secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 12 and all(r.spans == "vendor:4:40" and r.n_live == 1 for r in got)
+
+
 def test_random_texts_split_alike():
     r = random.Random(1)
     words = [r.choice(["the", "under", "mit", "license", "apache", "version", "2", "cc", "by", "nc"]) for _ in range(5000)]
