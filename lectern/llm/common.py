@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
         conf = df.sparkSession.conf
         shared = conf.get("spark.checkpoint.dir", None)
         if shared is None and context.master.startswith("local["):
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
+            shared = os.path.join(tempfile.gettempdir(), f"checkpoints-{context.applicationId}")
         context.setCheckpointDir(shared or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
@@ -45,6 +47,19 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def join_by_parts(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``size`` says how many of ``rows`` have each key; size is kept.
+
+    Keys that hold more than one ``parts``-th of all rows are fewer than ``parts``, however many rows there
+    are, so they are broadcast; no key of the others can fill a task.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) > max(1, total // parts)
+    hot, cold = table.filter(often), table.filter(~often)
+    marked = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(marked.join(cold, list(keys)))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column."""
     while name in df.columns:
@@ -52,6 +67,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def pick_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose row of ``judged`` (doc_id, text_sha256, kept; one for each) is kept.
+
+    Rows are found again by id, null being a value, and the digest of their text.  Of rows that agree in
+    both, which only further columns could tell apart, one stays; the texts are shuffled for that only
+    where there are such rows.
+    """
+    judged = cut(judged.select("doc_id", "text_sha256", "kept"))
+    kept = judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("twins")).filter("kept")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.sha2(text_of("d.text"), 256) == F.col("k.text_sha256"))
+    found = docs.alias("d").join(kept.alias("k"), same, "left_semi")
+    if kept.filter("twins > 1").isEmpty():
+        return found
+    sha, number = unused(docs, "_sha"), unused(docs, "_id")
+    return found.withColumns({sha: F.sha2(text_of("text"), 256), number: F.col("doc_id").cast("long")}).dropDuplicates([sha, number]).select(*docs.columns)
+
+
 def text_of(col: str):
     """The text column, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, text_of, wide
+from .common import cut, join_by_parts, mix64, pick_rows, text_of, wide
 
 _KEYS_PER_SHARD = 20_000
 _LEVELS = 48
@@ -173,10 +173,21 @@ def mark(docs: DataFrame, history: Column | None = None, *, id_col: str = "doc_i
     Rows for which ``history`` holds make up the index, the others are looked up in it.  Texts are
     equal when identical, null counting as empty; the row with the largest doc_id stays, null ids being
     smallest, and of repeated rows with that id exactly one.  An empty table gives an empty result;
-    further columns are not read.  Rows meet their group by a join whose skewed partitions Spark splits.
+    further columns are not read.  Rows of a text that makes up over a thousandth of them meet their group by a
+    broadcast of these texts, fewer than a thousand, the others by a shuffle.
     """
     rows = digests_of(docs, history, id_col=id_col, text_col=text_col)
     shards = shards_for(rows)
     groups = resolve(build_index(rows.filter("in_history"), shards), rows.filter("not in_history"), shards)
     kept = (F.col("seq") == F.col("keep_seq")).alias("kept")
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
+    met = join_by_parts(rows, cut(groups), ("digest",), "group_size")
+    return met.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, history: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`mark` keeps; of rows equal in id and text one.
+
+    Null ids are a value, null texts count as empty; empty tables give empty ones.  Needs columns doc_id and
+    text; columns of any other names pass through.
+    """
+    return pick_rows(docs, mark(docs, history))

@@ -1,23 +1,26 @@
 """Operator 7: reversible line deduplication with cuckoo filters over exact reference counts.
 
-The exact state is a table of postings (line key, document) whose counts by key are the reference
-counts.  Each shard of keys has a cuckoo filter of its repeated keys, those of two documents at least.
-A lookup first asks the filter, which never misses a repeated key, and only what it lets through
-meets the exact table.  Documents can be inserted and deleted; a key enters its filter when its count
-rises to two and leaves it when the count falls below.
+:class:`LineStore` holds three tables: postings (document, line key), reference counts by key (how many
+documents hold it, and the smallest), and for each shard of keys a cuckoo filter of all keys that the
+counts hold.  A batch of documents is summed by key and meets the filters shard by shard: a key that its
+filter does not know is new, only the others are looked up in the counts.  Inserting and deleting write
+the counts of the keys they touch, and no others, as a new segment.  A key enters its filter when its
+count rises from nothing and leaves it when the count falls to nothing, so a deletion takes back all
+that the insertion did.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, wide
+from .common import SPACES, cut, join_by_parts
 
 _SLOTS = 4
 
@@ -32,6 +35,10 @@ class CuckooFilter:
         self.buckets = len(self.table) // _SLOTS
         self.overflow = list(overflow)
 
+    def holds(self, keys: int) -> bool:
+        """Whether ``keys`` keys fill no more than 84 % of the slots."""
+        return keys <= 0.84 * len(self.table)
+
     @staticmethod
     def _fingerprint(h: int) -> int:
         return (h >> 48) or 1
@@ -116,60 +123,23 @@ def postings(docs: DataFrame, least: int = 10, *, id_col: str = "doc_id", text_c
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """key, refs (postings), first_doc and last_doc that hold it; summed before the shuffle."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-
-
-def _shard(shards: int):
-    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-
+    """key, refs (documents) and first_doc that holds it; summed before the shuffle."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"))
 
-def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
-    """shard, keys, table and overflow of a cuckoo filter for each shard of ``repeated`` keys."""
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        cuckoo = CuckooFilter(len(frame))
-        for h in _hash(frame["key"].tolist()).tolist():
-            cuckoo.insert(h)
-        return pd.DataFrame([{"shard": frame["shard"].iloc[0], "keys": len(frame), "table": cuckoo.table.tobytes(), "overflow": cuckoo.overflow}])
+_FILTERS = "shard int, keys long, table binary, overflow array<long>"
 
-    return repeated.select("key", _shard(shards)).groupBy("shard").applyInPandas(work, "shard int, keys long, table binary, overflow array<long>")
 
+def _load(state: pd.DataFrame) -> tuple[CuckooFilter | None, int]:
+    """The filter of a shard's row and how many keys it holds."""
+    if not len(state):
+        return None, 0
+    row = state.iloc[0]
+    return CuckooFilter(0, row["table"], tuple(row["overflow"])), int(row["keys"])
 
-def _filtered(rows: DataFrame, filters: list, shards: int) -> DataFrame:
-    """The postings that the filters let through, without a shuffle."""
-    tables = {r["shard"]: (r["keys"], r["table"], tuple(r["overflow"])) for r in filters}
-    sent = rows.sparkSession.sparkContext.broadcast(tables)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {s: CuckooFilter(n, table, overflow) for s, (n, table, overflow) in sent.value.items()}
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            hashes = _hash(batch["key"].tolist())
-            shard = batch["shard"].to_numpy()
-            order = np.argsort(shard, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if len(at) and (cuckoo := known.get(int(shard[at[0]]))):
-                    keep[at] = cuckoo.contains(hashes[at])
-            yield batch.loc[keep, ["doc_id", "key"]]
 
-    return rows.select("doc_id", "key", _shard(shards)).mapInPandas(work, "doc_id long, key binary")
-
-
-def lost_keys(rows: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id and the keys whose lines it loses, for documents that lose any.
-
-    The filters are built from the reference counts and sent to all tasks if they are no larger than
-    ``filter_bytes``, so that only postings of repeated keys are shuffled; beyond that size every posting
-    meets the exact counts.  The result is the same.
-    """
-    repeated = cut(references(rows).filter("first_doc < last_doc"))
-    shards = wide(rows.sparkSession, 64)
-    filters = cut(build_filters(repeated, shards))
-    total = filters.agg(F.sum(F.length("table") + 8 * F.size("overflow"))).first()[0] or 0
-    maybe = _filtered(rows, filters.collect(), shards) if total <= filter_bytes else rows
-    lost = maybe.join(repeated, "key").filter("doc_id > first_doc")
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+def _saved(shard: int, keys: int, cuckoo: CuckooFilter) -> pd.DataFrame:
+    return pd.DataFrame([{"shard": shard, "keys": keys, "table": cuckoo.table.tobytes(), "overflow": cuckoo.overflow}])
 
 
 def strip_lines(docs: DataFrame, lost: DataFrame, least: int = 10, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -197,67 +167,158 @@ def strip_lines(docs: DataFrame, lost: DataFrame, least: int = 10, *, id_col: st
     return slim.join(lost, "doc_id", "left").mapInPandas(work, schema)
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 and (``texts``) kept_text.
-
-    Lines are split at \\\\n and compared without white space at their ends and with A-Z in lower case.
-    Keys of at least ``least`` code points that two documents hold lose all their lines except in the
-    smallest doc_id.  Null and empty texts are one empty line.  Repeated rows with one doc_id are one
-    document, each keeping its own lines; rows with null doc_id neither count nor lose lines.  Empty
-    tables give empty results; further columns are not read.
-    """
-    rows = postings(docs, least, id_col=id_col, text_col=text_col)
-    rows = cut(rows)
-    return strip_lines(docs, lost_keys(rows), least, id_col=id_col, text_col=text_col, texts=texts)
-
-
 class LineStore:
-    """Incremental state: exact postings and a cuckoo filter per shard, kept in step by key counts.
-
-    ``insert`` and ``delete`` return the number of keys that became or ceased to be repeated.  The
-    filters change by exactly those keys, so deleting what was inserted brings back the state before.
+    """Incremental line deduplication; see the module for its tables.
+
+    ``insert`` adds documents, those already there being replaced, ``delete`` takes documents out; both
+    return by how many keys the repeated ones, those of two documents or more, became more or fewer.  Rows with null ids are no documents and are passed
+    over, repeated rows with one id are one document, null texts are one empty line, empty batches
+    change nothing, and so do ids that are not there.  Each filter has room for twice the keys it was
+    made for; a shard that outgrows it gets a new one from the exact counts, and when shards hold over
+    four times ``shard_keys`` keys on average, all filters are dealt anew over more shards.  No table is
+    sent to the driver or to every task: filters meet keys by shard, a key being one row there however
+    many documents hold it.  Segments and tombstones are merged after ``merge_after`` changes.
     """
 
-    def __init__(self, spark, shards: int = 64, least: int = 10) -> None:
-        self.spark, self.shards, self.least = spark, shards, least
+    def __init__(self, spark: SparkSession, least: int = 10, shards: int | None = None, shard_keys: int = 20_000, merge_after: int = 8) -> None:
+        self.spark, self.least, self.shard_keys, self.merge_after = spark, least, shard_keys, merge_after
+        self.shards, self.keys, self.repeated, self.changes = shards, 0, 0, 0
         self.rows = spark.createDataFrame([], "doc_id long, key binary")
-        self.filters = spark.createDataFrame([], "shard int, keys long, table binary, overflow array<long>")
-
-    def _move(self, rows: DataFrame) -> int:
-        """Set the postings to ``rows`` and bring the filters in step."""
-        rows = cut(rows)
-        before = references(self.rows).filter("first_doc < last_doc").select("key")
-        after = references(rows).filter("first_doc < last_doc").select("key")
-        gained = after.join(before, "key", "left_anti").withColumn("sign", F.lit(1))
-        lost = before.join(after, "key", "left_anti").withColumn("sign", F.lit(-1))
-        change = cut(gained.unionByName(lost).select("key", "sign", _shard(self.shards)))
-
-        def work(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            shard = int((old if len(old) else new)["shard"].iloc[0])
-            had = int(old["keys"].iloc[0]) if len(old) else 0
-            hashes, signs = _hash(new["key"].tolist()).tolist() if len(new) else [], new["sign"].tolist()
-            total = had + sum(s > 0 for s in signs)
-            cuckoo = CuckooFilter(max(1024, 2 * total), *((old["table"].iloc[0], tuple(old["overflow"].iloc[0])) if len(old) else ()))
-            for h, s in zip(hashes, signs, strict=True):
+        self.segments: list[DataFrame] = []
+        self.filters = spark.createDataFrame([], _FILTERS)
+
+    def _shard(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards or 1)).cast("int").alias("shard")
+
+    def counts(self, among: DataFrame | None = None) -> DataFrame:
+        """key, refs and first_doc as of now, of all keys or of those ``among`` holds: the newest segment has a key's say."""
+        if not self.segments:
+            return self.spark.createDataFrame([], "key binary, refs long, first_doc long")
+        parts = [segment.withColumn("age", F.lit(-i)) for i, segment in enumerate(self.segments)]
+        found = reduce(DataFrame.unionByName, parts)
+        if among is not None:
+            found = found.join(among, "key", "left_semi")
+        newest = found.groupBy("key").agg(F.min_by(F.struct("refs", "first_doc"), "age").alias("x")) if len(parts) > 1 else found.select("key", F.struct("refs", "first_doc").alias("x"))
+        return newest.select("key", "x.*").filter("refs > 0")
+
+    def _known(self, keys: DataFrame) -> DataFrame:
+        """The keys that the filters may know."""
+
+        def ask(state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            cuckoo, _ = _load(state)
+            hit = np.zeros(len(new), dtype=bool) if cuckoo is None or not len(new) else cuckoo.contains(_hash(new["key"].tolist()))
+            return new.loc[hit, ["key"]]
+
+        asked = keys.select("key", self._shard())
+        return self.filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(ask, "key binary")
+
+    def _turn(self, keys: DataFrame) -> None:
+        """Put the ``keys`` with sign 1 into the filters, take those with sign -1 out, and let filters grow."""
+        self.keys += keys.agg(F.sum("sign")).first()[0] or 0
+        self.changes += 1
+        if self.keys > 4 * self.shard_keys * self.shards:
+            self.shards = -(-self.keys // self.shard_keys)
+            self.filters = cut(self._rebuilt(self.counts().select("key")))
+            return
+
+        def change(state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            if not len(new):
+                return state
+            cuckoo, held = _load(state)
+            sign = new["sign"].to_numpy()
+            total, most = held + int(sign.sum()), held + int((sign > 0).sum())
+            hashes = _hash(new["key"].tolist()).tolist()
+            if cuckoo is None:
+                cuckoo = CuckooFilter(max(64, 2 * most))
+            if not cuckoo.holds(most):  # outgrown: marked by no table, and made from the counts below
+                return pd.DataFrame([{"shard": int(new["shard"].iloc[0]), "keys": total, "table": b"", "overflow": []}])
+            for h, s in sorted(zip(hashes, sign.tolist(), strict=True), key=lambda x: x[1]):
                 cuckoo.insert(h) if s > 0 else cuckoo.delete(h)
-            return pd.DataFrame([{"shard": shard, "keys": had + sum(signs), "table": cuckoo.table.tobytes(), "overflow": cuckoo.overflow}])
+            return _saved(int(new["shard"].iloc[0]), total, cuckoo)
+
+        changed = cut(self.filters.groupBy("shard").cogroup(keys.select("key", "sign", self._shard()).groupBy("shard")).applyInPandas(change, _FILTERS))
+        full = changed.filter(F.length("table") == 0).select("shard")
+        if not full.isEmpty():
+            again = self._rebuilt(self.counts().select("key").withColumn("shard", self._shard()).join(full, "shard", "left_semi").select("key"))
+            changed = cut(changed.filter(F.length("table") > 0).unionByName(again))
+        self.filters = changed
+
+    def _rebuilt(self, keys: DataFrame) -> DataFrame:
+        def build(frame: pd.DataFrame) -> pd.DataFrame:
+            cuckoo = CuckooFilter(max(64, 2 * len(frame)))
+            for h in _hash(frame["key"].tolist()).tolist():
+                cuckoo.insert(h)
+            return _saved(int(frame["shard"].iloc[0]), len(frame), cuckoo)
+
+        return keys.select("key", self._shard()).groupBy("shard").applyInPandas(build, _FILTERS)
+
+    def _merge(self) -> None:
+        """Make one segment of all, and take deleted postings out for good."""
+        self.segments, self.rows, self.changes = [cut(self.counts())], cut(self.rows), 0
+
+    def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> int:
+        before = self.repeated
+        new = cut(postings(docs, self.least, id_col=id_col, text_col=text_col).distinct())
+        if self.segments:
+            self._take_out(docs, id_col)
+        batch = cut(references(new))
+        if self.shards is None:
+            self.shards = max(1, -(-batch.count() // self.shard_keys))
+        old = self.counts(self._known(batch)).select("key", F.col("refs").alias("had"), F.col("first_doc").alias("old_first"))
+        segment = cut(batch.join(old, "key", "left").select("key", F.coalesce("had", F.lit(0)).alias("had"), (F.col("refs") + F.coalesce("had", F.lit(0))).alias("refs"), F.least("first_doc", "old_first").alias("first_doc")))
+        self.rows = self.rows.unionByName(new) if self.segments else new
+        self._write(segment)
+        return self.repeated - before
+
+    def delete(self, ids: DataFrame, *, id_col: str = "doc_id") -> int:
+        before = self.repeated
+        if self.segments:
+            self._take_out(ids, id_col)
+        return before - self.repeated
+
+    def _take_out(self, docs: DataFrame, id_col: str) -> None:
+        """Lower the counts of the keys of documents, find new first documents where theirs goes, drop empty keys."""
+        ids = cut(docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct())
+        gone = cut(self.rows.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("less"), F.min("doc_id").alias("least")))
+        if gone.isEmpty():
+            return
+        self.rows = self.rows.join(ids, "doc_id", "left_anti")
+        touched = cut(gone.join(self.counts(gone.select("key")), "key").select("key", F.col("refs").alias("had"), (F.col("refs") - F.col("less")).alias("refs"), "first_doc", (F.col("least") == F.col("first_doc")).alias("headless")))
+        headless = touched.filter("headless and refs > 0").select("key")
+        heads = self.rows.join(headless, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("next"))
+        self._write(cut(touched.join(heads, "key", "left").select("key", "had", "refs", F.when(F.col("headless"), F.col("next")).otherwise(F.col("first_doc")).alias("first_doc"))))
+
+    def _write(self, segment: DataFrame) -> None:
+        """Take up the new counts of touched keys (key, had, refs, first_doc) and turn the filters by them."""
+        self.segments.append(segment.select("key", "refs", "first_doc"))
+        self.repeated += segment.agg(F.sum((F.col("refs") > 1).cast("int") - (F.col("had") > 1).cast("int"))).first()[0] or 0
+        sign = (F.col("refs") > 0).cast("int") - (F.col("had") > 0).cast("int")
+        self._turn(segment.select("key", sign.alias("sign")).filter("sign <> 0"))
+        if self.changes >= self.merge_after:
+            self._merge()
 
-        self.filters = cut(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(work, self.filters.schema))
-        self.rows = rows
-        return change.count()
+    def lost(self) -> DataFrame:
+        """doc_id and the keys whose lines it loses: those that a document of smaller id holds too."""
+        repeated = self.counts().filter("refs > 1").select("key", "refs", "first_doc")
+        hits = join_by_parts(self.rows, cut(repeated), ("key",), "refs").filter("doc_id > first_doc")
+        return hits.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
-    def insert(self, docs: DataFrame) -> int:
-        """Add documents; one already there is replaced."""
-        new = cut(postings(docs, self.least).distinct())
-        kept = self.rows.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        return self._move(kept.unionByName(new))
 
-    def delete(self, ids: DataFrame) -> int:
-        """Take out the documents whose doc_id is in ``ids``."""
-        return self._move(self.rows.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_anti"))
+def dedup_lines(docs: DataFrame, least: int = 10, *, later: Column | None = None, again: Column | None = None, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 and (``texts``) kept_text.
 
-    def lost(self) -> DataFrame:
-        """doc_id and lost keys, as the state has them now."""
-        repeated = cut(references(self.rows).filter("first_doc < last_doc"))
-        hits = _filtered(self.rows, self.filters.collect(), self.shards).join(repeated, "key").filter("doc_id > first_doc")
-        return hits.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    Lines are split at \\n and compared without white space at their ends and with A-Z in lower case.
+    Keys of at least ``least`` code points that two documents hold lose all their lines except in the
+    smallest doc_id.  The documents go through a :class:`LineStore`: first those for which ``later`` does
+    not hold, then the others together with those for which ``again`` holds, which come a second time
+    and replace themselves (a deletion and an insertion); the result does not depend on the two.  Both
+    must be the same for rows of one doc_id.  Null and empty texts are one empty line.  Repeated rows
+    with one doc_id are one document, each keeping its own lines; rows with null doc_id neither count nor
+    lose lines.  Empty tables give empty results; further columns are not read.
+    """
+    store = LineStore(docs.sparkSession, least)
+    second = F.lit(False) if later is None else F.coalesce(later, F.lit(False))
+    store.insert(docs.filter(~second), id_col=id_col, text_col=text_col)
+    if later is not None:
+        store.insert(docs.filter(second if again is None else second | F.coalesce(again, F.lit(False))), id_col=id_col, text_col=text_col)
+    return strip_lines(docs, store.lost(), least, id_col=id_col, text_col=text_col, texts=texts)

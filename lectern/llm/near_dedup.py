@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, chunks_of, cut, mix64, text_of, wide, window_hashes
+from .common import WordHasher, chunks_of, cut, join_by_parts, mix64, pick_rows, text_of, wide, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -153,14 +153,14 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, *, id_col: str
                     found[i] = x
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "bands": found})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("digest"), text_of(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
     made = slim.mapInPandas(work, "doc_id long, digest binary, bands array<long>")
     return cut(made.withColumn("seq", F.monotonically_increasing_id()))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node and text of ``nodes`` (node, doc_id, digest), the text being found by id and digest."""
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(text_of(text_col))).alias("_digest"), text_of(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("_digest"), text_of(text_col).alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     return slim.join(nodes.select("node", "doc_id", "digest").distinct(), on).select("node", "text").dropDuplicates(["node"])
 
@@ -237,7 +237,7 @@ def _block_links(threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, kept.
+    """One row per row of ``docs``: doc_id, class_id, class_size, kept, text_sha256.
 
     Classes are the connected components of the links between texts with a weighted Jaccard similarity
     of ``threshold`` or more; class_id is their smallest doc_id (null if all are null), whose row is
@@ -249,7 +249,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     empty results; further columns are not read.
     """
     all_rows = signed(docs, bands, rows, id_col=id_col, text_col=text_col)
-    nodes = all_rows.groupBy("digest").agg(F.min("seq").alias("node"))
+    nodes = cut(all_rows.groupBy("digest").agg(F.min("seq").alias("node"), F.count(F.lit(1)).alias("copies")))
     firsts = all_rows.select("seq", "bands").join(nodes.select("node"), F.col("seq") == F.col("node"))
     members = firsts.select("node", F.posexplode("bands").alias("band", "bucket"))
     heads = members.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -275,12 +275,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name) for c, name in (("chunks", "chunk"), ("blocks", "block"))]
         strays = open_rows.filter("stray").select("band", "bucket", "node", "label", F.lit(0).alias("side"), F.pmod(hashed, "blocks").cast("int").alias("block"), every[0])
         texts_of = open_rows.select("band", "bucket", "node", "label", F.lit(1).alias("side"), every[1], F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"))
-        dealt = strays.unionByName(texts_of)
-        more = dealt.join(texts, "node").groupBy("band", "bucket", "block", "chunk").applyInPandas(_block_links(threshold), "a long, b long")
+        dealt = strays.unionByName(texts_of).join(texts, "node")
+        group = ("band", "bucket", "block", "chunk")
+        # By ranges, whose borders follow the rows, as groups dealt by hash would heap up in some tasks.
+        even = dealt.repartitionByRange(wide(docs.sparkSession, 8), *group)
+        more = even.groupBy(*group).applyInPandas(_block_links(threshold), "a long, b long")
         labels = components(links.union(cut(more)))
 
-    full = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    tagged = cut(all_rows.select("seq", "doc_id", "digest").join(full, "digest").select("seq", "doc_id", "label"))
+    full = nodes.join(labels, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("label"))
+    tagged = cut(join_by_parts(all_rows.select("seq", "doc_id", "digest"), full, ("digest",), "copies").select("seq", "doc_id", "digest", "label"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seq")).alias("best")
-    summary = tagged.groupBy("label").agg(best, F.count(F.lit(1)).alias("class_size"))
-    return tagged.join(summary, "label").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("seq") == F.col("best.seq")).alias("kept"))
+    summary = cut(tagged.groupBy("label").agg(best, F.count(F.lit(1)).alias("class_size")))
+    done = join_by_parts(tagged, summary, ("label",), "class_size")
+    return done.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("seq") == F.col("best.seq")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`classes` keeps; of rows equal in id and text one.
+
+    Null ids are a value, null texts count as empty; empty tables give empty ones.  Needs columns doc_id and
+    text; columns of any other names pass through.
+    """
+    return pick_rows(docs, classes(docs, **options))

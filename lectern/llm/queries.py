@@ -59,7 +59,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir), texts=False)
+    # Half of the documents come first; a 64th of these come again with the second half and replace themselves.
+    hashed = F.xxhash64("doc_id")
+    return line_dedup.dedup_lines(documents(spark, sf_dir), later=F.pmod(hashed, F.lit(2)) == 1, again=F.pmod(hashed, F.lit(64)) == 0, texts=False)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,13 +167,14 @@ def test_lines_as_sql(spark):
     assert spark_rows(op7_line_dedup(spark, SMALL)) == duck_rows(connect(SMALL), LINES)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, -1])
-def test_lines_odd_rows(odd, none, limit):
+@pytest.mark.parametrize("batches", ["one", "two", "again"])
+def test_lines_odd_rows(odd, none, batches):
+    later = None if batches == "one" else F.col("doc_id") % 2 == 0
+    again = F.col("doc_id") % 3 == 1 if batches == "again" else None
     want = lines_by_hand([(r.doc_id, r.text) for r in odd.collect()])
-    posts = line_dedup.cut(line_dedup.postings(odd))
-    got = line_dedup.strip_lines(odd, line_dedup.lost_keys(posts, limit)).collect()
+    got = line_dedup.dedup_lines(odd, later=later, again=again).collect()
     assert sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256)) for r in got) == want
-    assert all(sha(r.kept_text) == r.kept_sha256 for r in got) and line_dedup.dedup_lines(none).count() == 0
+    assert all(sha(r.kept_text) == r.kept_sha256 for r in got) and line_dedup.dedup_lines(none, later=later, again=again).count() == 0
 
 
 def test_cuckoo_filter_inserts_and_deletes():
@@ -206,6 +207,70 @@ def test_line_store_is_reversible(spark):
     assert state() == []
 
 
+def store_by_hand(docs, least=10):
+    """Counts, first documents and lost keys of the documents (id to text) a store holds, by brute force."""
+    held = collections.defaultdict(set)
+    for doc, text in docs.items():
+        for line in (text or "").encode().lower().split(b"\n"):
+            if key := line_dedup.line_key(line, least):
+                held[key].add(doc)
+    lost = collections.defaultdict(set)
+    for key, ids in held.items():
+        for doc in ids - {min(ids)}:
+            lost[doc].add(key)
+    return {k: (len(d), min(d)) for k, d in held.items()}, dict(lost)
+
+
+def check_store(store, docs):
+    counts, lost = store_by_hand(docs)
+    assert {bytes(r.key): (r.refs, r.first_doc) for r in store.counts().collect()} == counts
+    assert {r.doc_id: {bytes(k) for k in r.lost} for r in store.lost().collect()} == lost
+    filters = {r.shard: r for r in store.filters.collect()}
+    assert sum(r["keys"] for r in filters.values()) == store.keys == len(counts) and store.repeated == sum(n > 1 for n, _ in counts.values())
+    slots = 0
+    for r in filters.values():
+        cuckoo = line_dedup.CuckooFilter(0, r.table, tuple(r.overflow))
+        slots += int((cuckoo.table > 0).sum()) + len(cuckoo.overflow)
+    assert slots == len(counts)  # one fingerprint for each key, none left behind
+    known = {bytes(r.key) for r in store._known(store.counts()).collect()}
+    assert known == set(counts)
+
+
+def test_line_store_as_brute_force(spark):
+    """Random insertions, replacements and deletions against sets in memory; filters outgrow their first size."""
+    r = random.Random(12)
+    line = lambda: f"a line of number {r.choice([r.randrange(20), r.randrange(4000)])}"
+    store, docs = line_dedup.LineStore(spark, shards=3, shard_keys=40, merge_after=4), {}
+    sizes = set()
+    for step in range(5):
+        batch = {r.randrange(60 * (step + 1)): r.choice([None, "", "\n".join(line() for _ in range(r.randrange(40)))]) for _ in range(40)}
+        store.insert(spark.createDataFrame([*batch.items(), (None, "a line without a document"), *list(batch.items())[:2]], "doc_id long, text string"))
+        docs |= batch
+        check_store(store, docs)
+        sizes |= {len(x.table) for x in store.filters.collect()}
+        gone = r.sample(sorted(docs), len(docs) // 4) + [10_000]
+        store.delete(spark.createDataFrame([(i,) for i in [*gone, None, gone[0]]], "doc_id long"))
+        docs = {i: t for i, t in docs.items() if i not in gone}
+        check_store(store, docs)
+    assert store.shards > 3 and len(sizes) > 1
+    store.delete(spark.createDataFrame([(i,) for i in docs], "doc_id long"))
+    check_store(store, {})
+
+
+def test_line_store_takes_deletions_back(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    store = line_dedup.LineStore(spark, shards=4)
+    store.insert(make(*[(i, f"shared by all of us\nonly in {i} and so" + "\nshared by two of us" * (i < 12)) for i in range(10, 40)]))
+    tables = lambda: (sorted(map(tuple, store.counts().collect())), {r.shard: (r["keys"], sorted(np.frombuffer(r.table, dtype="<u2"))) for r in store.filters.collect()}, sorted((r.doc_id, len(r.lost)) for r in store.lost().collect()))
+    before = tables()
+    batch = make(*[(i, f"shared by all of us\nalone with {i} for now\nonly in {i + 8} and so") for i in range(2, 6)])
+    assert store.insert(batch) == 4 and tables() != before
+    store.delete(batch)
+    assert tables() == before
+    empty = make().limit(0)
+    assert store.insert(empty) == 0 and store.delete(empty) == 0 and tables() == before
+
+
 # ---- quality
 
 def quality_by_hand(text):
