@@ -28,16 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep the row with the largest doc_id."""
-    marked = exact_dedup.mark(docs, F.xxhash64("doc_id") < 0).filter("kept")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.sha2(F.coalesce("d.text", F.lit("")), 256) == F.col("m.text_sha256"))
-    return one_each(docs.alias("d").join(marked.alias("m"), same, "left_semi"), docs)
+    return exact_dedup.drop_copies(docs, F.xxhash64("doc_id") < 0)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates keep the row with the smallest doc_id."""
     small_batches(spark)
-    kept = near_dedup.classes(docs).filter("kept")
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return near_dedup.drop_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +48,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), texts=False)
 
 
-def one_each(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """Of rows that agree in id and text, which the join cannot tell apart, one."""
-    return rows.dropDuplicates(["doc_id", "text"]).select(*like.columns)
-
-
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
@@ -70,8 +62,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = spark.sparkContext
     shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete the folder of a stage whose rows are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
