@@ -1,11 +1,14 @@
 """Operator 9: quality rules by robust multivariate outliers.
 
 Each text gives a vector of transformed statistics.  For every language and source the minimum
-covariance determinant is estimated by concentration steps: location and scatter of the share of
-texts that lie nearest under the estimate before.  Texts far off by their Mahalanobis distance are
-rejected.  A step is one aggregation over all texts: distances fall into bins of fixed borders, whose
-counts, sums and cross products are summed before any shuffle, so no group is gathered and every text
-counts.  Vectors are fixed-point numbers, which makes the sums exact and reruns equal.
+covariance determinant is estimated as deterministic MCD does: from four robust starts (medians and
+median absolute deviations, the plain moments, spatial signs, hyperbolic tangents) concentration steps
+take location and scatter of the share of texts that lie nearest under the estimate before, until the
+determinant falls no further; the start with the least determinant wins.  Texts far off by their
+Mahalanobis distance are rejected.  A step is one aggregation over all texts for all groups and starts:
+distances fall into bins of fixed borders, whose counts, sums and cross products are summed before any
+shuffle, so no group is gathered and every text counts.  Vectors are fixed-point numbers, which makes
+the sums exact and reruns equal.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WordHasher, chunks_of, cut, window_hashes
+from .common import SPACES, cut
 
 #: The transformed statistics: word length, symbols a word, repeated lines and words, letters of words.
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_odd")
@@ -37,45 +40,43 @@ for _c in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *SPACES,
     _ODD[_c] = False
 
 
-def covered_by_repeats(words: np.ndarray, size: int = 5) -> int:
-    """Words that lie in a window of ``size`` words found twice or more."""
-    windows = window_hashes(words, size)
-    if len(windows) < 2:
-        return 0
-    order = np.argsort(windows, kind="stable")
-    same = windows[order][1:] == windows[order][:-1]
-    twice = np.zeros(len(windows), dtype=bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    marks = np.zeros(len(words) + 1, dtype=np.int64)
-    marks[: len(windows)] += twice
-    marks[size:] -= twice
-    return int((np.cumsum(marks)[: len(words)] > 0).sum())
-
-
-def measure(hasher: WordHasher, texts: list[str]) -> list[tuple]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and odd characters of each text."""
-    out = []
-    for a, b in chunks_of([len(t) for t in texts], 1 << 18):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
-        words, owner, *_ = hasher.words(raw)
-        ends = np.searchsorted(owner, np.arange(b - a + 1))
-        for i, text in enumerate(texts[a:b]):
-            mine = words[ends[i] : ends[i + 1]]
-            gaps = sum(map(text.count, _GAPS))
-            lines = [x for x in text.split("\n") if x.strip(_GAPS)]
-            odd = int(_ODD[np.frombuffer(raw[i], dtype=np.uint8)].sum())
-            out.append((len(mine), len(text) - gaps, sum(map(len, _SYMBOLS.findall(text))), len(lines) - len(set(lines)), covered_by_repeats(mine), odd))
-    return out
+def covered_by_repeats(ids: np.ndarray, size: int = 5) -> int:
+    """Words that lie in a window of ``size`` words found twice or more; ``ids`` number the words by their bytes.
+
+    Windows are numbered exactly, those of twice the length from pairs of shorter ones.
+    """
+    have, names = 1, ids
+    while have < size:
+        step = min(have, size - have)
+        pairs = names[:-step] * (int(names.max(initial=0)) + 1) + names[step:]
+        found, names, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        if len(found) == len(pairs):
+            return 0
+        have += step
+    marks = np.zeros(len(ids) + 1, dtype=np.int64)
+    marks[: len(names)] += count[names] > 1
+    marks[size:] -= count[names] > 1
+    return int((np.cumsum(marks)[: len(ids)] > 0).sum())
+
+
+def measure(text: str) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and odd characters of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    number: dict[bytes, int] = {}
+    words = [number.setdefault(w, len(number)) for w in raw.split()]
+    repeats = covered_by_repeats(np.array(words, dtype=np.int64)) if len(number) < len(words) else 0
+    gaps = sum(map(text.count, _GAPS))
+    lines = [x for x in text.split("\n") if x.strip(_GAPS)]
+    odd = int(_ODD[np.frombuffer(raw, dtype=np.uint8)].sum())
+    return len(words), len(text) - gaps, sum(map(len, _SYMBOLS.findall(text))), len(lines) - len(set(lines)), repeats, odd
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The measures of every row of ``docs`` and its vector, as whole numbers of 1/10000."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
         for batch in batches:
-            found = np.array(measure(hasher, batch["text"].tolist()), dtype=np.int64).reshape(-1, 6)
+            found = np.array([measure(t) for t in batch["text"]], dtype=np.int64).reshape(-1, 6)
             words, chars, symbols, lines, repeats, odd = found.T
             n = np.maximum(words, 1)
             vector = np.stack((np.log(np.maximum(chars, 1) / n), np.log1p(50.0 * symbols / n), np.log1p(10.0 * lines / n), np.log1p(20.0 * repeats / n), np.log1p(50.0 * odd / np.maximum(chars, 1))))
@@ -102,24 +103,60 @@ def _sums() -> list[Column]:
 _GROUP = ("lang", "source")
 #: Groups of a text for pooled estimates: level 0 is language and source, 1 the language, 2 all texts.
 _LEVELS = ("level", *_GROUP)
-_FIT = "n long, mean array<double>, inverse array<double>, usable boolean"
+_FIT = "start int, n long, mean array<double>, inverse array<double>, logdet double"
+#: A start's steps end when the logarithm of the determinant falls by less than this.
+_SETTLED = 1e-4
+
+
+def _moments(r: dict, first: str, second: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a row of sums."""
+    n = int(r["n"])
+    mean = np.array([float(r[f"{first}{i}"]) for i in range(_D)]) / n / _SCALE
+    cross = np.zeros((_D, _D))
+    for i, j in _PAIRS:
+        cross[i, j] = cross[j, i] = float(r[f"{second}{i}_{j}"]) / n / _SCALE**2
+    return mean, cross - np.outer(mean, mean)
+
+
+def _fit(mean: np.ndarray, scatter: np.ndarray, floors: tuple[float, ...]) -> tuple:
+    """mean, inverse and logarithm of the determinant, the scatter widened by a floor on every axis."""
+    wide = scatter + np.diag(np.square(floors))
+    return mean.tolist(), np.linalg.inv(wide).ravel().tolist(), float(np.linalg.slogdet(wide)[1])
 
 
-def _estimate(share: float, floors: tuple[float, ...], least: float, by: tuple[str, ...]):
-    """mean and inverse scatter of each row of sums, the scatter widened by a floor on every axis."""
+def starts_of(r: dict, floors: tuple[float, ...]) -> list[tuple]:
+    """The four starting estimates of a group from its medians, spreads and sums."""
+    middle, spread = np.array(r["middle"], dtype=float), np.array(r["spread"], dtype=float)
+    mean, cover = _moments(r, "s", "c")
+    _, signs = _moments(r | {f"o{i}": 0 for i in range(_D)}, "o", "u")
+    _, bent = _moments(r, "t", "w")
+    scale = np.sqrt(np.maximum(np.diag(bent), 1e-12))
+    correlation = bent / np.outer(scale, scale)
+    np.fill_diagonal(correlation, 1.0)
+    axes = np.outer(spread, spread)
+    return [_fit(middle, np.diag(spread**2), floors), _fit(mean, cover, floors), _fit(middle, _D * signs * axes, floors), _fit(middle, correlation * axes, floors)]
 
+
+def _starts(floors: tuple[float, ...], by: tuple[str, ...]):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
-                n = int(r["n"])
-                mean = np.array([float(r[f"s{i}"]) for i in range(_D)]) / n / _SCALE
-                second = np.zeros((_D, _D))
-                for i, j in _PAIRS:
-                    second[i, j] = second[j, i] = float(r[f"c{i}_{j}"]) / n / _SCALE**2
-                scatter = (second - np.outer(mean, mean)) * _consistency(share) + np.diag(np.square(floors))
-                rows.append((*[r[k] for k in by], n, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), n >= least))
-            yield pd.DataFrame(rows, columns=[*by, "n", "mean", "inverse", "usable"])
+                for k, (mean, inverse, _) in enumerate(starts_of(r, floors)):
+                    rows.append((*[r[b] for b in by], k, int(r["n"]), mean, inverse, float("inf")))
+            yield pd.DataFrame(rows, columns=[*by, "start", "n", "mean", "inverse", "logdet"])
+
+    return work
+
+
+def _steps(share: float, floors: tuple[float, ...], by: tuple[str, ...]):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                mean, scatter = _moments(r, "s", "c")
+                rows.append((*[r[b] for b in by], int(r["start"]), int(r["n"]), *_fit(mean, scatter * _consistency(share), floors)))
+            yield pd.DataFrame(rows, columns=[*by, "start", "n", "mean", "inverse", "logdet"])
 
     return work
 
@@ -155,80 +192,99 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
-def _same(by: tuple[str, ...]) -> Column:
+def _same(by: tuple[str, ...], one: str = "r", other: str = "f") -> Column:
     """Whether rows called r and f are of the same group; nulls are a value."""
-    return reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in by], F.lit(True))
+    return reduce(and_, [F.col(f"{one}.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in by], F.lit(True))
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return rows.alias("r").join(fit.alias("f"), _same(by)).select("r.*", "f.mean", "f.inverse", "f.usable")
+def _middles(rows: DataFrame, floors: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
+    """Medians and spreads of every group, the spreads widened by the floors.
 
-
-def _robust_start(rows: DataFrame, floors: tuple[float, ...], least: int, by: tuple[str, ...]) -> DataFrame:
-    """Medians, and a diagonal inverse scatter from median absolute deviations."""
-    middle = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    centred = rows.alias("r").join(middle.alias("f"), _same(by)).select(*[f"r.{k}" for k in by], "f.n", *[f"f.m{i}" for i in range(_D)], *[F.abs(F.col(f"r.{v}") - F.col(f"f.m{i}")).alias(v) for i, v in enumerate(VECTOR)])
-    spread = centred.groupBy(*by).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
+    Values are whole numbers of a bounded range, so exact medians are counts by value.
+    """
+    middle = rows.groupBy(*by).agg(*[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
+    centred = rows.alias("r").join(middle.alias("f"), _same(by)).select(*[f"r.{k}" for k in by], *[f"f.m{i}" for i in range(_D)], *[F.abs(F.col(f"r.{v}") - F.col(f"f.m{i}")).alias(v) for i, v in enumerate(VECTOR)])
+    spread = centred.groupBy(*by).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
     mean = F.array(*[F.col(f"m{i}") / float(_SCALE) for i in range(_D)])
-    scale = [1.0 / (F.pow(1.4826 * F.col(v) / float(_SCALE), F.lit(2.0)) + float(floors[i]) ** 2) for i, v in enumerate(VECTOR)]
-    inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
-    return spread.select(*by, "n", mean.alias("mean"), inverse.alias("inverse"), (F.col("n") >= least).alias("usable"))
+    scale = F.array(*[F.sqrt(F.pow(1.4826 * F.col(v) / float(_SCALE), F.lit(2.0)) + float(floors[i]) ** 2) for i, v in enumerate(VECTOR)])
+    return cut(spread.select(*by, mean.alias("middle"), scale.alias("spread")))
+
 
+def _first_fits(rows: DataFrame, floors: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
+    """The starts of every group; signs and tangents are whole numbers of 1/10000, so their sums are exact too."""
+    middles = _middles(rows, floors, by)
+    near = rows.alias("r").join(middles.alias("f"), _same(by)).select("r.*", "f.middle", "f.spread")
+    z = [(F.col(v) / float(_SCALE) - F.element_at("middle", i + 1)) / F.element_at("spread", i + 1) for i, v in enumerate(VECTOR)]
+    near = near.withColumns({f"z{i}": x for i, x in enumerate(z)}).withColumn("long", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)), F.lit(0.0))), F.lit(1e-9)))
+    near = near.withColumns({f"u{i}": F.round(F.col(f"z{i}") / F.col("long") * _SCALE).cast("long") for i in range(_D)} | {f"y{i}": F.round(F.tanh(f"z{i}") * _SCALE).cast("long") for i in range(_D)})
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+    more = [exact(F.col(f"y{i}")).alias(f"t{i}") for i in range(_D)] + [exact(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{name}{i}_{j}") for c, name in (("u", "u"), ("y", "w")) for i, j in _PAIRS]
+    sums = near.groupBy(*by).agg(*_sums(), *more, F.first("middle").alias("middle"), F.first("spread").alias("spread"))
+    return cut(sums.mapInPandas(_starts(floors, by), _typed(rows, by)))
 
-def concentrate(rows: DataFrame, *, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, by: tuple[str, ...] = _GROUP) -> DataFrame:
-    """``by``, n, mean, inverse, usable: the estimate for every group of ``rows``.
 
-    Starts from medians and median absolute deviations, which far groups of texts don't move; values are
-    whole numbers of a bounded range, so exact medians are counts by value.  The nearest ``share`` is cut at a bin's border (bins are
-    1/32 of a power of two wide), so a little more than the share is in.  Groups of fewer than ``least``
-    texts are not usable.
+def _typed(rows: DataFrame, by: tuple[str, ...]) -> str:
+    return "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in by) + _FIT
+
+
+def concentrate(rows: DataFrame, *, share: float = 0.75, floors: tuple[float, ...] = FLOORS, by: tuple[str, ...] = _GROUP) -> DataFrame:
+    """``by``, start, n, mean, inverse, logdet: the estimate of least determinant for every group of ``rows``.
+
+    Each start's steps go on while the determinant falls; as the floors bound it from below, they end.
+    The nearest ``share`` is cut at a bin's border (bins are 1/32 of a power of two wide), so a little more
+    than the share is in.
     """
-    fit = cut(_robust_start(rows, floors, least, by))
-    for _ in range(steps):
-        near = _with_fit(rows, fit, by).withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
-        bins = near.groupBy(*by, "bin").agg(*_sums())
-        order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        group = Window.partitionBy(*by)
-        kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(group)}).filter(F.col("before") < F.lit(share) * F.col("all"))
-        sums = kept.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
-        keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-        fit = cut(sums.mapInPandas(_estimate(share, floors, least * share, by), f"{keys}, {_FIT}"))
-    return fit
+    fits = _first_fits(rows, floors, by).withColumn("open", F.lit(True))
+    key = (*by, "start")
+    while True:
+        near = rows.alias("r").join(fits.filter("open").alias("f"), _same(by)).select("r.*", "f.start", "f.mean", "f.inverse").withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
+        bins = near.groupBy(*key, "bin").agg(*_sums())
+        order = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*key))}).filter(F.col("before") < F.lit(share) * F.col("all"))
+        sums = kept.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
+        tried = sums.mapInPandas(_steps(share, floors, by), _typed(rows, by))
+        falls = F.col("t.logdet").isNotNull() & (F.col("t.logdet") < F.col("f.logdet") - _SETTLED)
+        both = fits.alias("f").join(tried.alias("t"), _same(key, "f", "t"), "left")
+        fits = cut(both.select(*[f"f.{k}" for k in key], *[F.when(falls, F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("n", "mean", "inverse", "logdet")], falls.alias("open")))
+        if fits.filter("open").isEmpty():
+            break
+    best = F.min_by(F.struct("start", "n", "mean", "inverse", "logdet"), F.struct("logdet", "start"))
+    return fits.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
 def _pooled(rows: DataFrame, sound: DataFrame, least: int, **options) -> DataFrame:
-    """lang, source, mean, inverse and usable for every group of ``rows``.
+    """lang, source, mean and inverse for every group of ``rows``.
 
     The estimate is the group's own from ``least`` sound texts on, else its language's from as many on,
-    else that of all sound texts, however few.
+    else that of all sound texts, however few.  Only the estimates that some group needs are made.
     """
-    levels = sound.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    levels = levels.withColumns({"lang": F.when(F.col("level") < 2, F.col("lang")), "source": F.when(F.col("level") < 1, F.col("source"))})
-    fits = concentrate(levels, least=least, by=_LEVELS, **options)
-    groups = rows.select(*_GROUP).distinct()
-    for i, by in enumerate((_GROUP, _GROUP[:1], ())):
-        fit = fits.filter((F.col("level") == i) & (F.col("usable") if by else F.lit(True))).select(*by, F.struct("mean", "inverse").alias("fit")).alias("f")
-        groups = groups.alias("r").join(fit, _same(by), "left").select("r.*", F.col("f.fit").alias(f"fit{i}"))
-    found = F.coalesce("fit0", "fit1", "fit2")
-    return cut(groups.select(*_GROUP, found["mean"].alias("mean"), found["inverse"].alias("inverse"), found.isNotNull().alias("usable")))
-
-
-def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS, least: int = 30, pooled: bool = False, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept.
+    groups = rows.groupBy(*_GROUP).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    groups = cut(groups.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))))
+    groups = groups.withColumn("level", F.when(F.col("n") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2))
+    own, langs = groups.filter("level = 0"), groups.filter("level = 1").select("lang").distinct()
+    level = [sound.alias("r").join(own.alias("f"), _same(_GROUP), "left_semi").withColumn("level", F.lit(0))]
+    if not langs.isEmpty():
+        level.append(sound.alias("r").join(langs.alias("f"), _same(("lang",)), "left_semi").withColumns({"level": F.lit(1), "source": F.lit(None).cast("string")}))
+    if not groups.filter("level = 2").isEmpty():
+        level.append(sound.withColumns({"level": F.lit(2), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    fits = concentrate(reduce(DataFrame.unionByName, level), by=_LEVELS, **options)
+    wanted = groups.withColumns({"at_lang": F.when(F.col("level") < 2, F.col("lang")), "at_source": F.when(F.col("level") < 1, F.col("source"))})
+    same = (F.col("g.level") == F.col("f.level")) & F.col("g.at_lang").eqNullSafe(F.col("f.lang")) & F.col("g.at_source").eqNullSafe(F.col("f.source"))
+    return cut(wanted.alias("g").join(fits.alias("f"), same).select("g.lang", "g.source", "f.mean", "f.inverse"))
+
+
+def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, floors: tuple[float, ...] = FLOORS, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated five-word windows.  Of the
     others those are kept whose squared distance is at most the chi-square quantile at 1 - ``cut_off``.
     Null and empty texts have no words and fail.  Null languages and sources make groups of their own;
     groups of fewer than ``least`` sound texts are judged by the estimate of their language, or of all
-    texts where the language has fewer too, if ``pooled``, and reject nothing if not.  Repeated rows count each; an empty table gives
-    an empty result; further columns are not read.  ``floors`` are least standard deviations of
-    the statistics.
+    texts where the language has fewer too.  Repeated rows count each; an empty table gives an empty
+    result; further columns are not read.  ``floors`` are least standard deviations of the statistics.
     """
     rows = cut(statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col))
-    sound = rows.filter("not base_failed")
-    options = {"share": share, "steps": steps, "floors": floors, "least": least}
-    fit = _pooled(rows, sound, **options) if pooled else concentrate(sound, **options)
-    far = F.when(F.col("usable"), _distance())
-    joined = rows.alias("r").join(fit.alias("f"), _same(_GROUP), "left").select("r.*", "f.mean", "f.inverse", "f.usable").withColumn("distance2", far)
+    fit = _pooled(rows, rows.filter("not base_failed").drop("doc_id"), least, share=share, floors=floors)
+    joined = rows.alias("r").join(fit.alias("f"), _same(_GROUP), "left").select("r.*", "f.mean", "f.inverse").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= _quantile5(1 - cut_off))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")

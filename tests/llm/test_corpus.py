@@ -240,10 +240,10 @@ def test_line_store_as_brute_force(spark):
     """Random insertions, replacements and deletions against sets in memory; filters outgrow their first size."""
     r = random.Random(12)
     line = lambda: f"a line of number {r.choice([r.randrange(20), r.randrange(4000)])}"
-    store, docs = line_dedup.LineStore(spark, shards=3, shard_keys=40, merge_after=4), {}
+    store, docs = line_dedup.LineStore(spark, shards=3, shard_keys=30, merge_after=4), {}
     sizes = set()
     for step in range(5):
-        batch = {r.randrange(60 * (step + 1)): r.choice([None, "", "\n".join(line() for _ in range(r.randrange(40)))]) for _ in range(40)}
+        batch = {r.randrange(60 * (step + 1)): r.choice(["", None, *["\n".join(line() for _ in range(r.randrange(40))) for _ in range(4)]]) for _ in range(40)}
         store.insert(spark.createDataFrame([*batch.items(), (None, "a line without a document"), *list(batch.items())[:2]], "doc_id long, text string"))
         docs |= batch
         check_store(store, docs)
@@ -301,7 +301,7 @@ def test_quality_rejects_outliers_of_a_group(spark):
     rows = [(i, " ".join(word() for _ in range(r.randint(20, 200))), "en", "s") for i in range(200)]
     rows += [(1000 + i, " ".join(word() + "***$$$" for _ in range(60)), "en", "s") for i in range(8)] + [(2000, " ".join(word() + "***" for _ in range(60)), "xx", "rare")]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(8)) and got[2000]
+    assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(8)) and not got[2000]  # its group of one is judged by all texts
 
 
 def test_quality_rejects_by_lines_or_repeats_alone(spark):
@@ -344,6 +344,73 @@ def test_concentration_finds_the_bulk(spark):
     assert np.allclose(np.diag(spread), 0.25, rtol=0.5)
 
 
+def quality_kept_by_hand(frame, cut_off=1e-4, share=0.75, least=30, floors=quality.FLOORS):
+    """doc_id and verdict of every row, with all vectors of a group in memory."""
+    rows = quality.statistics(frame).collect()
+    vector = np.array([[r[v] for v in quality.VECTOR] for r in rows], dtype=float).reshape(-1, 5) / 10_000
+    sound = np.array([not r.base_failed for r in rows], dtype=bool)
+    own, lang = [(r.lang, r.source) for r in rows], [r.lang for r in rows]
+
+    def estimate(mine):
+        x = vector[mine & sound]
+        middle = np.median(x, axis=0)
+        spread = np.sqrt((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2 + np.square(floors))
+        z = (x - middle) / spread
+        unit, bent = np.rint(z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None] * 1e4) / 1e4, np.rint(np.tanh(z) * 1e4) / 1e4
+        cover = lambda a: a.T @ a / len(a) - np.outer(a.mean(axis=0), a.mean(axis=0))
+        scale = np.sqrt(np.maximum(np.diag(cover(bent)), 1e-12))
+        like = cover(bent) / np.outer(scale, scale)
+        np.fill_diagonal(like, 1)
+        wide = np.diag(np.square(floors))
+        best = (np.inf, None)
+        for mean, scatter in ((middle, np.diag(spread**2)), (x.mean(axis=0), cover(x)), (middle, 5 * unit.T @ unit / len(x) * np.outer(spread, spread)), (middle, like * np.outer(spread, spread))):
+            inverse, at = np.linalg.inv(scatter + wide), np.inf
+            while True:
+                bins = np.floor(np.log2(np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean) + 1e-3) * 32)
+                before = np.array([(bins < b).sum() for b in bins])
+                near = x[before < share * len(x)]
+                scatter = cover(near) * quality._consistency(share) + wide
+                if not np.linalg.slogdet(scatter)[1] < at - 1e-4:
+                    break
+                at, mean, inverse = np.linalg.slogdet(scatter)[1], near.mean(axis=0), np.linalg.inv(scatter)
+            if at < best[0]:
+                best = (at, (mean, inverse))
+        return best[1]
+
+    known, out = {}, []
+    for i, r in enumerate(rows):
+        same = np.array([o == own[i] for o in own])
+        if (same & sound).sum() < least:
+            same = np.array([x == lang[i] for x in lang])
+            if (same & sound).sum() < least:
+                same = np.ones(len(rows), dtype=bool)
+        if (name := same.tobytes()) not in known:
+            known[name] = estimate(same)
+        mean, inverse = known[name]
+        out.append((r.doc_id or -1, bool(sound[i] and (vector[i] - mean) @ inverse @ (vector[i] - mean) <= quality._quantile5(1 - cut_off))))
+    return sorted(out)
+
+
+def test_quality_kept_as_brute_force(spark, docs, odd):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    made = [(i, " ".join(word() + r.choice(["", "", ".", "##"]) * (i % 9 == 0) for _ in range(r.randint(8, 90))), r.choice(["en", "en", "xx", None]), r.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    for frame in (docs, odd, spark.createDataFrame(made, "doc_id long, text string, lang string, source string")):
+        want = quality_kept_by_hand(frame)
+        assert sorted((x.doc_id or -1, x.kept) for x in quality.judge(frame).collect()) == want
+        assert len({k for _, k in want}) == 2
+
+
+def test_least_determinant_of_several_starts(spark):
+    """A far, tight cloud that holds most texts of one axis' median: starts differ, the least determinant wins."""
+    r = np.random.default_rng(6)
+    x = np.concatenate((r.normal(0, 1, (560, 5)) * (1, 1, 1, 1, 0.2), r.normal((0, 0, 0, 0, 9), 0.3, (190, 5))))
+    rows = [("en", "s", *[int(v) for v in np.rint(v5 * 10_000)]) for v5 in x]
+    frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{v} long" for v in quality.VECTOR))
+    fit = quality.concentrate(frame, share=0.7, floors=(0.01,) * 5).collect()[0]
+    assert np.abs(fit["mean"]).max() < 0.3 and np.sqrt(np.linalg.inv(np.array(fit["inverse"]).reshape(5, 5))[4, 4]) < 0.4
+
+
 # ---- near dedup
 
 def bag(text):
