@@ -2,8 +2,10 @@
 
 A text is the mean of the embeddings of its hashed subwords (letter n-grams of its words, with word
 ends marked).  Embeddings and softmax are trained together by stochastic gradient descent in numpy on
-a bounded sample; a temperature fitted on a calibration part of it makes scores probabilities, and the
-rejection threshold is a quantile of the calibration scores.
+a bounded sample.  One class more than there are languages stands for none of them: it learns from
+letters that are drawn anew, from those of the sample and from other alphabets.  A temperature fitted
+on a calibration part makes scores probabilities, and the rejection threshold is a quantile of the
+scores that the calibration part's own languages get.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ class Settings:
     """``sample_docs`` bounds the labelled rows used for the fit, shared evenly among the languages."""
 
     sample_docs: int = 2400
-    buckets: int = 1 << 15
+    buckets: int = 1 << 17
     width: int = 16
     epochs: int = 4
     rate: float = 0.6
+    decay: float = 1e-3
     calibration: float = 0.2
-    reject_share: float = 0.0005
+    reject_share: float = 0.002
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class Model:
-    """``table`` holds each bucket's share in the logits: embeddings times softmax weights."""
+    """``table`` holds each bucket's share in the logits, embeddings times softmax weights; the last column is of no language."""
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -54,11 +57,12 @@ def _letters() -> np.ndarray:
 
 def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of every subword of ``texts``, in order of text within each n."""
-    text = "\n".join(t.lower() for t in texts) + "\n"
+    lowered = [t.lower() for t in texts]
+    text = "\n".join(["", *lowered, ""])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[codes]
-    lengths = np.fromiter((len(t.lower()) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    lengths = np.fromiter((len(t) + 1 for t in lowered), dtype=np.int64, count=len(texts))
+    owner = np.concatenate((np.zeros(1, dtype=np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), lengths)))
     keep = letter.copy()  # of a run of other characters, the first stays as a word end
     keep[1:] |= letter[:-1]
     keep[0] = True
@@ -85,15 +89,36 @@ def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(found)
 
 
+#: First letters and numbers of alphabets that noise is drawn from.
+_ALPHABETS = ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 28), (0x905, 50), (0xE01, 46), (0x3041, 83), (0x4E00, 2000), (0xAC00, 2000))
+
+
+def noise(text: str, seed: int, most: int = 4000) -> str:
+    """A text of no language with word lengths as in ``text`` (``most`` characters of it).
+
+    Letters are those of ``text`` shuffled, drawn evenly from a to z, or drawn from another alphabet.
+    """
+    rng = np.random.default_rng(seed)
+    codes = np.frombuffer(text[:most].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    at = np.flatnonzero(_letters()[codes])
+    kind = rng.random()
+    first, size = _ALPHABETS[0 if kind < 0.65 else rng.integers(len(_ALPHABETS))]
+    codes[at] = rng.permutation(codes[at]) if kind < 0.4 else first + rng.integers(0, size, len(at))
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _features(settings: Settings):
+    def counted(text: str) -> tuple[bytes, bytes]:
+        _, found = subwords([text], settings.buckets)
+        index, count = np.unique(found, return_counts=True)
+        return index.astype("<i4").tobytes(), count.astype("<f4").tobytes()
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for lang, order, text in zip(batch["lang"], batch["order"], batch["text"], strict=True):
-                _, found = subwords([text], settings.buckets)
-                index, count = np.unique(found, return_counts=True)
-                rows.append((lang, order, index.astype("<i4").tobytes(), count.astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "order", "index", "weight"])
+                rows.append((lang, order, *counted(text), *counted(noise(text, order & 0x7FFFFFFF))))
+            yield pd.DataFrame(rows, columns=["lang", "order", "index", "weight", "noise_index", "noise_weight"])
 
     return work
 
@@ -109,45 +134,67 @@ def _excerpt(index: np.ndarray, count: np.ndarray, rng: np.random.Generator) ->
     return index, count.astype(np.float32)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings) -> Model | None:
-    """Fit on (language, buckets, counts) rows; None without any. The order of ``rows`` matters."""
+def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of least loss, by golden section; 1 if the loss falls on to an end of the range."""
+
+    def loss(log_t: float) -> float:
+        return float(-np.log(_softmax(logits / np.exp(log_t))[np.arange(len(truth)), truth] + 1e-300).mean())
+
+    low, high = np.log(1e-3), np.log(1e3)
+    ends = loss(low), loss(high)
+    ratio = (np.sqrt(5) - 1) / 2
+    while high - low > 1e-4:
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    best = (low + high) / 2
+    return float(np.exp(best)) if loss(best) < min(ends) and np.log(1e-3) + 0.01 < best < np.log(1e3) - 0.01 else 1.0
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings, noises: list[tuple[np.ndarray, np.ndarray]] = ()) -> Model | None:
+    """Fit on (language, buckets, counts) rows and (buckets, counts) of no language; None without any. The order matters."""
     rows = [r for r in rows if len(r[1])]
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
         return None
     label = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(settings.seed)
-    held = np.arange(len(rows)) % max(2, round(1 / settings.calibration)) == 1
-    fit, calibrate = [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
+    data = [(label[lang], i, c) for lang, i, c in rows] + [(len(languages), i, c) for i, c in noises if len(i)]
+    held = np.concatenate([np.arange(n) % max(2, round(1 / settings.calibration)) == 1 for n in (len(rows), len(data) - len(rows))])
+    learn, check = [r for r, h in zip(data, held, strict=True) if not h], [r for r, h in zip(data, held, strict=True) if h]
+    seen = np.zeros(settings.buckets, dtype=bool)
+    for _, index, _ in learn:
+        seen[index] = True
     embedding = rng.normal(0, 1 / settings.width, (settings.buckets, settings.width)).astype(np.float32)
-    weight = np.zeros((settings.width, len(languages)), dtype=np.float32)
-    bias = np.zeros(len(languages), dtype=np.float32)
-    steps, done = settings.epochs * max(1, len(fit)), 0
+    embedding[~seen] = 0  # what was never met says nothing
+    weight = np.zeros((settings.width, len(languages) + 1), dtype=np.float32)
+    bias = np.zeros(len(languages) + 1, dtype=np.float32)
+    steps, done = settings.epochs * max(1, len(learn)), 0
     for _ in range(settings.epochs):
-        for i in rng.permutation(len(fit)):
-            lang, index, count = fit[i]
+        for i in rng.permutation(len(learn)):
+            truth, index, count = learn[i]
             if rng.random() < 0.5:
                 index, count = _excerpt(index, count, rng)
             share = count / count.sum()
             own = embedding[index]
             mean = share @ own
             slope = _softmax(mean @ weight + bias)
-            slope[label[lang]] -= 1
+            slope[truth] -= 1
             rate = settings.rate * (1 - done / steps)
             back = weight @ slope
-            weight -= rate * np.outer(mean, slope)
+            weight -= rate * (np.outer(mean, slope) + settings.decay * weight)
             bias -= rate * slope
-            embedding[index] = own - (rate * len(index) * share)[:, None].clip(max=4.0) * back
+            embedding[index] = own * (1 - rate * settings.decay) - (rate * len(index) * share)[:, None].clip(max=4.0) * back
             done += 1
     table = (embedding @ weight).astype(np.float32)
-    check = calibrate or fit
-    check = check + [(lang, *_excerpt(i, c, rng)) for lang, i, c in check]
+    check = check or learn
+    # Excerpts too, as many as it takes for ten scores below the quantile.
+    times = max(1, -(-10 // (settings.reject_share * len(check)))) if settings.reject_share > 0 else 1
+    check = check + [(truth, *_excerpt(i, c, rng)) for truth, i, c in check for _ in range(int(times))]
     logits = np.stack([(c / c.sum()) @ table[i] + bias for _, i, c in check])
-    truth = np.array([label[r[0]] for r in check])
-    losses = {t: -np.log(_softmax(logits / t)[np.arange(len(check)), truth] + 1e-12).mean() for t in np.geomspace(0.05, 20, 61)}
-    temperature = float(min(losses, key=losses.get))
-    scores = _softmax(logits / temperature).max(axis=1)
-    threshold = float(min(np.quantile(scores, settings.reject_share, method="lower"), 1.5 / len(languages), 0.5)) if len(languages) > 1 else 0.0
+    truth = np.array([r[0] for r in check])
+    temperature = _temperature(logits, truth)
+    real = _softmax(logits / temperature)[truth < len(languages), : len(languages)].max(axis=1)
+    threshold = float(np.quantile(real, settings.reject_share, method="lower"))
     return Model(languages, table, bias, temperature, threshold)
 
 
@@ -156,24 +203,27 @@ def fit(docs: DataFrame, training: Column, settings: Settings = Settings(), *, i
 
     At most ``sample_docs`` rows are taken, by the order of a hash of the id; a row reaches the driver
     as at most ``buckets`` counts in binary form, whatever its text's length.  Rows without language, text or id are
-    not used.  The sample is chosen by hash thresholds, so no language is gathered in one task.
+    not used.  The sample is chosen by hash thresholds, so no language is gathered in one task.  Each row
+    gives one of no language too.  A row in the sample more than once is used as often; of ties in the hash
+    the smaller language is first.  Of more than ``sample_docs`` languages the most frequent are learned.
     """
     slim = docs.filter(training).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("order"))
     slim = slim.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(slim.groupBy("lang").count().collect())
+    counts = dict(slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.sample_docs).collect())
     if not counts:
         return None
     each = max(1, settings.sample_docs // len(counts))
     unit = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n + 20 / n))])
-    sample = slim.filter(unit < share[F.col("lang")]).mapInPandas(_features(settings), "lang string, order long, index binary, weight binary")
+    sample = slim.filter(unit < share[F.col("lang")]).mapInPandas(_features(settings), "lang string, order long, index binary, weight binary, noise_index binary, noise_weight binary")
     taken: dict[str, int] = {}
-    rows = []
-    for r in sorted(sample.collect(), key=lambda r: (r.order % (1 << 30), r.order, r.lang)):
+    rows, noises = [], []
+    for r in sorted(sample.collect(), key=lambda r: (r.order % (1 << 30), r.order, r.lang, r["index"])):
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= each:
             rows.append((r.lang, np.frombuffer(r["index"], dtype="<i4"), np.frombuffer(r["weight"], dtype="<f4")))
-    return train(rows, settings)
+            noises.append((np.frombuffer(r["noise_index"], dtype="<i4"), np.frombuffer(r["noise_weight"], dtype="<f4")))
+    return train(rows, settings, noises)
 
 
 def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -184,15 +234,15 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[st
         return []
     whole = [t or "" for t in texts]
     k = len(model.languages)
-    total = np.zeros((len(texts), k))
+    total = np.zeros((len(texts), k + 1))
     count = np.zeros(len(texts))
     for a, b in chunks_of([len(t) for t in whole], 1 << 18):
         owner, found = subwords(whole[a:b], len(model.table))
-        for j in range(k):
+        for j in range(k + 1):
             total[a:b, j] = np.bincount(owner, weights=model.table[:, j][found], minlength=b - a)
         count[a:b] = np.bincount(owner, minlength=b - a)
     score = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
-    best = score.argmax(axis=1)
+    best = score[:, :k].argmax(axis=1)
     out = []
     for i, t in enumerate(whole):
         if not count[i] and not any(c.isalpha() for c in t):
@@ -209,12 +259,13 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     Null texts and texts without a letter get ``und`` with score 0 and are rejected, and so are those
     whose calibrated score is below the model's threshold (they keep their best language).  Repeated
     rows give repeated rows, empty tables empty ones; other columns are not read.  Narrow, without a
-    shuffle; the model travels with the task, its size being set by ``buckets`` and the languages.
+    shuffle; the model is broadcast, its size being ``buckets`` times the languages and one, in floats.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame(predict_texts(model, batch["text"].tolist()), columns=["lang_pred", "score", "rejected"])
+            out = pd.DataFrame(predict_texts(sent.value, batch["text"].tolist()), columns=["lang_pred", "score", "rejected"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), out], axis=1)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -222,11 +273,16 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
 
 def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`identify` does not reject."""
+    """The rows of ``docs``, all columns, that :func:`identify` does not reject.
+
+    Each row is judged alone, so repeated rows stay or go together; nulls in other columns and further
+    columns of any name pass through; an empty table gives an empty one.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [not rejected for _, _, rejected in predict_texts(model, batch[text_col].tolist())]
+            ok = [not rejected for _, _, rejected in predict_texts(sent.value, batch[text_col].tolist())]
             yield batch[np.array(ok, dtype=bool)]
 
     return docs.mapInPandas(work, docs.schema)

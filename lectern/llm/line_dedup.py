@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_by_parts
+from .common import SPACES, cut, join_by_parts, wide
 
 _SLOTS = 4
 
@@ -263,7 +263,7 @@ class LineStore:
             self._take_out(docs, id_col)
         batch = cut(references(new))
         if self.shards is None:
-            self.shards = max(1, -(-batch.count() // self.shard_keys))
+            self.shards = max(wide(self.spark, 64), -(-batch.count() // self.shard_keys))
         old = self.counts(self._known(batch)).select("key", F.col("refs").alias("had"), F.col("first_doc").alias("old_first"))
         segment = cut(batch.join(old, "key", "left").select("key", F.coalesce("had", F.lit(0)).alias("had"), (F.col("refs") + F.coalesce("had", F.lit(0))).alias("refs"), F.least("first_doc", "old_first").alias("first_doc")))
         self.rows = self.rows.unionByName(new) if self.segments else new
