@@ -129,6 +129,103 @@ def test_reliabilities_follow_agreement():
     assert posterior["ssn:+++0+"] > 0.9 > 0.1 > posterior["ssn:-00-0"] and yes[1, 2] > no[1, 2]
 
 
+def em_by_hand(counts, rounds=3000):
+    """The same maximum a posteriori estimate by loops over patterns, labelers and votes."""
+    total = sum(counts.values())
+    sure = 20 + total / 2
+    start = {True: {"-": 0.05, "0": 0.45, "+": 0.5}, False: {"-": 0.3, "0": 0.62, "+": 0.08}}
+    labelers = range(len(next(iter(counts)).split(":")[1]))
+    table = {c: [dict(start[c]) for _ in labelers] for c in (True, False)}
+    real, chance = 0.3, {}
+    for _ in range(rounds):
+        for p in counts:
+            like = {True: real, False: 1 - real}
+            for c in like:
+                for j in labelers:
+                    like[c] *= table[c][j][p.split(":")[1][j]]
+            chance[p] = like[True] / (like[True] + like[False])
+        mass = {c: {p: (chance[p] if c else 1 - chance[p]) * n for p, n in counts.items()} for c in (True, False)}
+        for c in (True, False):
+            for j in labelers:
+                table[c][j] = {v: (start[c][v] * sure + sum(m for p, m in mass[c].items() if p.split(":")[1][j] == v)) / (sure + sum(mass[c].values())) for v in "-0+"}
+        real = (sum(mass[True].values()) + 0.3 * sure) / (total + sure)
+    return chance
+
+
+def test_reliabilities_as_brute_force():
+    r = random.Random(3)
+    for n in (1, 4, 30):
+        counts = {"ssn:" + "".join(r.choice("-00+") for _ in range(6)): r.randrange(1, 400) for _ in range(n)}
+        want = em_by_hand(counts, 600)
+        assert pii.reliabilities(counts)[2] == pytest.approx(want, abs=1e-5)
+
+
+def planted(n, seed):
+    """Texts of invented prose with spans that are personal data, and others that only look so."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(r.randint(8, 30)))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    true = [lambda: f"his ssn 123-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda: f"call phone ({r.randint(200, 999)}) {r.randint(200, 999)}-{digits(4)}", lambda: f"born {r.randint(1, 28):02}.{r.randint(1, 12):02}.19{r.randint(20, 99)}",
+            lambda: f"the address 12 {r.choice(['Maple', 'Castle', 'Station'])} Street, Lyon", lambda: f"dear Mrs {r.choice(['Anna', 'Maria', 'Julia'])} {word().title()}", lambda: f"card account 1234 {digits(4)} {digits(4)} {digits(3)}1"]
+    false = [lambda: f"isbn 000-{digits(2)}-0000", lambda: f"page 12 of table {digits(2)} 33 {digits(8)} 44 55", lambda: f"version {digits(9)} of part 7", lambda: f"{word().title()} {word().title()}"]
+    rows, want = [], {}
+    for i in range(n):
+        parts = [prose()]
+        if (kind := r.random()) < 0.6:
+            parts += [r.choice(true if kind < 0.3 else false)(), prose()]
+        rows.append((i, " ".join(parts)))
+        want[i] = kind < 0.3
+    return rows, want
+
+
+def test_pii_spans_as_brute_force(spark, docs, odd):
+    made, _ = planted(400, 1)
+    for frame in (docs, odd, spark.createDataFrame(made, "doc_id long, text string")):
+        rows = [(r.doc_id, r.text or "") for r in frame.collect()]
+        counts = {}
+        for _, text in rows:
+            for c in pii.candidates(text, base_pii(text)):
+                counts[c[3]] = counts.get(c[3], 0) + 1
+        classifier = pii.train(counts)
+        want = []
+        for doc, text in rows:
+            base, added = base_pii(text), []
+            for kind, start, end, pattern in sorted(pii.candidates(text, base), key=lambda c: (-classifier.chance(c[3]), c[1], pii.EXTRA.index(c[0]))):
+                if classifier.chance(pattern) >= 0.9 and not any(s < end and start < e for _, s, e in added):
+                    added.append((kind, start, end))
+            assert not any(s < e1 and s1 < e for _, s, e in base for _, s1, e1 in added)
+            spans = sorted(base + added, key=lambda x: (x[1], (*pii.BASE, *pii.EXTRA).index(x[0])))
+            want.append(repr((doc, ",".join(f"{k}:{s}:{e}" for k, s, e in spans), len(added))))
+        assert sorted(repr((r.doc_id, r.spans, r.n_added)) for r in pii.find(frame).collect()) == sorted(want)
+
+
+def test_pii_finds_what_was_planted(spark):
+    rows, want = planted(3000, 2)
+    got = {r.doc_id: r.n_added > 0 for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(got[i] for i in want if want[i]) / sum(want.values())
+    wrong = sum(got[i] for i in want if not want[i]) / sum(not x for x in want.values())
+    assert caught >= 0.8 and wrong <= 0.02, (caught, wrong)
+
+
+def test_pii_adds_to_the_documents():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    found = [pii.candidates(t, pii.base_spans(t)) for t in texts]
+    counts = {}
+    for c in (c for f in found for c in f):
+        counts[c[3]] = counts.get(c[3], 0) + 1
+    classifier = pii.train(counts)
+    chances = {p: classifier.chance(p) for p in counts}
+    assert sum(len(pii.accepted(f, chances, 0.9)) for f in found) > 100
+
+
+def test_pii_candidates_take_linear_time():
+    for text in ("Aa " * 60_000, "1 " * 100_000, "12-" * 60_000, "Aa Bb 1 Cc " * 20_000, "DE00 " + "A1B2 " * 40_000):
+        pii.candidates(text, [])
+
+
 def base_secrets(text):
     out = []
     after = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
