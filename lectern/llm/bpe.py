@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,13 +110,16 @@ class ForcedBoundaryBpe:
     def _merge(self, symbols: list[str]) -> list[str]:
         """Merge by lowest rank, leftmost first; long fragments over a linked list and a heap."""
         if len(symbols) <= 32:
-            rank_of = self.ranks.get
-            while len(symbols) > 1:
-                ranked = [rank_of(p, 1 << 60) for p in zip(symbols, symbols[1:], strict=False)]
-                if (best := min(ranked)) == 1 << 60:
-                    break
+            rank_of, none = self.ranks.get, 1 << 60
+            ranked = [rank_of(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+            while ranked and (best := min(ranked)) < none:
                 i = ranked.index(best)
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                del ranked[i]
+                if i < len(ranked):
+                    ranked[i] = rank_of((symbols[i], symbols[i + 1]), none)
+                if i:
+                    ranked[i - 1] = rank_of((symbols[i - 1], symbols[i]), none)
             return symbols
         n, ranks = len(symbols), self.ranks
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -136,21 +140,21 @@ class ForcedBoundaryBpe:
                     heapq.heappush(heap, (ranks[p], k, *p))
         return [s for s in current if s is not None]
 
-    def encode_fragment(self, fragment: tuple[str, bool]) -> list[str]:
+    def encode_fragment(self, fragment: tuple[str, bool]) -> list[int]:
         memory = self.fragments
         if (known := memory.get(fragment) or memory.recall(fragment)) is None:
-            known = [s for s in self._merge(self._symbols(*fragment)) if s in self.vocab]
+            known = [self.vocab[s] for s in self._merge(self._symbols(*fragment)) if s in self.vocab]
             if len(fragment[0]) <= 64:
                 memory.keep(fragment, known)
         return known
 
-    def encode_word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their strings, of a word in the alphabet of bytes."""
-        tokens = [t for fragment in self.cut(word) for t in self.encode_fragment(fragment)]
-        vocab = self.vocab
-        return len(tokens), " ".join([str(vocab[t]) for t in tokens]), " ".join(tokens)
+    def encode_word(self, word: str) -> tuple[str, list[int]]:
+        """The ids, as text and as numbers, of a word in the alphabet of bytes."""
+        fragments = self.cut(word)
+        ids = self.encode_fragment(fragments[0]) if len(fragments) == 1 else [i for fragment in fragments for i in self.encode_fragment(fragment)]
+        return " ".join(map(str, ids)), ids
 
-    def _plain_text(self, text: str) -> list[tuple[int, str, str]]:
+    def _plain_text(self, text: str) -> list[tuple[str, list[int]]]:
         memory, out = self.words, []
         for word in _PLAIN_WORDS.findall(text.lower()):
             if (known := memory.get(word) or memory.recall(word)) is None:
@@ -160,31 +164,31 @@ class ForcedBoundaryBpe:
             out.append(known)
         return out
 
-    def _any_text(self, text: str) -> list[tuple[int, str, str]]:
+    def _any_text(self, text: str) -> list[tuple[str, list[int]]]:
         out = []
         for chunk in _ASCII_SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
             for piece in self.split_added.split(chunk) if self.split_added else [chunk]:
                 if piece in self.added:
-                    out.append((1, str(self.added[piece]), piece))
+                    out.append((str(self.added[piece]), [self.added[piece]]))
                 elif piece and self.plain and _PLAIN.fullmatch(piece) and not _ODD_SPACE.search(piece):
                     out += self._plain_text(piece)
                 elif piece:
                     out += [self.encode_word(word) for word, _ in self.pre_tokenise(self.normalise(piece)) if word]
         return out
 
-    def encode_text(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, decimal ids joined by spaces, and the decoded text."""
+    def encode_text(self, text: str | None) -> tuple[str, list[int]]:
+        """The ids of a text, in decimal joined by spaces and as numbers."""
         text = text or ""
         simple = self.plain and _PLAIN.fullmatch(text) and not _ODD_SPACE.search(text) and not (self.split_added and self.split_added.search(text))
-        parts = [x for x in (self._plain_text(text) if simple else self._any_text(text)) if x[0]]
-        return sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+        parts = [x for x in (self._plain_text(text) if simple else self._any_text(text)) if x[1]]
+        return " ".join([x[0] for x in parts]), list(chain.from_iterable([x[1] for x in parts]))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.encode_text(text)[1].split()]
+        return self.encode_text(text)[1]
 
     def decode(self, ids: list[int]) -> str:
         """As the library does for a file without a decoder: tokens joined by a space."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -206,9 +210,10 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                n, ids, decoded = bpe.encode_text(text)
-                digests = hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                rows.append((n, *digests, *((list(map(int, ids.split())), decoded) if texts else ())))
+                written, ids = bpe.encode_text(text)
+                decoded = bpe.decode(ids)
+                digests = hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                rows.append((len(ids), *digests, *((ids, decoded) if texts else ())))
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
