@@ -1,6 +1,6 @@
 """Operator 3: license scans by template-markup matching.
 
-Templates are license notices in which ``<<beginOptional>> ... <<endOptional>>`` marks wording that may
+Templates are full license texts, and short notices that license by themselves, in which ``<<beginOptional>> ... <<endOptional>>`` marks wording that may
 be missing and ``<<var;N>>`` a replaceable place of at most N words.  They are compiled together to one
 automaton over words; a text is accepted from a place if its words there agree exactly with all
 mandatory wording of a template.
@@ -20,16 +20,77 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases whose words are looked for as they are, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Public notices in template markup, and their labels.
+_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or
+substantial portions of the Software."""
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+_CLAIM = """BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """Neither the name of <<var;12>> nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var;12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;12>> BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_TAIL = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE."""
+_GPL_NOTICE = "under the <<beginOptional>>terms of the <<endOptional>>GNU {} Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version {}"
+
+#: Full public license texts, then the short notices that are licensing statements of their own, in template markup, and their labels.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the \"Software\")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("isc", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License<<endOptional>>"),
-    ("gpl-2", "under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 2"),
-    ("gpl-3", "under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either <<endOptional>>version 3"),
-    ("lgpl", "under the <<beginOptional>>terms of the <<endOptional>>GNU Lesser General Public License"),
-    ("mpl-2", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", f"{_GRANT} {_AS_IS} THE AUTHORS OR COPYRIGHT HOLDERS {_CLAIM}"),
+    ("json", f"{_GRANT} The Software shall be used for Good, not Evil. {_AS_IS} THE AUTHORS OR COPYRIGHT HOLDERS {_CLAIM}"),
+    ("x11", f"""{_GRANT} {_AS_IS} THE X CONSORTIUM {_CLAIM} Except as contained in this notice, the name of the X Consortium shall not be used in advertising
+or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."""),
+    ("isc", f"""Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_TAIL}"""),
+    ("0bsd", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_TAIL}"),
+    ("bsd-2", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("bsd-3", f"{_BSD_HEAD} <<beginOptional>>3. <<endOptional>>{_BSD_NAME} {_BSD_TAIL}"),
+    ("bsd-4", f"""{_BSD_HEAD} <<beginOptional>>3. <<endOptional>>All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by <<var;20>> <<beginOptional>>4. <<endOptional>>{_BSD_NAME} {_BSD_TAIL}"""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source
+versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""),
+    ("bsl-1", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered
+by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement,
+including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all
+derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language
+processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER
+LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("unlicense", f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize
+copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the
+benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS {_CLAIM}"""),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy
+of the License at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""),
+    ("mpl-2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+<<beginOptional>>You can<<endOptional>><<beginOptional>>you can<<endOptional>> obtain one at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://mozilla.org/MPL/2.0/."""),
+    ("apache-2", "Licensed under the Apache License, Version 2.0"),
+    ("gpl-2", _GPL_NOTICE.format("General", 2)),
+    ("gpl-3", _GPL_NOTICE.format("General", 3)),
+    ("lgpl-2.1", _GPL_NOTICE.format("Lesser General", "2.1")),
+    ("lgpl-3", _GPL_NOTICE.format("Lesser General", 3)),
+    ("agpl-3", _GPL_NOTICE.format("Affero General", 3)),
     ("cc-by-nc", "licensed under <<var;6>> CC BY-NC <<beginOptional>>4.0<<endOptional>>"),
     ("cc-by-nc", "licensed under <<beginOptional>>a <<endOptional>>Creative Commons Attribution-NonCommercial <<var;1>> <<beginOptional>>International <<endOptional>>License"),
     ("cc-by", "licensed under <<beginOptional>>a <<endOptional>>Creative Commons Attribution <<var;1>> <<beginOptional>>International <<endOptional>>License"),
