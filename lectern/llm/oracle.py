@@ -76,7 +76,7 @@ q AS (
          AND NOT regexp_matches(value, '(?i)example|sample|dummy|changeme|xxxx|1234567|placeholder') AS random
   FROM p WHERE length(value) >= least),
 v AS (
-  SELECT value, CASE WHEN bool_or(random) AND count(DISTINCT source) <= 1 AND count(DISTINCT (source, doc_id)) <= 3 THEN 'live'
+  SELECT value, CASE WHEN bool_or(random) AND count(DISTINCT source) <= 1 THEN 'live'
                      WHEN count(DISTINCT source) >= 3 THEN 'example' ELSE 'unclear' END AS verdict
   FROM q GROUP BY value),
 x AS (SELECT q.*, verdict, name || ':' || start || ':' || stop AS label FROM q JOIN v USING (value) WHERE kind < 3 OR verdict = 'live'),

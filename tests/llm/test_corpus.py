@@ -1,6 +1,7 @@
 """Operators over the corpus: language, duplicates, mixing, lines, quality."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -76,6 +77,14 @@ def test_language_temperature_is_no_end_of_a_range():
     assert language_id._temperature(np.eye(3)[truth] * 9, truth) == 1.0  # separated without error: no least loss
 
 
+@functools.lru_cache(None)
+def bucket_by_hand(gram):
+    value = len(gram)
+    for c in gram:
+        value = (value * 0x1FFFFF + ord(c)) % (1 << 64)
+    return int(language_id.mix64(np.array([value], dtype=np.uint64))[0])
+
+
 def language_by_hand(model, text):
     """Language, score and rejection of a text, by loops over its words."""
     grams, words = collections.Counter(), "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
@@ -85,10 +94,7 @@ def language_by_hand(model, text):
             for j in range(len(padded) - n + 1):
                 gram = padded[j : j + n]
                 if "\0" not in gram or n > 2 and not (gram[0] == gram[-1] == "\0"):
-                    value = n
-                    for c in gram:
-                        value = (value * 0x1FFFFF + ord(c)) % (1 << 64)
-                    grams[int(language_id.mix64(np.array([value], dtype=np.uint64))[0]) % len(model.table)] += 1
+                    grams[bucket_by_hand(gram) % len(model.table)] += 1
     if not words:
         return "und", 0.0, True
     logits = (sum(model.table[b].astype(float) * c for b, c in grams.items()) / max(1, sum(grams.values())) + model.bias) / model.temperature
@@ -487,7 +493,8 @@ def bag(text):
     return collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else collections.Counter()
 
 
-def classes_by_hand(rows, threshold=0.8):
+def groups_by_hand(rows, threshold=0.8):
+    """Indices of the rows of each class."""
     ids, bags = [r[0] for r in rows], [bag(r[1]) for r in rows]
     up = list(range(len(rows)))
 
@@ -504,9 +511,14 @@ def classes_by_hand(rows, threshold=0.8):
                 up[root(i)] = root(j)
     groups = collections.defaultdict(list)
     for i in range(len(rows)):
-        groups[root(i)].append(ids[i])
+        groups[root(i)].append(i)
+    return list(groups.values())
+
+
+def classes_by_hand(rows, threshold=0.8):
+    groups = [[rows[i][0] for i in g] for g in groups_by_hand(rows, threshold)]
     least = lambda g: min((x for x in g if x is not None), default=None)
-    return sorted((str(i), str(least(g)), len(g)) for g in groups.values() for i in g)
+    return sorted((str(i), str(least(g)), len(g)) for g in groups for i in g)
 
 
 def test_near_as_brute_force(docs, odd, none, rows):

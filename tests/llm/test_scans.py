@@ -356,6 +356,45 @@ def test_copies_of_one_owner_stay_live(spark):
     assert len(got) == 12 and all(r.spans == "vendor:4:40" and r.n_live == 1 for r in got)
 
 
+def secrets_by_hand(rows):
+    """doc_id, base counts, spans, n_live and n_example by loops over all matches."""
+    found = []
+    for seq, (_, text, owner) in enumerate(rows):
+        for i, kind in enumerate(secrets.KINDS):
+            for m in re.finditer(kind.pattern.replace("(?i:", "(?ia:"), text or "", 0):
+                if len(m[kind.group]) >= kind.least:
+                    found.append((seq, m.start(), m.end(), i, m[kind.group], owner or ""))
+    owners, looks = {}, {}
+    for *_, value, owner in found:
+        owners.setdefault(value, set()).add(owner)
+        classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        looks[value] = len(value) >= 16 and classes >= 2 and len(set(value)) >= 8 and not re.search("(?i)example|sample|dummy|changeme|xxxx|1234567|placeholder", value)
+    verdict = {v: "live" if looks[v] and len(o) == 1 else "example" if len(o) >= 3 else "unclear" for v, o in owners.items()}
+    out = []
+    for seq, (doc, _, _) in enumerate(rows):
+        mine = sorted((s, i, e, v) for q, s, e, i, v, _ in found if q == seq and (secrets.KINDS[i].base or verdict[v] == "live"))
+        label = ",".join(f"{secrets.KINDS[i].name}:{s}:{e}" for s, i, e, _ in mine)
+        out.append((doc, *(sum(i == k for _, i, _, _ in mine) for k in range(3)), label, *(sum(verdict[v] == x for *_, v in mine) for x in ("live", "example"))))
+    return sorted(map(repr, out))
+
+
+def test_ownership_as_brute_force(spark, odd):
+    """Values copied over one, two and many sources, in every kind; nulls, repeated rows and a hot value."""
+    r = random.Random(11)
+    token = lambda n, letters="abcdefghijkmnpqrstuvwxyzABCDEFGHKLMN23456789": "".join(r.choice(letters) for _ in range(n))
+    values = [token(30) for _ in range(12)] + ["changeme-example-1234567", "aaaaaaaaaaaaaaaaaaaa", *(token(24, "0123456789abcdef") for _ in range(6))]
+    forms = ["password = {}", "pwd: '{}'", "ghp_{}AbCd3fGh1jKl", "auth_key={}", "plain {}", "AKIA" + token(16, "ABCDEFGH23456789") + " {}", "private-key {}"]
+    rows = [(i if r.random() < 0.95 else None, " and ".join(r.choice(forms).format(values[min(int(r.expovariate(0.2)), len(values) - 1)]) for _ in range(r.randint(0, 3))), r.choice(["s1"] * 6 + ["s2", "s3", "s4", None])) for i in range(300)]
+    rows += [(1000 + i, f"token = {values[0]}", f"wide{i % 40}") for i in range(200)] + [(2000 + i, "key ghp_a8Kq2LmZx91Pw0RtYv5Nc7Bd3Fg6Hj4S", "one") for i in range(50)] + rows[:5]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for given in (frame, odd):
+        got = secrets.find(given).collect()
+        want = secrets_by_hand([(x.doc_id, x.text, x.source) for x in given.collect()])
+        assert sorted(repr((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.spans, x.n_live, x.n_example)) for x in got) == want
+    verdicts = {x.n_live > 0 for x in secrets.find(frame).collect()}
+    assert verdicts == {True, False} and any("example" in repr(x) or ", 1)" in x for x in secrets_by_hand(rows))
+
+
 def test_random_texts_split_alike():
     r = random.Random(1)
     words = [r.choice(["the", "under", "mit", "license", "apache", "version", "2", "cc", "by", "nc"]) for _ in range(5000)]
