@@ -7,6 +7,7 @@ its source's stream of tokens into a training position, by which the documents a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from .common import cut, text_of, unused
 #: Schedules as knots (time from 0 to 1, relative demand), linear between: falling, even, rising.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 WEIGHTS = (3, 1, 2)
+_PART_ROWS = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,10 +73,11 @@ def place(rows: DataFrame, weights: Sequence[int], share: float, most: int) -> D
     place in it, in words.  The mix takes the stream's first ``goal`` (whole part of target) words, going
     around again where that exceeds the source.  So every document is taken whole, or whole and again,
     but the one on which the target falls, and a source's taken words differ from its target by less
-    than one.  Places are running sums within the hash's first three digits plus the sums of the parts
-    before, so no source is gathered anywhere.
+    than one.  Places are running sums within the hash's first digits, as many as leave some thousand rows
+    to a part, plus the sums of the parts before, so no source is gathered anywhere.
     """
-    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("order", 1, 3))
+    digits = max(1, math.ceil(math.log(max(1, rows.count()) / _PART_ROWS, 16)))
+    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("order", 1, digits))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.withColumn("before", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
@@ -113,7 +116,9 @@ def materialise(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, schedules:
 
     A document comes whole, once for each lap that takes any of its words, so a source goes beyond its
     target by less than the document on which that falls.  Rows that agree in id, source and text are
-    placed as one and share alike, so that the join has one decision for each row.
+    placed as one and share alike, so that the join has one decision for each row.  Null texts count as
+    empty; documents without words never come, nor does anything of an empty table.  Null ids and sources are
+    values; further columns pass through, whatever their names.
     """
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of("text")).alias("hash")]
     slim = docs.select(*key, F.regexp_count(text_of("text"), F.lit(_WORD)).cast("long").alias("words"))
