@@ -215,7 +215,9 @@ def test_materialised_mix_has_the_taken_words(odd, none):
         words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
         assert r.n_chars == len(r.text)
     for s in {r.source for r in plan}:
-        assert abs(words[s] - sum(r.taken for r in plan if r.source == s)) <= 2
+        mine = [r for r in plan if r.source == s]
+        more = words[s] - sum(r.taken for r in mine)  # the document on which the target falls comes whole
+        assert -2 <= more <= max(r.size for r in mine) + 2
     assert mixing.materialise(none).count() == 0
 
 
