@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -47,17 +49,24 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
-def join_by_parts(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str, parts: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, whose ``size`` says how many of ``rows`` have each key; size is kept.
+def join_by_parts(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str, parts: int = 1000, nulls: bool = False) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` on ``keys``; ``size`` says how many rows have a key.
 
-    Keys that hold more than one ``parts``-th of all rows are fewer than ``parts``, however many rows there
-    are, so they are broadcast; no key of the others can fill a task.
+    Fewer than ``parts`` rows of ``table`` can have sizes of more than one ``parts``-th of their sum, however
+    many there are, so those are broadcast; no key of the others can fill a task.  ``table`` should be
+    cheap to read.  With ``nulls`` a null key is a value.
     """
     total = table.agg(F.sum(size)).first()[0] or 0
-    often = F.col(size) > max(1, total // parts)
+    often = F.col(size) > total // parts
     hot, cold = table.filter(often), table.filter(~often)
-    marked = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
-    return rows.join(F.broadcast(hot), list(keys)).unionByName(marked.join(cold, list(keys)))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) if nulls else F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys]
+    same = reduce(and_, same)
+    shown = ["r.*", *[f"t.{c}" for c in table.columns if c not in keys]]
+    found = rows.alias("r").join(F.broadcast(hot.alias("t")), same).select(*shown)
+    if cold.isEmpty():
+        return found
+    left = rows.alias("r").join(F.broadcast(hot.select(*keys).distinct().alias("t")), same, "left_anti")
+    return found.unionByName(left.alias("r").join(cold.alias("t"), same).select(*shown))
 
 
 def unused(df: DataFrame, name: str) -> str:

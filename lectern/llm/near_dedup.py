@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, chunks_of, cut, join_by_parts, mix64, pick_rows, text_of, wide, window_hashes
+from .common import WordHasher, chunks_of, cut, join_by_parts, mix64, pick_rows, text_of, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -236,6 +236,31 @@ def _block_links(threshold: float):
     return work
 
 
+def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, bucket, node, label, stray, members, strays of the buckets whose texts are not all in one component.
+
+    Strays are the texts outside the component of the bucket's first one, which itself is left out.  Of
+    buckets with the same texts and strays one stands for all.
+    """
+    of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    placed = shared.filter("node <> head and n > 2").join(labels, "node", "left").join(of_head, "head", "left")
+    placed = placed.select("band", "bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("head_label", "head").alias("head_label"))
+    placed = placed.withColumn("stray", F.col("label") != F.col("head_label"))
+    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.count_if("stray").alias("strays"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
+    once = mixed.filter("low < high and strays > 0").groupBy("members", "strays", "content").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "members", "strays")
+    return placed.join(once, ["band", "bucket"]).select("band", "bucket", "node", "label", "stray", "members", "strays")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the components joined that ``links`` (a, b) connect."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    up = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    above = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    known = labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return cut(known.unionByName(up.join(labels, "node", "left_anti")))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept, text_sha256.
 
@@ -261,26 +286,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     links = cut(_verify(pairs, texts, threshold))
     labels = components(links)
 
-    # A bucket's strays, those not in the component of its first text, meet all its texts but that one.
-    of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    placed = shared.filter("node <> head and n > 2").join(labels, "node", "left").join(of_head, "head", "left")
-    placed = placed.select("band", "bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("head_label", "head").alias("head_label"))
-    placed = placed.withColumn("stray", F.col("label") != F.col("head_label"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.count_if("stray").alias("strays"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
-    once = mixed.filter("low < high and strays > 0").groupBy("members", "strays", "content").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "members", "strays")
+    # A bucket's strays meet all its texts but the first, in blocks.
     parts = [F.ceil(F.col(c) / size).cast("int") for c, size in (("strays", _STRAYS), ("members", _MEMBERS))]
-    open_rows = cut(placed.join(once, ["band", "bucket"]).select("band", "bucket", "node", "label", "stray", parts[0].alias("blocks"), parts[1].alias("chunks")))
-    if not open_rows.isEmpty():
-        hashed = F.xxhash64("node")
+    blocked = cut(_open_buckets(shared, labels).select("band", "bucket", "node", "label", "stray", parts[0].alias("blocks"), parts[1].alias("chunks")))
+    if not blocked.isEmpty():
         every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name) for c, name in (("chunks", "chunk"), ("blocks", "block"))]
-        strays = open_rows.filter("stray").select("band", "bucket", "node", "label", F.lit(0).alias("side"), F.pmod(hashed, "blocks").cast("int").alias("block"), every[0])
-        texts_of = open_rows.select("band", "bucket", "node", "label", F.lit(1).alias("side"), every[1], F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"))
-        dealt = strays.unionByName(texts_of).join(texts, "node")
-        group = ("band", "bucket", "block", "chunk")
-        # By ranges, whose borders follow the rows, as groups dealt by hash would heap up in some tasks.
-        even = dealt.repartitionByRange(wide(docs.sparkSession, 8), *group)
-        more = even.groupBy(*group).applyInPandas(_block_links(threshold), "a long, b long")
-        labels = components(links.union(cut(more)))
+        one = blocked.filter("stray").select("band", "bucket", "node", "label", F.lit(0).alias("side"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), every[0])
+        two = blocked.select("band", "bucket", "node", "label", F.lit(1).alias("side"), every[1], F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk"))
+        more = one.unionByName(two).join(texts, "node").groupBy("band", "bucket", "block", "chunk").applyInPandas(_block_links(threshold), "a long, b long")
+        labels = _merged(labels, cut(more))
 
     full = nodes.join(labels, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("label"))
     tagged = cut(join_by_parts(all_rows.select("seq", "doc_id", "digest"), full, ("digest",), "copies").select("seq", "doc_id", "digest", "label"))
