@@ -17,14 +17,13 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations_with_replacement
-from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, join_by_parts
 
 #: The transformed statistics: word length, symbols a word, repeated lines and words, letters of words.
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_odd")
@@ -103,7 +102,7 @@ def _sums() -> list[Column]:
 _GROUP = ("lang", "source")
 #: Groups of a text for pooled estimates: level 0 is language and source, 1 the language, 2 all texts.
 _LEVELS = ("level", *_GROUP)
-_FIT = "start int, n long, mean array<double>, inverse array<double>, logdet double"
+_FIT = "group long, start int, size long, n long, mean array<double>, inverse array<double>, logdet double"
 #: A start's steps end when the logarithm of the determinant falls by less than this.
 _SETTLED = 1e-4
 
@@ -137,26 +136,26 @@ def starts_of(r: dict, floors: tuple[float, ...]) -> list[tuple]:
     return [_fit(middle, np.diag(spread**2), floors), _fit(mean, cover, floors), _fit(middle, _D * signs * axes, floors), _fit(middle, correlation * axes, floors)]
 
 
-def _starts(floors: tuple[float, ...], by: tuple[str, ...]):
+def _starts(floors: tuple[float, ...]):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
                 for k, (mean, inverse, _) in enumerate(starts_of(r, floors)):
-                    rows.append((*[r[b] for b in by], k, int(r["n"]), mean, inverse, float("inf")))
-            yield pd.DataFrame(rows, columns=[*by, "start", "n", "mean", "inverse", "logdet"])
+                    rows.append((int(r["group"]), k, int(r["n"]), int(r["n"]), mean, inverse, float("inf")))
+            yield pd.DataFrame(rows, columns=["group", "start", "size", "n", "mean", "inverse", "logdet"])
 
     return work
 
 
-def _steps(share: float, floors: tuple[float, ...], by: tuple[str, ...]):
+def _steps(share: float, floors: tuple[float, ...]):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
                 mean, scatter = _moments(r, "s", "c")
-                rows.append((*[r[b] for b in by], int(r["start"]), int(r["n"]), *_fit(mean, scatter * _consistency(share), floors)))
-            yield pd.DataFrame(rows, columns=[*by, "start", "n", "mean", "inverse", "logdet"])
+                rows.append((int(r["group"]), int(r["start"]), int(r["all"]), int(r["n"]), *_fit(mean, scatter * _consistency(share), floors)))
+            yield pd.DataFrame(rows, columns=["group", "start", "size", "n", "mean", "inverse", "logdet"])
 
     return work
 
@@ -192,39 +191,30 @@ def _distance():
     return sum(terms[1:], terms[0])
 
 
-def _same(by: tuple[str, ...], one: str = "r", other: str = "f") -> Column:
-    """Whether rows called r and f are of the same group; nulls are a value."""
-    return reduce(and_, [F.col(f"{one}.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in by], F.lit(True))
-
-
-def _middles(rows: DataFrame, floors: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
-    """Medians and spreads of every group, the spreads widened by the floors.
+def _middles(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """size, medians and spreads of every group, the spreads widened by the floors.
 
     Values are whole numbers of a bounded range, so exact medians are counts by value.
     """
-    middle = rows.groupBy(*by).agg(*[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
-    centred = rows.alias("r").join(middle.alias("f"), _same(by)).select(*[f"r.{k}" for k in by], *[f"f.m{i}" for i in range(_D)], *[F.abs(F.col(f"r.{v}") - F.col(f"f.m{i}")).alias(v) for i, v in enumerate(VECTOR)])
-    spread = centred.groupBy(*by).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
+    middle = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"), *[F.median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]))
+    met = join_by_parts(rows, middle, ("group",), "size")
+    centred = met.withColumns({v: F.abs(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(VECTOR)})
+    spread = centred.groupBy("group").agg(F.first("size").alias("size"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)], *[F.median(v).alias(v) for v in VECTOR])
     mean = F.array(*[F.col(f"m{i}") / float(_SCALE) for i in range(_D)])
     scale = F.array(*[F.sqrt(F.pow(1.4826 * F.col(v) / float(_SCALE), F.lit(2.0)) + float(floors[i]) ** 2) for i, v in enumerate(VECTOR)])
-    return cut(spread.select(*by, mean.alias("middle"), scale.alias("spread")))
+    return cut(spread.select("group", "size", mean.alias("middle"), scale.alias("spread")))
 
 
-def _first_fits(rows: DataFrame, floors: tuple[float, ...], by: tuple[str, ...]) -> DataFrame:
+def _first_fits(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """The starts of every group; signs and tangents are whole numbers of 1/10000, so their sums are exact too."""
-    middles = _middles(rows, floors, by)
-    near = rows.alias("r").join(middles.alias("f"), _same(by)).select("r.*", "f.middle", "f.spread")
+    near = join_by_parts(rows, _middles(rows, floors), ("group",), "size")
     z = [(F.col(v) / float(_SCALE) - F.element_at("middle", i + 1)) / F.element_at("spread", i + 1) for i, v in enumerate(VECTOR)]
     near = near.withColumns({f"z{i}": x for i, x in enumerate(z)}).withColumn("long", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(_D)), F.lit(0.0))), F.lit(1e-9)))
     near = near.withColumns({f"u{i}": F.round(F.col(f"z{i}") / F.col("long") * _SCALE).cast("long") for i in range(_D)} | {f"y{i}": F.round(F.tanh(f"z{i}") * _SCALE).cast("long") for i in range(_D)})
     exact = lambda c: F.sum(c.cast("decimal(38,0)"))
     more = [exact(F.col(f"y{i}")).alias(f"t{i}") for i in range(_D)] + [exact(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{name}{i}_{j}") for c, name in (("u", "u"), ("y", "w")) for i, j in _PAIRS]
-    sums = near.groupBy(*by).agg(*_sums(), *more, F.first("middle").alias("middle"), F.first("spread").alias("spread"))
-    return cut(sums.mapInPandas(_starts(floors, by), _typed(rows, by)))
-
-
-def _typed(rows: DataFrame, by: tuple[str, ...]) -> str:
-    return "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in by) + _FIT
+    sums = near.groupBy("group").agg(*_sums(), *more, F.first("middle").alias("middle"), F.first("spread").alias("spread"))
+    return cut(sums.mapInPandas(_starts(floors), _FIT))
 
 
 def concentrate(rows: DataFrame, *, share: float = 0.75, floors: tuple[float, ...] = FLOORS, by: tuple[str, ...] = _GROUP) -> DataFrame:
@@ -232,45 +222,48 @@ def concentrate(rows: DataFrame, *, share: float = 0.75, floors: tuple[float, ..
 
     Each start's steps go on while the determinant falls; as the floors bound it from below, they end.
     The nearest ``share`` is cut at a bin's border (bins are 1/32 of a power of two wide), so a little more
-    than the share is in.
+    than the share is in.  Groups are numbered first, so that steps join and sum by a number.
     """
-    fits = _first_fits(rows, floors, by).withColumn("open", F.lit(True))
-    key = (*by, "start")
+    names = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("all")).withColumn("group", F.monotonically_increasing_id()))
+    rows = cut(join_by_parts(rows, names, by, "all", nulls=True).select("group", *VECTOR))
+    fits = _first_fits(rows, floors).withColumn("open", F.lit(True))
     while True:
-        near = rows.alias("r").join(fits.filter("open").alias("f"), _same(by)).select("r.*", "f.start", "f.mean", "f.inverse").withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
-        bins = near.groupBy(*key, "bin").agg(*_sums())
-        order = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*key))}).filter(F.col("before") < F.lit(share) * F.col("all"))
-        sums = kept.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
-        tried = sums.mapInPandas(_steps(share, floors, by), _typed(rows, by))
+        near = join_by_parts(rows, fits.filter("open").select("group", "start", "size", "mean", "inverse"), ("group",), "size").withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 32).cast("int"))
+        bins = near.groupBy("group", "start", "bin").agg(*_sums())
+        order = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        kept = bins.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("group", "start"))}).filter(F.col("before") < F.lit(share) * F.col("all"))
+        sums = kept.groupBy("group", "start").agg(F.first("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(_D)], *[f"c{i}_{j}" for i, j in _PAIRS])])
+        tried = sums.mapInPandas(_steps(share, floors), _FIT)
         falls = F.col("t.logdet").isNotNull() & (F.col("t.logdet") < F.col("f.logdet") - _SETTLED)
-        both = fits.alias("f").join(tried.alias("t"), _same(key, "f", "t"), "left")
-        fits = cut(both.select(*[f"f.{k}" for k in key], *[F.when(falls, F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("n", "mean", "inverse", "logdet")], falls.alias("open")))
+        both = fits.alias("f").join(tried.alias("t"), ["group", "start"], "left")
+        fits = cut(both.select("group", "start", *[F.when(falls, F.col(f"t.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("size", "n", "mean", "inverse", "logdet")], falls.alias("open")))
         if fits.filter("open").isEmpty():
             break
     best = F.min_by(F.struct("start", "n", "mean", "inverse", "logdet"), F.struct("logdet", "start"))
-    return fits.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
+    return fits.groupBy("group").agg(best.alias("best")).join(names, "group").select(*by, "best.*")
 
 
 def _pooled(rows: DataFrame, sound: DataFrame, least: int, **options) -> DataFrame:
-    """lang, source, mean and inverse for every group of ``rows``.
+    """lang, source, rows (how many), mean and inverse for every group of ``rows``.
 
     The estimate is the group's own from ``least`` sound texts on, else its language's from as many on,
     else that of all sound texts, however few.  Only the estimates that some group needs are made.
     """
-    groups = rows.groupBy(*_GROUP).agg(F.count_if(~F.col("base_failed")).alias("n"))
-    groups = cut(groups.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang"))))
-    groups = groups.withColumn("level", F.when(F.col("n") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2))
-    own, langs = groups.filter("level = 0"), groups.filter("level = 1").select("lang").distinct()
-    level = [sound.alias("r").join(own.alias("f"), _same(_GROUP), "left_semi").withColumn("level", F.lit(0))]
-    if not langs.isEmpty():
-        level.append(sound.alias("r").join(langs.alias("f"), _same(("lang",)), "left_semi").withColumns({"level": F.lit(1), "source": F.lit(None).cast("string")}))
-    if not groups.filter("level = 2").isEmpty():
-        level.append(sound.withColumns({"level": F.lit(2), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
-    fits = concentrate(reduce(DataFrame.unionByName, level), by=_LEVELS, **options)
-    wanted = groups.withColumns({"at_lang": F.when(F.col("level") < 2, F.col("lang")), "at_source": F.when(F.col("level") < 1, F.col("source"))})
-    same = (F.col("g.level") == F.col("f.level")) & F.col("g.at_lang").eqNullSafe(F.col("f.lang")) & F.col("g.at_source").eqNullSafe(F.col("f.source"))
-    return cut(wanted.alias("g").join(fits.alias("f"), same).select("g.lang", "g.source", "f.mean", "f.inverse"))
+    groups = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("base_failed")).alias("n"))
+    groups = groups.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang")))
+    groups = cut(groups.withColumn("own", F.when(F.col("n") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2)))
+    placed = join_by_parts(sound, groups, _GROUP, "rows", nulls=True)
+    levels = [placed.filter("own = 0").withColumn("level", F.lit(0))]
+    if not groups.filter("own = 1").isEmpty():
+        small = cut(groups.filter("own = 1").groupBy("lang").agg(F.max("of_lang").alias("held")))
+        levels.append(join_by_parts(sound, small, ("lang",), "held", nulls=True).withColumns({"level": F.lit(1), "source": F.lit(None).cast("string")}))
+    if not groups.filter("own = 2").isEmpty():
+        levels.append(sound.withColumns({"level": F.lit(2), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    columns = [*_LEVELS, *VECTOR]
+    fits = concentrate(reduce(DataFrame.unionByName, [x.select(*columns) for x in levels]), by=_LEVELS, **options)
+    wanted = groups.withColumns({"at_lang": F.when(F.col("own") < 2, F.col("lang")), "at_source": F.when(F.col("own") < 1, F.col("source"))})
+    same = (F.col("g.own") == F.col("f.level")) & F.col("g.at_lang").eqNullSafe(F.col("f.lang")) & F.col("g.at_source").eqNullSafe(F.col("f.source"))
+    return cut(wanted.alias("g").join(fits.alias("f"), same, "left").select("g.lang", "g.source", "g.rows", "f.mean", "f.inverse"))
 
 
 def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, floors: tuple[float, ...] = FLOORS, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -285,6 +278,6 @@ def judge(docs: DataFrame, *, cut_off: float = 1e-4, share: float = 0.75, floors
     """
     rows = cut(statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col))
     fit = _pooled(rows, rows.filter("not base_failed").drop("doc_id"), least, share=share, floors=floors)
-    joined = rows.alias("r").join(fit.alias("f"), _same(_GROUP), "left").select("r.*", "f.mean", "f.inverse").withColumn("distance2", _distance())
+    joined = join_by_parts(rows, fit, _GROUP, "rows", nulls=True).withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= _quantile5(1 - cut_off))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
