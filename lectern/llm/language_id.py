@@ -93,8 +93,8 @@ def subwords(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 _ALPHABETS = ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 28), (0x905, 50), (0xE01, 46), (0x3041, 83), (0x4E00, 2000), (0xAC00, 2000))
 
 
-def noise(text: str, seed: int, most: int = 4000) -> str:
-    """A text of no language with word lengths as in ``text`` (``most`` characters of it).
+def noise(text: str, seed: int, most: int = 400) -> str:
+    """A made-up text of no language, ``most`` characters at most, with word lengths as ``text`` begins.
 
     Letters are those of ``text`` shuffled, drawn evenly from a to z, or drawn from another alphabet.
     """
