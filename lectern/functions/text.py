@@ -167,26 +167,50 @@ def alnum_ratio(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) / F.length(text)).otherwise(0.0)
 
 
+#: Section types and the headings that tell them, in order.
+SECTION_HEADINGS = (
+    ("toc", r"(table\s+of\s+)?contents"),
+    ("bibliography", r"bibliography|works?\s+cited|references|further\s+reading|select\s+bibliography|selected\s+bibliography|notes\s+on\s+sources|sources|endnotes\s+and\s+bibliography"),
+    ("index", r"index|general\s+index|subject\s+index|name\s+index|index\s+of\s+names|index\s+of\s+subjects|index\s+of\s+first\s+lines|index\s+of\s+authors|combined\s+index|scripture\s+index|biblical?\s+index"),
+    ("front_matter", r"copyright(\s+page)?|first\s+published|all\s+rights\s+reserved|dedication|acknowledgements?|epigraph|about\s+the\s+author|about\s+the\s+editor|also\s+by|other\s+books?\s+by|title\s+page|half\s+title"),
+    ("preface", r"(preface|foreword|introduction|author'?s?\s+note|editor'?s?\s+note|prologue)(:\s+.*)?"),
+    ("back_matter", r"(appendix(\s+[a-z0-9]+)?|endnotes|notes|glossary|abbreviations|list\s+of\s+(illustrations|figures|tables)|epilogue|afterword|postscript)(:\s+.*)?"),
+)
+#: Lines of an index and of a bibliography.
+INDEX_LINE = r"^[A-Z][a-z]+(?:\s[A-Za-z]+)*\s*,?\s*[0-9]+(?:[,\-–]\s*[0-9]+)*$"
+BIBLIOGRAPHY_LINE = r"^[A-Z][a-z]+,\s+[A-Z].*\([0-9]{4}\)|^[A-Z][a-z]+,\s+[A-Z].*[0-9]{4}\."
+#: Lines that start a chapter of a plain text.
+CHAPTER_LINES = (
+    r"chapter\s+([0-9]+|[ivxlcdm]+).*", r"part\s+([0-9]+|[ivxlcdm]+|one|two|three|four|five).*",
+    r"(prologue|epilogue|introduction|conclusion|afterword|foreword|preface)", r"(appendix)\s*[a-z]?",
+)
+
+
 def section_type(heading: Column) -> Column:
-    """First rule that a heading meets; null if none."""
-    rules = (
-        ("toc", r"(?i)^(table of )?contents$"), ("index", r"(?i)^(general |subject )?index"), ("bibliography", r"(?i)^(bibliography|references|works cited|further reading)"),
-        ("preface", r"(?i)^(preface|foreword|introduction|prologue)"), ("back_matter", r"(?i)^(appendix|afterword|epilogue|notes|glossary)"), ("front_matter", r"(?i)^(copyright|title page|dedication|also by|half.title)"),
-    )
+    """Type of the first rule that the whole heading meets; null if none."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(rules):
-        out = F.when(F.trim(heading).rlike(pattern), F.lit(name)).otherwise(out)
+    for name, pattern in reversed(SECTION_HEADINGS):
+        out = F.when(F.trim(heading).rlike(rf"(?i)^({pattern})$"), F.lit(name)).otherwise(out)
     return out
 
 
+def section_type_by_content(text: Column) -> Column:
+    """index if over 0.4 of five lines or more are index entries, bibliography if over 0.3 of three or more are titles; else null."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    n = F.size(lines)
+    part = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern))) / n
+    return F.when((n >= 5) & (part(INDEX_LINE) > 0.4), "index").when((n >= 3) & (part(BIBLIOGRAPHY_LINE) > 0.3), "bibliography")
+
+
 def is_chapter_heading(line: Column) -> Column:
-    return F.trim(line).rlike(r"(?i)^(chapter|part|book)\s+([0-9]+|[ivxlc]+|one|two|three|four|five|six|seven|eight|nine|ten)\b") & (F.length(line) < 120)
+    text = F.trim(line)
+    return text.rlike("(?i)^(" + "|".join(CHAPTER_LINES) + ")$")
 
 
 def is_section_heading(line: Column) -> Column:
     """A roman number alone, or a short line in capitals."""
     text = F.trim(line)
-    return text.rlike(r"^[IVXLC]+\.?$") | (text.rlike(r"^[^a-z]*[A-Z][^a-z]*$") & (F.length(text).between(4, 80)))
+    return text.rlike(r"^[IVXLCDM]+\.?$") | text.rlike(r"^[A-Z][A-Z\s0-9:.,!?\-—–]{2,80}$")
 
 
 def repair_number(text: Column) -> Column:
@@ -203,12 +227,12 @@ def preceding_quote(before: Column, most: int = 200) -> Column:
     return F.trim(F.when(before.contains("\n\n"), after("\n\n")).when(before.contains("\n>"), after("\n>")).when(before.contains("\n  "), after("\n  ")).otherwise(F.right(before, F.lit(most))))
 
 
-#: The four forms of a citation: their names and patterns; group 1 is the author's last name.
+#: The four forms of a citation; group 1 is the author's name.
 CITATIONS = (
-    ("footnote", r"(?:[Ss]ee|[Cc]f\.?) ([A-Z][a-z]+), ([A-Z][^.,;()]{3,80})"),
-    ("parenthetical", r"\(([A-Z][a-z]+),? ([0-9]{4})[^)]{0,20}\)"),
-    ("attribution", r"[—–-]{1,2} ?([A-Z][a-z]+), ([A-Z][^.,;\n]{3,80})"),
-    ("possessive", r"\b([A-Z][a-z]+)'s ([A-Z][a-z]+(?: [A-Z][a-z]+){0,6})"),
+    ("footnote", r"(?:See|Cf\.|cf\.|see)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:,\s*(?:(?:pp?\.\s*[0-9]+(?:-[0-9]+)?)|(?:ch(?:apter)?\.?\s*[0-9]+)))?"),
+    ("parenthetical", r"\(([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:,?\s*([0-9]{4}))?(?:,\s*(?:pp?\.\s*)?([0-9]+(?:-[0-9]+)?))?\)"),
+    ("attribution", r"(?:—|--|–)\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:,\s*[\"']?([^\"'\n]+)[\"']?)?"),
+    ("inline", r"(?:In\s+|in\s+|According to\s+|as\s+)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)'s\s+(?:[\"']([^\"']+)[\"']|(\w+(?:\s+\w+)*))"),
 )
 
 

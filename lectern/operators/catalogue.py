@@ -10,15 +10,29 @@ from .chunking import paragraph_rows
 from .fusion import packed, top_per_group
 
 
+#: Words that tell the type of a question, in order; thematic if none does.
+QUESTION_WORDS = (
+    ("quote", r"quote|quotation|exact words|word for word|verbatim"),
+    ("generative", r"write|draft|compose|imagine|in the style of|generate"),
+    ("factual", r"who|when|where|which year|how many|what year|born|published"),
+)
+
+
 def question_type(text: Column) -> Column:
-    """Kind of a question by its words; thematic if none tells."""
-    rules = (("quote", r"(?i)\b(quote|exact words|where does .* say)\b"), ("comparative", r"(?i)\b(compare|versus|differ|contrast)"), ("evolution", r"(?i)\b(change|develop|evolv|over time)"), ("biographical", r"(?i)\b(who|born|life|when did)\b"))
+    """Type of a question by its words; the offline stand-in for a model's answer, thematic where that would fall back."""
+    plain = F.regexp_replace(F.lower(text), r"[^\x00-\x7F]", "_")
     out = F.lit("thematic")
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, words in reversed(QUESTION_WORDS):
+        out = F.when(plain.rlike(rf"\b({words})\b"), F.lit(name)).otherwise(out)
     return out
 
 
+def question_type_sql(text: str) -> str:
+    """The same as DuckDB SQL."""
+    cases = " ".join(rf"WHEN regexp_matches(regexp_replace(lower({text}), '[^\x00-\x7F]', '_', 'g'), '\b({words})\b') THEN '{name}'" for name, words in QUESTION_WORDS)
+    return f"CASE {cases} ELSE 'thematic' END"
+
+
 def work_type(title: Column) -> Column:
     """First keyword of a title that tells the kind of work."""
     out = F.lit("prose")

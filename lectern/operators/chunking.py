@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import paragraphs, scripture_refs, sentences, stamp_seconds, word_count
 from .fusion import packed
 
-#: Strategy of each genre tag; the first tag that has one decides, without any it is scholarly.
-GENRES = {
-    "poetry": "poetry", "verse": "poetry", "poetry-collection": "poetry_collection", "sermon": "sermon", "homily": "sermon", "letters": "letters", "correspondence": "letters",
-    "blog": "blog", "essay": "blog", "interview": "interview", "transcript": "transcript", "theology": "scholarly", "biography": "scholarly",
+#: The genre tags of each strategy, in order of registration; a tag named twice is its later strategy's.
+STRATEGY_TAGS = {
+    "poetry_collection": ("poetry_collection", "blessings", "mixed_poetry_prose"),
+    "poetry": ("poetry", "poems", "verse", "sonnet_sequence"),
+    "transcript": ("transcript", "video-transcript", "audio-transcript", "podcast-transcript", "youtube-captions", "interview-transcript"),
+    "interview": ("interview", "dialogue", "conversation", "q_and_a"),
+    "letters": ("letters", "correspondence", "epistolary"),
+    "blog": ("blog", "blog_post", "essay", "short_essay", "online"),
+    "sermon": ("sermon", "lecture", "transcript", "homily", "address"),
+    "scholarly": ("scholarly_prose", "monograph", "academic_paper", "academic", "theology", "literary_criticism"),
 }
+#: Strategy of each tag; the first tag of a work that has one decides, without any it is scholarly.
+GENRES = {tag: name for name, tags in STRATEGY_TAGS.items() for tag in tags}
 
 
 def strategy_of(tags: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def ranked(frame: DataFrame, *lists: str, score: str = "score", key: str = "chunk_id") -> DataFrame:
     """Add rank, from 1, by descending score and then key, within each of ``lists``."""
@@ -46,25 +47,23 @@ def keep_best(frame: DataFrame, key: str = "chunk_id", score: str = "score", arr
     return top_per_group(frame, [key], [F.desc(score), arrival], 1)
 
 
-def keep_first_by_id_and_text(frame: DataFrame, group: str, schema: str) -> DataFrame:
-    """Rows in arrival order whose id and text are both new among those kept so far.
+def keep_first_by_id_and_text(frame: DataFrame, group: str) -> DataFrame:
+    """Group, arrival, id and text_key of the rows whose id and text are both new among those kept so far, in order of arrival.
 
     A row that goes registers neither, so the passes cannot be taken one after the other.  Needs the
-    group column, arrival, id and text_key; a group is one query's result list.
+    group column, arrival, id and text_key.  A fold over the group's sorted rows in one expression; a
+    group is one query's result list.
     """
+    item = F.struct("arrival", "id", "text_key")
+    kinds = {n: frame.schema[n].dataType.simpleString() for n in ("arrival", "id", "text_key")}
+    start = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in kinds.items()) + ">>")
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, keep = set(), set(), []
-        rows = rows.sort_values("arrival")
-        for i, t in zip(rows["id"], rows["text_key"], strict=True):
-            new = i not in ids and t not in texts
-            if new:
-                ids.add(i)
-                texts.add(t)
-            keep.append(new)
-        return rows[keep]
+    def step(kept: Column, row: Column) -> Column:
+        known = F.exists(kept, lambda k: (k["id"] == row["id"]) | (k["text_key"] == row["text_key"]))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(row)))
 
-    return frame.groupBy(group).applyInPandas(work, schema)
+    rows = frame.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    return rows.select(group, F.explode(F.aggregate("rows", start, step)).alias("x")).select(group, "x.*")
 
 
 def within_budget(frame: DataFrame, group: str, budget: int) -> DataFrame:
@@ -89,16 +88,37 @@ def within_budget(frame: DataFrame, group: str, budget: int) -> DataFrame:
 
 
 def packed(frame: DataFrame, group: Sequence[str], budget: int, order: str = "pos", size: str = "words") -> DataFrame:
-    """Greedy packing: (group, pos, pack), a new pack whenever the next item would go over the budget."""
-    rows = frame.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("pos"), F.col(size).cast("long").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<struct<pos:bigint,pack:int>>").alias("out"))
+    """Greedy packing: (group, pos, pack), a new pack whenever the next item would go over the budget.
+
+    The fold keeps where packs start, not an entry for each item; items then count the starts before them.
+    """
+    item = F.struct(F.col(order).cast("long").alias("pos"), F.col(size).cast("long").alias("size"))
+    rows = frame.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("fill"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc: Column, row: Column) -> Column:
-        over = (acc["fill"] > 0) & (acc["fill"] + row["size"] > budget)
-        pack = F.when(over, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(pack.alias("pack"), F.when(over, row["size"]).otherwise(acc["fill"] + row["size"]).alias("fill"), F.concat(acc["out"], F.array(F.struct(row["pos"].alias("pos"), pack.alias("pack")))).alias("out"))
+        over = (F.size(acc["starts"]) == 0) | (acc["fill"] > 0) & (acc["fill"] + row["size"] > budget)
+        return F.struct(F.when(over, row["size"]).otherwise(acc["fill"] + row["size"]).alias("fill"), F.when(over, F.concat(acc["starts"], F.array(row["pos"]))).otherwise(acc["starts"]).alias("starts"))
 
-    return rows.select(*group, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(*group, "x.pos", "x.pack")
+    starts = rows.select(*group, F.explode(F.aggregate("rows", start, step)["starts"]).alias("pos"), F.lit(1).alias("_start"))
+    placed = frame.select(*group, F.col(order).cast("long").alias("pos")).join(starts, [*group, "pos"], "left")
+    upto = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select(*group, "pos", (F.count("_start").over(upto) - 1).cast("int").alias("pack"))
+
+
+def numbered(frame: DataFrame, group: str, order: str) -> DataFrame:
+    """Add number, from 0, in order within each group; counted by ranges, so that no group is one task.
+
+    Ranges are set down by a checkpoint; a row's number is its place in its range and the sizes of the
+    group's ranges before it.  ``order`` should have few ties, which come in no fixed order.
+    """
+    placed = cut(frame.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)))
+    joined = inside.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("number", F.col("_rn") - 1 + F.col("_before")).drop("_g", "_p", "_before", "_rn", "_part")
 
 
 def blended(frame: DataFrame, most: int, least_personal: int, group: str) -> DataFrame:

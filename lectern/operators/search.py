@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -17,6 +20,46 @@ def vector_search(vectors: DataFrame, query: DataFrame, limit: int = 20, thresho
     return scored.filter(F.col("score") >= threshold).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def nearest(vectors: DataFrame, asked: DataFrame, limit: int, block: int = 4096) -> DataFrame:
+    """id, chunk_id and cosine of the ``limit`` nearest vectors to each row of ``asked`` (id, embedding), itself left out.
+
+    Queries go out in blocks of at most ``block``, so what every task holds is bounded; each task keeps the
+    nearest of its rows and these are merged.  Exact: every query meets every vector.
+    """
+    spark = vectors.sparkSession
+    count, out, last = asked.count(), None, None
+    for _ in range(-(-count // block)):
+        part = asked if last is None else asked.filter(F.col("id") > last)
+        rows = part.orderBy("id").limit(block).collect()
+        last = rows[-1]["id"]
+        found = _nearest_block(vectors, spark.sparkContext.broadcast(([r["id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=float))), limit)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "id long, chunk_id long, score double")
+    merged = out.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "chunk_id")))
+    return merged.filter(F.col("_rn") <= limit).drop("_rn")
+
+
+def _nearest_block(vectors: DataFrame, sent, limit: int) -> DataFrame:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, queries = sent.value
+        ids = np.array(ids)
+        length = np.linalg.norm(queries, axis=1)
+        unit = queries / np.where(length == 0, 1, length)[:, None]
+        for batch in batches:
+            x = np.stack(batch["embedding"].to_numpy()) if len(batch) else np.zeros((0, unit.shape[1]))
+            size = np.linalg.norm(x, axis=1)
+            own = batch["chunk_id"].to_numpy()
+            score = np.round(unit @ (x / np.where(size == 0, 1, size)[:, None]).T, 6)
+            score[ids[:, None] == own[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :limit]
+            at = np.repeat(np.arange(len(ids)), order.shape[1])
+            best = score[at, order.ravel()]
+            yield pd.DataFrame({"id": ids[at], "chunk_id": own[order.ravel()], "score": best})[np.isfinite(best)]
+
+    return vectors.select("chunk_id", "embedding").mapInPandas(work, "id long, chunk_id long, score double")
+
+
 @dataclass
 class WebQuery:
     """A parsed search: alternatives of required terms and phrases, and what must not occur."""
@@ -94,15 +137,33 @@ def snippet(text: Column, terms: list[str], size: int = 160) -> Column:
     return part
 
 
-def phrase_search(passages: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Passages that hold a phrase of ``phrases`` (phrase_id, phrase of five words or more), once for each.
+def _gram_hashes(words: Column, n: int) -> Column:
+    """Hash of the ``n`` words from each place on."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+
+def phrase_search(passages: DataFrame, phrases: DataFrame, gram: int = 5, most: int = 100_000) -> DataFrame:
+    """Passages that hold a phrase of ``phrases`` (phrase_id, phrase of any length), once for each.
 
-    Phrases and passages meet on the hash of the phrase's first five words, so only passages with those
-    words are compared in full.
+    A phrase's first ``gram`` words, all if it has fewer, are hashed; passages are searched for these hashes
+    and only those that have one meet the phrase in full.  Up to ``most`` distinct hashes are broadcast, so
+    passages are not shuffled; beyond, the hashes of words meet them by a sort-merge join, without texts.
     """
-    grams = F.regexp_extract_all(F.col("words"), F.lit(r"(?= (\S+ \S+ \S+ \S+ \S+) )"), F.lit(1))
-    keyed = passages.select("chunk_id", word_text(F.col("text")).alias("words")).select("chunk_id", "words", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    asked = phrases.select("phrase_id", word_text(F.col("phrase")).alias("asked"))
-    asked = asked.withColumn("gram", F.xxhash64(F.concat_ws(" ", F.slice(F.split(F.trim("asked"), " "), 1, 5))))
-    found = keyed.join(asked, "gram").filter(F.col("words").contains(F.col("asked")))
-    return found.select("phrase_id", "chunk_id").distinct()
+    asked = phrases.select("phrase_id", word_text(F.col("phrase")).alias("asked")).filter("asked <> '  '")
+    word = F.split(F.trim("asked"), " ")
+    asked = asked.withColumn("size", F.least(F.lit(gram), F.size(word))).withColumn("gram", F.xxhash64(F.array_join(F.slice(word, F.lit(1), F.col("size")), " ")))
+    keys = asked.select("size", "gram").distinct()
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
+    few = keys.limit(most + 1).count() <= most
+    texts = passages.select("chunk_id", word_text(F.col("text")).alias("words"))
+    listed = texts.withColumn("w", F.split(F.trim("words"), " "))
+    found = None
+    for n in sizes:
+        mine = listed.select("chunk_id", F.explode(F.array_distinct(_gram_hashes(F.col("w"), n))).alias("gram"))
+        wanted = asked.filter(F.col("size") == n).select("phrase_id", "gram", "asked")
+        hits = mine.join(F.broadcast(wanted.select("gram").distinct()) if few else wanted.select("gram").distinct(), "gram", "left_semi")
+        part = hits.join(wanted, "gram")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return texts.select(F.lit(None).alias("phrase_id"), "chunk_id").limit(0)
+    return found.join(texts, "chunk_id").filter(F.col("words").contains(F.col("asked"))).select("phrase_id", "chunk_id").distinct()

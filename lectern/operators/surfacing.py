@@ -9,16 +9,22 @@ from ..schema import CONFIDENCE_RANK
 from .fusion import top_per_group
 from .graph import undirected
 
+# Scores by strategy.
 LINK_SCORES = {"high": 0.95, "medium": 0.7, "low": 0.4}
+THEME_SCORE, REFLECTION_SCORE, REFLECTION_FACTOR, VECTOR_FACTOR = 0.6, 0.85, 0.7, 0.65
 
 
-def tier(kind: Column, score: Column) -> Column:
-    """Confidence of a connection by its kind and score."""
+def tier(kind: Column, score: Column, link: Column | None = None, direct: Column | None = None) -> Column:
+    """Confidence of a connection by its kind and score; ``link`` is a passage link's own confidence, ``direct`` a reflection on the passage itself."""
+    own = F.lit(None).cast("string") if link is None else link
+    straight = F.lit(False) if direct is None else F.coalesce(direct, F.lit(False))
+    by_score = F.when(score > 0.8, "high").when(score > 0.5, "medium").otherwise("low")
     return (
-        F.when(kind == "passage_link", F.when(score >= 0.9, "high").when(score >= 0.6, "medium").otherwise("low"))
-        .when(kind == "reflection", F.when(score >= 0.8, "high").otherwise("medium"))
-        .when(kind == "theme", "medium")
-        .otherwise(F.when(score >= 0.6, "medium").otherwise("low"))
+        F.when(kind == "passage_link", F.when((own == "high") | (score > 0.8), "high").when((own == "medium") | (score > 0.5), "medium").otherwise("low"))
+        .when(kind == "reflection", F.when(straight | (score > 0.7), "high").when(score > 0.4, "medium").otherwise("low"))
+        .when(kind == "entity_overlap", F.when(score >= 0.9, "high").when(score >= 0.7, "medium").otherwise("low"))
+        .when(kind == "theme", F.when(score > 0.75, "medium").otherwise("low"))
+        .otherwise(by_score)
     )
 
 
@@ -33,12 +39,41 @@ def by_links(edges: DataFrame) -> DataFrame:
     return both.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("passage_link").alias("kind"), scores[F.col("confidence")].alias("score"))
 
 
-def by_themes(seeds: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
-    """id, other: passages that share one of a seed's first ``n`` themes."""
-    e = edges.select("src", "dst")
-    mine = top_per_group(seeds.select(F.col("id").alias("src")).join(e, "src"), ["src"], ["dst"], n)
-    met = mine.select(F.col("src").alias("id"), "dst").join(e, "dst").filter("src <> id")
-    return met.select("id", F.col("src").alias("other"), F.lit("theme").alias("kind"), F.lit(0.6).alias("score")).distinct()
+def by_themes(seeds: DataFrame, edges: DataFrame, works: DataFrame, n: int = 5, most: int = 20) -> DataFrame:
+    """id, other: of each of a seed's first ``n`` themes the first ``most`` passages of other works.
+
+    ``works`` (src, owner) names a passage's work.  What is left of a theme without one work is made once
+    for every work among its first ``most`` passages; all other works see those passages as they are.
+    So seeds meet lists of ``most``, never a whole theme.
+    """
+    e = edges.select("src", "dst").distinct().join(works.select("src", "owner"), "src")
+    order = [F.col("src").try_cast("long"), "src"]
+    few = top_per_group(e, ["dst", "owner"], order, most)
+    first = top_per_group(few, ["dst"], order, most).select("dst", "owner", F.col("src").alias("other"))
+    among = first.select("dst", F.col("owner").alias("without")).distinct()
+    rest = top_per_group(few.join(among, "dst").filter("owner <> without"), ["dst", "without"], order, most)
+    mine = top_per_group(seeds.select(F.col("id").alias("src")).distinct().join(e, "src"), ["src"], ["dst"], n).select(F.col("src").alias("id"), "dst", "owner")
+    known = mine.join(among.select("dst", F.col("without").alias("owner"), F.lit(True).alias("inside")), ["dst", "owner"], "left")
+    plain = known.filter("inside is null").join(first.select("dst", "other"), "dst").select("id", "other")
+    made_up = known.filter("inside").join(rest.select("dst", F.col("without").alias("owner"), F.col("src").alias("other")), ["dst", "owner"]).select("id", "other")
+    return plain.unionByName(made_up).select("id", "other", F.lit("theme").alias("kind"), F.lit(THEME_SCORE).alias("score")).distinct()
+
+
+def theme_reflections(seeds: DataFrame, themes: DataFrame, reflections: DataFrame, works: DataFrame, n: int = 5, most: int = 10) -> DataFrame:
+    """id, other: for each of a seed's first ``n`` themes the first ``most`` passages that reflect on it, itself left out."""
+    order = [F.col("other").try_cast("long"), "other"]
+    first = top_per_group(reflections.select("dst", F.col("src").alias("other")).distinct(), ["dst"], order, most + 1)
+    e = themes.select("src", "dst").distinct().join(works.select("src"), "src", "left_semi")
+    mine = top_per_group(seeds.select(F.col("id").alias("src")).distinct().join(e, "src"), ["src"], ["dst"], n).select(F.col("src").alias("id"), "dst")
+    met = mine.join(first, "dst").filter("id <> other")
+    return top_per_group(met, ["id", "dst"], order, most).select("id", "other").distinct()
+
+
+def by_reflections(links: DataFrame, near: DataFrame) -> DataFrame:
+    """id, other: direct reflections on a passage (``links``: id, other), and scaled nearby personal ones (``near``: id, other, score) not among them."""
+    direct = links.select("id", "other", F.lit("reflection").alias("kind"), F.lit(REFLECTION_SCORE).alias("score")).distinct()
+    more = near.join(links.select("id", "other"), ["id", "other"], "left_anti")
+    return direct.unionByName(more.select("id", "other", F.lit("reflection").alias("kind"), F.round(F.col("score") * REFLECTION_FACTOR, 6).alias("score")))
 
 
 def related(parts: list[DataFrame], limit: int) -> DataFrame:

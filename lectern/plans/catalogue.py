@@ -17,41 +17,40 @@ from .reading import _PARAS, _WC, _pack_sql, docs
 from .registry import query
 
 
-@query("""SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'quote' WHEN 1 THEN 'comparative' WHEN 2 THEN 'evolution' WHEN 3 THEN 'biographical' ELSE 'thematic' END AS kind FROM benchmark""")
+@query("SELECT item_id, " + C.question_type_sql("text") + " AS kind FROM benchmark")
 def question_types(spark, sf_dir) -> DataFrame:
-    asked = F.element_at(F.array(*[F.lit(x) for x in ("Where is the exact words of it", "Compare hope with fear", "How did it change over time", "Who was the friend", "On the meaning of hope")]), (F.col("item_id") % 5 + 1).cast("int"))
-    return load(spark, sf_dir, "benchmark").select("item_id", C.question_type(asked).alias("kind"))
+    return load(spark, sf_dir, "benchmark").select("item_id", C.question_type(F.col("text")).alias("kind"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'letters' WHEN 1 THEN 'sermon' WHEN 2 THEN 'essay' ELSE 'prose' END AS kind FROM part""")
+@query("""SELECT p_partkey, CASE WHEN contains(t, 'letters') THEN 'letters' WHEN contains(t, 'sermon') THEN 'sermon' WHEN contains(t, 'poem') THEN 'poetry' WHEN contains(t, 'interview') THEN 'interview' WHEN contains(t, 'essay') THEN 'essay' ELSE 'prose' END AS kind FROM (SELECT p_partkey, lower(p_name||' '||p_type) AS t FROM part)""")
 def work_types(spark, sf_dir) -> DataFrame:
-    title = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (" Letters and Poems", " Sermons", " An Essay", "")]), (F.col("p_partkey") % 4 + 1).cast("int")))
-    # Names of parts hold none of the keywords.
-    return load(spark, sf_dir, "part").select("p_partkey", C.work_type(title).alias("kind"))
+    return load(spark, sf_dir, "part").select("p_partkey", C.work_type(F.concat_ws(" ", "p_name", "p_type")).alias("kind"))
 
 
-@query(with_views("chunks", r"""SELECT chunk_id, CASE WHEN chunk_id % 3 <> 0 THEN 'own' WHEN regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F]', '_', 'g'), '\b(i|my|me|mine)\b') THEN 'mixed' ELSE 'editorial' END AS authorship FROM chunks"""))
+@query(with_views("chunks", r"""WITH $ x AS (SELECT chunk_id, split_part(text, chr(10), 1) AS heading, regexp_replace(lower(text), '[^\x00-\x7F]', '_', 'g') AS t FROM chunks)
+  SELECT chunk_id, CASE WHEN NOT regexp_matches(heading, '(?i)introduction|foreword|editor|translator|about the author|afterword') THEN 'own' WHEN regexp_matches(t, '\b(i|my|me|mine)\b') THEN 'mixed' ELSE 'editorial' END AS authorship FROM x"""))
 def mixed_authorship(spark, sf_dir) -> DataFrame:
-    title = F.when(F.col("chunk_id") % 3 == 0, "Editor's Introduction").otherwise("Chapter 2")
-    return chunks(spark, sf_dir).select("chunk_id", C.authorship(title, F.col("text")).alias("authorship"))
+    """By the first line of each stored passage and the persons of its text."""
+    return chunks(spark, sf_dir).select("chunk_id", C.authorship(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")).alias("authorship"))
 
 
-@query(with_views("chunks", """WITH $ x AS (SELECT chunk_id::VARCHAR AS src, source_class, 'theme '||(chunk_id % 5) AS t, 'arg '||(chunk_id % 7) AS a, 'Con Cept '||(chunk_id % 3) AS c FROM chunks)
-  SELECT src, 'EXPLORES_THEME' AS type, replace(t, ' ', '-') AS dst FROM x UNION ALL SELECT src, 'CONCEPT_USED_IN', lower(replace(c, ' ', '-')) FROM x UNION ALL SELECT src, 'MAKES_ARGUMENT', replace(a, ' ', '-') FROM x WHERE source_class = 'primary' UNION ALL SELECT src, 'ATTRIBUTED_BY_CRITIC', replace(a, ' ', '-') FROM x WHERE source_class = 'secondary'"""))
+@query("""WITH x AS (SELECT doc_id::VARCHAR AS src, doc_id % 6 AS k, lang, source FROM documents), e AS (SELECT src, 'EXPLORES_THEME' AS type, source AS dst FROM x UNION ALL SELECT src, 'CONCEPT_USED_IN', lang||'-'||source FROM x UNION ALL SELECT src, 'REFERENCES_PERSON', 'author-'||lang FROM x
+  UNION ALL SELECT src, 'MAKES_ARGUMENT', source||'-in-'||lang FROM x WHERE k = 0 UNION ALL SELECT src, 'ATTRIBUTED_BY_CRITIC', source||'-in-'||lang FROM x WHERE k = 1) SELECT DISTINCT * FROM e""")
 def entity_persistence(spark, sf_dir) -> DataFrame:
-    i = F.col("chunk_id")
-    name = lambda word, n: F.array(F.concat(F.lit(f" {word} "), (i % n).cast("string")), F.lit(" "))
-    x = chunks(spark, sf_dir).select(i.cast("string").alias("chunk"), "source_class", name("Theme", 5).alias("themes"), name("arg", 7).alias("arguments"), name("Con Cept", 3).alias("concepts"), F.array().cast("array<string>").alias("persons"))
+    """Edges of the entities that the stored columns name."""
+    one = lambda *parts: F.array(F.concat(*parts), F.lit(" "))
+    c = chunks(spark, sf_dir).select("chunk_id", "source_class").join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source"), "chunk_id")
+    x = c.select(F.col("chunk_id").cast("string").alias("chunk"), "source_class", one(F.lit(" "), F.initcap("source"), F.lit(" ")).alias("themes"), one("source", F.lit(" in "), "lang").alias("arguments"), one("lang", F.lit(" "), F.upper("source")).alias("concepts"), one(F.lit("Author "), "lang").alias("persons"))
     return C.entity_edges(x)
 
 
-@query(with_views("edges", """WITH $ s AS (SELECT DISTINCT src AS node FROM edges WHERE type = 'ENGAGES_WITH' AND src::INT % 40 = 0), a AS (SELECT DISTINCT dst AS node, 0 AS m FROM edges JOIN s ON src = node WHERE type = 'ENGAGES_WITH'),
+@query(with_views("edges", """WITH $ s AS (SELECT DISTINCT src AS node FROM edges WHERE type = 'EXPLORES_THEME' AND dst = 'theme-1'), a AS (SELECT DISTINCT dst AS node, 0 AS m FROM edges JOIN s ON src = node WHERE type = 'ENGAGES_WITH'),
   b AS (SELECT DISTINCT y.src AS node, 1 AS m FROM edges x JOIN s ON x.src = s.node JOIN edges y ON y.dst = x.dst AND y.type = 'CONCEPT_USED_IN' WHERE x.type = 'CONCEPT_USED_IN'), c AS (SELECT DISTINCT y.src AS node, 2 AS m FROM edges x JOIN s ON x.src = s.node JOIN edges y ON y.dst = x.dst AND y.type = 'MAKES_ARGUMENT' WHERE x.type = 'MAKES_ARGUMENT')
   SELECT node, min(m)::INT AS method FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE node NOT IN (SELECT node FROM s) GROUP BY node"""))
 def graph_expansion(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir).select("src", "type", "dst")
     links = e.filter("type = 'ENGAGES_WITH'")
-    seeds = links.select(F.col("src").alias("node")).distinct().filter(F.col("node").cast("int") % 40 == 0)
+    seeds = e.filter("type = 'EXPLORES_THEME' and dst = 'theme-1'").select(F.col("src").alias("node")).distinct()
 
     def through(kind: str) -> DataFrame:
         k = e.filter(F.col("type") == kind).select("src", "dst")
@@ -67,10 +66,14 @@ def chunk_essays(spark, sf_dir) -> DataFrame:
     return C.essays(docs(spark, sf_dir), 300, 120, 30).withColumn("position", F.col("position").cast("long"))
 
 
-@query("""SELECT conv_id AS doc_id, 0 AS pair, 'first '||conv_id AS question, 'yes' AS answer FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 1, 'second', 'no '||conv_id FROM conversations WHERE turn = 0""")
+@query(r"""WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS q FROM conversations)
+  SELECT conv_id AS doc_id, (q - 1)::INT AS pair, md5(max(text) FILTER (role = 'user')) AS question, md5(string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'user')) AS answer FROM t WHERE q > 0 GROUP BY conv_id, q HAVING count(*) FILTER (role <> 'user') > 0""")
 def labelled_interviews(spark, sf_dir) -> DataFrame:
-    text = F.concat(F.lit("Q: first "), F.col("conv_id").cast("string"), F.lit("\nA: yes\n\nQ: second\nA: no "), F.col("conv_id").cast("string"))
-    return C.labelled_answers(load(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), text.alias("text")))
+    """Stored conversations written out with Q: and A: labels and read again."""
+    line = F.concat(F.when(F.col("role") == "user", F.lit("Q: ")).otherwise(F.lit("A: ")), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    text = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    found = C.labelled_answers(text.select(F.col("conv_id").alias("doc_id"), "text"))
+    return found.select("doc_id", "pair", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
 @query(with_views("chunks", """WITH $ x AS (SELECT *, last_value(CASE WHEN granularity = 'macro' THEN chunk_id END IGNORE NULLS) OVER w AS ma, last_value(CASE WHEN granularity = 'meso' THEN chunk_id END IGNORE NULLS) OVER w AS me FROM chunks WINDOW w AS (PARTITION BY work_id ORDER BY position ROWS UNBOUNDED PRECEDING))

@@ -35,12 +35,12 @@ def linked_either_way(spark, sf_dir) -> DataFrame:
 
 
 @query(with_views("edges", """WITH $ e AS (SELECT src, dst, link_type, confidence FROM edges WHERE type IN ('ENGAGES_WITH','THEMATIC_PARALLEL')),
-  p AS (SELECT src AS seed, dst AS node, link_type, confidence, 1 AS hops, [src||'>'||dst] AS used FROM e WHERE src::INT % 10 = 0 UNION ALL
+  p AS (SELECT src AS seed, dst AS node, link_type, confidence, 1 AS hops, [src||'>'||dst] AS used FROM e UNION ALL
     SELECT p.seed, e.dst, p.link_type, p.confidence, hops + 1, list_append(used, e.src||'>'||e.dst) FROM p JOIN e ON p.node = e.src WHERE hops < 3 AND NOT list_contains(used, e.src||'>'||e.dst))
   SELECT seed, node, link_type, confidence, hops FROM p""", recursive=True))
 def engagement_paths(spark, sf_dir) -> DataFrame:
     e = of_type(spark, sf_dir, "ENGAGES_WITH", "THEMATIC_PARALLEL")
-    seeds = e.select(F.col("src").alias("node")).distinct().filter(F.col("node").cast("int") % 10 == 0)
+    seeds = e.select(F.col("src").alias("node")).distinct()
     return G.paths(e, seeds, 3)
 
 
@@ -159,14 +159,14 @@ def thematic_parallel(spark, sf_dir) -> DataFrame:
 _TERMS = r"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', '_', 'g'), '\b([a-z][a-z-]*[a-z])\b', 1)), lambda x: length(x) >= 4 AND NOT list_contains([" + ",".join(f"'{w}'" for w in STOP_WORDS) + "], x))"
 
 
-@query(with_views("chunks", f"""WITH $ c AS (SELECT chunk_id, work_id, source_class, unnest({_TERMS}) AS term FROM chunks WHERE starts_with(work_id, 'author-en--') AND source_class IN ('primary','contextual')),
-  n AS (SELECT count(DISTINCT work_id) AS n FROM c WHERE source_class = 'contextual'), f AS (SELECT term, 1 - count(DISTINCT work_id) / n.n AS weight FROM c, n WHERE source_class = 'contextual' GROUP BY term, n.n HAVING count(DISTINCT work_id) * 2 <= n.n),
+@query(with_views("chunks", f"""WITH $ c AS (SELECT chunk_id, work_id, source_class, unnest({_TERMS}) AS term FROM chunks WHERE source_class IN ('primary','contextual')),
+  n AS (SELECT count(DISTINCT work_id) AS n FROM chunks WHERE source_class = 'contextual'), f AS (SELECT term, 1 - count(DISTINCT work_id) / n.n AS weight FROM c, n WHERE source_class = 'contextual' GROUP BY term, n.n HAVING count(DISTINCT work_id) * 2 <= n.n),
   k AS (SELECT DISTINCT c.work_id, f.term, weight FROM c JOIN f USING (term) WHERE source_class = 'contextual'),
   m AS (SELECT p.chunk_id, k.work_id, count(DISTINCT p.term) AS shared, round(sum(weight), 6) AS score FROM c p JOIN k USING (term) WHERE p.source_class = 'primary' GROUP BY ALL HAVING count(DISTINCT p.term) >= 2)
   SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY shared DESC, score DESC, work_id) = 1"""))
 def implicit_engagement(spark, sf_dir) -> DataFrame:
     """Primary passages and the contextual work whose distinctive terms they share most."""
-    c = chunks(spark, sf_dir).filter(F.col("work_id").startswith("author-en--") & F.col("source_class").isin("primary", "contextual"))
+    c = chunks(spark, sf_dir).filter(F.col("source_class").isin("primary", "contextual"))
     each = c.select("chunk_id", "work_id", "source_class", F.explode(T.terms(F.col("text"))).alias("term"))
     context = each.filter("source_class = 'contextual'").select("work_id", "term").distinct()
     n = c.filter("source_class = 'contextual'").agg(F.countDistinct("work_id").alias("n"))
@@ -176,19 +176,21 @@ def implicit_engagement(spark, sf_dir) -> DataFrame:
     return fusion.top_per_group(shared, ["chunk_id"], [F.desc("shared"), F.desc("score"), "work_id"], 1)
 
 
-@query(with_views("works chunks", """WITH $ s AS (SELECT chunk_id, 'Src'||(chunk_id % 25) AS last_name, 1900 + chunk_id % 25 AS year FROM chunks WHERE source_class = 'secondary' AND chunk_id % 4 < 2) SELECT chunk_id, w.work_id, CASE chunk_id % 2 WHEN 0 THEN 'parenthetical' ELSE 'footnote' END AS form FROM s JOIN works w ON lower(last_name) = w.title"""))
+_CITED = " UNION ALL ".join(f"SELECT chunk_id, work_id, '{form}' AS form, unnest(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS name FROM s" for form, p in T.CITATIONS)
+
+
+@query(with_views("works chunks", rf"""WITH $ s AS (SELECT chunk_id, work_id, regexp_replace(text, '[^\x00-\x7F—–]', '_', 'g') AS t FROM chunks WHERE source_class = 'secondary'), n AS (SELECT chunk_id, work_id, form, lower(regexp_extract(name, '([A-Z][a-z]+)$', 1)) AS last FROM ({_CITED})),
+  k AS (SELECT work_id, lower(split_part(author, '-', 2)) AS last FROM works UNION SELECT work_id, lower(title) FROM works)
+  SELECT DISTINCT n.chunk_id, n.form, n.last, k.work_id FROM n LEFT JOIN k ON k.last = n.last AND k.work_id <> n.work_id"""))
 def explicit_citations(spark, sf_dir) -> DataFrame:
-    n = F.translate((F.col("chunk_id") % 25).cast("string"), "0123456789", "abcdefghij")
-    name = F.concat(F.lit("Src"), n)
-    text = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("as said ("), name, F.lit(", "), (1900 + F.col("chunk_id") % 25).cast("string"), F.lit(")."))).otherwise(F.concat(F.lit("a quote. See "), name, F.lit(", Works Of The Sea")))
-    c = chunks(spark, sf_dir).filter("source_class = 'secondary' and chunk_id % 4 < 2").select("chunk_id", text.alias("text"))
-    found = None
-    for form, pattern in T.CITATIONS:
-        rows = c.select("chunk_id", F.lit(form).alias("form"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
-        found = rows if found is None else found.unionByName(rows)
-    key = F.translate(F.lower("name"), "abcdefghij", "0123456789")
-    w = works(spark, sf_dir).select("work_id", F.translate(F.translate("title", "0123456789", "abcdefghij"), "abcdefghij", "0123456789").alias("key"))
-    return found.withColumn("key", key).join(w, "key").select("chunk_id", "work_id", "form").distinct()
+    """Citations in the text of secondary passages, and the works their last names lead to, if any."""
+    c = chunks(spark, sf_dir).filter("source_class = 'secondary'").select("chunk_id", "work_id", F.regexp_replace("text", r"[^\x00-\x7F—–]", "_").alias("t"))
+    found = F.array(*[F.struct(F.lit(form).alias("form"), F.regexp_extract_all("t", F.lit(p), F.lit(1)).alias("names")) for form, p in T.CITATIONS])
+    each = c.select("chunk_id", "work_id", F.explode(found).alias("x")).select("chunk_id", F.col("work_id").alias("own"), "x.form", F.explode("x.names").alias("name"))
+    named = each.select("chunk_id", "own", "form", F.lower(F.regexp_extract("name", r"([A-Z][a-z]+)$", 1)).alias("last"))
+    w = works(spark, sf_dir)
+    keys = w.select("work_id", F.lower(F.split_part("author", F.lit("-"), F.lit(2))).alias("key")).union(w.select("work_id", F.lower("title"))).distinct()
+    return named.join(keys, (F.col("key") == F.col("last")) & (F.col("own") != F.col("work_id")), "left").select("chunk_id", "form", "last", "work_id").distinct()
 
 
 @query(with_views("chunks edges", """SELECT chunk_id, 'EXPLORES_THEME' AS missing FROM chunks WHERE granularity IN ('meso','macro') AND section_type NOT IN ('index','bibliography') AND chunk_id::VARCHAR NOT IN (SELECT src FROM edges WHERE type = 'EXPLORES_THEME') UNION ALL SELECT chunk_id, 'node' FROM chunks WHERE chunk_id::VARCHAR NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)"""))

@@ -46,7 +46,7 @@ def chunk_poetry(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_PARAS}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM p),
-  z AS (SELECT *, greatest(1, n // least(5, greatest(3, n // 3))) AS size FROM c) SELECT doc_id, k // size AS movement, count(*) AS paragraphs, sum(words)::BIGINT AS words, 0 AS refs FROM z GROUP BY ALL""")
+  z AS (SELECT *, greatest(1, n // least(5, greatest(3, n // 3))) AS size FROM c) SELECT doc_id, k // size AS movement, count(*) AS paragraphs, sum(words)::BIGINT AS words, sum(len(list_distinct(regexp_extract_all(regexp_replace(para, '[^\\x00-\\x7F]', '_', 'g'), '\\b((?:[123] )?[A-Z][a-z]+ [0-9]{{1,3}}:[0-9]{{1,3}}(?:-[0-9]{{1,3}})?)\\b', 1))))::INT AS refs FROM z GROUP BY ALL""")
 def chunk_sermon(spark, sf_dir) -> DataFrame:
     return K.sermon(docs(spark, sf_dir)).withColumn("refs", F.size("refs"))
 
@@ -75,15 +75,14 @@ def qa_pairs(spark, sf_dir) -> DataFrame:
     return K.question_pairs(turns(spark, sf_dir))
 
 
-@query("""WITH m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[A-Z]\\.', 'x.', 'g'), '([.!?])\\s+([A-Z"“])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM documents) SELECT doc_id, (i - 1) // 3 AS cluster, count(*) AS sentences FROM (SELECT doc_id, generate_subscripts(s, 1) AS i FROM m) GROUP BY ALL""")
+@query("""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z"“])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM documents) SELECT doc_id, (i - 1) // 3 AS cluster, count(*) AS sentences FROM (SELECT doc_id, generate_subscripts(s, 1) AS i FROM m) GROUP BY ALL""")
 def sentence_clusters(spark, sf_dir) -> DataFrame:
-    d = docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[A-Z]\.", "x."))
-    return K.sentence_clusters(d).select("doc_id", "cluster", "sentences")
+    return K.sentence_clusters(docs(spark, sf_dir)).select("doc_id", "cluster", "sentences")
 
 
-@query(with_views("works", """SELECT work_id, CASE genre_tags[1] WHEN 'essay' THEN 'blog' WHEN 'poetry' THEN 'poetry' WHEN 'sermon' THEN 'sermon' ELSE 'scholarly' END AS strategy, NULL::VARCHAR AS none FROM works"""))
+@query(with_views("works", """SELECT work_id, CASE genre_tags[1] WHEN 'essay' THEN 'blog' WHEN 'poetry' THEN 'poetry' WHEN 'sermon' THEN 'sermon' ELSE 'scholarly' END AS strategy, CASE genre_tags[len(genre_tags)] WHEN 'poetry' THEN 'poetry' WHEN 'homily' THEN 'sermon' ELSE 'scholarly' END AS by_last, NULL::VARCHAR AS none FROM works"""))
 def chunking_strategy(spark, sf_dir) -> DataFrame:
-    return works(spark, sf_dir).select("work_id", K.strategy_of(F.col("genre_tags")).alias("strategy"), K.strategy_of(F.array().cast("array<string>")).alias("none"))
+    return works(spark, sf_dir).select("work_id", K.strategy_of(F.col("genre_tags")).alias("strategy"), K.strategy_of(F.reverse("genre_tags")).alias("by_last"), K.strategy_of(F.array().cast("array<string>")).alias("none"))
 
 
 @query(f"""WITH {_PARAS} SELECT doc_id, pos, last_value(CASE WHEN words <= 2 THEN trim(para) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chapter FROM p""")
@@ -92,11 +91,13 @@ def carried_chapters(spark, sf_dir) -> DataFrame:
     return K.carried(rows, F.col("words") <= 2).select("doc_id", F.col("pos").cast("long").alias("pos"), "chapter")
 
 
-@query("""WITH l AS (SELECT conv_id % 10 AS k, turn * 25 + conv_id AS second_at, turn FROM conversations), c AS (SELECT k, (k * 7 + s)::BIGINT AS second, s AS capture_id FROM (SELECT unnest(range(10)) AS k), (SELECT unnest(range(0, 200, 40)) AS s)) SELECT c.k AS key, capture_id, second_at, count(*) AS lines FROM c JOIN l ON l.k = c.k AND second_at BETWEEN greatest(0, second - 30) AND second + 30 GROUP BY ALL""")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, (epoch(date_trunc('second', ts))::BIGINT % 86400)::BIGINT AS at FROM events) SELECT c.user_id AS key, c.event_id AS capture_id, l.at AS second_at, count(*) AS lines FROM e c JOIN e l ON l.user_id = c.user_id AND l.event_type <> 'signup' AND l.at BETWEEN greatest(0, c.at - 30) AND c.at + 30 WHERE c.event_type = 'signup' GROUP BY ALL""")
 def capture_windows(spark, sf_dir) -> DataFrame:
-    at = F.col("turn") * 25 + F.col("conv_id")
-    lines = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("key"), F.concat_ws(" ", stamp(at), F.lit("x")).alias("line"))
-    c = spark.range(10).crossJoin(F.broadcast(spark.range(0, 200, 40).select(F.col("id").alias("capture_id")))).select(F.col("id").alias("key"), "capture_id", (F.col("id") * 7 + F.col("capture_id")).alias("second"))
+    """Lines of a user within half a minute of the time of day of each of its sign-ups."""
+    t = F.col("ts").cast("timestamp_ntz")
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "event_type", (F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))).cast("int").alias("at"))
+    lines = e.filter("event_type <> 'signup'").select("key", F.concat_ws(" ", stamp(F.col("at")), "event_type").alias("line"))
+    c = e.filter("event_type = 'signup'").select("key", F.col("event_id").alias("capture_id"), F.col("at").cast("long").alias("second"))
     return K.in_window(lines, c).groupBy("key", "capture_id", F.col("at").cast("long").alias("second_at")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -129,10 +130,10 @@ def timeout_sessions(spark, sf_dir) -> DataFrame:
     return captures(spark, sf_dir).groupBy("user_id", w.alias("w")).agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n")).select("user_id", "start", "n")
 
 
-@query("""WITH c AS (SELECT lang, doc_id, count(*) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1 AS position FROM documents WHERE n_chars < 1000) SELECT lang, doc_id, position, position // 10 AS batch FROM c""")
+@query("""WITH c AS (SELECT lang, doc_id, count(*) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - 1 AS position FROM documents) SELECT lang, doc_id, position, position // 10 AS batch FROM c""")
 def running_positions(spark, sf_dir) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return load(spark, sf_dir, "documents").filter("n_chars < 1000").select("lang", "doc_id", at.cast("long").alias("position")).withColumn("batch", F.floor(F.col("position") / 10))
+    rows = fusion.numbered(load(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
+    return rows.select("lang", "doc_id", F.col("number").cast("long").alias("position")).withColumn("batch", F.floor(F.col("position") / 10))
 
 
 @query("""SELECT c_nationkey, c_custkey AS newest, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1""")

@@ -41,10 +41,10 @@ def works_of_author(spark, sf_dir) -> DataFrame:
     return w.select("work_id", "publication_year", "title").orderBy(F.col("publication_year").asc_nulls_last(), "title")
 
 
-@query(with_views("works", """SELECT work_id, json_extract_string(source_metadata, '$.classification_confidence')::DOUBLE AS confidence FROM works WHERE json_extract_string(source_metadata, '$.classification_confidence')::DOUBLE < 0.9 AND contains(work_id, 'src1') AND starts_with(work_id, 'author-en--')"""))
+@query(with_views("works", """SELECT work_id, json_extract_string(source_metadata, '$.classification_confidence')::DOUBLE AS confidence FROM works WHERE json_extract_string(source_metadata, '$.classification_confidence')::DOUBLE < 0.9"""))
 def uncertain_works(spark, sf_dir) -> DataFrame:
     c = F.get_json_object("source_metadata", "$.classification_confidence").cast("double")
-    return works(spark, sf_dir).filter(c.isNotNull() & (c < 0.9) & F.col("work_id").contains("src1") & F.col("work_id").startswith("author-en--")).select("work_id", c.alias("confidence"))
+    return works(spark, sf_dir).filter(c.isNotNull() & (c < 0.9)).select("work_id", c.alias("confidence"))
 
 
 _NOISE = "(granularity IN ('micro','nano') AND section_type IN ('index','bibliography')) OR length(text) < 50"

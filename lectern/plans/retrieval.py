@@ -56,15 +56,15 @@ def vector_topk_filtered(spark, sf_dir) -> DataFrame:
     return search.vector_search(vectors(spark, sf_dir).join(c, "chunk_id", "left_semi"), query_vector(spark, sf_dir), 15, 0.05)
 
 
-_PHRASE = r"trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', ' ', 'g'))"
-
-
-@query(f"""WITH b AS (SELECT item_id, ' '||regexp_replace({_PHRASE}, ' [^ ]*$', '')||' ' AS p FROM benchmark WHERE len(string_split({_PHRASE}, ' ')) >= 7), d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
-  SELECT item_id AS phrase_id, doc_id AS chunk_id FROM b JOIN d ON contains(w, p)""")
+@query(f"""WITH b AS (SELECT item_id, string_split(trim({_WORDS}), ' ') AS t FROM benchmark), p AS (SELECT item_id, ' '||array_to_string(t[i + 1:i + 8], ' ')||' ' AS p FROM (SELECT item_id, t, unnest(range(greatest(1, len(t) - 7))) AS i FROM b)), d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
+  SELECT item_id AS phrase_id, doc_id AS chunk_id, count(*) AS windows FROM p JOIN d ON contains(w, p) GROUP BY ALL""")
 def phrase_match(spark, sf_dir) -> DataFrame:
-    words = F.split(F.trim(search.word_text(F.left("text", F.lit(60)))), " ")
-    b = load(spark, sf_dir, "benchmark").filter(F.size(words) >= 7).select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(words, 1, F.size(words) - 1), " ").alias("phrase"))
-    return search.phrase_search(passages(spark, sf_dir), b)
+    """Documents that hold any eight words in a row of a benchmark item, and how many such windows."""
+    words = F.split(F.trim(search.word_text(F.col("text"))), " ")
+    b = load(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    b = b.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7)), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(8)), " "))).alias("pos", "phrase"))
+    found = search.phrase_search(passages(spark, sf_dir), b.select((F.col("item_id") * 1_000_000 + F.col("pos")).alias("phrase_id"), "phrase"))
+    return found.groupBy(F.floor(F.col("phrase_id") / 1_000_000).alias("phrase_id"), "chunk_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query(with_views("vectors", """WITH $ r AS (SELECT chunk_id, label % 3 AS list, row_number() OVER (PARTITION BY label % 3 ORDER BY embedding[1] DESC, chunk_id) AS rank FROM vectors),
@@ -88,14 +88,14 @@ def consensus_boost(spark, sf_dir) -> DataFrame:
     return out
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id // 50 AS q, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS rn, (doc_id * 7) % 30 AS id, md5(left(text, 12)) AS tk, doc_id FROM documents),
+@query("""WITH RECURSIVE d AS (SELECT doc_id // 50 AS q, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS rn, (doc_id * 7) % 30 AS id, md5(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS tk, doc_id FROM documents),
   s AS (SELECT q, rn, [id] AS ids, [tk] AS tks, [doc_id] AS kept FROM d WHERE rn = 1 UNION ALL
     SELECT d.q, d.rn, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(tks, tk) ELSE tks END, CASE WHEN ok THEN list_append(kept, doc_id) ELSE kept END
     FROM (SELECT d.*, s.ids, s.tks, s.kept, NOT list_contains(s.ids, d.id) AND NOT list_contains(s.tks, d.tk) AS ok FROM s JOIN d ON d.q = s.q AND d.rn = s.rn + 1) d)
   SELECT q, unnest(kept) AS doc_id FROM (SELECT q, arg_max(kept, rn) AS kept FROM s GROUP BY q)""")
 def find_quotes_dedup(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("q"), F.col("doc_id").alias("arrival"), (F.col("doc_id") * 7 % 30).alias("id"), F.md5(F.left("text", F.lit(12))).alias("text_key"))
-    return fusion.keep_first_by_id_and_text(d, "q", "q long, arrival long, id long, text_key string").select("q", F.col("arrival").alias("doc_id"))
+    d = load(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("q"), F.col("doc_id").alias("arrival"), (F.col("doc_id") * 7 % 30).alias("id"), F.md5(fingerprint(F.col("text"))).alias("text_key"))
+    return fusion.keep_first_by_id_and_text(d, "q").select("q", F.col("arrival").alias("doc_id"))
 
 
 @query(with_views("works chunks vectors edges", f"""WITH $ s AS (SELECT chunk_id, max(score) AS score FROM (SELECT chunk_id, {_COS} AS score FROM vectors v UNION ALL SELECT doc_id, 0.01 FROM documents WHERE contains(lower(text), ' the ')) GROUP BY chunk_id)

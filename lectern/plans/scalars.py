@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalogue as C
 from ..schema import LANGUAGES, ROUTES, STOP_WORDS, STRATEGIES, VAULT_FOLDERS
 from ..tables import chunks, load, with_views, works
 from .registry import query
@@ -77,10 +78,9 @@ def fingerprints(spark, sf_dir) -> DataFrame:
 _MARK_SQL = "regexp_replace(text, '([.!?])\\s+([A-Z\"“])', '\\1' || chr(1) || '\\2', 'g')"
 
 
-@query(f"SELECT doc_id, len(string_split({_MARK_SQL}, chr(1))) AS n, md5(string_split({_MARK_SQL}, chr(1))[1]) AS first FROM (SELECT doc_id, regexp_replace(text, '[A-Z]\\.', 'x.', 'g') AS text FROM documents)")
+@query(f"SELECT doc_id, len(string_split({_MARK_SQL}, chr(1))) AS n, md5(string_split({_MARK_SQL}, chr(1))[1]) AS first FROM documents")
 def sentence_split(spark, sf_dir) -> DataFrame:
-    # Capitals before a full stop are dulled, as the look-ahead of one match may be the look-behind of the next.
-    s = T.sentences(F.regexp_replace("text", r"[A-Z]\.", "x."))
+    s = T.sentences(F.col("text"))
     return load(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.element_at(s, 1)).alias("first"))
 
 
@@ -89,20 +89,24 @@ _STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 @query(f"""SELECT doc_id, len(t) AS n_terms, md5(array_to_string(list_sort(t), ' ')) AS terms FROM (SELECT doc_id,
   list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b([a-z][a-z-]*[a-z])\\b', 1)), lambda x: length(x) >= 4 AND NOT list_contains({_STOP_SQL}, x)) AS t
-  FROM documents WHERE lang = 'en')""")
+  FROM documents)""")
 def term_extraction(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("t", T.terms(F.col("text")))
+    d = load(spark, sf_dir, "documents").withColumn("t", T.terms(F.col("text")))
     return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("terms"))
 
 
-@query(r"""SELECT event_id, s, s AS parsed, 'S'||(s % 3) AS speaker, NULL::INT AS no_stamp FROM (SELECT event_id, (event_id * 37 % 9000)::INT AS s FROM events)""")
+@query(r"""WITH e AS (SELECT event_id, (epoch(date_trunc('second', ts))::BIGINT % 86400)::INT AS s FROM events), c AS (SELECT event_id, s, CASE WHEN s >= 3600 THEN printf('[%d:%02d:%02d]', s // 3600, s % 3600 // 60, s % 60) ELSE printf('[%d:%02d]', s // 60, s % 60) END AS stamp FROM e)
+  SELECT event_id AS id, stamp, s AS parsed, NULL AS speaker FROM c UNION ALL
+  SELECT conv_id, NULL, NULL, nullif(regexp_extract(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '^([A-Z][A-Za-z .''-]{0,40}):\s', 1), '') FROM conversations""")
 def stamps_and_speakers(spark, sf_dir) -> DataFrame:
-    s = (F.col("event_id") * 37 % 9000).cast("int")
-    e = load(spark, sf_dir, "events").select("event_id", s.alias("s"))
-    line = F.concat(T.stamp(F.col("s")), F.lit(" words"))
-    named = F.concat(F.lit("Speaker "), F.translate((F.col("s") % 3).cast("string"), "012", "ABC"), F.lit(": words"))
-    got = F.translate(F.replace(T.speaker_of(named), F.lit("Speaker "), F.lit("S")), "ABC", "012")
-    return e.select("event_id", "s", T.stamp_seconds(line).alias("parsed"), got.alias("speaker"), T.stamp_seconds(F.lit("no stamp [1:02]")).alias("no_stamp"))
+    """Times of day written as stamps and read again; speakers of the stored turns."""
+    at = F.col("ts").cast("timestamp_ntz")
+    s = (F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(F.second(at))).cast("int")
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), T.stamp(s).alias("stamp"))
+    e = e.select("id", "stamp", T.stamp_seconds(F.concat_ws(" ", "stamp", F.lit("words"))).alias("parsed"), F.lit(None).cast("string").alias("speaker"))
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.lit(None).cast("string").alias("stamp"), T.stamp_seconds(F.col("text")).alias("parsed"), T.speaker_of(plain).alias("speaker"))
+    return e.unionByName(c)
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, left(md5(url), 11) AS video,
@@ -114,21 +118,33 @@ def url_parts(spark, sf_dir) -> DataFrame:
         T.source_key(watch).alias("video_key"), T.source_key(F.col("url")).alias("media_key"), T.cache_key(F.lit("page"), F.lit(None).cast("string"), F.col("page_id").cast("string"), F.col("url")).alias("cache_key"))
 
 
-@query(with_views("chunks", r"""SELECT chunk_id, CASE chunk_id % 8 WHEN 0 THEN 'toc' WHEN 1 THEN 'index' WHEN 2 THEN 'bibliography' WHEN 3 THEN 'preface' WHEN 4 THEN 'back_matter' WHEN 5 THEN 'front_matter' END AS section,
-  chunk_id % 8 = 6 AS is_chapter, chunk_id % 8 = 7 AS is_capitals, CASE WHEN chunk_id % 8 = 3 THEN 'preface' ELSE coalesce(CASE WHEN chunk_id % 8 IN (1, 2) THEN ['index','bibliography'][chunk_id % 8] END, 'chapter') END AS by_case FROM chunks"""))
+def _section_sql(line: str) -> str:
+    cases = " ".join(f"WHEN regexp_full_match(trim({line}), '(?i)({p.replace(chr(39), chr(39) * 2)})') THEN '{name}'" for name, p in T.SECTION_HEADINGS)
+    return f"CASE {cases} END"
+
+
+_SHARE_SQL = "len(list_filter(ls, lambda x: regexp_matches(x, '{}'))) / len(ls)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+  k AS (SELECT doc_id, count({_section_sql('line')}) AS typed, max({_section_sql('line')}) AS last_type, count(*) FILTER (regexp_full_match(trim(line), '(?i)({"|".join(T.CHAPTER_LINES)})')) AS chapters,
+    count(*) FILTER (regexp_full_match(trim(line), '[IVXLCDM]+\.?') OR regexp_full_match(trim(line), '[A-Z][A-Z\s0-9:.,!?\-—–]{{2,80}}')) AS sections FROM l GROUP BY doc_id),
+  c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents)
+  SELECT doc_id, typed, last_type, chapters, sections, CASE WHEN len(ls) >= 5 AND {_SHARE_SQL.format(T.INDEX_LINE)} > 0.4 THEN 'index' WHEN len(ls) >= 3 AND {_SHARE_SQL.format(T.BIBLIOGRAPHY_LINE)} > 0.3 THEN 'bibliography' END AS by_content FROM k JOIN c USING (doc_id)""")
 def section_types(spark, sf_dir) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("Table of Contents", "Index of Names", "Works Cited", "Preface", "Appendix II", "Copyright", "Chapter IV: The Sea", "THE LAST DAYS")])
-    c = chunks(spark, sf_dir).select("chunk_id", F.element_at(names, (F.col("chunk_id") % 8 + 1).cast("int")).alias("h"))
-    h = F.col("h")
-    by_case = F.when(h.ilike("%index%"), "index").when(h.ilike("%works cited%"), "bibliography").when(h.ilike("%preface%"), "preface").otherwise("chapter")
-    return c.select("chunk_id", T.section_type(h).alias("section"), T.is_chapter_heading(h).alias("is_chapter"), T.is_section_heading(h).alias("is_capitals"), by_case.alias("by_case"))
+    """Headings among the lines of every document, and its type by content."""
+    line, d = F.col("line"), load(spark, sf_dir, "documents")
+    kind = T.section_type(line)
+    k = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).groupBy("doc_id").agg(F.count(kind).alias("typed"), F.max(kind).alias("last_type"), F.count_if(T.is_chapter_heading(line)).alias("chapters"), F.count_if(T.is_section_heading(line)).alias("sections"))
+    return k.join(d.select("doc_id", T.section_type_by_content(F.col("text")).alias("by_content")), "doc_id")
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['John 3:16', '1 John 4:7-9'] ELSE [] END AS refs, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n FROM documents""")
+@query(r"""SELECT 'document' AS kind, doc_id AS id, list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b((?:[123] )?[A-Z][a-z]+ [0-9]{1,3}:[0-9]{1,3}(?:-[0-9]{1,3})?)\b', 1))) AS refs FROM documents
+  UNION ALL SELECT 'page', page_id, list_sort(list_distinct(regexp_extract_all(regexp_replace(html, '[^\x00-\x7F]', '_', 'g'), '\b((?:[123] )?[A-Z][a-z]+ [0-9]{1,3}:[0-9]{1,3}(?:-[0-9]{1,3})?)\b', 1))) FROM pages""")
 def scripture_references(spark, sf_dir) -> DataFrame:
-    made = F.when(F.col("doc_id") % 3 == 0, F.lit("as John 3:16 says, 1 John 4:7-9 and again John 3:16.")).otherwise(F.lit("none 3:16"))
-    r = T.scripture_refs(made)
-    return load(spark, sf_dir, "documents").select("doc_id", r.alias("refs"), F.size(r).alias("n"))
+    refs = lambda c: F.array_sort(T.scripture_refs(F.regexp_replace(c, r"[^\x00-\x7F]", "_"))).alias("refs")
+    d = load(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), refs("text"))
+    return d.unionByName(load(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), refs("html")))
 
 
 @query(with_views("works", """SELECT work_id, CASE source_class WHEN 'primary' THEN 'full_pipeline' WHEN 'secondary' THEN 'critical_pipeline' WHEN 'tertiary' THEN 'metadata_only' WHEN 'contextual' THEN 'context_pipeline' WHEN 'personal' THEN 'reflection_pipeline' ELSE 'lookup_pipeline' END AS route,
@@ -151,33 +167,46 @@ def annotation_templates(spark, sf_dir) -> DataFrame:
     return works(spark, sf_dir).select("work_id", text.alias("annotation"), F.format_string("[%s] [%s] (via %s)", F.upper(F.lit("video")), "work_id", F.lit("rules")).alias("header"), form.alias("form"))
 
 
-@query("""SELECT q, k AS strategy_limit, g AS granularity FROM (VALUES ('thematic', 20, 'meso'), ('comparative', 30, 'meso'), ('quote', 10, 'micro'), ('biographical', 15, 'macro'), ('evolution', 40, 'meso')) t(q, k, g)""")
+@query("""SELECT conv_id, turn, kind AS q, CASE kind WHEN 'thematic' THEN 20 WHEN 'generative' THEN 20 ELSE 15 END AS pass1_limit, CASE kind WHEN 'factual' THEN 5 ELSE 10 END AS pass3_limit,
+  CASE kind WHEN 'factual' THEN 0.6 WHEN 'thematic' THEN 0.7 WHEN 'generative' THEN 0.8 ELSE 0.3 END::DOUBLE AS vector_weight, CASE kind WHEN 'factual' THEN 0.4 WHEN 'thematic' THEN 0.3 WHEN 'generative' THEN 0.2 ELSE 0.7 END::DOUBLE AS text_weight,
+  CASE kind WHEN 'thematic' THEN 'macro' WHEN 'generative' THEN 'meso' ELSE 'micro' END AS granularity
+  FROM (SELECT conv_id, turn, """ + C.question_type_sql("text") + """ AS kind FROM conversations WHERE role = 'user')""")
 def question_strategies(spark, sf_dir) -> DataFrame:
-    return spark.createDataFrame([(q, k, g) for q, (k, g) in STRATEGIES.items()], "q string, strategy_limit int, granularity string")
+    """Each stored question's type and the strategy that goes with it."""
+    rows = spark.createDataFrame([(q, *v) for q, v in STRATEGIES.items()], "q string, pass1_limit int, pass3_limit int, vector_weight double, text_weight double, granularity string")
+    asked = load(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", C.question_type(F.col("text")).alias("q"))
+    return asked.join(F.broadcast(rows), "q").select("conv_id", "turn", "q", "pass1_limit", "pass3_limit", "vector_weight", "text_weight", "granularity")
 
 
-@query(r"""SELECT doc_id, translate(left(text, 60), chr(7), '') AS clean, 'caf'||chr(233)||chr(8217)||'s' AS controls FROM documents""")
+@query(r"""SELECT doc_id, md5(text) AS clean, length(text) AS n FROM documents""")
 def sanitized_text(spark, sf_dir) -> DataFrame:
-    dirty = F.concat(F.left("text", F.lit(30)), F.lit("\x07"), F.substring("text", 31, 30))
-    return load(spark, sf_dir, "documents").select("doc_id", T.sanitize(dirty).alias("clean"), T.sanitize(F.lit("café\x92\x00s")).alias("controls"))
+    """Whole texts that control characters were put into, cleaned; they come out as they were stored."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    dirty = F.concat(F.lit("\x00"), F.substr(F.col("text"), F.lit(1), half), F.lit("\x07\x8f"), F.substr(F.col("text"), half + 1))
+    clean = T.sanitize(dirty)
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("clean"), F.length(clean).cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, ok, '{"a": [1, 2]}' AS fenced, ['{"n": 1}', '{"name": "x"}'] AS saved FROM (SELECT doc_id, '{"id": '||doc_id||'}' AS ok FROM documents)""")
+@query(r"""WITH p AS (SELECT user_id, event_id, props, '{"k": '||json_extract_string(props, '$.k')||'}' AS ok FROM events) SELECT user_id, count(*) AS n, md5(string_agg(ok, '|' ORDER BY event_id)) AS parsed, md5(string_agg(ok, '|' ORDER BY event_id)) AS salvaged FROM p GROUP BY user_id""")
 def json_repair(spark, sf_dir) -> DataFrame:
-    prose = F.concat(F.lit('The answer is {"id": '), F.col("doc_id").cast("string"), F.lit(",} as asked"))
-    return load(spark, sf_dir, "documents").select("doc_id", T.json_in_prose(prose).alias("ok"), T.json_in_prose(F.lit('```json\n{"a": [1, 2,]}\n```')).alias("fenced"), T.salvaged(F.lit('[{"n": 1}, "x", {"cut":')).alias("saved"))
+    """The stored properties, read from prose around them, and as an array that was cut off."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "props")
+    each = e.withColumn("ok", T.json_in_prose(F.concat(F.lit("The answer is "), F.replace("props", F.lit("}"), F.lit(",}")), F.lit(" as asked"))))
+    listed = each.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("event_id", "ok", "props"))).alias("x"))
+    cut_off = F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["props"]), ", "), F.lit(', {"cut":'))
+    return listed.select("user_id", "n", F.md5(F.array_join(F.transform("x", lambda r: r["ok"]), "|")).alias("parsed"), F.md5(F.array_join(T.salvaged(cut_off), "|")).alias("salvaged"))
+
+
+_CITED_SQL = " UNION ALL ".join(f"SELECT doc_id, '{form}' AS form, unnest(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS name FROM d" for form, p in T.CITATIONS)
 
 
-@query(r"""SELECT doc_id, 'Smith' AS author, 'The Sea' AS title, CASE WHEN doc_id % 2 = 0 THEN 'a line quoted' ELSE right('before '||left(replace(text, chr(10), ' '), 50)||' ', 200) END AS quote
-  FROM documents WHERE NOT regexp_matches(left(replace(text, chr(10), ' '), 50), '  |^ | $')""")
+@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F—–]', '_', 'g') AS t FROM documents) SELECT doc_id, form, name, count(*) AS n FROM ({_CITED_SQL}) GROUP BY ALL""")
 def citation_fields(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents").withColumn("head", F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(50))).filter(~F.col("head").rlike("  |^ | $"))
-    made = F.when(F.col("doc_id") % 2 == 0, F.concat("head", F.lit("\n\na line quoted See Smith, The Sea."))).otherwise(F.concat(F.lit("before "), "head", F.lit("  See Smith, The Sea.")))
-    made = F.replace(made, F.lit("  See"), F.lit(" See"))
-    pattern = T.CITATIONS[0][1]
-    before = F.substring_index(made, "See Smith", 1)
-    quote = T.preceding_quote(before)
-    return d.select("doc_id", F.regexp_extract(made, pattern, 1).alias("author"), F.regexp_extract(made, pattern, 2).alias("title"), F.when(F.col("doc_id") % 2 == 0, quote).otherwise(F.concat(quote, F.lit(" "))).alias("quote"))
+    """Citations in the whole text of every document, by form and name."""
+    t = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F—–]", "_").alias("t"))
+    found = F.array(*[F.struct(F.lit(form).alias("form"), F.regexp_extract_all("t", F.lit(p), F.lit(1)).alias("names")) for form, p in T.CITATIONS])
+    each = t.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.form", F.explode("x.names").alias("name"))
+    return each.groupBy("doc_id", "form", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT l_orderkey, l_linenumber, (100 + l_linenumber)::INT AS repaired, datediff('day', date '1992-01-01', l_shipdate::DATE)::INT AS days, (epoch(l_shipdate)::BIGINT // 60) AS minutes, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem""")

@@ -7,55 +7,71 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import surfacing as S
-from ..operators.search import vector_search
+from ..operators.fusion import top_per_group
+from ..operators.search import nearest
 from ..tables import chunks, edges, load, vectors, with_views, works
 from .registry import query
 
-_RELATED = """WITH $ l AS (SELECT src AS id, dst AS other, 'passage_link' AS kind, CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END::DOUBLE AS score FROM edges WHERE type = 'ENGAGES_WITH'
+#: Passages whose id this divides are the query set of the searches by vector, against all passages.
+ASKED = 20
+_TIER = """CASE kind WHEN 'passage_link' THEN CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.5 THEN 'medium' ELSE 'low' END WHEN 'reflection' THEN CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END
+    WHEN 'entity_overlap' THEN CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END WHEN 'theme' THEN CASE WHEN score > 0.75 THEN 'medium' ELSE 'low' END ELSE CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.5 THEN 'medium' ELSE 'low' END END"""
+_RELATED = f"""WITH $ l AS (SELECT src AS id, dst AS other, 'passage_link' AS kind, CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END::DOUBLE AS score FROM edges WHERE type = 'ENGAGES_WITH'
     UNION ALL SELECT dst, src, 'passage_link', CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END FROM edges WHERE type = 'ENGAGES_WITH'),
-  th AS (SELECT src, dst FROM edges WHERE type = 'EXPLORES_THEME'), m AS (SELECT src AS id, dst FROM th WHERE src::INT % 25 = 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
-  t AS (SELECT DISTINCT id, src AS other, 'theme' AS kind, 0.6::DOUBLE AS score FROM m JOIN th USING (dst) WHERE src <> id),
-  v AS (SELECT 0::VARCHAR AS id, chunk_id::VARCHAR AS other, 'vector' AS kind, round(0.65 * round(list_cosine_similarity(embedding, (SELECT embedding FROM vectors WHERE chunk_id = 0)), 6), 6) AS score FROM vectors WHERE chunk_id <> 0 ORDER BY round(list_cosine_similarity(embedding, (SELECT embedding FROM vectors WHERE chunk_id = 0)), 6) DESC, chunk_id LIMIT 15),
-  u AS (SELECT * FROM l WHERE id::INT % 25 = 0 UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v), b AS (SELECT id, other, max({'s': score, 'k': kind}) AS x FROM u GROUP BY ALL),
+  th AS (SELECT DISTINCT src, dst, work_id FROM edges JOIN chunks ON src = chunk_id::VARCHAR WHERE type = 'EXPLORES_THEME'), m AS (SELECT src AS id, dst, work_id FROM th QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
+  tw AS (SELECT DISTINCT dst, work_id FROM m), tt AS (SELECT tw.dst, tw.work_id, th.src AS other FROM tw JOIN th ON th.dst = tw.dst AND th.work_id <> tw.work_id QUALIFY row_number() OVER (PARTITION BY tw.dst, tw.work_id ORDER BY th.src::BIGINT) <= 20),
+  t AS (SELECT DISTINCT id, other, 'theme' AS kind, 0.6::DOUBLE AS score FROM m JOIN tt USING (dst, work_id)),
+  dr AS (SELECT DISTINCT e.dst AS dst, e.src AS other FROM edges e WHERE type = 'USER_REFLECTS_ON'), rf AS (SELECT DISTINCT m.id, dr.other, 'reflection' AS kind, 0.85::DOUBLE AS score FROM m JOIN dr ON dr.dst = m.dst WHERE dr.other <> m.id QUALIFY row_number() OVER (PARTITION BY m.id, m.dst ORDER BY dr.other::BIGINT) <= 10),
+  nv AS (SELECT a.chunk_id::VARCHAR AS id, b.chunk_id::VARCHAR AS other, b.source_class, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cos FROM vectors a JOIN (SELECT v.*, source_class FROM vectors v LEFT JOIN chunks USING (chunk_id)) b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % {ASKED} = 0),
+  v AS (SELECT id, other, 'vector' AS kind, round(0.65 * cos, 6) AS score FROM nv QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other::BIGINT) <= 15),
+  pv AS (SELECT id, other, cos FROM nv WHERE source_class = 'personal' QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other::BIGINT) <= 10),
+  rv AS (SELECT id, other, 'reflection' AS kind, round(0.7 * cos, 6) AS score FROM pv WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.id = pv.id AND rf.other = pv.other)),
+  u AS (SELECT * FROM l UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v UNION ALL SELECT * FROM rf UNION ALL SELECT * FROM rv), b AS (SELECT id, other, max({{'s': score, 'k': kind}}) AS x FROM u GROUP BY ALL),
   r AS (SELECT id, other, x.k AS kind, x.s AS score FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY x.s DESC, other) <= 20),
-  c AS (SELECT *, CASE kind WHEN 'passage_link' THEN CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END WHEN 'theme' THEN 'medium' ELSE CASE WHEN score >= 0.6 THEN 'medium' ELSE 'low' END END AS confidence FROM r)
+  c AS (SELECT *, {_TIER} AS confidence FROM r)
   """
 
 
 def related_rows(spark, sf_dir) -> DataFrame:
+    """Of every passage the twenty most related: links, themes, reflections on its themes; of the asked ones nearby vectors too."""
     e = edges(spark, sf_dir)
-    chosen = F.col("id").cast("int") % 25 == 0
-    links = S.by_links(e.filter("type = 'ENGAGES_WITH'")).filter(chosen)
+    own = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("src"), F.col("work_id").alias("owner"), "source_class")
+    links = S.by_links(e.filter("type = 'ENGAGES_WITH'"))
     themes = e.filter("type = 'EXPLORES_THEME'")
-    seeds = themes.select(F.col("src").alias("id")).filter(chosen).distinct()
+    seeds = themes.select(F.col("src").alias("id")).distinct()
     v = vectors(spark, sf_dir)
-    q = v.filter("chunk_id = 0").select(F.col("embedding").alias("query_vector"))
-    near = vector_search(v.filter("chunk_id <> 0"), q, 15, -1.0).select(F.lit("0").alias("id"), F.col("chunk_id").cast("string").alias("other"), F.lit("vector").alias("kind"), F.round(0.65 * F.col("score"), 6).alias("score"))
-    return S.related([links, S.by_themes(seeds, themes), near], 20)
+    asked = v.filter(F.col("chunk_id") % ASKED == 0).select(F.col("chunk_id").alias("id"), "embedding")
+    text = lambda f: f.select(F.col("id").cast("string").alias("id"), F.col("chunk_id").cast("string").alias("other"), "score")
+    near = text(nearest(v, asked, 15)).select("id", "other", F.lit("vector").alias("kind"), F.round(S.VECTOR_FACTOR * F.col("score"), 6).alias("score"))
+    personal = v.join(own.filter("source_class = 'personal'").select(F.col("src").cast("long").alias("chunk_id")), "chunk_id", "left_semi")
+    reflections = S.theme_reflections(seeds, themes, e.filter("type = 'USER_REFLECTS_ON'"), own)
+    return S.related([links, S.by_themes(seeds, themes, own), S.by_reflections(reflections, text(nearest(personal, asked, 10))), near], 20)
 
 
-@query(with_views("vectors edges", _RELATED + "SELECT id, other, kind, score, confidence FROM c"))
+@query(with_views("chunks vectors edges", _RELATED + "SELECT id, other, kind, score, confidence FROM c"))
 def find_related(spark, sf_dir) -> DataFrame:
     return related_rows(spark, sf_dir)
 
 
-@query(with_views("vectors edges", _RELATED + ", g AS (SELECT *, row_number() OVER (PARTITION BY id, confidence ORDER BY score DESC, other) AS rn FROM c) SELECT id, confidence, count(*) AS total, list(other ORDER BY score DESC, other) FILTER (rn <= 3) AS shown FROM g GROUP BY id, confidence"))
+@query(with_views("chunks vectors edges", _RELATED + ", g AS (SELECT *, row_number() OVER (PARTITION BY id, confidence ORDER BY score DESC, other) AS rn FROM c) SELECT id, confidence, count(*) AS total, list(other ORDER BY score DESC, other) FILTER (rn <= 3) AS shown FROM g GROUP BY id, confidence"))
 def response_groups(spark, sf_dir) -> DataFrame:
     return S.grouped(related_rows(spark, sf_dir))
 
 
-@query(with_views("vectors edges", _RELATED + "SELECT id, string_agg(printf('- %s (%s, %.2f): %s', other, kind, score, confidence), chr(10) ORDER BY score DESC, other) AS report FROM c GROUP BY id"))
+@query(with_views("chunks vectors edges", _RELATED + "SELECT id, string_agg(printf('- %s (%s, %.2f): %s', other, kind, score, confidence), chr(10) ORDER BY score DESC, other) AS report FROM c GROUP BY id"))
 def surfacing_report(spark, sf_dir) -> DataFrame:
     return S.report(related_rows(spark, sf_dir))
 
 
-@query(with_views("chunks vectors", """SELECT kind, confidence, count(*) AS n FROM (SELECT kind, CASE kind WHEN 'passage_link' THEN CASE WHEN s >= 0.9 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END WHEN 'reflection' THEN CASE WHEN s >= 0.8 THEN 'high' ELSE 'medium' END WHEN 'theme' THEN 'medium' ELSE CASE WHEN s >= 0.6 THEN 'medium' ELSE 'low' END END AS confidence
-  FROM (SELECT ['passage_link','reflection','theme','vector'][chunk_id % 4 + 1] AS kind, (chunk_id % 101) / 100.0::DOUBLE AS s FROM vectors)) GROUP BY ALL"""))
+@query(with_views("chunks edges vectors", f"""WITH $ q AS (SELECT 'passage_link' AS kind, score FROM edges WHERE type = 'ENGAGES_WITH' UNION ALL SELECT 'theme', score FROM edges WHERE type = 'THEMATIC_PARALLEL' UNION ALL SELECT ['vector','reflection','entity_overlap','temporal'][x.i], round(abs(embedding[x.i]), 6) FROM vectors, (SELECT unnest([1, 2, 3, 4]) AS i) x)
+  SELECT kind, confidence, count(*) AS n FROM (SELECT kind, {_TIER} AS confidence FROM q) GROUP BY ALL"""))
 def confidence_tiers(spark, sf_dir) -> DataFrame:
-    i = F.col("chunk_id")
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("passage_link", "reflection", "theme", "vector")]), (i % 4 + 1).cast("int"))
-    v = vectors(spark, sf_dir).select(kind.alias("kind"), (i % 101 / 100.0).alias("s"))
-    return v.groupBy("kind", S.tier(F.col("kind"), F.col("s")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    """Tiers of the stored scores of links and parallels, and of every vector's first coordinates."""
+    e = edges(spark, sf_dir)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(F.abs(F.element_at("embedding", i + 1)), 6).alias("score")) for i, k in enumerate(("vector", "reflection", "entity_overlap", "temporal"))])
+    parts = [e.filter(F.col("type") == t).select(F.lit(k).alias("kind"), "score") for t, k in (("ENGAGES_WITH", "passage_link"), ("THEMATIC_PARALLEL", "theme"))]
+    q = parts[0].unionByName(parts[1]).unionByName(vectors(spark, sf_dir).select(F.explode(kinds).alias("x")).select("x.*"))
+    return q.groupBy("kind", S.tier(F.col("kind"), F.col("score")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_views("chunks edges", """WITH $ l AS (SELECT src::BIGINT AS a, dst::BIGINT AS b, score FROM edges WHERE type = 'ENGAGES_WITH' AND score >= 0.3), k AS (SELECT src::BIGINT AS s, dst::BIGINT AS d FROM edges WHERE type = 'THEMATIC_PARALLEL')
@@ -69,11 +85,15 @@ def staged_connections(spark, sf_dir) -> DataFrame:
     return G.without_linked(joined, known).select("a", "b", "score")
 
 
-@query(with_views("chunks", """WITH $ s AS (SELECT 1 AS prio, chunk_id, day FROM chunks WHERE source_class = 'personal' AND chunk_id % 2 = 0 UNION ALL SELECT 2, chunk_id, day FROM chunks WHERE source_class = 'personal' AND chunk_id % 3 = 0 UNION ALL SELECT 3, chunk_id, day FROM chunks WHERE source_class = 'personal' AND chunk_id % 5 = 0)
-  SELECT chunk_id, day, min(prio)::INT AS origin FROM s WHERE day BETWEEN 21 AND 25 GROUP BY ALL"""))
+@query(with_views("works chunks edges", """WITH $ s AS (SELECT 1 AS prio, src::BIGINT AS chunk_id FROM edges WHERE type = 'USER_REFLECTS_ON' AND dst = 'theme-1' UNION ALL SELECT 2, chunk_id FROM chunks JOIN works USING (work_id) WHERE author = 'author-en' UNION ALL SELECT 3, chunk_id FROM chunks WHERE contains(lower(text), ' the '))
+  SELECT chunk_id, day, min(prio)::INT AS origin FROM s JOIN chunks USING (chunk_id) WHERE chunks.source_class = 'personal' AND day BETWEEN 21 AND 25 GROUP BY ALL"""))
 def gathered_reflections(spark, sf_dir) -> DataFrame:
-    c = chunks(spark, sf_dir).filter("source_class = 'personal' and day between 21 and 25").select("chunk_id", "day")
-    parts = [c.filter(F.col("chunk_id") % n == 0).withColumn("origin", F.lit(i + 1)) for i, n in enumerate((2, 3, 5))]
+    """Personal passages of some days: on a theme, of a speaker, or with a prompt's word; the first way counts."""
+    c = chunks(spark, sf_dir).filter("source_class = 'personal' and day between 21 and 25").select("chunk_id", "day", "work_id", "text")
+    on_theme = edges(spark, sf_dir).filter("type = 'USER_REFLECTS_ON' and dst = 'theme-1'").select(F.col("src").try_cast("long").alias("chunk_id"))
+    said = works(spark, sf_dir).filter("author = 'author-en'").select("work_id")
+    ways = (c.join(on_theme, "chunk_id", "left_semi"), c.join(said, "work_id", "left_semi"), c.filter(F.lower("text").contains(" the ")))
+    parts = [w.select("chunk_id", "day", F.lit(i + 1).alias("origin")) for i, w in enumerate(ways)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("chunk_id", "day").agg(F.min("origin").alias("origin"))
 
 
@@ -82,8 +102,9 @@ def gathered_reflections(spark, sf_dir) -> DataFrame:
 def compare_ideas(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir).filter("type = 'EXPLORES_THEME' and dst = 'theme-1'").select(F.col("src").cast("long").alias("chunk_id")).distinct().withColumn("themed", F.lit(True))
     c = chunks(spark, sf_dir).select("chunk_id", "work_id").join(e, "chunk_id", "left").join(works(spark, sf_dir).select("work_id", "author"), "work_id")
-    some = F.array_sort(F.collect_set(F.when(F.col("themed"), F.col("chunk_id"))))
-    return c.groupBy("author").agg(F.countDistinct("work_id").alias("works"), F.count("themed").alias("theme_passages"), F.slice(some, 1, 2).alias("samples"))
+    some = top_per_group(c.filter("themed"), ["author"], ["chunk_id"], 2).groupBy("author").agg(F.array_sort(F.collect_list("chunk_id")).alias("samples"))
+    counts = c.groupBy("author").agg(F.countDistinct("work_id").alias("works"), F.count("themed").alias("theme_passages"))
+    return counts.join(some, "author", "left").select("author", "works", "theme_passages", F.coalesce("samples", F.array().cast("array<bigint>")).alias("samples"))
 
 
 @query(with_views("works chunks edges", """WITH $ t AS (SELECT c.work_id, c.chunk_id FROM edges e JOIN chunks c ON e.src = c.chunk_id::VARCHAR WHERE e.type = 'EXPLORES_THEME' AND e.dst = 'theme-2'), a AS (SELECT t.work_id, count(DISTINCT m.dst) AS arguments FROM t LEFT JOIN edges m ON m.src = t.chunk_id::VARCHAR AND m.type = 'MAKES_ARGUMENT' GROUP BY t.work_id),
@@ -92,16 +113,17 @@ def trace_theme(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir)
     t = e.filter("type = 'EXPLORES_THEME' and dst = 'theme-2'").select(F.col("src").cast("long").alias("chunk_id")).join(chunks(spark, sf_dir).select("chunk_id", "work_id"), "chunk_id")
     m = e.filter("type = 'MAKES_ARGUMENT'").select(F.col("src").cast("long").alias("chunk_id"), F.col("dst").alias("argument"))
-    per = t.groupBy("work_id").agg(F.count(F.lit(1)).alias("passages"), F.slice(F.array_sort(F.collect_list("chunk_id")), 1, 3).alias("samples"))
+    some = top_per_group(t, ["work_id"], ["chunk_id"], 3).groupBy("work_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("samples"))
+    per = t.groupBy("work_id").agg(F.count(F.lit(1)).alias("passages")).join(some, "work_id")
     a = t.join(m, "chunk_id", "left").groupBy("work_id").agg(F.countDistinct("argument").alias("arguments"))
     return per.join(a, "work_id").join(works(spark, sf_dir).select("work_id", "publication_year"), "work_id").select("work_id", "publication_year", "passages", "arguments", "samples")
 
 
-@query(with_views("edges", """WITH $ e AS (SELECT src, dst FROM edges WHERE type = 'ENGAGES_WITH'), h1 AS (SELECT DISTINCT src AS seed, dst AS node FROM e WHERE src::INT % 50 = 0), h2 AS (SELECT DISTINCT seed, e.dst AS node FROM h1 JOIN e ON e.src = node), n AS (SELECT src, count(*) AS further FROM e GROUP BY src)
+@query(with_views("edges", """WITH $ e AS (SELECT src, dst FROM edges WHERE type = 'ENGAGES_WITH'), h1 AS (SELECT DISTINCT src AS seed, dst AS node FROM e ), h2 AS (SELECT DISTINCT seed, e.dst AS node FROM h1 JOIN e ON e.src = node), n AS (SELECT src, count(*) AS further FROM e GROUP BY src)
   SELECT seed, node, min(hop) AS hop, max(coalesce(further, 0)) AS further FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2) LEFT JOIN n ON n.src = node GROUP BY seed, node"""))
 def passage_links(spark, sf_dir) -> DataFrame:
     e = edges(spark, sf_dir).filter("type = 'ENGAGES_WITH'").select("src", "dst", "link_type", "confidence")
-    seeds = e.select(F.col("src").alias("node")).distinct().filter(F.col("node").cast("int") % 50 == 0)
+    seeds = e.select(F.col("src").alias("node")).distinct()
     n = e.groupBy("src").agg(F.count(F.lit(1)).alias("further"))
     p = G.paths(e, seeds, 2).groupBy("seed", "node").agg(F.min("hops").alias("hop"))
     return p.join(n, F.col("node") == F.col("src"), "left").select("seed", "node", "hop", F.coalesce("further", F.lit(0)).alias("further"))
@@ -132,15 +154,16 @@ def vocabulary_merge(spark, sf_dir) -> DataFrame:
     return terms.join(proposed, "term").select("term", "status", "merged_into", F.coalesce("merged_into", "term").alias("lookup"), "affected")
 
 
-@query(r"""WITH l AS (SELECT DISTINCT lower(trim(line)) AS citation FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 10 = 0) WHERE length(trim(line)) BETWEEN 10 AND 60), k AS (SELECT DISTINCT lower(trim(line)) AS citation FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 10 = 1) WHERE length(trim(line)) BETWEEN 10 AND 60)
+@query(r"""WITH k AS (SELECT DISTINCT lower(trim(line)) AS citation FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(trim(line)) >= 10), l AS (SELECT DISTINCT lower(trim(line)) AS citation FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) >= 10)
   SELECT count(*) FILTER (k.citation IS NULL) AS added, count(k.citation) AS already, (SELECT count(*) FROM k) + count(*) FILTER (k.citation IS NULL) AS total FROM l LEFT JOIN k USING (citation)""")
 def acquisition_flag(spark, sf_dir) -> DataFrame:
-    def lines(rest: int) -> DataFrame:
-        d = load(spark, sf_dir, "documents").filter(F.col("doc_id") % 10 == rest).select(F.explode(F.split("text", "\n")).alias("line"))
-        return d.select(F.lower(F.trim("line")).alias("citation")).filter(F.length("citation").between(10, 60)).distinct()
+    """Lines of all documents as wanted items, against those of the benchmark as held ones."""
+    def lines(name: str) -> DataFrame:
+        each = load(spark, sf_dir, name).select(F.explode(F.split("text", "\n")).alias("line"))
+        return each.select(F.lower(F.trim("line")).alias("citation")).filter(F.length("citation") >= 10).distinct()
 
-    old = lines(1)
-    flagged = lines(0).join(old.withColumn("known", F.lit(1)), "citation", "left")
+    old = lines("benchmark")
+    flagged = lines("documents").join(old.withColumn("known", F.lit(1)), "citation", "left")
     sums = flagged.agg(F.count_if(F.col("known").isNull()).alias("added"), F.count("known").alias("already"))
     total = old.agg(F.count(F.lit(1)).alias("before"))
     return sums.crossJoin(total).select("added", "already", (F.col("before") + F.col("added")).alias("total"))
@@ -174,20 +197,23 @@ def cache_expiry(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.timestamp_diff("SECOND", "ts", now) < ttl).alias("live"), F.count(F.lit(1)).alias("cached"))
 
 
-@query(with_views("works", """SELECT work_id, CASE WHEN n_docs >= old * 1.1 THEN 're-extract' ELSE 'fresh' END AS voice, CASE WHEN list_has_any(genre_tags, ['poetry','sermon']) THEN 'info' WHEN total_chars % 10 > 1 THEN 'warning' ELSE 'ok' END AS noise FROM (SELECT *, n_docs - num % 4 AS old FROM works)"""))
+@query(with_views("works chunks", """WITH $ n AS (SELECT work_id, count(*) AS n, count(*) FILTER (pass_number <= 2) AS old, count(*) FILTER ((granularity IN ('micro','nano') AND section_type IN ('index','bibliography')) OR length(text) < 50) AS noise FROM chunks GROUP BY work_id)
+  SELECT work_id, CASE WHEN n >= old * 1.1 THEN 're-extract' ELSE 'fresh' END AS voice, CASE WHEN noise * 10 <= n THEN 'ok' WHEN list_has_any(genre_tags, ['poetry','sermon']) THEN 'info' ELSE 'warning' END AS noise FROM works JOIN n USING (work_id)"""))
 def chunk_noise_severity(spark, sf_dir) -> DataFrame:
-    old = F.col("n_docs") - F.col("num") % 4
+    """Over a tenth of noise is a warning, of works in short lines a note; a tenth more passages since the second pass ask for a new voice."""
+    noise = (F.col("granularity").isin("micro", "nano") & F.col("section_type").isin("index", "bibliography")) | (F.length("text") < 50)
+    n = chunks(spark, sf_dir).groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pass_number") <= 2).alias("old"), F.count_if(noise).alias("noise"))
     short = F.arrays_overlap("genre_tags", F.array(F.lit("poetry"), F.lit("sermon")))
-    return works(spark, sf_dir).select("work_id", F.when(F.col("n_docs") >= old * 1.1, "re-extract").otherwise("fresh").alias("voice"), F.when(short, "info").when(F.col("total_chars") % 10 > 1, "warning").otherwise("ok").alias("noise"))
+    w = works(spark, sf_dir).select("work_id", "genre_tags").join(n, "work_id")
+    return w.select("work_id", F.when(F.col("n") >= F.col("old") * 1.1, "re-extract").otherwise("fresh").alias("voice"), F.when(F.col("noise") * 10 <= F.col("n"), "ok").when(short, "info").otherwise("warning").alias("noise"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'tension' ELSE 'thesis' END AS section, '[REF-'||(doc_id % 9)||']' AS ref, 2 AS refs FROM documents""")
+@query(r"""SELECT doc_id, [lower(x) FOR x IN regexp_extract_all(text, '(?m)^#+ ([A-Z ]+)$', 1)] AS sections, len(regexp_extract_all(text, '\[REF-[0-9]+\]')) AS refs, len(regexp_extract_all(text, '(?m)^[A-Z][A-Za-z ]{2,30}:')) AS labels FROM documents""")
 def structured_text(spark, sf_dir) -> DataFrame:
-    name = F.when(F.col("doc_id") % 4 == 0, "TENSION").otherwise("THESIS")
-    ref = (F.col("doc_id") % 9).cast("string")
-    text = F.concat(F.lit("## "), name, F.lit("\nfirst [REF-"), ref, F.lit("] and [REF-x] and [REF-12]\n## END\n"))
-    found = F.regexp_extract_all("t", F.lit(r"(\[REF-[0-9]+\])"), F.lit(1))
-    return load(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", F.lower(F.regexp_extract("t", r"(?m)^## ([A-Z ]+)$", 1)).alias("section"), F.element_at(found, 1).alias("ref"), F.size(found).alias("refs"))
+    """Section marks, reference marks and labels in the stored texts."""
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    heads = F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^#+ ([A-Z ]+)$"), F.lit(1)), lambda x: F.lower(x))
+    return load(spark, sf_dir, "documents").select("doc_id", heads.alias("sections"), count(r"\[REF-[0-9]+\]").alias("refs"), count(r"(?m)^[A-Z][A-Za-z ]{2,30}:").alias("labels"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, length(html) AS size FROM pages""")

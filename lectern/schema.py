@@ -21,5 +21,16 @@ ROUTES = {"primary": "full_pipeline", "secondary": "critical_pipeline", "tertiar
 CONFIDENCE_RANK = {"high": 1, "medium": 2, "low": 3}
 VAULT_FOLDERS = {"book": "books", "video": "videos", "audio": "audio", "podcast": "podcasts", "article": "articles"}
 LANGUAGES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "lat": "la"}
-STRATEGIES = {"thematic": (20, "meso"), "comparative": (30, "meso"), "quote": (10, "micro"), "biographical": (15, "macro"), "evolution": (40, "meso")}
-STOP_WORDS = "this that with from have been were they their there which would could should about these those other into than then when what will more some such only also very just over after before between through being because does make made many most much must each even first like well".split()
+#: Question type: limits of the first and third pass, weights of vectors and words, preferred granularity.
+STRATEGIES = {
+    "factual": (15, 5, 0.6, 0.4, "micro"),
+    "thematic": (20, 10, 0.7, 0.3, "macro"),
+    "generative": (20, 10, 0.8, 0.2, "meso"),
+    "quote": (15, 10, 0.3, 0.7, "micro"),
+}
+STOP_WORDS = (
+    "that this with from have been were will would could should their there these those "
+    "which what when where about into than them then some such also more most very "
+    "just over only even each much many does being other after before between through "
+    "under during without however another because"
+).split()

@@ -38,7 +38,7 @@ def test_fusion_sums_and_checks_weights(spark):
 
 def test_keep_first_registers_only_kept_rows(spark):
     rows = spark.createDataFrame([(0, 1, 1, "x"), (0, 2, 2, "x"), (0, 3, 2, "z")], "q long, arrival long, id long, text_key string")
-    got = fusion.keep_first_by_id_and_text(rows, "q", "q long, arrival long, id long, text_key string").orderBy("arrival").collect()
+    got = fusion.keep_first_by_id_and_text(rows, "q").orderBy("arrival").collect()
     assert [(r.id, r.text_key) for r in got] == [(1, "x"), (2, "z")]
 
 
@@ -103,13 +103,106 @@ def test_text_functions(spark):
 
 def test_strategy_of_tags(spark):
     tags = lambda *x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
-    assert value(spark, chunking.strategy_of(tags("unknown", "transcript", "poetry"))) == "transcript"
+    assert value(spark, chunking.strategy_of(tags("unknown", "Youtube-Captions", "poetry"))) == "transcript"
+    assert value(spark, chunking.strategy_of(tags("transcript"))) == "sermon"  # named by two strategies: the later one's
+    assert value(spark, chunking.strategy_of(tags("q_and_a"))) == "interview" and value(spark, chunking.strategy_of(tags("poems"))) == "poetry"
     assert value(spark, chunking.strategy_of(tags("unknown"))) == "scholarly" and value(spark, chunking.strategy_of(tags())) is None
 
 
 def test_tiers(spark):
-    got = [value(spark, S.tier(F.lit(k), F.lit(s))) for k, s in (("passage_link", 0.95), ("passage_link", 0.59), ("theme", 0.1), ("vector", 0.6), ("reflection", 0.79))]
-    assert got == ["high", "low", "medium", "medium", "medium"]
+    cases = [("passage_link", 0.81, "high"), ("passage_link", 0.8, "medium"), ("passage_link", 0.5, "low"), ("theme", 0.76, "medium"), ("theme", 0.6, "low"), ("vector", 0.81, "high"), ("vector", 0.51, "medium"), ("vector", 0.5, "low"),
+             ("reflection", 0.71, "high"), ("reflection", 0.41, "medium"), ("reflection", 0.4, "low"), ("entity_overlap", 0.9, "high"), ("entity_overlap", 0.7, "medium"), ("entity_overlap", 0.5, "low"), ("temporal", 0.9, "high"), ("temporal", 0.1, "low")]
+    assert [value(spark, S.tier(F.lit(k), F.lit(s))) for k, s, _ in cases] == [t for *_, t in cases]
+    assert value(spark, S.tier(F.lit("passage_link"), F.lit(0.1), F.lit("high"))) == "high" and value(spark, S.tier(F.lit("passage_link"), F.lit(0.1), F.lit("medium"))) == "medium"
+    assert value(spark, S.tier(F.lit("reflection"), F.lit(0.1), direct=F.lit(True))) == "high"
+
+
+def test_sections_and_chapters(spark):
+    kinds = {"Contents": "toc", "Works Cited": "bibliography", "Index of First Lines": "index", "Dedication": "front_matter", "Preface: On Hope": "preface", "Appendix B": "back_matter", "Indexing": None, "The Preface": None}
+    for heading, kind in kinds.items():
+        assert value(spark, T.section_type(F.lit(heading))) == kind
+    chapters = {"Chapter IV: The Sea": True, "part two": True, "Prologue": True, "Afterword": True, "Appendix b": True, "Prologue to it": False, "A chapter": False}
+    for line, is_one in chapters.items():
+        assert value(spark, T.is_chapter_heading(F.lit(line))) == is_one
+    index = "\n".join(["Hope, 3, 17-19", "Sea 4", "Grace of God, 5", "other line", "Love, 7"])
+    titles = "Smith, A Book (1990)\nJones, Another 1991.\nplain"
+    assert value(spark, T.section_type_by_content(F.lit(index))) == "index" and value(spark, T.section_type_by_content(F.lit(titles))) == "bibliography"
+    assert value(spark, T.section_type_by_content(F.lit("a\nb"))) is None
+
+
+def test_citation_forms(spark):
+    cases = {"footnote": ("as said. See Smith, pp. 12-14.", ["Smith"]), "parenthetical": ("so (Mary Jones, 1987, pp. 3) it is", ["Mary Jones"]), "attribution": ("a quote — John Donne, Holy Sonnets", ["John Donne"]), "inline": ("According to Smith's \"The Sea\" and in Jones's first book", ["Smith", "Jones"])}
+    for form, pattern in T.CITATIONS:
+        text, names = cases[form]
+        assert value(spark, F.regexp_extract_all(F.lit(text), F.lit(pattern), F.lit(1))) == names, form
+
+
+def test_scripture_in_order(spark):
+    assert value(spark, T.scripture_refs(F.lit("as John 3:16 says, 1 John 4:7-9 and again John 3:16."))) == ["John 3:16", "1 John 4:7-9"]
+
+
+def test_phrases_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "The old sea, and the old man"), (2, "an old sea"), (3, None), (4, "man")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "old sea"), (2, "the old sea and the old man"), (3, "man"), (4, ""), (5, "sea and the new")], "phrase_id long, phrase string")
+    for most in (100, 1):  # with the hashes broadcast, and joined
+        got = {tuple(r) for r in search.phrase_search(texts, asked, most=most).collect()}
+        assert got == {(1, 1), (1, 2), (2, 1), (3, 1), (3, 4)}
+
+
+def test_nearest_as_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.normal(0, 1, (60, 4))
+    x[7] = 0
+    v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = v.filter("chunk_id % 10 = 0").selectExpr("chunk_id as id", "embedding")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    want = {(i, j) for i in range(0, 60, 10) for j in sorted((k for k in range(60) if k != i), key=lambda k: (-round(float(unit[i] @ unit[k]), 6), k))[:5]}
+    for block in (4096, 2):
+        assert {(a.id, a.chunk_id) for a in search.nearest(v, asked, 5, block).collect()} == want
+    assert search.nearest(v, asked.limit(0), 5).count() == 0
+
+
+def test_numbered_by_ranges(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(100)], "g string, o long")
+    got = {(x.g, x.o): x.number for x in fusion.numbered(rows, "g", "o").collect()}
+    for g in ("a", None):
+        mine = sorted(o for h, o in got if h == g)
+        assert [got[(g, o)] for o in mine] == list(range(len(mine)))
+
+
+def test_keep_first_as_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(q, i, r.randrange(12), f"t{r.randrange(12)}") for q in range(3) for i in range(40)]
+    want, ids, texts = [], {}, {}
+    for q, i, a, t in rows:
+        if a not in ids.setdefault(q, set()) and t not in texts.setdefault(q, set()):
+            ids[q].add(a)
+            texts[q].add(t)
+            want.append((q, i))
+    frame = spark.createDataFrame(rows, "q long, arrival long, id long, text_key string").repartition(4)
+    assert sorted((x.q, x.arrival) for x in fusion.keep_first_by_id_and_text(frame, "q").collect()) == want
+
+
+def test_themes_of_other_works(spark):
+    """A seed's themes give other works' first passages, made up for where its own would have come first."""
+    import collections
+
+    edges = [(str(i), f"t{i % 3}") for i in range(60)] + [("1", "t0"), ("1", "t2")]
+    owner = {str(i): "w0" if i < 30 else f"w{i % 4}" for i in range(60)}
+    e = spark.createDataFrame(edges, "src string, dst string")
+    w = spark.createDataFrame(list(owner.items()), "src string, owner string")
+    got = collections.defaultdict(set)
+    for r in S.by_themes(e.selectExpr("src as id").distinct(), e, w, 2, 4).collect():
+        got[r.id].add(r.other)
+    for i in owner:
+        want = set()
+        for t in sorted({d for s, d in edges if s == i})[:2]:
+            want |= set(sorted((s for s, d in set(edges) if d == t and owner[s] != owner[i]), key=int)[:4])
+        assert got[i] == want
 
 
 def test_empty_inputs(spark):
