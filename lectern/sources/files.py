@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_chapter_heading, is_section_heading
+from ..functions.text import BIBLIOGRAPHY_LINE, CHAPTER_LINES, INDEX_LINE, SECTION_HEADINGS, is_chapter_heading, is_section_heading
 from ..schema import DOC_NODES
 
 EXTENSIONS = ("epub", "docx", "html", "htm", "txt")
@@ -99,6 +99,35 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def heading_type(heading: str) -> str | None:
+    """Section type of the first rule that a whole heading meets."""
+    return next((name for name, pattern in SECTION_HEADINGS if re.fullmatch(pattern, heading.strip(), re.I | re.A)), None)
+
+
+def content_type(text: str) -> str | None:
+    """Section type by lines that look like those of an index or a bibliography."""
+    lines = [x for x in (line.strip() for line in text.split("\n")) if x]
+    share = lambda pattern: sum(bool(re.match(pattern, x)) for x in lines) / len(lines)
+    if len(lines) >= 5 and share(INDEX_LINE) > 0.4:
+        return "index"
+    return "bibliography" if len(lines) >= 3 and share(BIBLIOGRAPHY_LINE) > 0.3 else None
+
+
+def typed(nodes: list[Node], first: str | None = None) -> list[Node]:
+    """Nodes with section types: a heading's own or its parent's, else by the text under it, else ``first``."""
+    below: dict[int, list[str]] = {}
+    for parent, _, kind, _, text in nodes:
+        if kind not in ("document", "chapter", "section"):
+            below.setdefault(parent, []).append(text)
+    out: list[Node] = []
+    for i, (parent, depth, kind, _, text) in enumerate(nodes):
+        over = out[parent][3] if parent >= 0 else None
+        if kind in ("document", "chapter", "section"):
+            over = (heading_type(text) if kind != "document" else None) or over or content_type("\n".join(below.get(i, []))) or (first if kind == "document" else None)
+        out.append((parent, depth, kind, over, text))
+    return out
+
+
 def parse_html(raw: bytes) -> list[Node]:
     parser = _Html()
     parser.feed(decoded(raw))
@@ -113,11 +142,11 @@ def parse_html(raw: bytes) -> list[Node]:
         nodes.append((parent, depth, kind, None, text))
         if depth < 3:
             heads = {d: n for d, n in heads.items() if d < depth} | {depth: len(nodes) - 1}
-    return nodes
+    return typed(nodes)
 
 
 def parse_epub(raw: bytes) -> list[Node]:
-    """The spine's parts in order, each parsed as HTML under one document node."""
+    """The spine's parts in order, each parsed as HTML under one document node; of five or more an untyped first is front matter."""
     nodes: list[Node] = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
@@ -127,9 +156,12 @@ def parse_epub(raw: bytes) -> list[Node]:
         title = next((e.text or "" for e in package.iter() if e.tag.endswith("}title")), "")
         nodes.append((-1, 0, "document", None, title))
         items = {e.attrib["id"]: e.attrib["href"] for e in package.iter() if e.tag.endswith("}item")}
-        for ref in (e.attrib["idref"] for e in package.iter() if e.tag.endswith("}itemref")):
+        spine = [e.attrib["idref"] for e in package.iter() if e.tag.endswith("}itemref")]
+        for number, ref in enumerate(spine):
             name = f"{base}/{items[ref]}" if base else items[ref]
             part = parse_html(z.read(name))
+            if number == 0 and len(spine) >= 5 and not any(n[3] for n in part):
+                part = [(p, d, k, "front_matter", t) for p, d, k, _, t in part]
             shift = len(nodes) - 1
             nodes += [(p + shift if p > 0 else 0, d, k, s, t) for p, d, k, s, t in part[1:]]
     return nodes
@@ -159,7 +191,7 @@ def parse_docx(raw: bytes) -> list[Node]:
                 nodes.append((section or chapter, 3, "paragraph", None, text(e)))
         elif e.tag == f"{w}tbl":
             nodes += [(section or chapter, 3, "table_row", None, " | ".join(text(c) for c in r.iter(f"{w}tc"))) for r in e.iter(f"{w}tr")]
-    return nodes + [(0, 1, "footnote", None, text(n)) for n in notes if text(n)]
+    return typed(nodes) + [(0, 1, "footnote", None, text(n)) for n in notes if text(n)]
 
 
 def parse_txt(raw: bytes) -> list[Node]:
@@ -172,15 +204,15 @@ def parse_txt(raw: bytes) -> list[Node]:
     for block in (b.strip() for b in re.split(r"\n\s*\n", text)):
         if not block:
             continue
-        if re.match(r"(?i)(chapter|part|book)\s+([0-9]+|[ivxlc]+|one|two|three|four|five|six|seven|eight|nine|ten)\b", block) and len(block) < 120:
+        if re.fullmatch("|".join(CHAPTER_LINES), block, re.I | re.A):
             nodes.append((0, 1, "chapter", None, block))
             chapter = section = len(nodes) - 1
-        elif re.fullmatch(r"[IVXLC]+\.?", block) or block.upper() == block and 4 <= len(block) <= 80 and re.search("[A-Z]", block):
+        elif re.fullmatch(r"[IVXLCDM]+\.?|[A-Z][A-Z\s0-9:.,!?\-—–]{2,80}", block, re.A):
             nodes.append((chapter, 2, "section", None, block))
             section = len(nodes) - 1
         else:
             nodes.append((section or chapter, 3, "paragraph", None, block))
-    return nodes
+    return typed(nodes)
 
 
 PARSERS: dict[str, Callable[[bytes], list[Node]]] = {"epub": parse_epub, "docx": parse_docx, "html": parse_html, "htm": parse_html, "txt": parse_txt}
@@ -198,7 +230,7 @@ def parse(files: DataFrame) -> DataFrame:
                     raise ValueError(f"no parser for {path}")
                 try:
                     nodes = parser(bytes(content))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration) as e:
+                except Exception as e:  # noqa: BLE001 - a file of any defect is a row, not the end of the job
                     nodes = [(-1, 0, "error", None, repr(e))]
                 rows += [(path, i, p, i, d, k, s, t) for i, (p, d, k, s, t) in enumerate(nodes)]
             yield pd.DataFrame(rows, columns=["doc_id", "node_id", "parent_id", "ord", "depth", "node_type", "section_type", "text"])

@@ -1,11 +1,12 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vector as V
-from lectern.operators import chunking, fusion, graph, search, sessions
+from lectern.operators import chunking, fusion, graph, ingest, search, sessions
 from lectern.operators import surfacing as S
 
 
@@ -205,6 +206,46 @@ def test_themes_of_other_works(spark):
         assert got[i] == want
 
 
+def test_candidate_terms(spark):
+    texts = ["Grace Of God and Grace Of God. The Old Sea", "he said 'living water' and \"living water\" too; Only Once", "The Old Sea again", None, ""]
+    got = {r.term: r.n for r in ingest.candidate_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {"Grace Of God": 2, "living water": 2}
+
+
+def test_json_set(spark):
+    cases = [('{"a": 1, "b": "x, y"}', "b", "z", {"a": 1, "b": "z"}), ('{"b": "x"}', "b", "z", {"b": "z"}), ("{}", "b", 'q"uo', {"b": 'q"uo'}), ('{"b": 2, "a": [1]}', "b", "z", {"a": [1], "b": "z"}), ('{"a": null}', "b", "", {"a": None, "b": ""})]
+    for doc, key, new, want in cases:
+        assert json.loads(value(spark, ingest.json_set(F.lit(doc), key, F.lit(new)))) == want
+
+
+def test_context_text(spark):
+    assert value(spark, ingest.passage_text(F.lit("words"), F.lit("a--b"), F.lit("primary"))) == "[PRIMARY] [a--b]\nwords"
+    assert value(spark, ingest.passage_text(F.lit("words"), F.lit("a--b"), F.lit("primary"), F.lit("graph"))) == "[PRIMARY] [a--b] (via graph)\nwords"
+    seen = F.array(*[F.struct(F.lit(f"w{i}").alias("work_id"), F.lit(f"s{i}").alias("summary")) for i in range(4)])
+    more = F.array(*[F.lit(f"t{i}") for i in range(7)])
+    assert value(spark, ingest.theme_summary(F.lit("hope"), F.lit("for"), seen, more)) == "Theme: hope\n  Author's stance: for\n  In w0: s0\n  In w1: s1\n  In w2: s2\n  Related themes: t0, t1, t2, t3, t4"
+    assert value(spark, ingest.theme_summary(F.lit("hope"), F.lit("for"), F.slice(seen, 1, 1), F.slice(more, 1, 0))) == "Theme: hope\n  Author's stance: for\n  In w0: s0"
+
+
+def test_ingestion_report(spark):
+    text = "Index\n\n" + "\n\n".join("word " * n for n in (300, 250, 29, 30)) + "\n\nChapter 2\n\nlast words here"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "Preface")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, "macro", 0)], "doc_id long, granularity string, position long")
+    got = {r.doc_id: r for r in ingest.ingested(docs, known).collect()}
+    assert (got[1].macro, got[1].meso, got[1].micro, got[1].words, got[1].to_embed, got[1].status) == (1, 2, 3, 612, 5, "embed")
+    assert got[2].status == got[3].status == "empty"
+    kinds = {(r.granularity, r.position): r.section_type for r in ingest.passages_of(docs).collect()}
+    assert kinds[("micro", 1)] == "index" and kinds[("macro", 0)] == "index"
+
+
+def test_links_on_demand_scans_and_directions(spark):
+    links = spark.createDataFrame([("explicit", "1", "2", 0.9), ("explicit", "2", "3", 0.9), ("thematic", "1", "2", 0.4), ("implicit", "1", "3", 0.7)], "scan string, src string, dst string, score double")
+    works = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "b")], "src string, owner string")
+    found = lambda *a: {tuple(r)[:4] for r in ingest.links_on_demand(links, works, *a).select("work_id", "scan", "direction", "links").collect()}
+    assert found(("explicit", "thematic"), 0.5) == {("a", "explicit", "forward", 1), ("b", "explicit", "retroactive", 1)}
+    assert found(("implicit", "thematic"), 0.3, False) == {("a", "implicit", "forward", 1), ("a", "thematic", "forward", 1)}
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert chunking.scholarly(empty).count() == 0

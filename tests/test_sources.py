@@ -79,3 +79,42 @@ def test_captures_quarantine(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 3
     sinks.write_reports(spark.createDataFrame([("a\nb",)], "report string"), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a\\nb"]
+
+
+def test_section_types_of_parsed_files():
+    index = "\n\n".join(f"Hope of{'x' * i}, {i}, {i + 3}-{i + 9}" for i in range(1, 7))
+    nodes = files.parse_txt(f"Preface: On It\n\nfirst words\n\nChapter 1\n\n{index}\n\nEPILOGUE\n\nlast".encode())
+    assert [(k, s) for _, _, k, s, _ in nodes if k != "paragraph"] == [("document", None), ("paragraph", None)][:1] + [("chapter", "index"), ("chapter", "back_matter")]
+    page = files.parse_html(b"<body><h1>Works Cited</h1><p>Smith, A Book (1990)</p><h2>Notes</h2><p>x</p></body>")
+    assert [s for *_, s, _ in page] == [None, "bibliography", "bibliography", "back_matter", "back_matter"]
+
+
+def test_every_stored_page_is_parsed(spark):
+    import html
+    import re
+
+    from lectern.plans import PLANS
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    nodes = {}
+    for r in files.parse(spark.createDataFrame([(f"{x.page_id}.html", bytearray(x.html.encode())) for x in rows], "path string, content binary")).collect():
+        nodes.setdefault(int(r.doc_id.split(".")[0]), []).append(r)
+    assert len(PLANS["parse_html_files"](spark, "/root/testdata/sf0.001").collect()) == len(rows) == len(nodes)
+    for x in rows:
+        title = html.unescape(re.search("(?is)<title>(.*?)</title>", x.html)[1])
+        assert nodes[x.page_id][0].text == " ".join(title.split())
+        bare = " ".join(html.unescape(re.sub("(?s)<[^>]*>", " ", re.sub("(?is)<(script|style)\\b.*?</\\1>", " ", x.html))).split())
+        squeezed = re.sub(r"\s+", "", bare)
+        assert all(re.sub(r"\s+", "", n.text) in squeezed for n in nodes[x.page_id] if n.node_type == "paragraph")
+
+
+def test_a_defect_of_any_kind_is_an_error_row(spark):
+    import io
+    import zipfile
+
+    empty = io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as z:
+        z.writestr("word/document.xml", "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'/>")
+    rows = spark.createDataFrame([("a.docx", bytearray(empty.getvalue())), ("b.epub", bytearray(b"PK\x03\x04broken")), ("c.txt", bytearray(b"\xff\xfe ok"))], "path string, content binary")
+    got = {r.doc_id: r.node_type for r in files.parse(rows).filter("node_id = 0").collect()}
+    assert got == {"a.docx": "error", "b.epub": "error", "c.txt": "document"}
