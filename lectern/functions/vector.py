@@ -21,9 +21,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0 if a vector is zero."""
-    size = norm(a) * norm(b)
+def cosine(a: Column, b: Column, size_b: Column | None = None) -> Column:
+    """Cosine similarity, 0 if a vector is zero; ``size_b`` is the norm of ``b`` where it is known."""
+    size = norm(a) * (norm(b) if size_b is None else size_b)
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 

@@ -16,7 +16,8 @@ from ..functions import vector as V
 def vector_search(vectors: DataFrame, query: DataFrame, limit: int = 20, threshold: float = 0.0, filters: Column | None = None) -> DataFrame:
     """chunk_id and score of the nearest vectors to the one row of ``query`` (query_vector), filters first."""
     rows = vectors if filters is None else vectors.filter(filters)
-    scored = rows.crossJoin(F.broadcast(query.limit(1))).withColumn("score", F.round(V.cosine(F.col("embedding"), F.col("query_vector")), 6))
+    asked = query.limit(1).select("query_vector", V.norm(F.col("query_vector")).alias("query_norm"))
+    scored = rows.crossJoin(F.broadcast(asked)).withColumn("score", F.round(V.cosine(F.col("embedding"), F.col("query_vector"), F.col("query_norm")), 6))
     return scored.filter(F.col("score") >= threshold).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
@@ -60,6 +61,41 @@ def _nearest_block(vectors: DataFrame, sent, limit: int) -> DataFrame:
     return vectors.select("chunk_id", "embedding").mapInPandas(work, "id long, chunk_id long, score double")
 
 
+def similar_within(items: DataFrame, others: DataFrame, threshold: float, group: str = "group", block: int = 1024) -> DataFrame:
+    """a, b, group, score: rows of ``items`` and ``others`` (id, embedding, group) of one group with a cosine of ``threshold`` or more.
+
+    Groups are cut into blocks of about ``block`` rows a side, and every block of one side meets every block of
+    the other as matrices; only pairs over the threshold leave a task.  An id does not meet itself.
+    """
+    parts = {}
+    for name, frame in (("a", items), ("b", others)):
+        parts[name] = frame.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"n_{name}"))
+    sizes = parts["a"].join(parts["b"], group)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    one = items.join(sizes, group).select("id", "embedding", group, F.lit(0).alias("side"), own("n_a").alias("i"), every("n_b").alias("j"))
+    two = others.join(sizes, group).select("id", "embedding", group, F.lit(1).alias("side"), every("n_a").alias("i"), own("n_b").alias("j"))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], group: [], "score": []}, dtype=object)
+        unit = []
+        for side in (left, right):
+            x = np.stack(side["embedding"].to_numpy())
+            size = np.linalg.norm(x, axis=1)
+            unit.append(x / np.where(size == 0, 1, size)[:, None])
+        score = np.round(unit[0] @ unit[1].T, 6)
+        at, to = np.nonzero(score >= threshold)
+        a, b = left["id"].to_numpy()[at], right["id"].to_numpy()[to]
+        other = a != b
+        a, b, found = a[other], b[other], score[at, to][other]
+        return pd.DataFrame({"a": a, "b": b, group: pd.Series([frame[group].iloc[0]] * len(a), dtype=object), "score": found})
+
+    return one.unionByName(two).groupBy(group, "i", "j").applyInPandas(work, f"a {kinds['id']}, b {kinds['id']}, {group} {kinds[group]}, score double")
+
+
 @dataclass
 class WebQuery:
     """A parsed search: alternatives of required terms and phrases, and what must not occur."""

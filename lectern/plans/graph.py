@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
 from ..operators import fusion
 from ..operators import graph as G
+from ..operators.search import similar_within
 from ..schema import STOP_WORDS
 from ..tables import chunks, edges, load, vectors, with_views, works
 from .registry import query
@@ -67,9 +67,9 @@ _ENTITIES = "type IN ('MAKES_ARGUMENT','CONCEPT_USED_IN','REFERENCES_PERSON')"
   SELECT *, CASE WHEN shared >= 5 THEN 'high' WHEN shared >= 3 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN shared >= 5 THEN 0.95 WHEN shared >= 3 THEN 0.75 ELSE 0.5 END::DOUBLE AS score FROM p ORDER BY shared DESC, a, b LIMIT 100"""))
 def entity_overlap_pairs(spark, sf_dir) -> DataFrame:
     e = of_type(spark, sf_dir, "MAKES_ARGUMENT", "CONCEPT_USED_IN", "REFERENCES_PERSON").select("src", "type", "dst")
-    pairs = G.shared_targets(e, owners(spark, sf_dir)).drop("types")
+    pairs = G.top_shared(e, owners(spark, sf_dir), 100)
     tier, score = G.overlap_tier(F.col("shared"))
-    return pairs.withColumns({"tier": tier, "score": score}).orderBy(F.desc("shared"), "a", "b").limit(100)
+    return pairs.withColumns({"tier": tier, "score": score})
 
 
 @query(with_views("chunks edges", """SELECT c.work_id, d.work_id AS other_work, type, count(*) AS links FROM edges e JOIN chunks c ON e.src = c.chunk_id::VARCHAR JOIN chunks d ON e.dst = d.chunk_id::VARCHAR WHERE type IN ('ENGAGES_WITH','THEMATIC_PARALLEL') AND c.work_id <> d.work_id GROUP BY ALL"""))
@@ -126,16 +126,19 @@ def delete_work_from_graph(spark, sf_dir) -> DataFrame:
     return G.delete_nodes(edges(spark, sf_dir), gone).groupBy("type").agg(F.count(F.lit(1)).alias("left_over"))
 
 
-@query()
+@query(with_views("vectors edges", """WITH $ d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node),
+  r AS (SELECT chunk_id::VARCHAR AS item, embedding, label, row_number() OVER (ORDER BY -coalesce(degree, 0), chunk_id::VARCHAR) AS rn FROM vectors LEFT JOIN d ON node = chunk_id::VARCHAR),
+  near AS (SELECT x.rn, list(y.rn) AS smaller FROM r x JOIN r y ON x.label = y.label AND y.rn < x.rn WHERE round(list_cosine_similarity(x.embedding, y.embedding), 6) >= 0.85 GROUP BY x.rn),
+  l AS (SELECT r.rn, coalesce(smaller, []) AS smaller FROM r LEFT JOIN near USING (rn)),
+  s AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS heads, NULL::BIGINT AS rep UNION ALL
+    SELECT l.rn, CASE WHEN len(list_intersect(l.smaller, s.heads)) = 0 THEN list_append(s.heads, l.rn) ELSE s.heads END, coalesce(list_min(list_intersect(l.smaller, s.heads)), l.rn) FROM s JOIN l ON l.rn = s.rn + 1)
+  SELECT r.item, q.item AS representative FROM s JOIN r USING (rn) JOIN r q ON q.rn = s.rep""", recursive=True))
 def theme_dedup(spark, sf_dir) -> DataFrame:
-    """Concepts of the first vectors of each label, clustered by cosine in order of degree."""
-    v = fusion.top_per_group(vectors(spark, sf_dir), ["label"], ["chunk_id"], 20).select(F.col("chunk_id").cast("string").alias("item"), "embedding", "label")
+    """Concepts of all vectors of each label, clustered by cosine in order of degree."""
+    v = vectors(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("id"), "embedding", F.col("label").alias("group"))
     d = G.degrees(edges(spark, sf_dir)).withColumnRenamed("node", "item")
-    ranked = v.select("item").join(d, "item", "left").select("item", F.struct(-F.coalesce("degree", F.lit(0)), "item").alias("rank"))
-    # Candidates share a label, so pairs are met by an equi-join of groups of at most 20.
-    a, b = (v.select(F.col("item").alias(s), F.col("embedding").alias(f"e{s}"), "label") for s in "ab")
-    similar = a.join(b, "label").filter("a <> b").filter(V.cosine(F.col("ea"), F.col("eb")) >= 0.85).select("a", "b")
-    return G.greedy_clusters(ranked, similar, spark)
+    ranked = v.select(F.col("id").alias("item")).join(d, "item", "left").select("item", F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), "item").alias("rank"))
+    return G.greedy_clusters(ranked, similar_within(v, v, 0.85).select("a", "b"), spark)
 
 
 @query(with_views("chunks vectors edges", """WITH $ t AS (SELECT DISTINCT src::BIGINT AS chunk_id, dst FROM edges WHERE type = 'EXPLORES_THEME'), p AS (SELECT x.chunk_id AS a, y.chunk_id AS b, list_sort(list(x.dst)) AS themes FROM t x JOIN chunks c ON c.chunk_id = x.chunk_id AND c.source_class = 'primary' JOIN t y ON x.dst = y.dst JOIN chunks d ON d.chunk_id = y.chunk_id AND d.source_class = 'contextual' GROUP BY ALL),
@@ -148,10 +151,9 @@ def thematic_parallel(spark, sf_dir) -> DataFrame:
     def side(kind: str, name: str) -> DataFrame:
         return t.join(c.filter(F.col("source_class") == kind), "chunk_id").select(F.col("chunk_id").alias(name), "dst")
 
-    pairs = side("primary", "a").join(side("contextual", "b"), "dst").groupBy("a", "b").agg(F.array_sort(F.collect_set("dst")).alias("themes"))
-    v = vectors(spark, sf_dir)
-    scored = pairs.join(v.select(F.col("chunk_id").alias("a"), F.col("embedding").alias("ea")), "a").join(v.select(F.col("chunk_id").alias("b"), F.col("embedding").alias("eb")), "b")
-    scored = scored.select("a", "b", "themes", F.round(V.cosine(F.col("ea"), F.col("eb")), 6).alias("score")).filter("score >= 0.3")
+    v = vectors(spark, sf_dir).select("chunk_id", "embedding")
+    one, two = (side(kind, "chunk_id").join(v, "chunk_id").select(F.col("chunk_id").alias("id"), "embedding", F.col("dst").alias("group")) for kind in ("primary", "contextual"))
+    scored = similar_within(one, two, 0.3).groupBy("a", "b").agg(F.array_sort(F.collect_set("group")).alias("themes"), F.max("score").alias("score"))
     links = of_type(spark, sf_dir, "ENGAGES_WITH").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     return G.without_linked(scored, links)
 

@@ -206,6 +206,54 @@ def test_themes_of_other_works(spark):
         assert got[i] == want
 
 
+def test_top_shared_as_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    edges = {(f"s{i}", "K", f"t{min(int(r.expovariate(0.3)), 30)}") for i in range(150) for _ in range(6)} | {(f"s{i}", "K", "hot") for i in range(150)}
+    owner = {f"s{i}": f"w{i % 3 if i % 2 else 0}" for i in range(150)}
+    sets = {s: {d for x, _, d in edges if x == s} for s in owner}
+    pairs = sorted((-len(sets[a] & sets[b]), a, b) for a in owner for b in owner if a < b and owner[a] != owner[b] and len(sets[a] & sets[b]) >= 2)[:40]
+    e, w = spark.createDataFrame(list(edges), "src string, type string, dst string"), spark.createDataFrame(list(owner.items()), "src string, owner string")
+    for block in (2048, 40):
+        got = graph.top_shared(e, w, 40, block=block).collect()
+        assert [(-x.shared, x.a, x.b) for x in got] == pairs and all(set(x.targets) == sets[x.a] & sets[x.b] for x in got)
+    assert graph.top_shared(e.limit(0), w, 5).count() == 0
+
+
+def test_similar_within_as_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(0, 1, (80, 3)), 3)
+    x[5] = 0
+    rows = [(f"i{i}", [float(c) for c in v], f"g{i % 2}") for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id string, embedding array<double>, group string")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    want = {(f"i{i}", f"i{j}") for i in range(80) for j in range(80) if i != j and i % 2 == j % 2 and round(float(unit[i] @ unit[j]), 6) >= 0.7}
+    for block in (1024, 9):
+        got = search.similar_within(frame, frame, 0.7, block=block).collect()
+        assert {(g.a, g.b) for g in got} == want and len(got) == len(want)
+    assert search.similar_within(frame.limit(0), frame, 0.7).count() == 0
+
+
+def test_greedy_clusters_as_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    links = {(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(60)) if a != b}
+    links |= {(b, a) for a, b in links}
+    rank = {i: r.randrange(10_000) * 100 + i for i in range(40)}
+    want = {}
+    for i in sorted(rank, key=rank.get):
+        if i not in want:
+            want[i] = i
+            want |= {j: i for j in range(40) if (i, j) in links and j not in want}
+    ranked = spark.createDataFrame([(str(i), k) for i, k in rank.items()], "item string, rank long")
+    near = spark.createDataFrame([(str(a), str(b)) for a, b in links], "a string, b string")
+    assert {int(x.item): int(x.representative) for x in graph.greedy_clusters(ranked, near, spark).collect()} == want
+
+
 def test_candidate_terms(spark):
     texts = ["Grace Of God and Grace Of God. The Old Sea", "he said 'living water' and \"living water\" too; Only Once", "The Old Sea again", None, ""]
     got = {r.term: r.n for r in ingest.candidate_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
