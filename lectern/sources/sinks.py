@@ -11,49 +11,98 @@ from ..operators.graph import insert_absent, upsert
 
 
 class Table:
-    """A table of Parquet generations: a write makes the next folder, then moves the pointer.
+    """A keyed table of Parquet files in buckets of the key, written by generations.
 
-    Readers keep the generation they began with, and a writer that dies leaves the pointer as it was.
+    An append adds files and reads none.  A write by key reads and replaces only the buckets its keys fall
+    into.  A generation counts once its marker is there, so readers see none or all of it, and a writer
+    that dies leaves the table as it was.  ``vacuum`` deletes what later generations have replaced.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: Sequence[str]) -> None:
-        self.spark, self.folder, self.schema, self.key = spark, folder, schema, list(key)
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: Sequence[str], buckets: int = 64) -> None:
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, schema, list(key), buckets
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _generations(self) -> list[int]:
-        path = self._path(self.folder)
-        names = [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
-        return sorted(int(n[4:]) for n in names if n.startswith("gen-") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        found = self._generations()
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/gen-{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _generations(self) -> list[tuple[str, list[int] | None]]:
+        """Names in order, and the buckets each replaces, None for one that adds; the marker's name tells."""
+        out = []
+        for name in self._names(self.folder):
+            marks = [n for n in self._names(f"{self.folder}/{name}") if n.startswith("_done")]
+            if name.startswith("gen-") and marks:
+                told = marks[0].removeprefix("_done-")
+                out.append((name, None if told == "add" else [int(x) for x in told.split("_") if x]))
+        return out
+
+    def _files(self) -> dict[int, list[str]]:
+        """The folders that make up each bucket now."""
+        found: dict[int, list[str]] = {}
+        for name, replaced in self._generations():
+            for k in replaced or ():
+                found[k] = []
+            for part in self._names(f"{self.folder}/{name}"):
+                if part.startswith("_bucket="):
+                    found.setdefault(int(part.removeprefix("_bucket=")), []).append(f"{self.folder}/{name}/{part}")
+        return found
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows of all buckets, or of some."""
+        paths = [p for k, some in self._files().items() if buckets is None or k in buckets for p in some]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _write(self, rows: DataFrame, told: str) -> None:
+        names = [n for n in self._names(self.folder) if n.startswith("gen-")]
+        folder = f"{self.folder}/gen-{int(names[-1][4:]) + 1 if names else 0:09d}"
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(folder)
+        self._fs.create(self._path(f"{folder}/_done-{told}")).close()
+
+    def _change(self, keys: DataFrame | None, make) -> None:
+        """Replace the buckets of ``keys`` (all without) by what ``make`` gives for their rows."""
+        touched = list(range(self.buckets)) if keys is None else sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())
+        if touched:
+            self._write(make(self.read(touched)), "_".join(map(str, touched)))
 
     def replace(self, rows: DataFrame) -> None:
-        found = self._generations()
-        rows.write.mode("overwrite").parquet(f"{self.folder}/gen-{found[-1] + 1 if found else 0}")
+        self._change(None, lambda old: rows)
 
     def append(self, rows: DataFrame) -> None:
-        self.replace(self.read().unionByName(rows))
+        self._write(rows, "add")
 
     def upsert(self, rows: DataFrame) -> None:
-        self.replace(upsert(self.read(), rows, self.key))
+        self._change(rows, lambda old: upsert(old, rows, self.key))
 
     def insert_absent(self, rows: DataFrame) -> None:
-        self.replace(insert_absent(self.read(), rows, self.key))
+        self._change(rows, lambda old: insert_absent(old, rows, self.key))
 
     def update(self, where: Column, values: dict[str, Column]) -> None:
-        """Set columns of the rows that meet ``where``."""
-        self.replace(self.read().withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()}))
+        """Set columns, not of the key, of the rows that meet ``where``; buckets without any stay as they are."""
+        self._change(self.read().filter(where), lambda old: old.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()}))
 
     def delete(self, where: Column) -> int:
         """Take out the rows that meet ``where``; gives their number."""
-        rows = self.read()
-        gone = rows.filter(where).count()
-        self.replace(rows.filter(~F.coalesce(where, F.lit(False))))
-        return gone
+        gone = self.read().filter(where)
+        count = gone.count()
+        self._change(gone, lambda old: old.filter(~F.coalesce(where, F.lit(False))))
+        return count
+
+    def vacuum(self) -> None:
+        """Delete folders of buckets that later generations have replaced, and those of writers that died."""
+        live = {p for some in self._files().values() for p in some}
+        done = {name for name, _ in self._generations()}
+        for name in self._names(self.folder):
+            if name not in done:
+                self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+                continue
+            for part in self._names(f"{self.folder}/{name}"):
+                if part.startswith("_bucket=") and f"{self.folder}/{name}/{part}" not in live:
+                    self._fs.delete(self._path(f"{self.folder}/{name}/{part}"), True)
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:

@@ -73,6 +73,36 @@ def test_table_writes(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "z"), (2, "c"), (3, "d")]
 
 
+def test_table_writes_touch_their_buckets_only(spark, tmp_path):
+    """Random writes against a dictionary; buckets without a written key keep their files; a dead writer changes nothing."""
+    import random
+
+    r, folder = random.Random(5), tmp_path / "t"
+    t, held = sinks.Table(spark, str(folder), "k int, v string", ["k"], buckets=8), {}
+    make = lambda rows: spark.createDataFrame(list(rows), "k int, v string")
+    t.append(make([(i, "first") for i in range(40)]))
+    held = {i: "first" for i in range(40)}
+    for step in range(4):
+        rows = {r.randrange(60): f"v{step}" for _ in range(3)}
+        before = t._files()
+        t.upsert(make(rows.items()))
+        held |= rows
+        changed = {k for k, some in t._files().items() if before.get(k) != some}
+        assert changed == {x[0] for x in make(rows.items()).select(t._bucket()).distinct().collect()} and len(changed) <= 3
+        assert {x.k: x.v for x in t.read().collect()} == held
+    gone = {k for k, v in held.items() if v == "v1"}
+    assert t.delete(F.col("v") == "v1") == len(gone)
+    held = {k: v for k, v in held.items() if k not in gone}
+    (folder / "gen-999999990" / "_bucket=0").mkdir(parents=True)  # no marker: its writer died
+    assert {x.k: x.v for x in t.read().collect()} == held
+    t.vacuum()
+    assert {x.k: x.v for x in t.read().collect()} == held and not (folder / "gen-999999990").exists()
+    t.update(F.col("k") < 5, {"v": F.lit("low")})
+    t.replace(t.read().filter("k < 3"))
+    assert {x.k: x.v for x in t.read().collect()} == {k: "low" for k in held if k < 3}
+    assert sinks.Table(spark, str(tmp_path / "none"), "k int, v string", ["k"]).read().count() == 0
+
+
 def test_captures_quarantine(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"source_url": "https://x", "mode": "quick"}\n{"source_url": "ftp://x", "mode": "quick"}\nbroken\n{"source_url": "https://y", "mode": "odd"}\n')
     good, bad = sinks.captures_of(spark, str(tmp_path))
