@@ -202,3 +202,29 @@ def links_on_demand(spark, sf_dir) -> DataFrame:
     score = F.when(parallel, F.col("score")).otherwise(F.create_map(*[F.lit(x) for p in I.TIER_SCORES.items() for x in p])[F.col("confidence")])
     own = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("src"), F.col("work_id").alias("owner"))
     return I.links_on_demand(e.select(scan.alias("scan"), "src", "dst", score.alias("score")), own, ("explicit", "implicit", "thematic"), 0.5)
+
+
+@query("""SELECT p_partkey, p_name||CASE WHEN starts_with(lower(p_type), 'and ') THEN ' ' ELSE ': ' END||p_type AS title, p_name AS bare FROM part""")
+def alt_titles(spark, sf_dir) -> DataFrame:
+    """Stored names and types as labelled alternative texts, and the titles read from them."""
+    alt = F.concat(F.lit("Book title, "), "p_name", F.lit(", subtitle, "), "p_type", F.lit(", author, "), "p_brand")
+    bare = F.concat(F.lit("author, "), "p_brand", F.lit(", title, "), "p_name", F.lit(", imprint, x"))
+    return load(spark, sf_dir, "part").select("p_partkey", I.title_of_alt(alt).alias("title"), I.title_of_alt(bare).alias("bare"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS title, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM documents), e AS (SELECT *, lower(trim(title)) AS low, list_sum([length(trim(x)) FOR x IN ls]) / len(ls) AS width FROM d)
+  SELECT doc_id, CASE WHEN low IN ('title page', 'dedication', 'contents', 'copyright', 'also by', 'about the author', 'acknowledgments') OR regexp_matches(low, '^(acknowledgments|about the author|also by|copyright|notes)') THEN 'skip' WHEN regexp_full_match(trim(title), '[0-9]+\s+.+') THEN 'chapter_intro'
+    WHEN low IN ('introduction', 'preface', 'foreword', 'afterword', 'epilogue', 'prologue') OR (length(text) > 3000 AND len(ls) > 0 AND (width > 60 OR words > 1500)) THEN 'essay' ELSE 'poem' END AS kind FROM e""")
+def poetry_entries(spark, sf_dir) -> DataFrame:
+    """Every document as an entry of a poetry book, its first line being the title."""
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", I.entry_kind(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text")).alias("kind"))
+
+
+@query(with_views("chunks edges", """SELECT type, dst, count(*) AS n FROM (SELECT src, type, dst FROM edges WHERE type <> 'EXPLORES_THEME' UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'EXPLORES_THEME', 'quality-'||quality FROM labels WHERE doc_id IN (SELECT chunk_id FROM chunks)) GROUP BY ALL"""))
+def theme_restore(spark, sf_dir) -> DataFrame:
+    """The graph with its themes taken from a backup, which here are the stored labels; edges of passages that are gone stay out."""
+    saved = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("src"), F.concat(F.lit("quality-"), F.col("quality").cast("string")).alias("dst"))
+    live = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("key"))
+    out = I.restored(edges(spark, sf_dir), "EXPLORES_THEME", saved.select(F.col("dst").alias("key")), saved, live)
+    return out.groupBy("type", "dst").agg(F.count(F.lit(1)).alias("n"))

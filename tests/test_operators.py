@@ -260,6 +260,26 @@ def test_candidate_terms(spark):
     assert got == {"Grace Of God": 2, "living water": 2}
 
 
+def test_titles_of_images_and_entries(spark):
+    alts = {"Book title, The Sea, subtitle, and Other Tales, author, A B": "The Sea and Other Tales", "title, Hope, Love, subtitle, A Life, imprint, X": "Hope, Love: A Life", "author, A B, title, One": "One", "a picture, of the sea": None, "subtitle, only": None}
+    for alt, title in alts.items():
+        assert value(spark, ingest.title_of_alt(F.lit(alt))) == title
+    kinds = {"3 Desires": "chapter_intro", "Copyright 1990": "skip", "Dedication": "skip", "Foreword": "essay", "A Morning Offering": "poem"}
+    for title, kind in kinds.items():
+        assert value(spark, ingest.entry_kind(F.lit(title), F.lit("short\nlines"))) == kind
+    assert value(spark, ingest.entry_kind(F.lit("On Hope"), F.lit("a long line of prose that goes on and on " * 100))) == "essay"
+    caps = {"F OR  L IGHT": "For Light", "M ATINS": "Matins", "A Morning Offering": "A Morning Offering", "I N  T HE  E ND": "In The End"}
+    for raw, clean in caps.items():
+        assert value(spark, ingest.clean_capitals(F.lit(raw))) == clean
+
+
+def test_restored_graph(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = make([("1", "T", "bad"), ("1", "K", "x")], "src string, type string, dst string")
+    got = ingest.restored(edges, "T", make([("hope",)], "key string"), make([("1", "hope"), ("1", "hope"), ("9", "hope"), ("1", "lost")], "src string, dst string"), make([("1",), ("2",)], "key string"))
+    assert sorted(map(tuple, got.collect())) == [("1", "K", "x"), ("1", "T", "hope")]
+
+
 def test_json_set(spark):
     cases = [('{"a": 1, "b": "x, y"}', "b", "z", {"a": 1, "b": "z"}), ('{"b": "x"}', "b", "z", {"b": "z"}), ("{}", "b", 'q"uo', {"b": 'q"uo'}), ('{"b": 2, "a": [1]}', "b", "z", {"a": [1], "b": "z"}), ('{"a": null}', "b", "", {"a": None, "b": ""})]
     for doc, key, new, want in cases:
