@@ -13,7 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ class ForcedBoundaryBpe:
     merging is done here.  ``cache_size`` bounds the words that each generation of a worker's memory holds.
     """
 
-    def __init__(self, path: str, cache_size: int = 100_000) -> None:
+    def __init__(self, path: str, cache_size: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -73,7 +74,8 @@ class ForcedBoundaryBpe:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *added]}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.inside = self._inner_pairs()
+        self.first_ranks = {a + b: i for (a, b), i in self.ranks.items() if len(a) == len(b) == 1}
+        self.inside, self.inside_end = self._inner_pairs()
         # Plain text needs no call of the library, if the file lower-cases and splits as expected.
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -81,37 +83,42 @@ class ForcedBoundaryBpe:
         self.to_bytes = {c: self.pre_tokenise(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} | {c: w[0][0] for c in range(0x80) if (w := self.pre_tokenise(chr(c)))}
         self.words = Recent(cache_size)
         self.fragments = Recent(cache_size // 5)
+        self.decimal = {i: str(i) for i in self.tokens}
 
-    def _symbols(self, word: str, last: bool) -> list[str]:
-        symbols = list(word)
-        if last and self.suffix:
-            symbols[-1] += self.suffix
-        return symbols
-
-    def _inner_pairs(self) -> set[tuple[str, str]]:
-        """Adjacent symbols within some token; the word's end makes a symbol of its own."""
-        found: set[tuple[str, str]] = set()
+    def _inner_pairs(self) -> tuple[set[str], set[str]]:
+        """Adjacent symbols within some token, as text: those inside a word, and those whose second ends it."""
+        found: set[str] = set()
+        ending: set[str] = set()
         for token in self.vocab:
             ends = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
-            symbols = self._symbols(token.removesuffix(self.suffix) if ends else token, ends)
-            found.update(zip(symbols, symbols[1:], strict=False))
-        return found
+            symbols = token.removesuffix(self.suffix) if ends else token
+            pairs = list(map(add, symbols, symbols[1:]))
+            if ends and pairs:
+                ending.add(pairs.pop())
+            found.update(pairs)
+        return found, ending if self.suffix else found
 
     def cut(self, word: str) -> list[tuple[str, bool]]:
         """The fragments between forced boundaries; true for the one that ends the word."""
-        inside, n = self.inside, len(word)
-        cuts = [i for i, p in enumerate(zip(word, word[1:-1], strict=False), 1) if p not in inside]
-        if n > 1 and (word[-2], word[-1] + self.suffix) not in inside:
-            cuts.append(n - 1)
-        if not cuts:
+        n = len(word)
+        joined = list(map(self.inside.__contains__, map(add, word, word[1:-1])))
+        if n > 1:
+            joined.append(word[-2:] in self.inside_end)
+        if False not in joined:
             return [(word, True)]
+        cuts = [i for i, together in enumerate(joined, 1) if not together]
         return [*((word[a:b], False) for a, b in zip([0, *cuts], cuts, strict=False)), (word[cuts[-1] :], True)]
 
-    def _merge(self, symbols: list[str]) -> list[str]:
+    def _merge(self, text: str, last: bool) -> list[str]:
         """Merge by lowest rank, leftmost first; long fragments over a linked list and a heap."""
+        symbols = list(text)
+        if last and self.suffix:
+            symbols[-1] += self.suffix
         if len(symbols) <= 32:
             rank_of, none = self.ranks.get, 1 << 60
-            ranked = [rank_of(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+            ranked = list(map(self.first_ranks.get, map(add, text, text[1:]), repeat(none)))
+            if last and self.suffix and ranked:
+                ranked[-1] = rank_of((symbols[-2], symbols[-1]), none)
             while ranked and (best := min(ranked)) < none:
                 i = ranked.index(best)
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
@@ -143,33 +150,36 @@ class ForcedBoundaryBpe:
     def encode_fragment(self, fragment: tuple[str, bool]) -> list[int]:
         memory = self.fragments
         if (known := memory.get(fragment) or memory.recall(fragment)) is None:
-            known = [self.vocab[s] for s in self._merge(self._symbols(*fragment)) if s in self.vocab]
+            known = [self.vocab[s] for s in self._merge(*fragment) if s in self.vocab]
             if len(fragment[0]) <= 64:
                 memory.keep(fragment, known)
         return known
 
-    def encode_word(self, word: str) -> tuple[str, list[int]]:
-        """The ids, as text and as numbers, of a word in the alphabet of bytes."""
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a word in the alphabet of bytes."""
         fragments = self.cut(word)
-        ids = self.encode_fragment(fragments[0]) if len(fragments) == 1 else [i for fragment in fragments for i in self.encode_fragment(fragment)]
-        return " ".join(map(str, ids)), ids
-
-    def _plain_text(self, text: str) -> list[tuple[str, list[int]]]:
-        memory, out = self.words, []
-        for word in _PLAIN_WORDS.findall(text.lower()):
-            if (known := memory.get(word) or memory.recall(word)) is None:
-                known = self.encode_word(word.translate(self.to_bytes))
-                if len(word) <= 64:
-                    memory.keep(word, known)
-            out.append(known)
-        return out
+        return self.encode_fragment(fragments[0]) if len(fragments) == 1 else [i for fragment in fragments for i in self.encode_fragment(fragment)]
+
+    def _plain_text(self, text: str) -> list[list[int]]:
+        memory, words = self.words, _PLAIN_WORDS.findall(text.lower())
+        found = list(map(memory.get, words))
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    word = words[i]
+                    if (known := memory.get(word) or memory.recall(word)) is None:
+                        known = self.encode_word(word.translate(self.to_bytes))
+                        if len(word) <= 64:
+                            memory.keep(word, known)
+                    found[i] = known
+        return found
 
-    def _any_text(self, text: str) -> list[tuple[str, list[int]]]:
-        out = []
+    def _any_text(self, text: str) -> list[list[int]]:
+        out: list[list[int]] = []
         for chunk in _ASCII_SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
             for piece in self.split_added.split(chunk) if self.split_added else [chunk]:
                 if piece in self.added:
-                    out.append((str(self.added[piece]), [self.added[piece]]))
+                    out.append([self.added[piece]])
                 elif piece and self.plain and _PLAIN.fullmatch(piece) and not _ODD_SPACE.search(piece):
                     out += self._plain_text(piece)
                 elif piece:
@@ -180,8 +190,8 @@ class ForcedBoundaryBpe:
         """The ids of a text, in decimal joined by spaces and as numbers."""
         text = text or ""
         simple = self.plain and _PLAIN.fullmatch(text) and not _ODD_SPACE.search(text) and not (self.split_added and self.split_added.search(text))
-        parts = [x for x in (self._plain_text(text) if simple else self._any_text(text)) if x[1]]
-        return " ".join([x[0] for x in parts]), list(chain.from_iterable([x[1] for x in parts]))
+        ids = list(chain.from_iterable(self._plain_text(text) if simple else self._any_text(text)))
+        return " ".join(map(self.decimal.__getitem__, ids)), ids
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_text(text)[1]
