@@ -285,7 +285,11 @@ class LineStore:
         self.rows = self.rows.join(ids, "doc_id", "left_anti")
         touched = cut(gone.join(self.counts(gone.select("key")), "key").select("key", F.col("refs").alias("had"), (F.col("refs") - F.col("less")).alias("refs"), "first_doc", (F.col("least") == F.col("first_doc")).alias("headless")))
         headless = touched.filter("headless and refs > 0").select("key")
-        heads = self.rows.join(headless, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("next"))
+        # Keys of over a thousandth of the postings, fewer than a thousand, stay out of the shuffle.
+        often = F.broadcast(cut(self.counts().filter(F.col("refs") > self.rows.count() // 1000).select("key")))
+        rest = self.rows.join(often, "key", "left_anti").join(headless, "key", "left_semi")
+        common = self.rows.join(F.broadcast(often.join(headless, "key", "left_semi")), "key", "left_semi")
+        heads = rest.unionByName(common).groupBy("key").agg(F.min("doc_id").alias("next"))
         self._write(cut(touched.join(heads, "key", "left").select("key", "had", "refs", F.when(F.col("headless"), F.col("next")).otherwise(F.col("first_doc")).alias("first_doc"))))
 
     def _write(self, segment: DataFrame) -> None:
