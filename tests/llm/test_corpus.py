@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, quality
-from lectern.llm.common import WordHasher
+from lectern.llm.common import WordHasher, join_by_parts
 from lectern.llm.components import components
 from lectern.llm.oracle import EXACT, LINES, MIXING
 from lectern.llm.queries import op1_language_id, op4_exact_dedup, op5_mixing, op7_line_dedup, op9_quality, training_fold
@@ -221,6 +221,22 @@ def test_materialised_mix_has_the_taken_words(odd, none):
     assert mixing.materialise(none).count() == 0
 
 
+# ---- hot keys
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_join_by_parts_is_a_join(spark, nulls):
+    """A key with a third of all rows, many rare ones, absent ones and nulls, with and without a part for the rare."""
+    keys = ["hot"] * 700 + [f"k{i % 400}" for i in range(1300)] + [None] * 50 + ["absent"] * 9
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, row long")
+    counts = collections.Counter(k for k in keys if k != "absent")
+    table = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items()], "key string, n long, v string")
+    want = collections.Counter(k for k in keys if k != "absent" and (nulls or k is not None))
+    for parts in (3, 1000, 10**9):
+        got = join_by_parts(rows, table, ("key",), "n", parts, nulls).collect()
+        assert collections.Counter(r.key for r in got) == want and all(r.v == f"v{r.key}" and r.n == counts[r.key] for r in got)
+    assert join_by_parts(rows, table.limit(0), ("key",), "n", nulls=nulls).count() == 0
+
+
 # ---- lines
 
 def lines_by_hand(rows):
