@@ -53,19 +53,6 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int, carry: Sequence[str] =
     return out.drop("used")
 
 
-def shared_targets(edges: DataFrame, group: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of sources in different groups (src, owner) that share ``least`` targets: a, b, shared, targets, types.
-
-    Targets are matched by an equi-join; each pair comes once, the smaller source first.
-    """
-    e = edges.join(group, "src").select("src", "owner", "dst", "type").distinct()
-    left, right = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "ab")
-    same = (F.col("dst_a") == F.col("dst_b")) & (F.col("src_a") < F.col("src_b")) & (F.col("owner_a") != F.col("owner_b"))
-    pairs = left.join(right, same).groupBy(F.col("src_a").alias("a"), F.col("src_b").alias("b"))
-    found = pairs.agg(F.countDistinct("dst_a").alias("shared"), F.array_sort(F.collect_set("dst_a")).alias("targets"), F.array_sort(F.collect_set("type_a")).alias("types"))
-    return found.filter(F.col("shared") >= least)
-
-
 def top_shared(edges: DataFrame, group: DataFrame, k: int, least: int = 2, block: int = 2048) -> DataFrame:
     """The ``k`` pairs of sources in different groups (src, owner) that share most targets, ``least`` at least: a, b, shared, targets.
 

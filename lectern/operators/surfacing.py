@@ -97,3 +97,32 @@ def report(found: DataFrame) -> DataFrame:
     """id and a line of text for each related passage, in order, as one report."""
     line = F.format_string("- %s (%s, %.2f): %s", "other", "kind", "score", "confidence")
     return found.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other", line.alias("line")))), lambda x: x["line"]), "\n").alias("report"))
+
+
+# How a level is put, and why passages are taken for connected.
+LEVEL_LABELS = {"high": "This directly engages with", "medium": "This appears to connect to", "low": "You might find this relevant"}
+
+
+def explanation(kind: Column, level: Column) -> Column:
+    return (
+        F.when(kind == "passage_link", F.concat(F.lit("This passage directly engages with the referenced content through "), F.when(level == "high", "explicit citation").otherwise("implicit engagement"), F.lit(".")))
+        .when(kind == "theme", "These passages explore parallel thematic territory.")
+        .when(kind == "vector", "Semantic similarity suggests these passages address related ideas.")
+        .when(kind == "reflection", "Your personal reflection engages with this content.")
+        .when(kind == "entity_overlap", "Both passages share multiple entities in the knowledge graph.")
+        .otherwise("A potential connection was detected between these passages.")
+    )
+
+
+def staged(found: DataFrame, works: DataFrame, links: DataFrame, threshold: float = 0.4, most: int = 10) -> DataFrame:
+    """Connections to be proposed: id, other, target_work, kind, score, confidence, label, why; ``most`` a passage.
+
+    Of related passages (id, other, kind, score, confidence) those of the own work, those linked either way
+    and low ones under ``threshold`` are left out.
+    """
+    both = found.join(works.select(F.col("src").alias("id"), F.col("owner").alias("own_work")), "id").join(works.select(F.col("src").alias("other"), F.col("owner").alias("target_work")), "other")
+    open_ = both.filter((F.col("own_work") != F.col("target_work")) & ~((F.col("confidence") == "low") & (F.col("score") < threshold)))
+    known = undirected(links.select("src", "dst")).select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
+    kept = top_per_group(open_.join(known, ["id", "other"], "left_anti"), ["id"], [F.desc("score"), "other"], most)
+    label = F.create_map(*[F.lit(x) for pair in LEVEL_LABELS.items() for x in pair])[F.col("confidence")]
+    return kept.select("id", "other", "target_work", "kind", "score", "confidence", label.alias("label"), explanation(F.col("kind"), F.col("confidence")).alias("why"))

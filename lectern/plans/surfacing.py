@@ -16,24 +16,30 @@ from .registry import query
 ASKED = 20
 _TIER = """CASE kind WHEN 'passage_link' THEN CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.5 THEN 'medium' ELSE 'low' END WHEN 'reflection' THEN CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END
     WHEN 'entity_overlap' THEN CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END WHEN 'theme' THEN CASE WHEN score > 0.75 THEN 'medium' ELSE 'low' END ELSE CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.5 THEN 'medium' ELSE 'low' END END"""
-_RELATED = f"""WITH $ l AS (SELECT src AS id, dst AS other, 'passage_link' AS kind, CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END::DOUBLE AS score FROM edges WHERE type = 'ENGAGES_WITH'
+def _related_sql(personal: bool = True) -> str:
+    of_all = "" if personal else "WHERE source_class IS DISTINCT FROM 'personal'"
+    more = "UNION ALL SELECT * FROM rf UNION ALL SELECT * FROM rv" if personal else ""
+    return f"""WITH $ l AS (SELECT src AS id, dst AS other, 'passage_link' AS kind, CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END::DOUBLE AS score FROM edges WHERE type = 'ENGAGES_WITH'
     UNION ALL SELECT dst, src, 'passage_link', CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END FROM edges WHERE type = 'ENGAGES_WITH'),
   th AS (SELECT DISTINCT src, dst, work_id FROM edges JOIN chunks ON src = chunk_id::VARCHAR WHERE type = 'EXPLORES_THEME'), m AS (SELECT src AS id, dst, work_id FROM th QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
   tw AS (SELECT DISTINCT dst, work_id FROM m), tt AS (SELECT tw.dst, tw.work_id, th.src AS other FROM tw JOIN th ON th.dst = tw.dst AND th.work_id <> tw.work_id QUALIFY row_number() OVER (PARTITION BY tw.dst, tw.work_id ORDER BY th.src::BIGINT) <= 20),
   t AS (SELECT DISTINCT id, other, 'theme' AS kind, 0.6::DOUBLE AS score FROM m JOIN tt USING (dst, work_id)),
   dr AS (SELECT DISTINCT e.dst AS dst, e.src AS other FROM edges e WHERE type = 'USER_REFLECTS_ON'), rf AS (SELECT DISTINCT m.id, dr.other, 'reflection' AS kind, 0.85::DOUBLE AS score FROM m JOIN dr ON dr.dst = m.dst WHERE dr.other <> m.id QUALIFY row_number() OVER (PARTITION BY m.id, m.dst ORDER BY dr.other::BIGINT) <= 10),
   nv AS (SELECT a.chunk_id::VARCHAR AS id, b.chunk_id::VARCHAR AS other, b.source_class, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cos FROM vectors a JOIN (SELECT v.*, source_class FROM vectors v LEFT JOIN chunks USING (chunk_id)) b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % {ASKED} = 0),
-  v AS (SELECT id, other, 'vector' AS kind, round(0.65 * cos, 6) AS score FROM nv QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other::BIGINT) <= 15),
+  v AS (SELECT id, other, 'vector' AS kind, round(0.65 * cos, 6) AS score FROM nv {of_all} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other::BIGINT) <= 15),
   pv AS (SELECT id, other, cos FROM nv WHERE source_class = 'personal' QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other::BIGINT) <= 10),
   rv AS (SELECT id, other, 'reflection' AS kind, round(0.7 * cos, 6) AS score FROM pv WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.id = pv.id AND rf.other = pv.other)),
-  u AS (SELECT * FROM l UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v UNION ALL SELECT * FROM rf UNION ALL SELECT * FROM rv), b AS (SELECT id, other, max({{'s': score, 'k': kind}}) AS x FROM u GROUP BY ALL),
+  u AS (SELECT * FROM l UNION ALL SELECT * FROM t UNION ALL SELECT * FROM v {more}), b AS (SELECT id, other, max({{'s': score, 'k': kind}}) AS x FROM u GROUP BY ALL),
   r AS (SELECT id, other, x.k AS kind, x.s AS score FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY x.s DESC, other) <= 20),
   c AS (SELECT *, {_TIER} AS confidence FROM r)
   """
 
 
-def related_rows(spark, sf_dir) -> DataFrame:
-    """Of every passage the twenty most related: links, themes, reflections on its themes; of the asked ones nearby vectors too."""
+_RELATED = _related_sql()
+
+
+def related_rows(spark, sf_dir, personal: bool = True) -> DataFrame:
+    """Of every passage the twenty most related: links, themes, reflections on its themes if ``personal``; of the asked ones nearby vectors too."""
     e = edges(spark, sf_dir)
     own = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("src"), F.col("work_id").alias("owner"), "source_class")
     links = S.by_links(e.filter("type = 'ENGAGES_WITH'"))
@@ -42,10 +48,13 @@ def related_rows(spark, sf_dir) -> DataFrame:
     v = vectors(spark, sf_dir)
     asked = v.filter(F.col("chunk_id") % ASKED == 0).select(F.col("chunk_id").alias("id"), "embedding")
     text = lambda f: f.select(F.col("id").cast("string").alias("id"), F.col("chunk_id").cast("string").alias("other"), "score")
-    near = text(nearest(v, asked, 15)).select("id", "other", F.lit("vector").alias("kind"), F.round(S.VECTOR_FACTOR * F.col("score"), 6).alias("score"))
-    personal = v.join(own.filter("source_class = 'personal'").select(F.col("src").cast("long").alias("chunk_id")), "chunk_id", "left_semi")
-    reflections = S.theme_reflections(seeds, themes, e.filter("type = 'USER_REFLECTS_ON'"), own)
-    return S.related([links, S.by_themes(seeds, themes, own), S.by_reflections(reflections, text(nearest(personal, asked, 10))), near], 20)
+    mine = own.filter("source_class = 'personal'").select(F.col("src").cast("long").alias("chunk_id"))
+    near = text(nearest(v if personal else v.join(mine, "chunk_id", "left_anti"), asked, 15)).select("id", "other", F.lit("vector").alias("kind"), F.round(S.VECTOR_FACTOR * F.col("score"), 6).alias("score"))
+    parts = [links, S.by_themes(seeds, themes, own), near]
+    if personal:
+        reflections = S.theme_reflections(seeds, themes, e.filter("type = 'USER_REFLECTS_ON'"), own)
+        parts.append(S.by_reflections(reflections, text(nearest(v.join(mine, "chunk_id", "left_semi"), asked, 10))))
+    return S.related(parts, 20)
 
 
 @query(with_views("chunks vectors edges", _RELATED + "SELECT id, other, kind, score, confidence FROM c"))
@@ -53,6 +62,16 @@ def find_related(spark, sf_dir) -> DataFrame:
     return related_rows(spark, sf_dir)
 
 
+@query(with_views("chunks vectors edges", _related_sql(False) + """, s AS (SELECT c.*, y.work_id AS target_work FROM c JOIN chunks x ON x.chunk_id::VARCHAR = id JOIN chunks y ON y.chunk_id::VARCHAR = other WHERE x.work_id <> y.work_id AND NOT (confidence = 'low' AND score < 0.4)
+    AND NOT EXISTS (SELECT 1 FROM edges e WHERE type = 'ENGAGES_WITH' AND ((e.src = id AND e.dst = other) OR (e.src = other AND e.dst = id))))
+  SELECT id, other, target_work, kind, score, confidence, CASE confidence WHEN 'high' THEN 'This directly engages with' WHEN 'medium' THEN 'This appears to connect to' ELSE 'You might find this relevant' END AS label,
+    CASE kind WHEN 'theme' THEN 'These passages explore parallel thematic territory.' ELSE 'Semantic similarity suggests these passages address related ideas.' END AS why FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 10"""))
+def connection_scan(spark, sf_dir) -> DataFrame:
+    """Connections to propose for every passage: related ones of other works that no link joins yet."""
+    own = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("src"), F.col("work_id").alias("owner"))
+    return S.staged(related_rows(spark, sf_dir, personal=False), own, edges(spark, sf_dir).filter("type = 'ENGAGES_WITH'"))
+
+
 @query(with_views("chunks vectors edges", _RELATED + ", g AS (SELECT *, row_number() OVER (PARTITION BY id, confidence ORDER BY score DESC, other) AS rn FROM c) SELECT id, confidence, count(*) AS total, list(other ORDER BY score DESC, other) FILTER (rn <= 3) AS shown FROM g GROUP BY id, confidence"))
 def response_groups(spark, sf_dir) -> DataFrame:
     return S.grouped(related_rows(spark, sf_dir))

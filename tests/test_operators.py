@@ -254,6 +254,17 @@ def test_greedy_clusters_as_brute_force(spark):
     assert {int(x.item): int(x.representative) for x in graph.greedy_clusters(ranked, near, spark).collect()} == want
 
 
+def test_staged_connections(spark):
+    rows = [("1", "2", "theme", 0.6, "low"), ("1", "3", "vector", 0.3, "low"), ("1", "4", "vector", 0.9, "high"), ("1", "5", "theme", 0.6, "low"), ("1", "6", "entity_overlap", 0.75, "medium"), ("1", "7", "passage_link", 0.95, "high")]
+    found = spark.createDataFrame(rows, "id string, other string, kind string, score double, confidence string")
+    works = spark.createDataFrame([(str(i), "own" if i in (1, 5) else f"w{i}") for i in range(1, 8)], "src string, owner string")
+    links = spark.createDataFrame([("4", "1")], "src string, dst string")
+    got = {r.other: r for r in S.staged(found, works, links).collect()}
+    assert set(got) == {"2", "6", "7"}  # 3 is low, 4 linked, 5 of the own work
+    assert got["7"].label == "This directly engages with" and got["7"].why.endswith("explicit citation.") and got["2"].target_work == "w2"
+    assert {r.other for r in S.staged(found, works, links, most=1).collect()} == {"7"}
+
+
 def test_candidate_terms(spark):
     texts = ["Grace Of God and Grace Of God. The Old Sea", "he said 'living water' and \"living water\" too; Only Once", "The Old Sea again", None, ""]
     got = {r.term: r.n for r in ingest.candidate_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
