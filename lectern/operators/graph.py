@@ -68,16 +68,22 @@ def top_shared(edges: DataFrame, group: DataFrame, k: int, least: int = 2, block
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("src").reset_index(drop=True)
-        names = sorted({t for mine in frame["targets"] for t in mine})
-        place = {t: c for c, t in enumerate(names)}
-        has = np.zeros((len(frame), len(names)), dtype=np.float32)
-        for r, mine in enumerate(frame["targets"]):
-            has[r, [place[t] for t in mine]] = 1
+        number: dict[str, int] = {}
+        row = np.repeat(np.arange(len(frame)), [len(mine) for mine in frame["targets"]])
+        col = np.array([number.setdefault(t, len(number)) for mine in frame["targets"] for t in mine], dtype=np.int64)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        total = np.zeros((len(frame), len(frame)), dtype=np.float32)
+        for first in range(0, len(number), 2048):  # targets at a time, so that memory does not grow with their number
+            lo, hi = np.searchsorted(col, (first, first + 2048))
+            has = np.zeros((len(frame), min(2048, len(number) - first)), dtype=np.float32)
+            has[row[lo:hi], col[lo:hi] - first] = 1
+            total += has @ has.T
         owner, part = pd.factorize(frame["owner"])[0], frame["own"].to_numpy()
         found: list[tuple[int, int, int]] = []
         across = frame["i"].iloc[0] != frame["j"].iloc[0]
-        for at in range(0, len(frame), 512):  # rows at a time, so that counts stay small
-            shared = (has[at : at + 512] @ has.T).astype(np.int32)
+        for at in range(0, len(frame), 512):
+            shared = total[at : at + 512].astype(np.int32)
             r = np.arange(at, min(at + 512, len(frame)))
             shared[(r[:, None] >= np.arange(len(frame))[None, :]) | (owner[r][:, None] == owner[None, :])] = 0
             if across:
