@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 #: Code points whose normal form, lower case and class are beyond doubt: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[\\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: White space that str.split() takes for a gap; only the ASCII part surely is one for a tokenizer.
@@ -227,6 +229,6 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(work, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
+    slim = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_back(slim.mapInPandas(work, schema))

@@ -93,6 +93,16 @@ def pick_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return found.withColumns({sha: F.sha2(text_of("text"), 256), number: F.col("doc_id").cast("long")}).dropDuplicates([sha, number]).select(*docs.columns)
 
 
+def id_text(col: str):
+    """The id as decimal text: pandas would make floats of long ids beside a null one."""
+    return F.col(col).cast("long").cast("string").alias("doc_id")
+
+
+def id_back(df: DataFrame) -> DataFrame:
+    """``df`` with its doc_id of :func:`id_text` as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def text_of(col: str):
     """The text column, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

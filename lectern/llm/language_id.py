@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, mix64
+from .common import chunks_of, id_back, id_text, mix64
 
 GRAMS = (2, 3, 4)
 
@@ -201,13 +202,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], settings: Settings, no
 def fit(docs: DataFrame, training: Column, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on a sample of the rows of ``docs`` for which ``training`` holds.
 
-    At most ``sample_docs`` rows are taken, by the order of a hash of the id; a row reaches the driver
-    as at most ``buckets`` counts in binary form, whatever its text's length.  Rows without language, text or id are
-    not used.  The sample is chosen by hash thresholds, so no language is gathered in one task.  Each row
-    gives one of no language too.  A row in the sample more than once is used as often; of ties in the hash
-    the smaller language is first.  Of more than ``sample_docs`` languages the most frequent are learned.
+    At most ``sample_docs`` rows are taken and sent, by the order of a hash of id and text; a row reaches the
+    driver as at most ``buckets`` counts in binary form, whatever its text's length.  Rows without language,
+    text or id are not used; rows that agree in all three are one.  Hash thresholds leave some more than are
+    needed, of which each language's first are named before any text moves, so no language is gathered in
+    one task.  Each row gives one of no language too.  Of more than ``sample_docs`` languages the most
+    frequent are learned.
     """
-    slim = docs.filter(training).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("order"))
+    slim = docs.filter(training & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("order"))
     slim = slim.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = dict(slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.sample_docs).collect())
     if not counts:
@@ -215,14 +217,14 @@ def fit(docs: DataFrame, training: Column, settings: Settings = Settings(), *, i
     each = max(1, settings.sample_docs // len(counts))
     unit = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n + 20 / n))])
-    sample = slim.filter(unit < share[F.col("lang")]).mapInPandas(_features(settings), "lang string, order long, index binary, weight binary, noise_index binary, noise_weight binary")
-    taken: dict[str, int] = {}
+    near = slim.filter(unit < share[F.col("lang")])
+    ranked = Window.partitionBy("lang").orderBy(F.pmod(F.col("order"), F.lit(1 << 30)), "order")
+    taken = near.select("lang", "order").distinct().withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= each).drop("rank")
+    sample = near.join(F.broadcast(taken), ["lang", "order"]).dropDuplicates(["lang", "order"]).mapInPandas(_features(settings), "lang string, order long, index binary, weight binary, noise_index binary, noise_weight binary")
     rows, noises = [], []
     for r in sorted(sample.collect(), key=lambda r: (r.order % (1 << 30), r.order, r.lang, r["index"])):
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= each:
-            rows.append((r.lang, np.frombuffer(r["index"], dtype="<i4"), np.frombuffer(r["weight"], dtype="<f4")))
-            noises.append((np.frombuffer(r["noise_index"], dtype="<i4"), np.frombuffer(r["noise_weight"], dtype="<f4")))
+        rows.append((r.lang, np.frombuffer(r["index"], dtype="<i4"), np.frombuffer(r["weight"], dtype="<f4")))
+        noises.append((np.frombuffer(r["noise_index"], dtype="<i4"), np.frombuffer(r["noise_weight"], dtype="<f4")))
     return train(rows, settings, noises)
 
 
@@ -268,8 +270,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
             out = pd.DataFrame(predict_texts(sent.value, batch["text"].tolist()), columns=["lang_pred", "score", "rejected"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), out], axis=1)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(work, "doc_id long, lang_pred string, score double, rejected boolean")
+    slim = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_back(slim.mapInPandas(work, "doc_id string, lang_pred string, score double, rejected boolean"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
@@ -279,10 +281,11 @@ def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "te
     columns of any name pass through; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [not rejected for _, _, rejected in predict_texts(sent.value, batch[text_col].tolist())]
-            yield batch[np.array(ok, dtype=bool)]
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array([not rejected for _, _, rejected in predict_texts(sent.value, texts)], pa.bool_()))
 
-    return docs.mapInPandas(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Phrases whose words are looked for as they are, and their labels.
@@ -236,7 +238,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Seque
         for batch in batches:
             found = pd.DataFrame([scanner.scan(t) for t in batch["text"]], columns=names)
             found = found.astype({"first_word": "Int64", "last_word": "Int64", "n_words": "int64", "n_base": "int64", "score": "float64"})
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True).astype("Int64"), found], axis=1)
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), found], axis=1)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(work, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    slim = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    return id_back(slim.mapInPandas(work, "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_by_parts, wide
+from .common import SPACES, cut, id_back, id_text, join_by_parts, wide
 
 _SLOTS = 4
 
@@ -159,12 +159,11 @@ def strip_lines(docs: DataFrame, lost: DataFrame, least: int = 10, *, id_col: st
                     kept, left = b"\n".join(stay), len(stay)
                 row = (doc, len(lines), len(lines) - left, hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode()) if texts else row)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "kept_sha256", *(["kept_text"] if texts else [])])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "kept_sha256", *(["kept_text"] if texts else [])])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
-    return slim.join(lost, "doc_id", "left").mapInPandas(work, schema)
+    schema = "doc_id string, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
+    return id_back(slim.join(lost, "doc_id", "left").select(id_text("doc_id"), "text", "lost").mapInPandas(work, schema))
 
 
 class LineStore:

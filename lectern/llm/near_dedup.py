@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, chunks_of, cut, join_by_parts, mix64, pick_rows, text_of, window_hashes
+from .common import WordHasher, chunks_of, cut, id_back, id_text, join_by_parts, mix64, pick_rows, text_of, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -151,10 +151,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, *, id_col: str
                 which, of = np.unique(of, return_inverse=True)
                 for i, x in zip(which, _bands(bag_minhash(of, value, weight, len(which), bands * rows), bands, rows), strict=True):
                     found[i] = x
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "bands": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "bands": found})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
-    made = slim.mapInPandas(work, "doc_id long, digest binary, bands array<long>")
+    slim = docs.select(id_text(id_col), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"), text_of(text_col).alias("text"))
+    made = id_back(slim.mapInPandas(work, "doc_id string, digest binary, bands array<long>"))
     return cut(made.withColumn("seq", F.monotonically_increasing_id()))
 
 

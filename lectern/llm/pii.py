@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_back, id_text
 
 #: Spans with the same start are listed in this order.
 BASE = ("email", "ip", "card", "phone")
@@ -320,10 +320,10 @@ def find(docs: DataFrame, threshold: float = 0.9, names: frozenset[str] = GIVEN,
                 base = base_spans(text or "")
                 more = candidates(text or "", base, names)
                 rows.append((doc, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in base], [dict(zip(("kind", "start", "end", "votes"), c, strict=True)) for c in more]))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "more"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "base", "more"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = cut(slim.mapInPandas(work, f"doc_id long, base array<{item}>>, more array<{item},votes:string>>"))
+    slim = docs.select(id_text(id_col), F.col(text_col).alias("text"))
+    found = cut(slim.mapInPandas(work, f"doc_id string, base array<{item}>>, more array<{item},votes:string>>"))
     counts = {r["votes"]: r["count"] for r in found.select(F.explode("more.votes").alias("votes")).groupBy("votes").count().collect()}
     classifier = train(counts)
     chances = {p: classifier.chance(p) for p in counts}
@@ -338,6 +338,6 @@ def find(docs: DataFrame, threshold: float = 0.9, names: frozenset[str] = GIVEN,
                 kinds = [s[0] for s in own]
                 everything = sorted(own + added, key=lambda s: (s[1], order.index(s[0])))
                 rows.append((doc, *(kinds.count(k) for k in BASE), hashlib.sha256(_listed(own).encode()).hexdigest(), _listed(everything), len(everything), len(added)))
-            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "n_added"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "n_added"])
 
-    return found.mapInPandas(finish, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long, n_added long")
+    return id_back(found.mapInPandas(finish, "doc_id string, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long, n_added long"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_by_parts
+from .common import SPACES, cut, id_back, id_text, join_by_parts
 
 #: The transformed statistics: word length, symbols a word, repeated lines and words, letters of words.
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_odd")
@@ -83,11 +83,11 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             frame[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]] = found[:, :5]
             frame["base_failed"] = (words < 10) | (100 * repeats > 20 * words)
             frame[list(VECTOR)] = np.rint(vector.T * _SCALE).astype(np.int64)
-            yield frame.astype({"doc_id": "Int64"})
+            yield frame
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{v} long" for v in VECTOR)
-    return slim.mapInPandas(work, schema)
+    slim = docs.select(id_text(id_col), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = "doc_id string, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{v} long" for v in VECTOR)
+    return id_back(slim.mapInPandas(work, schema))
 
 
 _PAIRS = list(combinations_with_replacement(range(_D), 2))
