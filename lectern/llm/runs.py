@@ -199,17 +199,19 @@ def vocabulary(tree: SuffixTree, starts: np.ndarray, periods: np.ndarray) -> tup
 
 def _primitive(factors: Factors, start: np.ndarray, period: np.ndarray) -> np.ndarray:
     """Whether the first half of the square at ``start`` is no repetition itself."""
-    ok = np.ones(len(start), dtype=bool)
-    for k in np.unique(period).tolist():
-        mine, rest, p = np.flatnonzero(period == k), k, 2
-        while rest > 1:
-            p = p if p * p <= rest else rest
-            if rest % p == 0:
-                step = k // p
-                ok[mine] &= factors.ahead(start[mine], start[mine] + step) < k - step
-                while rest % p == 0:
-                    rest //= p
-            p += 1
+    ok, rest = np.ones(len(start), dtype=bool), period.copy()
+    least = np.arange(period.max(initial=1) + 1)  # smallest prime factors
+    for p in range(2, int(len(least) ** 0.5) + 1):
+        if least[p] == p:
+            own = least[p * p :: p]
+            own[own == np.arange(p * p, len(least), p)] = p
+    while len(more := np.flatnonzero(rest > 1)):
+        prime = least[rest[more]]
+        step = period[more] // prime
+        ok[more] &= factors.ahead(start[more], start[more] + step) < period[more] - step
+        while len(again := np.flatnonzero(rest[more] % prime == 0)):
+            rest[more[again]] //= prime[again]
+            more, prime = more[again], prime[again]
     return ok
 
 
