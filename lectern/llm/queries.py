@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, pii, quality, runs, secrets
+from . import bpe, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, runs, secrets
 from .common import small_batches
 from .oracle import ORACLES
 
@@ -76,12 +76,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(documents(spark, sf_dir), loop=F.crc32(F.col("doc_id").cast("string")), texts=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_bpe, op3_licenses, op4_exact_dedup, op5_mixing, op6_pii, op7_line_dedup, op8_secrets, op9_quality, op10_near_dedup, op13_runs)
+    every = (op1_language_id, op2_bpe, op3_licenses, op4_exact_dedup, op5_mixing, op6_pii, op7_line_dedup, op8_secrets, op9_quality, op10_near_dedup, op12_packing, op13_runs)
     return {f.__name__: f for f in every}
 
 
