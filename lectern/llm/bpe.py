@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from .common import id_back, id_text
 
 #: Code points whose normal form, lower case and class are beyond doubt: ASCII and the letters of Latin-1.
-_PLAIN = re.compile("[\\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PLAIN = re.compile("[\\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: White space that str.split() takes for a gap; only the ASCII part surely is one for a tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 #: The file's own word pattern over plain text, used when the file has it.
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x1c-\x20a-z\xdf-\xf6\xf8-\xff0-9]+")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x1c-\x20a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 
 class Recent(dict):
@@ -163,7 +163,7 @@ class ForcedBoundaryBpe:
         return self.encode_fragment(fragments[0]) if len(fragments) == 1 else [i for fragment in fragments for i in self.encode_fragment(fragment)]
 
     def _plain_text(self, text: str) -> list[list[int]]:
-        memory, words = self.words, _PLAIN_WORDS.findall(text.lower())
+        memory, words = self.words, PLAIN_WORDS.findall(text.lower())
         found = list(map(memory.get, words))
         if None in found:
             for i, known in enumerate(found):
@@ -182,7 +182,7 @@ class ForcedBoundaryBpe:
             for piece in self.split_added.split(chunk) if self.split_added else [chunk]:
                 if piece in self.added:
                     out.append([self.added[piece]])
-                elif piece and self.plain and _PLAIN.fullmatch(piece) and not ODD_SPACE.search(piece):
+                elif piece and self.plain and PLAIN.fullmatch(piece) and not ODD_SPACE.search(piece):
                     out += self._plain_text(piece)
                 elif piece:
                     out += [self.encode_word(word) for word, _ in self.pre_tokenise(self.normalise(piece)) if word]
@@ -191,7 +191,7 @@ class ForcedBoundaryBpe:
     def encode_text(self, text: str | None) -> tuple[str, list[int]]:
         """The ids of a text, in decimal joined by spaces and as numbers."""
         text = text or ""
-        simple = self.plain and _PLAIN.fullmatch(text) and not ODD_SPACE.search(text) and not (self.split_added and self.split_added.search(text))
+        simple = self.plain and PLAIN.fullmatch(text) and not ODD_SPACE.search(text) and not (self.split_added and self.split_added.search(text))
         ids = list(chain.from_iterable(self._plain_text(text) if simple else self._any_text(text)))
         return " ".join(map(self.decimal.__getitem__, ids)), ids
 

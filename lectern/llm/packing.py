@@ -15,47 +15,71 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ASCII_SPACE, ODD_SPACE, Recent
+from .bpe import ASCII_SPACE, ODD_SPACE, PLAIN, PLAIN_WORDS, ForcedBoundaryBpe, Recent
 from .common import cut, id_back, id_text, text_of
 
 
-class ChunkEncoder:
+def byte_alphabet() -> dict[str, int]:
+    """The byte behind each character of the byte-level alphabet: printable Latin-1 stands for itself, the rest follows 255."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)) - set(own))
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class ChunkEncoder(ForcedBoundaryBpe):
     """Ids, as little-endian 32-bit numbers, of texts by a tokenizer file whose words never span white space.
 
-    Texts are split at white space, and the library is asked for chunks that are not in memory; each of
-    the memory's two generations holds ``size`` chunks.
+    Chunks between white space are remembered, ``size`` in each of the memory's two generations.  Words of
+    others are merged by a byte-pair library that joins what gives the token of least id.  With merges in
+    the order of ids that is the same, if every token comes out whole when it is merged alone: two tokens
+    side by side that make up a token are then a listed merge, since the merges inside a token do not
+    depend on what is around it.  Tokens that do not come out whole are never made and are left out.
+    The end of a word is byte 0xFF, which no UTF-8 text has.
     """
 
     def __init__(self, path: str, size: int = 200_000) -> None:
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        super().__init__(path, size)
         self.memory = Recent(size)
+        ordered = sorted((self.vocab[a + b], i) for (a, b), i in self.ranks.items())
+        assert [i for _, i in ordered] == sorted(i for _, i in ordered), "ids must follow the order of merges"
+        self.byte_of = byte_alphabet()
+        known: dict[bytes, int] = {}
+        for token, i in self.vocab.items():
+            ends = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
+            symbols = token.removesuffix(self.suffix) if ends else token
+            if all(c in self.byte_of for c in symbols) and self._merge(symbols, ends) == [token]:
+                known[bytes(map(self.byte_of.__getitem__, symbols)) + b"\xff" * ends] = i
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=known, special_tokens={})._encode_single_piece
+        self.end = b"\xff" if self.suffix else b""
+
+    def encode_word(self, word: str) -> list[int]:
+        return self.piece(bytes(map(self.byte_of.__getitem__, word)) + self.end)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (known := self.memory.recall(chunk)) is None:
+            if self.plain and PLAIN.fullmatch(chunk) and not ODD_SPACE.search(chunk) and not (self.split_added and self.split_added.search(chunk)):
+                ids = [i for word in PLAIN_WORDS.findall(chunk.lower()) for i in self.piece(word.encode() + self.end)]
+            else:
+                ids = [i for word in self._any_text(chunk) for i in word]
+            known = pack_ids(f"<{len(ids)}I", *ids)
+            if len(chunk) <= 64:
+                self.memory.keep(chunk, known)
+        return known
 
     def ids(self, text: str) -> bytes:
-        memory = self.memory
         chunks = ASCII_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
-        found = list(map(memory.get, chunks))
+        found = list(map(self.memory.get, chunks))
         if None in found:
-            new: dict[str, bytes | None] = {}
-            for i, known in enumerate(found):
-                if known is None and (known := memory.recall(chunk := chunks[i])) is None:
-                    new[chunk] = None
-                found[i] = known
-            asked = list(new)
-            for chunk, coded in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-                new[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
-                if len(chunk) <= 64:
-                    memory.keep(chunk, new[chunk])
-            found = [new[chunk] if known is None else known for chunk, known in zip(chunks, found, strict=True)]
+            found = [self._chunk(chunk) if known is None else known for chunk, known in zip(chunks, found, strict=True)]
         return b"".join(found)
 
 
