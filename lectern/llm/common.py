@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -21,22 +22,41 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, for checkpoints and written tables.
 
     The session's ``spark.checkpoint.dir`` is used when set.  Otherwise a local run gets a temporary
     folder and a cluster the warehouse, which it shares by definition.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        shared = conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and context.master.startswith("local["):
             shared = os.path.join(tempfile.gettempdir(), f"checkpoints-{context.applicationId}")
-        context.setCheckpointDir(shared or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a checkpoint in the folder all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """``df`` as a compressed table in the folder all executors share, until it is dropped."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.rows = self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def wide(spark: SparkSession, least: int) -> int:
     """Number of partitions or shards: the session's shuffle partitions, ``least`` at least."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

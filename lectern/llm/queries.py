@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, runs, secrets
+from . import alignment, bpe, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, runs, secrets
 from .common import small_batches
 from .oracle import ORACLES
 
@@ -17,11 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer file used by the queries; the operator takes any path."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer file used by the queries; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def training_fold(id_col: str = "doc_id"):
@@ -76,6 +76,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), groups=False)
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -85,7 +89,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_bpe, op3_licenses, op4_exact_dedup, op5_mixing, op6_pii, op7_line_dedup, op8_secrets, op9_quality, op10_near_dedup, op12_packing, op13_runs)
+    every = (op1_language_id, op2_bpe, op3_licenses, op4_exact_dedup, op5_mixing, op6_pii, op7_line_dedup, op8_secrets, op9_quality, op10_near_dedup, op11_alignment, op12_packing, op13_runs)
     return {f.__name__: f for f in every}
 
 
