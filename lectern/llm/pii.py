@@ -204,20 +204,24 @@ def candidates(text: str, base: list[tuple[str, int, int]], names: frozenset[str
     return sorted(out, key=lambda c: (c[1], EXTRA.index(c[0])))
 
 
-def reliabilities(counts: dict[str, int], rounds: int = 500, prior: float = 0.3) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+#: How many candidates the prior of a labeler's votes is worth.
+PSEUDO = 200.0
+
+
+def reliabilities(counts: dict[str, int], rounds: int = 2000, prior: float = 0.3) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     """Expectation-maximisation over the vote patterns (kind:votes) of one kind.
 
     Returns P(vote | real) and P(vote | not real), each labelers x 3, and every pattern's probability.
-    Starts from what a labeler means by its votes.  That also is a prior worth 20 candidates and half of
-    the kind's, which tells the two classes apart where few patterns occur.  Ends when no probability
-    moves by 1e-9, which a map that pulls to its prior reaches long before ``rounds``.
+    Starts from what a labeler means by its votes.  That also is a prior worth ``PSEUDO`` candidates,
+    however many there are, which tells the two classes apart where few occur and leaves the estimates of
+    many to the data.  Ends when no probability moves by 1e-9, or after ``rounds``.
     """
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], dtype=float)
     vote = np.array([["-0+".index(c) for c in p.split(":")[1]] for p in patterns], dtype=int)
     labelers = vote.shape[1]
     each = np.arange(labelers)
-    sure = 20 + weight.sum() / 2
+    sure = PSEUDO
     yes, no, real = np.tile([0.05, 0.45, 0.5], (labelers, 1)), np.tile([0.3, 0.62, 0.08], (labelers, 1)), prior
     start_yes, start_no = yes * sure, no * sure
     posterior = np.zeros(len(patterns))
