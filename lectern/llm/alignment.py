@@ -199,12 +199,11 @@ def _lists(lists: list, kind: pa.DataType) -> pa.Array:
 class Known:
     """The fragments that every task knows: their code by key and, by code, sizes, links and written groups."""
 
-    def __init__(self, rows: list) -> None:
-        self.code = {r.fragment: i for i, r in enumerate(rows)}
-        columns = {name: _lists([r[name] for r in rows], kind) for name, kind in _TYPES.items()}
-        cuts = pa.array([[{"a": c["a"], "b": c["b"]} for c in r.cuts] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        groups = Groups(pa.RecordBatch.from_arrays([columns["a_ids"], columns["b_ids"], cuts], names=["a_ids", "b_ids", "cuts"]))
-        n = len(rows)
+    def __init__(self, rows: pa.Table) -> None:
+        found = rows.combine_chunks().to_batches()
+        batch = found[0] if found else pa.RecordBatch.from_pylist([], schema=rows.schema)
+        groups, n = Groups(batch), batch.num_rows
+        self.code = {key: i for i, key in enumerate(batch.column("fragment").to_pylist())}
         tokens, place = groups.written(_decimals())
         at = place[groups.a_begin].tolist()
         self.written = ["".join(tokens[x:y]) for x, y in zip(at, at[1:], strict=False)]
@@ -246,7 +245,7 @@ def _known_fragments(docs: DataFrame, paths: tuple[str, str], most: int, text_co
 
     found = frequent_fragments(docs, text_col, most).mapInPandas(work, f"fragment string, {_TOKENS}")
     keyed = cut(found.withColumn("key", F.monotonically_increasing_id())).repartition(wide(docs.sparkSession, 1), "key")
-    return Known(keyed.join(common_cuts(keyed.select("key", "a_len", "b_len")), "key").drop("key").collect())
+    return Known(keyed.join(common_cuts(keyed.select("key", "a_len", "b_len")), "key").drop("key").toArrow())
 
 
 _CUTS = "array<struct<group:int,a:int,b:int>>"
