@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import surfacing as S
 from ..operators.fusion import top_per_group
-from ..operators.search import nearest
+from ..operators.vectors import nearest
 from ..tables import chunks, edges, load, vectors, with_views, works
 from .registry import query
 

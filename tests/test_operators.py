@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vector as V
-from lectern.operators import chunking, fusion, graph, ingest, search, sessions
+from lectern.operators import chunking, fusion, graph, ingest, search, sessions, vectors
 from lectern.operators import surfacing as S
 
 
@@ -161,8 +161,8 @@ def test_nearest_as_brute_force(spark):
     unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
     want = {(i, j) for i in range(0, 60, 10) for j in sorted((k for k in range(60) if k != i), key=lambda k: (-round(float(unit[i] @ unit[k]), 6), k))[:5]}
     for block in (4096, 2):
-        assert {(a.id, a.chunk_id) for a in search.nearest(v, asked, 5, block).collect()} == want
-    assert search.nearest(v, asked.limit(0), 5).count() == 0
+        assert {(a.id, a.chunk_id) for a in vectors.nearest(v, asked, 5, block).collect()} == want
+    assert vectors.nearest(v, asked.limit(0), 5).count() == 0
 
 
 def test_numbered_by_ranges(spark):
