@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Recent
-from .common import Written, cut, text_of, wide
+from .common import Written, chunks_of, cut, text_of, wide
 from .packing import byte_alphabet
 
 #: How many fragments, and how many links, are known to every task.
@@ -37,6 +36,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _ODD = re.compile(r"\s\s|[^\S \n]")
 _FRAGMENT = re.compile(r"\s*\S*(?:[^\S \n]\s*\S*)*")
 _LONGEST = 64
+#: Characters of texts, and fragments and tokens, that are taken at a time.
+_TEXTS, _LINKED = 1 << 20, 1 << 17
 
 
 def fragment_keys(text: str) -> list[str]:
@@ -57,7 +58,7 @@ def fragment(key: str) -> str:
 class Tokenizers:
     """Tokens of fragments by a byte-level BPE file (A) and a sentencepiece model (B)."""
 
-    def __init__(self, bytes_path: str, piece_path: str, size: int = 60_000) -> None:
+    def __init__(self, bytes_path: str, piece_path: str) -> None:
         import sentencepiece
         import tiktoken
 
@@ -66,33 +67,33 @@ class Tokenizers:
         special = {a["content"] for a in spec["added_tokens"]}
         byte_of = byte_alphabet()
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.left = tiktoken.Encoding("left", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_bytes = {i: t for t, i in ranks.items()}
+        self.left = tiktoken.Encoding("left", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.right = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.right.id_to_piece(i) for i in range(self.right.get_piece_size())]
         assert not any(re.search("[^▁]▁|\n", p) for p in pieces), "a token goes across white space"
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.right.is_byte(i) else p.encode().replace("▁".encode(), b" ") for i, p in enumerate(pieces)]
-        self.before = self.right.encode("a")
-        self.memory = Recent(size)
+        self.lengths = [np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes)]
+        self.before = len(self.right.encode("a"))
 
-    def _made(self, keys: list[str]) -> None:
+    def of(self, keys: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of A and B the ids of all ``keys`` in a row and where each key's begin, and whether both sides' bytes are the key's fragment."""
         parts = [fragment(k) for k in keys]
         right = self.right.encode([f"a{p}" for p in parts], num_threads=1)  # a word in front keeps the fragment's own space
-        for key, part, b in zip(keys, parts, right, strict=True):
-            a, b, raw = self.left.encode_ordinary(part), b[len(self.before) :], part.encode()
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            whole = b"".join(x) == raw == b"".join(y)
-            self.memory.keep(key, (a, list(map(len, x)), b, list(map(len, y))) if whole else ())
-
-    def of(self, keys: list[str]) -> dict[str, tuple]:
-        """By key the ids and lengths of both sides' tokens; nothing where their bytes are not the fragment's."""
-        found: dict[str, tuple] = {}
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            if new := [k for k in dict.fromkeys(part) if self.memory.get(k) is None and self.memory.recall(k) is None]:
-                self._made(new)
-            found |= {k: x if (x := self.memory.get(k)) is not None else self.memory.old[k] for k in part}
-        return found
+        lists = list(map(self.left, parts)), [ids[self.before :] for ids in right]
+        raw = [p.encode() for p in parts]
+        ids = [np.array(list(chain.from_iterable(x)), dtype=np.int64) for x in lists]
+        begins = [np.fromiter(accumulate(map(len, x), initial=0), dtype=np.int64, count=len(keys) + 1) for x in lists]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(keys))
+        ends = [np.concatenate(([0], np.cumsum(length[i])))[begin] for length, i, begin in zip(self.lengths, ids, begins, strict=True)]
+        whole = np.logical_and(*(np.diff(e) == size for e in ends))
+        written = [b"".join(map(table.__getitem__, chain.from_iterable(x))) for table, x in zip((self.a_bytes, self.b_bytes), lists, strict=True)]
+        if not whole.all() or any(w != b"".join(raw) for w in written):
+            for text, end in zip(written, ends, strict=True):
+                whole &= np.array([text[x:y] == r for x, y, r in zip(end[:-1].tolist(), end[1:].tolist(), raw, strict=True)], dtype=bool)
+        return ids, begins, whole
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +133,33 @@ class Lists:
         return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
 
 
+class Tally:
+    """Sums of documents by pair over a task's batches, put out when they are many."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.size, self.parts = most, 0, []
+
+    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
+        pair, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        names, place = np.unique(pair, return_inverse=True)
+        return names, np.bincount(place, weights=docs, minlength=len(names)).astype(np.int64)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            pair, docs = self._summed()
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(docs)], names=["pair", "docs"])
+        self.size, self.parts = 0, []
+
+    def add(self, pair: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((pair, docs))
+        self.size += len(pair)
+        if self.size > 2 * self.most:
+            self.parts = [self._summed()]
+            self.size = len(self.parts[0][0])
+            if self.size > self.most:
+                yield from self.rest()
+
+
 class Groups:
     """The groups of a batch of token lists that :func:`common_cuts` has cut, in order, and their links."""
 
@@ -190,10 +218,17 @@ _TOKENS = "a_ids array<int>, a_len array<smallint>, b_ids array<int>, b_len arra
 _TYPES = {"a_ids": pa.int32(), "a_len": pa.int16(), "b_ids": pa.int32(), "b_len": pa.int16()}
 
 
-def _lists(lists: list, kind: pa.DataType) -> pa.Array:
-    ends = np.fromiter(accumulate(map(len, lists), initial=0), dtype=np.int32, count=len(lists) + 1)
-    flat = np.fromiter((x for part in lists for x in part), dtype=kind.to_pandas_dtype(), count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+def _listed(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Lists of ``sizes`` of consecutive values."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype())))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some thousand fragments and tokens, as links of many at once fill the memory."""
+    for batch in batches:
+        sizes = sum(np.diff(batch.column(name).offsets.to_numpy()) for name in ("codes", "a_ids", "b_ids"))
+        for first, last in chunks_of(sizes.tolist(), _LINKED):
+            yield batch.slice(first, last - first)
 
 
 class Known:
@@ -219,15 +254,28 @@ def encoded(docs: DataFrame, paths: tuple[str, str], known, *, id_col: str, text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, code = _tokenizers(*paths), known.value.code
         for batch in batches:
-            names = [fragment_keys(t) if t else [] for t in batch.column("text").to_pylist()]
-            codes = [list(map(code.get, keys)) for keys in names]
-            rest = [[k for k, c in zip(keys, found, strict=True) if c is None] if None in found else [] for keys, found in zip(names, codes, strict=True)]
-            made = tokenizers.of([k for keys in rest for k in keys])
-            whole = [bool(keys) and all(made[k] for k in left) for keys, left in zip(names, rest, strict=True)]
-            codes = [[-1 if c is None else c for c in found] if ok else [] for found, ok in zip(codes, whole, strict=True)]
-            rest = [[made[k] for k in left] if ok else [] for left, ok in zip(rest, whole, strict=True)]
-            sides = [_lists([[x for tokens in left for x in tokens[j]] for left in rest], kind) for j, kind in enumerate(_TYPES.values())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.bool_()), _lists(codes, pa.int32()), _lists([[len(t[0]) for t in left] for left in rest], pa.int32()), *sides], names=["doc_id", "whole", "codes", "rest", *_TYPES])
+            texts = batch.column("text").to_pylist()
+            for first, last in chunks_of([len(t) for t in texts], _TEXTS):
+                names = [fragment_keys(t) if t else [] for t in texts[first:last]]
+                sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+                keys = list(chain.from_iterable(names))
+                codes = np.fromiter(map(code.get, keys, repeat(-1)), dtype=np.int32, count=len(keys))
+                row = np.repeat(np.arange(len(names)), sizes)
+                at = np.flatnonzero(codes < 0)
+                number: dict[str, int] = {}
+                which = np.array([number.setdefault(keys[i], len(number)) for i in at.tolist()], dtype=np.int64)
+                ids, begins, good = tokenizers.of(list(number))
+                whole = sizes > 0
+                whole[row[at[~good[which]]]] = False
+                which, rest_row, inside = which[whole[row[at]]], row[at][whole[row[at]]], whole[row]
+                columns = []
+                for i, begin, length in zip(ids, begins, tokenizers.lengths, strict=True):
+                    many = np.diff(begin)[which]
+                    flat = i[np.arange(many.sum()) + np.repeat(begin[which] - (np.cumsum(many) - many), many)]
+                    per_row = np.bincount(rest_row, weights=many, minlength=len(names))
+                    columns += [_listed(flat, per_row, pa.int32()), _listed(length[flat], per_row, pa.int16())]
+                rest = _listed(np.diff(begins[0])[which], np.bincount(rest_row, minlength=len(names)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(whole), _listed(codes[inside], np.where(whole, sizes, 0), pa.int32()), rest, *columns], names=["doc_id", "whole", "codes", "rest", *_TYPES])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return slim.mapInArrow(work, schema)
@@ -239,9 +287,13 @@ def _known_fragments(docs: DataFrame, paths: tuple[str, str], most: int, text_co
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers = _tokenizers(*paths)
         for batch in batches:
-            keys = batch["fragment"].tolist()
-            made = tokenizers.of(keys)
-            yield pd.DataFrame([(k, *made[k]) for k in keys if made[k]], columns=["fragment", *_TYPES])
+            if not len(keys := batch["fragment"].tolist()):
+                continue
+            ids, begins, whole = tokenizers.of(keys)
+            out = {"fragment": keys}
+            for side, i, begin, length in zip("ab", ids, begins, tokenizers.lengths, strict=True):
+                out[f"{side}_ids"], out[f"{side}_len"] = (np.split(x, begin[1:-1]) for x in (i, length[i]))
+            yield pd.DataFrame(out).loc[whole]
 
     found = frequent_fragments(docs, text_col, most).mapInPandas(work, f"fragment string, {_TOKENS}")
     keyed = cut(found.withColumn("key", F.monotonically_increasing_id())).repartition(wide(docs.sparkSession, 1), "key")
@@ -272,8 +324,8 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
     coded.drop()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = sent.value
-        for batch in batches:
+        memo, held_by = sent.value, Tally()
+        for batch in _parts(batches):
             codes = Lists(batch.column("codes"))
             both = (codes.owner() << 32) + codes.numbers()
             row, code = np.divmod(np.unique(both[codes.numbers() >= 0]), 1 << 32)
@@ -283,7 +335,8 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
             row, pair = np.concatenate([np.repeat(row, many), rest_row]), np.concatenate([memo.pair[at], rest])
             names, place = np.unique(pair, return_inverse=True)
             held = np.unique(row * max(1, len(names)) + place) % max(1, len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(held, minlength=len(names)))], names=["pair", "docs"])
+            yield from held_by.add(names, np.bincount(held, minlength=len(names)))
+        yield from held_by.rest()
 
     counts = cut(rows.rows.select("codes", "a_ids", "b_ids", "cuts").mapInArrow(pairs, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")))
     first = F.shiftright("pair", 32).alias("a")
@@ -301,7 +354,7 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (pair, docs_of, best_of), by = sent.value, names.value, by_code.value
-        for batch in batches:
+        for batch in _parts(batches):
             n = batch.num_rows
             codes, found = Lists(batch.column("codes")), Groups(batch)
             code, row = codes.numbers(), codes.owner()
