@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,52 +51,6 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int, carry: Sequence[str] =
     return out.drop("used")
 
 
-def top_shared(edges: DataFrame, group: DataFrame, k: int, least: int = 2, block: int = 2048) -> DataFrame:
-    """The ``k`` pairs of sources in different groups (src, owner) that share most targets, ``least`` at least: a, b, shared, targets.
-
-    Of equal counts the smaller (a, b) come first.  Sources are cut into blocks and every two blocks meet as
-    matrices of sources by targets; a task gives no more than its ``k`` best pairs, so pairs are never
-    listed and a target that many sources share makes no task larger.
-    """
-    rows = edges.select("src", "dst").distinct().join(group.select("src", "owner"), "src").groupBy("src", "owner").agg(F.array_sort(F.collect_set("dst")).alias("targets")).filter(F.size("targets") >= least)
-    rows = cut(rows)
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("src"), F.lit(n)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("src", "owner", "targets", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("src").reset_index(drop=True)
-        number: dict[str, int] = {}
-        row = np.repeat(np.arange(len(frame)), [len(mine) for mine in frame["targets"]])
-        col = np.array([number.setdefault(t, len(number)) for mine in frame["targets"] for t in mine], dtype=np.int64)
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        total = np.zeros((len(frame), len(frame)), dtype=np.float32)
-        for first in range(0, len(number), 2048):  # targets at a time, so that memory does not grow with their number
-            lo, hi = np.searchsorted(col, (first, first + 2048))
-            has = np.zeros((len(frame), min(2048, len(number) - first)), dtype=np.float32)
-            has[row[lo:hi], col[lo:hi] - first] = 1
-            total += has @ has.T
-        owner, part = pd.factorize(frame["owner"])[0], frame["own"].to_numpy()
-        found: list[tuple[int, int, int]] = []
-        across = frame["i"].iloc[0] != frame["j"].iloc[0]
-        for at in range(0, len(frame), 512):
-            shared = total[at : at + 512].astype(np.int32)
-            r = np.arange(at, min(at + 512, len(frame)))
-            shared[(r[:, None] >= np.arange(len(frame))[None, :]) | (owner[r][:, None] == owner[None, :])] = 0
-            if across:
-                shared[part[r][:, None] == part[None, :]] = 0
-            x, y = np.nonzero(shared >= least)
-            best = np.lexsort((y, x, -shared[x, y]))[:k]
-            found += [(-int(shared[x[b], y[b]]), int(r[x[b]]), int(y[b])) for b in best]
-        src, targets = frame["src"].tolist(), [set(t) for t in frame["targets"]]
-        best = sorted(found)[:k]
-        return pd.DataFrame({"a": [src[x] for _, x, _ in best], "b": [src[y] for *_, y in best], "shared": [-c for c, *_ in best], "targets": [sorted(targets[x] & targets[y]) for _, x, y in best]})
-
-    met = dealt.groupBy("i", "j").applyInPandas(work, "a string, b string, shared long, targets array<string>")
-    return met.orderBy(F.desc("shared"), "a", "b").limit(k)
-
-
 def overlap_tier(n: Column) -> tuple[Column, Column]:
     """Tier and score of a number of shared entities."""
     return F.when(n >= 5, "high").when(n >= 3, "medium").otherwise("low"), F.when(n >= 5, 0.95).when(n >= 3, 0.75).otherwise(0.5)

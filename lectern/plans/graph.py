@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import fusion
 from ..operators import graph as G
+from ..operators.overlaps import top_shared
 from ..operators.search import similar_within
 from ..schema import STOP_WORDS
 from ..tables import chunks, edges, load, vectors, with_views, works
@@ -67,7 +68,7 @@ _ENTITIES = "type IN ('MAKES_ARGUMENT','CONCEPT_USED_IN','REFERENCES_PERSON')"
   SELECT *, CASE WHEN shared >= 5 THEN 'high' WHEN shared >= 3 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN shared >= 5 THEN 0.95 WHEN shared >= 3 THEN 0.75 ELSE 0.5 END::DOUBLE AS score FROM p ORDER BY shared DESC, a, b LIMIT 100"""))
 def entity_overlap_pairs(spark, sf_dir) -> DataFrame:
     e = of_type(spark, sf_dir, "MAKES_ARGUMENT", "CONCEPT_USED_IN", "REFERENCES_PERSON").select("src", "type", "dst")
-    pairs = G.top_shared(e, owners(spark, sf_dir), 100)
+    pairs = top_shared(e, owners(spark, sf_dir), 100)
     tier, score = G.overlap_tier(F.col("shared"))
     return pairs.withColumns({"tier": tier, "score": score})
 

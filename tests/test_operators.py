@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vector as V
-from lectern.operators import chunking, fusion, graph, ingest, search, sessions, vectors
+from lectern.operators import chunking, fusion, graph, ingest, overlaps, search, sessions, vectors
 from lectern.operators import surfacing as S
 
 
@@ -206,19 +206,21 @@ def test_themes_of_other_works(spark):
         assert got[i] == want
 
 
-def test_top_shared_as_brute_force(spark):
+@pytest.mark.parametrize("seed", [8, 9])
+def test_top_shared_as_brute_force(spark, seed):
     import random
 
-    r = random.Random(8)
+    r = random.Random(seed)
     edges = {(f"s{i}", "K", f"t{min(int(r.expovariate(0.3)), 30)}") for i in range(150) for _ in range(6)} | {(f"s{i}", "K", "hot") for i in range(150)}
-    owner = {f"s{i}": f"w{i % 3 if i % 2 else 0}" for i in range(150)}
+    edges |= {(f"s{i}", "K", t) for i in range(150, 190) for t in ("copied 1", "copied 2", "hot", *([f"t{seed}"] if i % 2 else []))}
+    owner = {f"s{i}": f"w{i % 3 if i % 2 else 0}" for i in range(190)}
     sets = {s: {d for x, _, d in edges if x == s} for s in owner}
-    pairs = sorted((-len(sets[a] & sets[b]), a, b) for a in owner for b in owner if a < b and owner[a] != owner[b] and len(sets[a] & sets[b]) >= 2)[:40]
-    e, w = spark.createDataFrame(list(edges), "src string, type string, dst string"), spark.createDataFrame(list(owner.items()), "src string, owner string")
-    for block in (2048, 40):
-        got = graph.top_shared(e, w, 40, block=block).collect()
-        assert [(-x.shared, x.a, x.b) for x in got] == pairs and all(set(x.targets) == sets[x.a] & sets[x.b] for x in got)
-    assert graph.top_shared(e.limit(0), w, 5).count() == 0
+    pairs = sorted((-len(sets[a] & sets[b]), a, b) for a in owner for b in owner if a < b and owner[a] != owner[b] and len(sets[a] & sets[b]) >= 2)
+    e, w = spark.createDataFrame([*edges, ("s1", "K", None), ("nobody", "K", "hot")], "src string, type string, dst string"), spark.createDataFrame(list(owner.items()), "src string, owner string")
+    for k, rare in ((40, 64), (7, 3), (1000, 0)):
+        got = overlaps.top_shared(e, w, k, rare=rare).collect()
+        assert [(-x.shared, x.a, x.b) for x in got] == pairs[:k] and all(set(x.targets) == sets[x.a] & sets[x.b] for x in got)
+    assert overlaps.top_shared(e.limit(0), w, 5).count() == 0
 
 
 def test_similar_within_as_brute_force(spark):
