@@ -51,6 +51,21 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int, carry: Sequence[str] =
     return out.drop("used")
 
 
+def within_hops(edges: DataFrame, depth: int) -> DataFrame:
+    """seed, node, hop: the nodes that ``depth`` edges or fewer lead to from each source, at their first hop, the seed left out.
+
+    A hop starts from the nodes new in the one before, so none is followed twice from a seed.
+    """
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    here = cut(edges.select(F.col("src").alias("seed"), F.col("dst").alias("node")).distinct().filter("seed <> node"))
+    seen = here.withColumn("hop", F.lit(1))
+    for hop in range(2, depth + 1):
+        there = here.join(step, F.col("node") == F.col("at")).select("seed", F.col("next").alias("node")).distinct().filter("seed <> node")
+        here = cut(there.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
+        seen = seen.unionByName(here.withColumn("hop", F.lit(hop)))
+    return seen
+
+
 def overlap_tier(n: Column) -> tuple[Column, Column]:
     """Tier and score of a number of shared entities."""
     return F.when(n >= 5, "high").when(n >= 3, "medium").otherwise("low"), F.when(n >= 5, 0.95).when(n >= 3, 0.75).otherwise(0.5)
