@@ -94,12 +94,15 @@ def fulltext_any_word(spark, sf_dir) -> DataFrame:
     return T.search_ranked(T.found_positions(chunks(spark, sf_dir), asked.lexemes), asked, None, 1 | 16).withColumnRenamed("id", "chunk_id")
 
 
-@query(f"""WITH {_STEMS}, f AS (SELECT DISTINCT a.id FROM places a JOIN places b ON a.id = b.id AND b.pos = a.pos + 2 JOIN tokens t ON t.id = a.id WHERE a.lexeme = 'anea' AND b.lexeme = 'erin'),
-  n AS (SELECT a.id, round(1 - product({_near('a.pos', 'b.pos')}), 9) AS score FROM places a JOIN places b ON a.id = b.id AND a.pos <> b.pos WHERE a.lexeme = 'anea' AND b.lexeme = 'erin' GROUP BY a.id)
+_PHRASE = ("anea", "attion", "thanedbl")
+
+
+@query(f"""WITH {_STEMS}, f AS (SELECT DISTINCT a.id FROM places a JOIN places b ON a.id = b.id AND b.pos = a.pos + 2 JOIN places c ON a.id = c.id AND c.pos = a.pos + 4 WHERE a.lexeme = 'attion' AND b.lexeme = 'thanedbl' AND c.lexeme = 'anea'),
+  n AS (SELECT a.id, round(1 - product({_near('a.pos', 'b.pos')}), 9) AS score FROM places a JOIN places b ON a.id = b.id AND a.lexeme < b.lexeme AND a.pos <> b.pos WHERE a.lexeme IN ({_list(_PHRASE)}) AND b.lexeme IN ({_list(_PHRASE)}) GROUP BY a.id)
   SELECT id AS chunk_id, score FROM f JOIN n USING (id)""")
 def fulltext_phrase(spark, sf_dir) -> DataFrame:
     """All passages with a phrase, a stop word inside standing for any word."""
-    asked = T.phrase_query("aneas of erines")
+    asked = T.phrase_query("attions to thanedble the aneas")
     return T.search_ranked(T.found_positions(chunks(spark, sf_dir), asked.lexemes), asked, None).withColumnRenamed("id", "chunk_id")
 
 

@@ -281,6 +281,32 @@ def graph_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("label"), part(2).alias("key"), part(3).alias("name"))
 
 
+#: The relations that are restored from a dump and what they lead to.
+DUMPED = {"EXPLORES_THEME": "Theme", "CONCEPT_USED_IN": "Concept", "REFERENCES_PERSON": "Person", "MAKES_ARGUMENT": "Argument"}
+
+
+def dump_edges(spark: SparkSession, path: str, work_prefix: str = "") -> DataFrame:
+    """src, type, label, dst, name, claim of the relations of passages in a dump of relations, packed or not.
+
+    A record (`"Chunk", {..}, "RELATION", {..}, "Label", {..}`) may go over several lines, so the reader
+    parts the file where a passage's record begins and records are read one by one; other records behind
+    are cut off.  Kept are the relations of :data:`DUMPED`, of passages whose work begins with
+    ``work_prefix``, that lead to a node with a canonical name.
+    """
+    rows = spark.read.option("lineSep", '\n"Chunk", {').text(path)
+    record = F.element_at(F.split("value", r'(?m)^(?="[A-Za-z]+", \{)'), 1)
+    parts = rows.select(record.alias("record")).withColumn("type", F.regexp_extract("record", r'\}, "([A-Z_]+)", \{', 1)).filter(F.col("type").isin(*DUMPED))
+    target = r'(?s)\}, "[A-Z_]+", \{[^}]*\}, "([A-Za-z]+)", (\{.*)$'
+    named = parts.select("record", "type", F.regexp_extract("record", target, 1).alias("label"), F.regexp_extract("record", target, 2).alias("blob"))
+    value = lambda column, pattern: F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+    out = named.select(
+        value("record", r'chunk_id: "([0-9a-fA-F-]{32,36})"').alias("src"), "type", "label", value("blob", r'canonical_name: "([^"]*)"').alias("dst"), value("blob", r'(?:[{ ])name: "([^"]*)"').alias("name"), value("blob", r'claim: "([^"]*)"').alias("claim"),
+        value("record", r'work_id: "([^"]*)"').alias("work"),
+    )
+    wanted = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in DUMPED.items() for x in pair]), F.col("type")) == F.col("label"), F.lit(False))
+    return out.filter(wanted & F.col("src").isNotNull() & F.col("dst").isNotNull() & F.coalesce("work", F.lit("")).startswith(work_prefix)).drop("work")
+
+
 def letters(docs: DataFrame) -> DataFrame:
     """doc_id, letter, number, recipient, date of scanned letters: each begins with "LETTER n. To NAME" and a date line."""
     parts = F.split("text", r"(?m)^(?=LETTER [0-9lIO]+\.)")

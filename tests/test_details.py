@@ -1,11 +1,13 @@
 """Trees, letter numbers and links against loops."""
 
+import gzip
 import itertools
 import random
 
 import pytest
 
-from lectern.operators import graph, letters, trees
+from lectern.operators import graph, letters, synthesis, trees
+from lectern.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +71,40 @@ def test_links_within_hops(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("a", "b"), ("f", "f")], "src string, dst string")
     got = {(r.seed, r.node): r.hop for r in graph.within_hops(e, 3).collect()}
     assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("b", "c"): 1, ("b", "a"): 2, ("b", "d"): 2, ("b", "e"): 3, ("c", "a"): 1, ("c", "d"): 1, ("c", "b"): 2, ("c", "e"): 2, ("d", "e"): 1}
+
+
+def test_tension_blocks(spark):
+    raw = """Thinking aloud.
+TENSION: Grace against effort
+  TYPE: Contradiction
+  REF_A: 2 — all is given
+  REF_B: 1 - work it out
+TENSION: No such reflection
+TYPE: evolution
+REF_A: 1 — x
+REF_B: 9 — y
+TENSION: Odd kind
+TYPE: quarrel
+REF_A: 1 — only this
+REF_A: 2 — then this
+REF_B: 1 — that"""
+    answers = spark.createDataFrame([(1, raw), (2, "NO_TENSIONS_FOUND"), (3, ""), (4, None)], "answer_id int, raw string")
+    notes = spark.createDataFrame([(1, 1, "c1", "2024-05-06T10:00"), (1, 2, "c2", None), (2, 1, "c1", None)], "answer_id int, number int, chunk_id string, date string")
+    got = [tuple(r)[2:] for r in synthesis.tensions(answers, notes).orderBy("answer_id", "pos").collect()]
+    assert got == [("Grace against effort", "contradiction", "c2", "c1", "all is given", "work it out", "", "2024-05-06"), ("Odd kind", "uncertainty", "c2", "c1", "then this", "that", "", "2024-05-06")]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_dumped_relations(spark, tmp_path, packed):
+    chunk = lambda i, work="guite--a": f'"Chunk", {{chunk_id: "{i:032x}", text: "over\nlines", work_id: "{work}"}}'
+    records = [
+        "from, type, to", chunk(1) + ', "EXPLORES_THEME", {score: 1}, "Theme", {canonical_name: "hope", name: "Hope"}', '"Work", {work_id: "guite--a"}, "AUTHORED", {}, "Person", {canonical_name: "x"}',
+        chunk(2) + ', "MAKES_ARGUMENT", {}, "Argument", {claim: "a claim\nover lines", canonical_name: "arg"}', chunk(3) + ', "PART_OF", {}, "Work", {canonical_name: "w"}', chunk(4, "other--b") + ', "EXPLORES_THEME", {}, "Theme", {canonical_name: "joy"}',
+        chunk(5) + ', "REFERENCES_PERSON", {}, "Person", {name: "Nobody"}', chunk(6) + ', "CONCEPT_USED_IN", {}, "Theme", {canonical_name: "wrong label"}', chunk(7) + ', "CONCEPT_USED_IN", {}, "Concept", {canonical_name: "sign", name: "Sign"}',
+    ]
+    name = tmp_path / ("dump.rels.gz" if packed else "dump.rels")
+    (gzip.open if packed else open)(name, "wt").write("\n".join(records) + "\n")
+    got = sorted(map(tuple, files.dump_edges(spark, str(name), "guite--").collect()))
+    key = lambda i: f"{i:032x}"
+    assert got == [(key(1), "EXPLORES_THEME", "Theme", "hope", "Hope", None), (key(2), "MAKES_ARGUMENT", "Argument", "arg", None, "a claim\nover lines"), (key(7), "CONCEPT_USED_IN", "Concept", "sign", "Sign", None)]
+    assert files.dump_edges(spark, str(name)).count() == 4
