@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stems import FIRST_REGION, KEPT, REGION, SEARCH_STOP_WORDS, SPECIAL, STEP2, STEP3, STEP4
 from ..operators import fulltext as T
-from ..tables import chunks, load
+from ..operators import ask
+from ..tables import VIEWS, chunks, edges, load, vectors, works
 from .registry import query
 
 
@@ -110,3 +111,31 @@ def fulltext_phrase(spark, sf_dir) -> DataFrame:
 def fulltext_headlines(spark, sf_dir) -> DataFrame:
     """Ranked passages with headlines; tests hold them against loops."""
     return T.keyword_search(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), '"erin thanea" or rewhly or hehe oned', 50)
+
+
+_ASKED, _BUDGET = 'Give the exact words around "thanedble the aneas"', 20_000
+_COS = "round(list_cosine_similarity(v.embedding, (SELECT embedding FROM vectors WHERE chunk_id = 0)), 6)"
+
+
+@query("WITH RECURSIVE " + VIEWS["chunks"] + ",\n" + VIEWS["works"] + ",\n" + VIEWS["vectors"] + ",\n" + VIEWS["edges"] + f""",
+{_STEMS}, f AS (SELECT DISTINCT a.id FROM places a JOIN places b ON a.id = b.id AND b.pos = a.pos + 2 WHERE a.lexeme = 'thanedbl' AND b.lexeme = 'anea'),
+  nn AS (SELECT a.id, round(1 - product({_near('a.pos', 'b.pos')}), 9) AS score FROM places a JOIN places b ON a.id = b.id AND a.lexeme < b.lexeme AND a.pos <> b.pos WHERE a.lexeme IN ('anea', 'thanedbl') AND b.lexeme IN ('anea', 'thanedbl') GROUP BY a.id),
+  tx AS (SELECT id AS chunk_id, score FROM f JOIN nn USING (id) ORDER BY score DESC, id LIMIT 15), vc AS (SELECT chunk_id, {_COS} AS score FROM vectors v JOIN chunks USING (chunk_id) WHERE granularity = 'micro' ORDER BY score DESC, chunk_id LIMIT 15),
+  p AS (SELECT chunk_id, 0.3::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id)) AS part FROM vc UNION ALL SELECT chunk_id, 0.7::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id)) FROM tx),
+  a0 AS (SELECT chunk_id, sum(part) AS score FROM p GROUP BY chunk_id ORDER BY round(sum(part), 12) DESC, chunk_id LIMIT 15),
+  l AS (SELECT src::BIGINT AS x, dst::BIGINT AS y, confidence FROM edges WHERE type = 'ENGAGES_WITH'), b AS (SELECT x, y, confidence FROM l UNION ALL SELECT y, x, confidence FROM l),
+  a1 AS (SELECT y AS chunk_id, max(CASE confidence WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 ELSE 0.4 END)::DOUBLE AS score FROM b WHERE x IN (SELECT chunk_id FROM a0) AND y NOT IN (SELECT chunk_id FROM a0) GROUP BY y ORDER BY score DESC, y LIMIT 20),
+  a2 AS (SELECT chunk_id, {_COS} AS score FROM vectors v JOIN chunks USING (chunk_id) WHERE granularity = 'micro' AND chunk_id NOT IN (SELECT chunk_id FROM a0) ORDER BY score DESC, chunk_id LIMIT 10),
+  u AS (SELECT 0 AS section, * FROM a0 UNION ALL SELECT 1, * FROM a1 UNION ALL SELECT 2, * FROM a2),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, chunk_id) AS n FROM u) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY section) = 1),
+  i AS (SELECT o.*, c.work_id, greatest(1, length(text) // 4) AS cost, row_number() OVER (ORDER BY section, n, o.chunk_id) AS rn FROM o JOIN chunks c USING (chunk_id)),
+  w AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, -1::BIGINT AS shut, NULL::BIGINT AS kept UNION ALL
+    SELECT i.rn, CASE WHEN ok THEN used + cost ELSE used END, CASE WHEN ok OR shut = section THEN shut ELSE section END, CASE WHEN ok THEN chunk_id END FROM (SELECT i.*, used, shut, shut <> section AND used + cost <= {_BUDGET} AS ok FROM w JOIN i ON i.rn = w.rn + 1) i)
+  SELECT section, n, chunk_id, round(score, 9) AS score, title, coalesce(publication_year::VARCHAR, 'undated') AS year FROM i JOIN works USING (work_id) WHERE chunk_id IN (SELECT kept FROM w)""")
+def ask_passages(spark, sf_dir) -> DataFrame:
+    """The passages that a question for a quotation is answered from: phrase and vectors, links, evidence, budget, works."""
+    c = chunks(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    links = edges(spark, sf_dir).filter("type = 'ENGAGES_WITH'").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "confidence")
+    found = ask.retrieved(c.select("chunk_id", "work_id", "text", "granularity"), v, links, _ASKED, v.filter("chunk_id = 0").select(F.col("embedding").alias("query_vector")))
+    return ask.answered(found, c, works(spark, sf_dir), _BUDGET)

@@ -5,6 +5,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -125,3 +126,22 @@ def test_headlines_have_their_size(words, least, most):
         if last - first < most:
             assert {"run", "power"} & {lexeme(w) for w in words[first : last + 1]} <= {lexeme(w) for w in shown}
     assert out.count("**") == 2 * sum(lexeme(w) in ("run", "power") for w in shown)
+
+
+def test_question_picks_its_branches(spark):
+    from lectern.operators import ask
+
+    texts = ["the living power of old", "power and more power", "a living thing", "nothing", "power living", "the last one here"]
+    passages = spark.createDataFrame([(i, "w", t, "micro" if i % 2 else "macro") for i, t in enumerate(texts)], "chunk_id long, work_id string, text string, granularity string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "chunk_id long, embedding array<double>")
+    links = spark.createDataFrame([(3, 0, "high"), (5, 2, "low"), (2, 5, "medium"), (1, 3, "high")], "src long, dst long, confidence string")
+    works = spark.createDataFrame([("w", "Title", None)], "work_id string, title string, publication_year int")
+    query = vectors.filter("chunk_id = 0").select(F.col("embedding").alias("query_vector"))
+    quote = {r.chunk_id: (r.section, r.n) for r in ask.retrieved(passages, vectors, links, 'find the quote "living power"', query).collect()}
+    # The phrase stands in 0; vectors of micro passages are 1, 3, 5 in order; links lead from these to 2 alone.
+    assert quote == {0: (0, 1), 1: (0, 2), 3: (0, 3), 5: (0, 4), 2: (1, 1)}
+    thematic = ask.retrieved(passages, vectors, links, "living power", query)
+    rows = {r.chunk_id: (r.section, r.n) for r in thematic.collect()}
+    assert {i for i, (s, _) in rows.items() if s == 0} == {0, 1, 2, 4} and {i for i, (s, _) in rows.items() if s == 1} == {3, 5}
+    small = ask.answered(thematic, passages, works, 12).collect()
+    assert sum(max(1, len(texts[r.chunk_id]) // 4) for r in small) <= 12 and {r.year for r in small} == {"undated"}
