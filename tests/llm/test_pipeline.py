@@ -139,5 +139,5 @@ def test_stages_keep_the_columns(spark, odd, none):
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
-    assert {*queries(), "pipeline"} <= set(entry.queries()) and len(queries()) == 10
+    assert {*queries(), "pipeline"} <= set(entry.queries()) and len(queries()) == 13
     assert with_clashes(spark.range(1)).columns
