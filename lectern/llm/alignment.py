@@ -37,7 +37,7 @@ _ODD = re.compile(r"\s\s|[^\S \n]")
 _FRAGMENT = re.compile(r"\s*\S*(?:[^\S \n]\s*\S*)*")
 _LONGEST = 64
 #: Characters of texts, and fragments and tokens, that are taken at a time.
-_TEXTS, _LINKED = 1 << 20, 1 << 17
+_TEXTS, _LINKED = 1 << 19, 1 << 16
 
 
 def fragment_keys(text: str) -> list[str]:
@@ -180,22 +180,26 @@ class Groups:
         a, b = np.divmod(at, self.b_size[which])
         return self.row[which], (self.a[self.a_from[which] + a] << 32) + self.b[self.b_from[which] + b]
 
-    def written(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def written(self) -> tuple[list[str], np.ndarray]:
         """All tokens as text in the order of groups, A before B, with what follows each; and how many come before each A token."""
-        n, m = len(words), len(self.a) + len(self.b)
+        words, n, m = _decimals(), _IDS, len(self.a) + len(self.b)
         of_a, of_b = (np.repeat(np.arange(len(self.row)), size) for size in (self.a_size, self.b_size))
         place_a = np.arange(len(self.a)) + (np.cumsum(self.b_size) - self.b_size)[of_a]
         place_b = np.arange(len(self.b)) + np.cumsum(self.a_size)[of_b]
         coded = np.zeros(m, dtype=np.int64)
         coded[place_a] = self.a + n * np.where(np.append(of_a[1:], -1) == of_a, 0, 1)
         coded[place_b] = self.b + n * np.where(np.append(of_b[1:], -1) == of_b, 0, 2)
-        table = [*(f"{w}," for w in words), *(f"{w}|" for w in words), *(f"{w};" for w in words)]
-        return list(map(table.__getitem__, coded.tolist())), np.append(place_a, m)
+        return list(map(words.__getitem__, coded.tolist())), np.append(place_a, m)
+
+
+#: Ids are below this.
+_IDS = 1 << 17
 
 
 @lru_cache(maxsize=1)
 def _decimals() -> list[str]:
-    return [str(i) for i in range(1 << 17)]
+    """Every id in decimal with a comma behind it, then with a bar, then with a semicolon."""
+    return [f"{i}{mark}" for mark in ",|;" for i in range(_IDS)]
 
 
 def frequent_fragments(docs: DataFrame, text_col: str, most: int) -> DataFrame:
@@ -239,7 +243,7 @@ class Known:
         batch = found[0] if found else pa.RecordBatch.from_pylist([], schema=rows.schema)
         groups, n = Groups(batch), batch.num_rows
         self.code = {key: i for i, key in enumerate(batch.column("fragment").to_pylist())}
-        tokens, place = groups.written(_decimals())
+        tokens, place = groups.written()
         at = place[groups.a_begin].tolist()
         self.written = ["".join(tokens[x:y]) for x, y in zip(at, at[1:], strict=False)]
         row, self.pair = groups.links()
@@ -375,7 +379,7 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
             missing = ~hit
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(missing)))[edges].astype(np.int32)), pa.array(link[missing]))
             # The text: known fragments as they are written, others by their tokens.
-            tokens, place = found.written(_decimals())
+            tokens, place = found.written()
             rest = Lists(batch.column("rest"))
             ends = place[np.concatenate(([0], np.cumsum(rest.numbers())))].tolist()
             others = iter(["".join(tokens[x:y]) for x, y in zip(ends, ends[1:], strict=False)])
