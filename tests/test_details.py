@@ -96,15 +96,15 @@ REF_B: 1 — that"""
 
 @pytest.mark.parametrize("packed", [False, True])
 def test_dumped_relations(spark, tmp_path, packed):
-    chunk = lambda i, work="guite--a": f'"Chunk", {{chunk_id: "{i:032x}", text: "over\nlines", work_id: "{work}"}}'
+    chunk = lambda i, work="smith--a": f'"Chunk", {{chunk_id: "{i:032x}", text: "over\nlines", work_id: "{work}"}}'
     records = [
-        "from, type, to", chunk(1) + ', "EXPLORES_THEME", {score: 1}, "Theme", {canonical_name: "hope", name: "Hope"}', '"Work", {work_id: "guite--a"}, "AUTHORED", {}, "Person", {canonical_name: "x"}',
+        "from, type, to", chunk(1) + ', "EXPLORES_THEME", {score: 1}, "Theme", {canonical_name: "hope", name: "Hope"}', '"Work", {work_id: "smith--a"}, "AUTHORED", {}, "Person", {canonical_name: "x"}',
         chunk(2) + ', "MAKES_ARGUMENT", {}, "Argument", {claim: "a claim\nover lines", canonical_name: "arg"}', chunk(3) + ', "PART_OF", {}, "Work", {canonical_name: "w"}', chunk(4, "other--b") + ', "EXPLORES_THEME", {}, "Theme", {canonical_name: "joy"}',
         chunk(5) + ', "REFERENCES_PERSON", {}, "Person", {name: "Nobody"}', chunk(6) + ', "CONCEPT_USED_IN", {}, "Theme", {canonical_name: "wrong label"}', chunk(7) + ', "CONCEPT_USED_IN", {}, "Concept", {canonical_name: "sign", name: "Sign"}',
     ]
     name = tmp_path / ("dump.rels.gz" if packed else "dump.rels")
     (gzip.open if packed else open)(name, "wt").write("\n".join(records) + "\n")
-    got = sorted(map(tuple, files.dump_edges(spark, str(name), "guite--").collect()))
+    got = sorted(map(tuple, files.dump_edges(spark, str(name), "smith--").collect()))
     key = lambda i: f"{i:032x}"
     assert got == [(key(1), "EXPLORES_THEME", "Theme", "hope", "Hope", None), (key(2), "MAKES_ARGUMENT", "Argument", "arg", None, "a claim\nover lines"), (key(7), "CONCEPT_USED_IN", "Concept", "sign", "Sign", None)]
     assert files.dump_edges(spark, str(name)).count() == 4
