@@ -90,3 +90,34 @@ def test_greedy_clusters_of_similar_vectors_merge(spark, planted):
 
 def test_concepts_by_angle_as_by_blocks(spark):
     assert sorted(map(tuple, PLANS["concepts_by_angle"](spark, SMALL).collect())) == sorted(map(tuple, PLANS["theme_dedup"](spark, SMALL).select("item", "representative").collect()))
+
+
+def test_alike_counts_as_by_brute_force(spark, planted, monkeypatch):
+    x = np.concatenate([planted, np.zeros((1, 24)), planted[:1] * 3])
+    ids, n = np.random.default_rng(2).permutation(500)[: len(x)], 1 + np.arange(len(x)) % 3
+    rows = frame(spark, x, ids).join(spark.createDataFrame([(int(i), int(k)) for i, k in zip(ids, n, strict=True)], "chunk_id long, n long"), "chunk_id").withColumnRenamed("chunk_id", "id")
+    near = cosines(x, x) >= 0.85
+    np.fill_diagonal(near, False)
+    want = {(int(ids[i]), int(n[m].sum()), int(ids[m].min())) for i, m in enumerate(near) if m.any()}
+    for most in (1000, 17):
+        monkeypatch.setattr(X, "BLOCK_ROWS", most)
+        assert {tuple(r) for r in X.alike_counts(rows, 0.85).collect()} == want and len(want) > 100
+    shown = X._alike(_unit := x / np.where((k := np.linalg.norm(x, axis=1)) == 0, 1, k)[:, None], _unit, np.arange(len(x)), n, 0.85, True, tile=7, width=11)
+    assert [int(v) for v in shown[0]] == [int(n[m].sum()) for m in near]
+
+
+def test_cosines_at_the_threshold_are_decided_in_double():
+    angles = np.arccos(0.97 - 5e-7 + np.linspace(-3e-8, 3e-8, 601))
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    total, first = X._alike(x, np.array([[1.0, 0.0]]), np.array([9]), np.array([4]), 0.97, False)
+    want = np.round(x[:, 0], 6) >= 0.97
+    assert 0 < want.sum() < len(x) and (total == 4 * want).all() and (first == np.where(want, 9, -1)).all()
+
+
+def test_letters_of_texts_alike(spark, tmp_path):
+    texts = ["Abba \u212a", "abbak ", "", None, "zz", "ZZ", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    v = {r.text: r.v for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("text", X.letter_frequencies("text").alias("v")).collect()}
+    assert v[None] is None and v[""] == [0.0] * 26 and v["zz"] == v["ZZ"] and v["Abba \u212a"][:2] == [2 / 6] * 2 and v["Abba \u212a"][10] == 1 / 6
+    got = {r.doc_id: (r.n_alike, r.first_alike) for r in PLANS["alike_by_letters"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 1), 1: (1, 0), 2: (0, None), 3: (0, None), 4: (1, 5), 5: (1, 4), 6: (0, None)}
