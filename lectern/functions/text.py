@@ -195,11 +195,15 @@ def section_type(heading: Column) -> Column:
 
 
 def section_type_by_content(text: Column) -> Column:
-    """index if over 0.4 of five lines or more are index entries, bibliography if over 0.3 of three or more are titles; else null."""
+    """index if over 0.4 of five lines or more are index entries, bibliography if over 0.3 of three or more are titles; else null.
+
+    Repeated groups are possessive, as the JVM matches others by recursion, which a line of some thousand
+    words overflows; what follows a group begins with nothing that the group takes, so the matches are the same.
+    """
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
     part = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern))) / n
-    return F.when((n >= 5) & (part(INDEX_LINE) > 0.4), "index").when((n >= 3) & (part(BIBLIOGRAPHY_LINE) > 0.3), "bibliography")
+    return F.when((n >= 5) & (part(INDEX_LINE.replace(")*", ")*+")) > 0.4), "index").when((n >= 3) & (part(BIBLIOGRAPHY_LINE) > 0.3), "bibliography")
 
 
 def is_chapter_heading(line: Column) -> Column:

@@ -1,9 +1,11 @@
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.sources import files, sinks
 
 
@@ -111,6 +113,15 @@ def test_captures_quarantine(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a\\nb"]
 
 
+def test_section_types_by_content_of_very_long_lines(spark):
+    line, entries = "Word" + " words" * 200_000, "Word words 1" + ", 12" * 200_000
+    texts = ["\n".join([x] * 5) for x in (line, line + ", 7", entries, entries + " x", "Word, 1-2,3", "Word A\t, 12,", "Word 12x")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = dict(map(tuple, rows.select("id", T.section_type_by_content(F.col("text"))).collect()))
+    want = ["index" if re.match(T.INDEX_LINE, x.split("\n")[0]) else None for x in texts]
+    assert [got[i] for i in range(len(texts))] == want == [None, "index", "index", None, "index", None, None]
+
+
 def test_section_types_of_parsed_files():
     index = "\n\n".join(f"Hope of{'x' * i}, {i}, {i + 3}-{i + 9}" for i in range(1, 7))
     nodes = files.parse_txt(f"Preface: On It\n\nfirst words\n\nChapter 1\n\n{index}\n\nEPILOGUE\n\nlast".encode())
