@@ -75,3 +75,25 @@ def line_trees(docs: DataFrame, short: int = 3) -> DataFrame:
     pieces = lines.filter("not heading").select("tree", "at", F.posexplode(F.transform(F.regexp_extract_all("line", F.lit("([^.!?]+[.!?]*)"), F.lit(1)), lambda x: F.trim(x))).alias("ord", "text"))
     third = pieces.select("tree", (number + F.col("ord") + 1).alias("node"), number.alias("parent"), F.col("ord").cast("long").alias("ord"), F.lit("sentence").alias("kind"), "text", none.alias("ref"))
     return root.unionByName(second).unionByName(third)
+
+
+def line_subtrees(docs: DataFrame, short: int = 3) -> DataFrame:
+    """tree, kind, first, last, sentences, text_key: :func:`intervals`, sentences below and digests of :func:`subtree_texts` of the inner nodes of :func:`line_trees`.
+
+    A text's nodes are in one row from the start, so lines and the document are digested where the text is
+    read, and only numbers and digests are moved to number the nodes.
+    """
+    line = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit("([^.!?]+[.!?]*)"), F.lit(1)), lambda y: F.trim(y))
+    split = F.transform(line, lambda x: F.when(F.size(F.split(x, r"\s+")) <= short, F.struct(F.lit("heading").alias("kind"), F.array(x).alias("texts"))).otherwise(F.struct(F.lit("paragraph").alias("kind"), pieces(x).alias("texts"))))
+    below = lambda x: F.when(x["kind"] == "paragraph", F.size(x["texts"]).cast("long")).otherwise(F.lit(0).cast("long"))
+    text = lambda x: F.array_join(F.filter(x["texts"], lambda y: y != ""), "\n")
+    lines = docs.select("tree", F.transform(split, lambda x: F.struct(x["kind"].alias("kind"), below(x).alias("sentences"), text(x).alias("text"))).alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["sentences"])
+    whole = F.array_join(F.filter(F.transform("lines", lambda x: x["text"]), lambda x: x != ""), "\n")
+    node = lambda kind, step, span, sentences, text: F.struct(kind.alias("kind"), step.alias("step"), span.alias("span"), sentences.alias("sentences"), F.md5(text).alias("text_key"))
+    root = node(F.lit("document"), F.lit(1).cast("long"), total + F.size("lines") + 1, total, whole)
+    nodes = F.concat(F.array(root), F.transform("lines", lambda x: node(x["kind"], x["sentences"] + 1, x["sentences"] + 1, x["sentences"], x["text"])))
+    rows = lines.select("tree", F.posexplode(nodes).alias("at", "n")).select("tree", "at", "n.*")
+    before = F.sum("step").over(Window.partitionBy("tree").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("step")
+    return rows.withColumn("first", before + 1).select("tree", "kind", "first", (F.col("first") + F.col("span") - 1).alias("last"), "sentences", "text_key")

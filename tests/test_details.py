@@ -3,12 +3,17 @@
 import gzip
 import itertools
 import random
+from collections import Counter
+from hashlib import md5
 
 import pytest
 
 from lectern.operators import graph, letters, synthesis, trees
+from lectern.plans import PLANS
 from lectern.sources import files
 
+from .conftest import SMALL
+
 
 @pytest.fixture(scope="module")
 def paths(spark):
@@ -26,6 +31,20 @@ def test_subtrees_and_intervals(paths):
     assert at["t", 1] == (1, 9, 0) and at["t", 2] == (2, 5, 1) and at["t", 6] == (6, 9, 1) and at["t", 8] == (7, 8, 2) and at["u", 1] == (1, 1, 0)
 
 
+def test_line_subtrees_as_by_rows_of_nodes_and_moving_no_text(spark):
+    texts = ["", None, "  \n \n", "Title\nOne two three four. Five!  Six?\n\nA b c\n. . . . \nno stop in this line", "one line of words", "...", "x y  z\t w\n ! ? . !", "é à ü ö. ß.\r\nA\r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "tree long, text string")
+    paths = trees.with_paths(trees.line_trees(docs)).cache()
+    below = Counter((r.tree, r.above) for r in trees.found_below(paths, "sentence").collect())
+    text = {(r.tree, r.node): r.text for r in trees.subtree_texts(paths).collect()}
+    want = [(r.tree, r.kind, r.first, r.last, below[r.tree, r.node], md5(text[r.tree, r.node].encode()).hexdigest()) for r in trees.intervals(paths).filter("kind <> 'sentence'").collect()]
+    got = trees.line_subtrees(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 19
+    plan = PLANS["document_trees"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len(moved) <= 1 and not any("text#" in line for line in moved)
+
+
 def test_found_nodes_and_notes(paths):
     below = {(r.above, r.node) for r in trees.found_below(paths, "paragraph").collect() if r.tree == "t"}
     assert below == {(1, 3), (1, 4), (1, 9), (2, 3), (2, 4), (3, 3), (4, 4), (6, 9), (8, 9), (9, 9)}
