@@ -33,19 +33,18 @@ def as_files(frame: DataFrame, key: str, content, extension: str) -> DataFrame:
     return frame.select(F.concat(F.col(key).cast("string"), F.lit(f".{extension}")).alias("path"), content.alias("content"))
 
 
-def summed(nodes: DataFrame) -> DataFrame:
-    """id of the file, nodes by type, and a digest of all texts in order."""
+def summed(books: DataFrame) -> DataFrame:
+    """id of the file, nodes by type, and a digest of all texts in order, of a row a file."""
     key = F.split_part("doc_id", F.lit("."), F.lit(1)).cast("long").alias("id")
-    kinds = [F.count_if(F.col("node_type") == k).alias(n) for k, n in (("chapter", "chapters"), ("section", "sections"), ("paragraph", "paragraphs"))]
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "|")
-    return nodes.groupBy(key).agg(*kinds, F.md5(texts).alias("texts"))
+    count = lambda k: F.size(F.filter("nodes", lambda n: n["node_type"] == k)).cast("long").alias(f"{k}s")
+    return books.select(key, *map(count, ("chapter", "section", "paragraph")), F.md5(F.array_join(F.transform("nodes", lambda n: n["text"]), "|")).alias("texts"))
 
 
 @query(f"""WITH {_BLOCKS} SELECT d.doc_id AS id, count(*) FILTER (kind = 'chapter') AS chapters, count(*) FILTER (kind = 'section') AS sections, count(*) FILTER (kind = 'paragraph') AS paragraphs, md5(concat_ws('|', '', string_agg(block, '|' ORDER BY pos))) AS texts FROM documents d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id""")
 def parse_text_files(spark, sf_dir) -> DataFrame:
     """Every document's bytes as a plain text file through the parser."""
     d = load(spark, sf_dir, "documents")
-    return summed(files.parse(as_files(d, "doc_id", F.encode("text", "UTF-8"), "txt")))
+    return summed(files.parsed(as_files(d, "doc_id", F.encode("text", "UTF-8"), "txt")))
 
 
 def _book(extension: str):
@@ -82,21 +81,21 @@ _MADE = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS lin
 def parse_epub_files(spark, sf_dir) -> DataFrame:
     """Every document made into an EPUB file and parsed again."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return summed(files.parse(d.mapInPandas(_book("epub"), "path string, content binary")))
+    return summed(files.parsed(d.mapInPandas(_book("epub"), "path string, content binary")))
 
 
 @query(_MADE.replace("{title}", ""))
 def parse_docx_files(spark, sf_dir) -> DataFrame:
     """Every document made into a DOCX file and parsed again."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return summed(files.parse(d.mapInPandas(_book("docx"), "path string, content binary")))
+    return summed(files.parsed(d.mapInPandas(_book("docx"), "path string, content binary")))
 
 
 @query()
 def parse_html_files(spark, sf_dir) -> DataFrame:
     """Every stored page's bytes through the HTML parser; the tests hold its titles and texts against plain rules."""
     p = load(spark, sf_dir, "pages")
-    return summed(files.parse(as_files(p, "page_id", F.encode("html", "UTF-8"), "html")))
+    return summed(files.parsed(as_files(p, "page_id", F.encode("html", "UTF-8"), "html")))
 
 
 @query(with_views("chunks", """SELECT work_id, chunk_id, row_number() OVER (PARTITION BY work_id ORDER BY CASE granularity WHEN 'macro' THEN 0 WHEN 'meso' THEN 1 WHEN 'micro' THEN 2 WHEN 'nano' THEN 3 ELSE 9 END, position, chunk_id) - 1 AS written FROM chunks"""))

@@ -1,7 +1,7 @@
 """Sources of documents: folders of EPUB, DOCX, HTML and text files, PDF spans, transcripts, dumps.
 
-Files are read by Spark's ``binaryFile`` source and parsed by ``mapInPandas`` into the flat node table
-of :data:`lectern.schema.DOC_NODES`, so a corpus of any size is parsed where its bytes are.
+Files are read by Spark's ``binaryFile`` source and parsed by ``mapInArrow`` into a row of nodes a file or
+the flat node table of :data:`lectern.schema.DOC_NODES`, so a corpus of any size is parsed where its bytes are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +49,9 @@ class _Html(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.tags: list[str] = []  # open elements, and of each whether it is left out and the main content
+        self.flags: list[tuple[bool, bool]] = []
+        self.gone = self.main = 0  # of those open
         self.meta: dict[str, str] = {}
         self.blocks: list[tuple[str, str, bool]] = []
         self.kind, self.buffer = "paragraph", []
@@ -57,7 +59,7 @@ class _Html(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.blocks.append((self.kind, text, any(main for _, _, main in self.stack)))
+            self.blocks.append((self.kind, text, self.main > 0))
         self.buffer, self.kind = [], "paragraph"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -68,25 +70,31 @@ class _Html(HTMLParser):
             if tag == "br":
                 self.buffer.append("\n")
             return
-        gone = tag in _DROP or a.get("role") in _ROLES or any(c in a.get("class", "").lower() for c in _CLASSES)
+        gone = tag in _DROP or a.get("role") in _ROLES or (bool(a.get("class")) and any(c in a["class"].lower() for c in _CLASSES))
         main = tag in ("main", "article") or a.get("role") == "main"
         if tag in _BLOCKS:
             self._flush()
             self.kind = _BLOCKS[tag]
-        self.stack.append((tag, gone, main))
+        self.tags.append(tag)
+        self.flags.append((gone, main))
+        self.gone += gone
+        self.main += main
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.stack):
+        if tag not in self.tags:
             return
         if tag in _BLOCKS or tag in ("div", "main", "article", "body"):
             self._flush()
-        while self.stack and self.stack.pop()[0] != tag:
-            pass
+        last = None
+        while last != tag:
+            last, (gone, main) = self.tags.pop(), self.flags.pop()
+            self.gone -= gone
+            self.main -= main
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] == "title":
+        if self.tags and self.tags[-1] == "title":
             self.meta.setdefault("title", " ".join(data.split()))
-        elif not any(gone for _, gone, _ in self.stack):
+        elif not self.gone:
             self.buffer.append(data)
 
 
@@ -218,24 +226,43 @@ def parse_txt(raw: bytes) -> list[Node]:
 PARSERS: dict[str, Callable[[bytes], list[Node]]] = {"epub": parse_epub, "docx": parse_docx, "html": parse_html, "htm": parse_html, "txt": parse_txt}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Node rows of files (path, content) by extension; an unknown one is an error, an unreadable file an error node."""
+_NODE = pa.struct([*[(n, pa.int32()) for n in ("node_id", "parent_id", "ord", "depth")], *[(n, pa.string()) for n in ("node_type", "section_type", "text")]])
+
+
+def parsed(files: DataFrame, most: int = 256) -> DataFrame:
+    """doc_id and nodes of files (path, content) by extension, a row a file; an unknown one is an error, an unreadable file an error node.
+
+    ``most`` files at a time leave a task.
+    """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nodes_of(path: str, content: bytes) -> list[Node]:
+        parser = PARSERS.get(path.rpartition(".")[2].lower())
+        if parser is None:
+            raise ValueError(f"no parser for {path}")
+        try:
+            return parser(content)
+        except Exception as e:  # noqa: BLE001 - a file of any defect is a row, not the end of the job
+            return [(-1, 0, "error", None, repr(e))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                parser = PARSERS.get(path.rpartition(".")[2].lower())
-                if parser is None:
-                    raise ValueError(f"no parser for {path}")
-                try:
-                    nodes = parser(bytes(content))
-                except Exception as e:  # noqa: BLE001 - a file of any defect is a row, not the end of the job
-                    nodes = [(-1, 0, "error", None, repr(e))]
-                rows += [(path, i, p, i, d, k, s, t) for i, (p, d, k, s, t) in enumerate(nodes)]
-            yield pd.DataFrame(rows, columns=["doc_id", "node_id", "parent_id", "ord", "depth", "node_type", "section_type", "text"])
-
-    return files.select("path", "content").mapInPandas(work, DOC_NODES)
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                paths, found, ends = part["path"].to_pylist(), [], [0]
+                for path, content in zip(paths, part["content"], strict=True):
+                    found += [(i, p, i, d, k, s, t) for i, (p, d, k, s, t) in enumerate(nodes_of(path, content.as_py()))]
+                    ends.append(len(found))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _NODE, strict=True)]
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_NODE)))
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), nodes], ["doc_id", "nodes"])
+
+    fields = DOC_NODES.partition(", ")[2].replace(" ", ":").replace(",:", ",")
+    return files.select("path", "content").mapInArrow(work, f"doc_id string, nodes array<struct<{fields}>>")
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Node rows of files (path, content): those of :func:`parsed`."""
+    return parsed(files).select("doc_id", F.inline("nodes"))
 
 
 def read_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:

@@ -1,13 +1,17 @@
 import io
 import re
 import zipfile
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.plans import PLANS, ingest
 from lectern.sources import files, sinks
 
+from .conftest import SMALL
+
 
 def epub() -> bytes:
     out = io.BytesIO()
@@ -159,3 +163,22 @@ def test_a_defect_of_any_kind_is_an_error_row(spark):
     rows = spark.createDataFrame([("a.docx", bytearray(empty.getvalue())), ("b.epub", bytearray(b"PK\x03\x04broken")), ("c.txt", bytearray(b"\xff\xfe ok"))], "path string, content binary")
     got = {r.doc_id: r.node_type for r in files.parse(rows).filter("node_id = 0").collect()}
     assert got == {"a.docx": "error", "b.epub": "error", "c.txt": "document"}
+
+
+def test_files_are_parsed_to_rows_of_nodes_and_summed_without_a_shuffle(spark):
+    rows = [("1.epub", epub()), ("2.docx", docx()), ("3.epub", b"no zip"), ("4.txt", b""), ("5.html", b"<title>t</title><p>a</p>"), ("6.txt", "CHAPTER 1\n\nII.\n\nx|\u00e9".encode())]
+    frame = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").coalesce(1)
+    nodes = {}
+    for r in files.parse(frame).collect():
+        assert r.node_id == r.ord == len(nodes.setdefault(r.doc_id, []))
+        nodes[r.doc_id].append((r.parent_id, r.depth, r.node_type, r.section_type, r.text))
+    want = {p: files.PARSERS[p.split(".")[1]](c) if p[0] != "3" else [(-1, 0, "error", None, nodes[p][0][4])] for p, c in rows}
+    assert nodes == want
+    for most in (1, 4, 256):
+        books = files.parsed(frame, most)
+        assert {r.doc_id: [tuple(n)[1:2] + tuple(n)[3:] for n in r.nodes] for r in books.collect()} == want
+    found = ingest.summed(books)
+    kinds = lambda p, k: sum(n[2] == k for n in want[p])
+    assert {tuple(r) for r in found.collect()} == {(int(p[0]), *(kinds(p, k) for k in ("chapter", "section", "paragraph")), md5("|".join(n[4] for n in want[p]).encode()).hexdigest()) for p in want}
+    for name in ("parse_epub_files", "parse_docx_files", "parse_text_files"):
+        assert "Exchange" not in PLANS[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
