@@ -11,20 +11,26 @@ counting, and so every piece gets its sequence and offset.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ASCII_SPACE, ODD_SPACE, PLAIN, PLAIN_WORDS, ForcedBoundaryBpe, Recent
+from .bpe import PLAIN_WORDS, ForcedBoundaryBpe, Recent
 from .common import cut, id_back, id_text, text_of
 
+_WORDS_AND_GAPS = re.compile(PLAIN_WORDS.pattern + "|\n")
+#: Characters that ``PLAIN`` lacks or ``ODD_SPACE`` has.
+_NOT_PLAIN = "[^\\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]"
+
 
 def byte_alphabet() -> dict[str, int]:
     """The byte behind each character of the byte-level alphabet: printable Latin-1 stands for itself, the rest follows 255."""
@@ -36,14 +42,19 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkEncoder(ForcedBoundaryBpe):
     """Ids, as little-endian 32-bit numbers, of texts by a tokenizer file whose words never span white space.
 
-    Chunks between white space are remembered, ``size`` in each of the memory's two generations.  Words of
-    others are merged by a byte-pair library that joins what gives the token of least id.  With merges in
-    the order of ids that is the same, if every token comes out whole when it is merged alone: two tokens
-    side by side that make up a token are then a listed merge, since the merges inside a token do not
-    depend on what is around it.  Tokens that do not come out whole are never made and are left out.
-    The end of a word is byte 0xFF, which no UTF-8 text has.
+    Each chunk between white space is encoded once for a batch of texts, whose ids are then put together
+    from those of their chunks.  Words are merged by a byte-pair library that joins what gives the token of
+    least id.  With merges in the order of ids that is the same, if every token comes out whole when it is
+    merged alone: two tokens side by side that make up a token are then a listed merge, since the merges
+    inside a token do not depend on what is around it.  Tokens that do not come out whole are never made
+    and are left out.  The end of a word is byte 0xFF, which no UTF-8 text has.  Plain chunks of a batch go to
+    the library in one call; there words end in ``END``, which no plain chunk has, and a line feed, with an
+    id of its own, ends a chunk.  Other chunks are encoded one by one and remembered, ``size`` in each of
+    the memory's two generations.
     """
 
+    END = "\x1f"
+
     def __init__(self, path: str, size: int = 200_000) -> None:
         import tiktoken
 
@@ -60,27 +71,58 @@ class ChunkEncoder(ForcedBoundaryBpe):
                 known[bytes(map(self.byte_of.__getitem__, symbols)) + b"\xff" * ends] = i
         self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=known, special_tokens={})._encode_single_piece
         self.end = b"\xff" if self.suffix else b""
+        mark = self.END.encode()
+        marked = {token.replace(b"\xff", mark): i for token, i in known.items() if mark not in token}
+        self.gap = marked[b"\n" + mark * bool(self.suffix)] = max(self.tokens) + 1
+        self.pieces = tiktoken.Encoding("marked", pat_str=f"[^{self.END}]+" + self.END * bool(self.suffix), mergeable_ranks=marked, special_tokens={}).encode_ordinary
+        self.odd = re.compile("|".join([_NOT_PLAIN, *map(re.escape, self.added)]) if self.plain else "")
 
     def encode_word(self, word: str) -> list[int]:
         return self.piece(bytes(map(self.byte_of.__getitem__, word)) + self.end)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if (known := self.memory.recall(chunk)) is None:
-            if self.plain and PLAIN.fullmatch(chunk) and not ODD_SPACE.search(chunk) and not (self.split_added and self.split_added.search(chunk)):
-                ids = [i for word in PLAIN_WORDS.findall(chunk.lower()) for i in self.piece(word.encode() + self.end)]
-            else:
-                ids = [i for word in self._any_text(chunk) for i in word]
-            known = pack_ids(f"<{len(ids)}I", *ids)
+    def _odd_chunk(self, chunk: str) -> np.ndarray:
+        if (known := self.memory.get(chunk)) is None and (known := self.memory.recall(chunk)) is None:
+            known = np.array([i for word in self._any_text(chunk) for i in word], dtype="<u4")
             if len(chunk) <= 64:
                 self.memory.keep(chunk, known)
         return known
 
+    def _chunks(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in some order, and where those of each chunk start and how many they are; a line feed ends a chunk."""
+        odd: dict[int, np.ndarray] = {}
+        if self.odd.search(joined):
+            chunks = joined.split("\n")
+            odd = {i: self._odd_chunk(chunk) for i, chunk in enumerate(chunks[:-1]) if self.odd.search(chunk)}
+            for i in odd:
+                chunks[i] = ""
+            joined = "\n".join(chunks)
+        ids = np.array(self.pieces(self.END.join([*_WORDS_AND_GAPS.findall(joined.lower()), ""])), dtype="<u4")
+        ends = np.flatnonzero(ids == self.gap)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        sizes = ends - starts
+        if odd:
+            where = list(odd)
+            sizes[where] = [len(x) for x in odd.values()]
+            starts[where] = len(ids) + np.cumsum(sizes[where]) - sizes[where]
+            ids = np.concatenate([ids, *odd.values()])
+        return ids, starts, sizes
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's after the other's, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        codes = split.values.dictionary_encode()
+        ids, starts, sizes = self._chunks("\n".join([*codes.dictionary.to_numpy(zero_copy_only=False), ""]))
+        at = codes.indices.to_numpy()
+        until = np.concatenate(([0], np.cumsum(sizes[at])))
+        number = np.int32 if max(until[-1], len(ids)) < 1 << 31 else np.int64
+        taken = np.repeat((starts[at] - until[:-1]).astype(number), sizes[at])
+        taken += np.arange(len(taken), dtype=number)
+        return ids[taken], np.diff(until[split.offsets.to_numpy()])
+
     def ids(self, text: str) -> bytes:
-        chunks = ASCII_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
-        found = list(map(self.memory.get, chunks))
-        if None in found:
-            found = [self._chunk(chunk) if known is None else known for chunk, known in zip(chunks, found, strict=True)]
-        return b"".join(found)
+        return self.batch(pa.array([text]))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -93,20 +135,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, *, id
 
     A document's ids, then ``end``, are cut after each ``capacity`` of them.
     """
-    last = np.array([end], dtype="<u4").tobytes()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = encoder.ids(text) + last
-                total = len(data) // 4
-                rows += [(doc, a, min(capacity, total - a), zlib.crc32(data[4 * a : 4 * (a + capacity)]), total) for a in range(0, total, capacity)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    slim = docs.select(id_text(id_col), text_of(text_col).alias("text"))
-    return id_back(slim.mapInPandas(work, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"))
+            ids, totals = encoder.batch(batch.column("text"))
+            ids, totals = np.insert(ids, np.cumsum(totals), end), totals + 1
+            count = -(-totals // capacity)
+            doc = np.repeat(np.arange(len(totals)), count)
+            start = (np.arange(len(doc)) - (np.cumsum(count) - count)[doc]) * capacity
+            length = np.minimum(capacity, totals[doc] - start)
+            first = (np.cumsum(totals) - totals)[doc] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, totals[doc]))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return slim.mapInArrow(work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 Pattern = tuple[tuple[int, int], ...]

@@ -2,9 +2,11 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +73,25 @@ def test_chunks_as_the_whole_text(library, text):
     assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_distinct_chunks_of_a_batch_in_one_call(library, monkeypatch):
+    encoder, calls = packing.ChunkEncoder(tokenizer_path(), 50), []
+    pieces, odd = encoder.pieces, encoder._odd_chunk
+    monkeypatch.setattr(encoder, "pieces", lambda words: calls.append(words) or pieces(words))
+    monkeypatch.setattr(encoder, "_odd_chunk", lambda chunk: calls.append(chunk) or odd(chunk))
+    r = random.Random(3)
+    names = ["".join(r.choices("abcdefgé,.'S1", k=r.randint(1, 90))) for _ in range(3000)]
+    strange = ["漢字ΣΑΣ", "a\x1fb", "<|endoftext|>x", "e\u0301"]
+    texts = [" ".join(r.choices(names, k=400) + strange) + "\n" for _ in range(50)] + ["", " ", "\x00"]
+    ids, counts = encoder.batch(pa.array(texts))
+    assert [x for text in texts for x in library.encode(text, add_special_tokens=False).ids] == ids.tolist()
+    assert counts.tolist() == [len(library.encode(text, add_special_tokens=False).ids) for text in texts]
+    distinct = {chunk for text in texts for chunk in re.split("[ \n]+", text)}
+    assert sorted(calls[:-1]) == sorted(strange) and calls[-1].count("\n") == len(distinct)
+    assert [len(x) for x in encoder.batch(pa.array([], pa.string()))] == [0, 0]
+    part = encoder.batch(pa.array(texts, pa.large_string())[10:20])
+    assert part[1].tolist() == counts[10:20].tolist() and part[0].tolist() == ids[counts[:10].sum() : counts[:20].sum()].tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1, max_size=30))
 def test_patterns_hold_all_pieces(counts):
