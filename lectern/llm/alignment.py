@@ -23,7 +23,7 @@ from itertools import accumulate, chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Written, chunks_of, cut, text_of, wide
@@ -134,9 +134,12 @@ class Lists:
 
 
 class Tally:
-    """Sums of documents by pair over a task's batches, put out when they are many."""
+    """Sums of documents by pair over a task's batches, put out when they are many.
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    Spark sums what a task puts out again before the shuffle, so ``most`` only bounds the worker's memory.
+    """
+
+    def __init__(self, most: int = 1 << 18) -> None:
         self.most, self.size, self.parts = most, 0, []
 
     def _summed(self) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +239,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Known:
-    """The fragments that every task knows: their code by key and, by code, sizes, links and written groups."""
+    """The known fragments: their code by key and, by code, sizes, links and written groups.
+
+    It stays on the driver; each step is sent only what it uses, as a worker holds that until its next task.
+    """
 
     def __init__(self, rows: pa.Table) -> None:
         found = rows.combine_chunks().to_batches()
@@ -251,12 +257,12 @@ class Known:
         self.sizes = np.stack([np.diff(groups.a_begin), np.diff(groups.b_begin), np.bincount(groups.row, minlength=n), np.diff(self.begin)]) if n else np.zeros((4, 0), dtype=np.int64)
 
 
-def encoded(docs: DataFrame, paths: tuple[str, str], known, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, whole (whether both sides' bytes are the text's), codes (-1 for a fragment of the rest), rest (A tokens of each such), and the rest's tokens."""
+def encoded(docs: DataFrame, paths: tuple[str, str], codes_of, *, id_col: str, text_col: str) -> DataFrame:
+    """By the known fragments' codes that were sent: doc_id, whole (whether both sides' bytes are the text's), codes (-1 for a fragment of the rest), rest (A tokens of each such), and the rest's tokens."""
     schema = f"doc_id long, whole boolean, codes array<int>, rest array<int>, {_TOKENS}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, code = _tokenizers(*paths), known.value.code
+        tokenizers, code = _tokenizers(*paths), codes_of.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, last in chunks_of([len(t) for t in texts], _TEXTS):
@@ -285,6 +291,11 @@ def encoded(docs: DataFrame, paths: tuple[str, str], known, *, id_col: str, text
     return slim.mapInArrow(work, schema)
 
 
+def _arrow_frame(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """A frame of long columns, made without rows of Python objects and without Python workers."""
+    return spark.createDataFrame(pa.table({name: pa.array(x.astype(np.int64)) for name, x in columns.items()}))
+
+
 def _known_fragments(docs: DataFrame, paths: tuple[str, str], most: int, text_col: str):
     """:class:`Known` of the frequent fragments, which are aligned like the rests of documents."""
 
@@ -320,44 +331,50 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
     spark, paths = docs.sparkSession, (bytes_path, piece_path)
     parts = wide(spark, 1)
     memo = _known_fragments(docs, paths, known, text_col)
-    sent = spark.sparkContext.broadcast(memo)
-    coded = Written(encoded(docs, paths, sent, id_col=id_col, text_col=text_col).withColumn("key", F.monotonically_increasing_id()))
+    send = spark.sparkContext.broadcast
+    codes_of = send(memo.code)
+    coded = Written(encoded(docs, paths, codes_of, id_col=id_col, text_col=text_col).withColumn("key", F.monotonically_increasing_id()))
     lengths = coded.rows.filter(F.size("rest") > 0).select("key", "a_len", "b_len").repartition(parts, "key")
     rows = coded.rows.drop("a_len", "b_len").repartition(parts, "key")
     rows = Written(rows.join(common_cuts(lengths), "key", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast(_CUTS))))
     coded.drop()
+    codes_of.destroy()
+    links_of = send((memo.begin, memo.pair))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held_by = sent.value, Tally()
+        _tokenizers.cache_clear()  # the worker made them for an earlier step
+        (known_begin, known_pair), held_by = links_of.value, Tally()
         for batch in _parts(batches):
             codes = Lists(batch.column("codes"))
             both = (codes.owner() << 32) + codes.numbers()
             row, code = np.divmod(np.unique(both[codes.numbers() >= 0]), 1 << 32)
-            many = memo.begin[code + 1] - memo.begin[code]
-            at = np.arange(many.sum()) + np.repeat(memo.begin[code] - (np.cumsum(many) - many), many)
+            many = known_begin[code + 1] - known_begin[code]
+            at = np.arange(many.sum()) + np.repeat(known_begin[code] - (np.cumsum(many) - many), many)
             rest_row, rest = Groups(batch).links()
-            row, pair = np.concatenate([np.repeat(row, many), rest_row]), np.concatenate([memo.pair[at], rest])
+            row, pair = np.concatenate([np.repeat(row, many), rest_row]), np.concatenate([known_pair[at], rest])
             names, place = np.unique(pair, return_inverse=True)
             held = np.unique(row * max(1, len(names)) + place) % max(1, len(names))
             yield from held_by.add(names, np.bincount(held, minlength=len(names)))
         yield from held_by.rest()
 
     counts = cut(rows.rows.select("codes", "a_ids", "b_ids", "cuts").mapInArrow(pairs, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")))
+    links_of.destroy()
     first = F.shiftright("pair", 32).alias("a")
     best = {r.a: r.best for r in counts.groupBy(first).agg(F.max("docs").alias("best")).collect()}  # at most one row for each A id
     table = counts.orderBy(F.desc("docs"), "pair").limit(known).toPandas().sort_values("pair").to_numpy(dtype=np.int64)
     # Sums by known fragment: its links that are known here, the others by a join.
-    names = spark.sparkContext.broadcast((table[:, 0].copy(), table[:, 1].copy(), np.array([best.get(i, 0) for i in range(max(best, default=0) + 1)])))
-    least = spark.createDataFrame(pd.DataFrame({"pair": np.unique(memo.pair)}), "pair long") if len(memo.pair) else spark.createDataFrame([], "pair long")
+    names = send((table[:, 0].copy(), table[:, 1].copy(), np.array([best.get(i, 0) for i in range(max(best, default=0) + 1)])))
+    least = _arrow_frame(spark, pair=np.unique(memo.pair))
     mine = counts.join(least, "pair").toPandas().sort_values("pair").to_numpy(dtype=np.int64)
     own = mine[np.searchsorted(mine[:, 0], memo.pair), 1] if len(mine) else mine[:, 1]
     top = own == names.value[2][memo.pair >> 32] if len(own) else np.zeros(0, dtype=bool)
     sums = np.concatenate([memo.sizes, [np.diff(np.concatenate(([0], np.cumsum(x)))[memo.begin]) for x in (top, own)]]) if len(own) else np.zeros((6, 0), dtype=np.int64)
-    by_code = spark.sparkContext.broadcast(sums.astype(np.int64))
+    by_code, written_of = send(sums.astype(np.int64)), send(memo.written)
     out = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (pair, docs_of, best_of), by = sent.value, names.value, by_code.value
+        _tokenizers.cache_clear()
+        written, (pair, docs_of, best_of), by = written_of.value, names.value, by_code.value
         for batch in _parts(batches):
             n = batch.num_rows
             codes, found = Lists(batch.column("codes")), Groups(batch)
@@ -383,7 +400,7 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
             rest = Lists(batch.column("rest"))
             ends = place[np.concatenate(([0], np.cumsum(rest.numbers())))].tolist()
             others = iter(["".join(tokens[x:y]) for x, y in zip(ends, ends[1:], strict=False)])
-            parts = [memo.written[c] if c >= 0 else next(others) for c in code.tolist()]
+            parts = [written[c] if c >= 0 else next(others) for c in code.tolist()]
             texts = ["".join(parts[x:y])[:-1] for x, y in zip(codes.begin.tolist(), codes.begin[1:].tolist(), strict=False)]
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
             columns = [batch.column("key"), batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in total), pa.array(digests, pa.string()), *([pa.array(texts, pa.string())] if groups else []), listed]
@@ -396,7 +413,7 @@ def align(docs: DataFrame, bytes_path: str, piece_path: str, *, known: int = KNO
         return done.select(*kept)
     done = Written(done).rows
     other = done.select("key", F.explode("other").alias("pair")).groupBy("key", "pair").agg(F.count(F.lit(1)).alias("times"))
-    tops = spark.createDataFrame(pd.DataFrame(list(best.items()), columns=["a", "best"]), "a long, best long")
+    tops = _arrow_frame(spark, a=np.array(list(best)), best=np.array(list(best.values())))
     priced = counts.join(F.broadcast(tops), first == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("best")).cast("long").alias("top"))
     more = other.join(priced, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("top")).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more_sum"))
     full = done.join(more, "key", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))})

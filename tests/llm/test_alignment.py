@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import tracemalloc
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +97,32 @@ def test_fragments_are_tokenised_like_the_text(libraries, text):
     assert (bool(keys) and bool(good.all())) == bool(a)
     if a:
         assert ids[0].tolist() == a and ids[1].tolist() == b and begins[0][-1] == len(a)
+
+
+def test_sums_of_pairs_are_exact_in_little_memory():
+    rng, seen, got = np.random.default_rng(1), collections.Counter(), collections.Counter()
+    tracemalloc.start()
+    held, peak = alignment.Tally(), 0
+    for at in range(48):
+        pair = np.unique(np.concatenate((np.arange(100), rng.integers(1 << 40, size=60_000))))
+        docs = rng.integers(1, 9, size=len(pair))
+        tracemalloc.reset_peak()
+        found = [*held.add(pair, docs), *(held.rest() if at == 47 else ())]
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        for counts, x in [(seen, (pair, docs)), *((got, (b.column("pair").to_numpy(), b.column("docs").to_numpy())) for b in found)]:
+            counts["docs"] += int(x[1].sum())
+            counts["weighed"] += int((x[0] % 1009 * x[1]).sum())
+            for i in range(100):
+                counts[i] += int(x[1][x[0] == i].sum())
+    tracemalloc.stop()
+    assert got == seen
+    assert peak < 64 << 20
+
+
+def test_steps_are_sent_only_what_they_use(spark, docs, monkeypatch):
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda _, value: sent.append(value) or broadcast(value))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # rows made by Python would start further workers
+    alignment.align(docs, *PATHS, known=500).write.format("noop").mode("overwrite").save()
+    assert not any(isinstance(x, alignment.Known) for x in sent)
+    assert [type(x) for x in sent if isinstance(x, dict | list)] == [dict, list]  # keys, then written groups
