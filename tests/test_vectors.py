@@ -121,3 +121,57 @@ def test_letters_of_texts_alike(spark, tmp_path):
     assert v[None] is None and v[""] == [0.0] * 26 and v["zz"] == v["ZZ"] and v["Abba \u212a"][:2] == [2 / 6] * 2 and v["Abba \u212a"][10] == 1 / 6
     got = {r.doc_id: (r.n_alike, r.first_alike) for r in PLANS["alike_by_letters"](spark, str(tmp_path)).collect()}
     assert got == {0: (1, 1), 1: (1, 0), 2: (0, None), 3: (0, None), 4: (1, 5), 5: (1, 4), 6: (0, None)}
+
+
+def _side(x, ids, n, least=None):
+    order = []
+    X._order(x, np.arange(len(x)), order, 16)
+    return {"x": x, "id": ids, "n": n, "place": np.argsort(np.concatenate(order)), "least": np.full(len(x), -1) if least is None else least}
+
+
+def _sums(found):
+    got = {}
+    for part in found:
+        for i, others, least in zip(*(part[c].tolist() for c in ("id", "others", "least")), strict=True):
+            total, first = got.get(i, (0, least))
+            got[i] = (total + others, min(first, least))
+    return got
+
+
+def test_blocks_meet_once_and_what_is_far_not_at_all(monkeypatch):
+    r = np.random.default_rng(3)
+    x = X._unit(X._unit(r.standard_normal((12, 8)))[r.integers(12, size=1500)] + 0.08 * r.standard_normal((1500, 8)))
+    x[7] = 0
+    ids, n = r.permutation(5000)[:1500], r.integers(3, 6, 1500)
+    near = np.round(x @ x.T, 6) >= 0.97
+    np.fill_diagonal(near, False)
+    product, done = np.matmul, []
+    monkeypatch.setattr(X.np, "matmul", lambda a, b, out: (done.append(len(a) * b.shape[1]), product(a, b, out=out)))
+    want = {int(ids[i]): (int(n[m].sum()), int(ids[m].min())) for i, m in enumerate(near) if m.any()}
+    whole = _side(x, ids, n)
+    for sizes in ({"rows": 100, "tile": 30, "width": 16}, {"width": 64}):
+        done.clear()
+        assert _sums(X._met(whole, whole, 0.97, True, **sizes)) == want and len(want) > 1000
+        assert sum(done) < 0.25 * len(x) ** 2
+    known = _side(x, ids, n, np.array([want.get(i, (0, -1))[1] for i in ids.tolist()]))
+    assert _sums(X._met(known, known, 0.97, True)) == want
+    met = near.copy()
+    met[:600, :600] = met[600:, 600:] = False
+    want = {int(ids[i]): (int(n[m].sum()), int(ids[m].min())) for i, m in enumerate(met) if m.any()}
+    assert _sums(X._met(_side(x[:600], ids[:600], n[:600]), _side(x[600:], ids[600:], n[600:]), 0.97, False, tile=100, width=32)) == want
+
+
+def test_pairs_of_blocks_at_the_threshold_are_decided_in_double():
+    angles = np.arccos(0.97 - 5e-7 + np.linspace(-3e-8, 3e-8, 601))
+    x, one = np.stack([np.cos(angles), np.sin(angles)], axis=1), np.array([[1.0, 0.0]])
+    alike = np.flatnonzero(np.round(x[:, 0], 6) >= 0.97)
+    left, right = _side(x, np.arange(601), np.full(601, 2)), _side(one, np.array([900]), np.array([4]))
+    for sides in ((left, right), (right, left)):
+        assert _sums(X._met(*sides, 0.97, False)) == {int(i): (4, 900) for i in alike} | {900: (2 * len(alike), int(alike[0]))}
+
+
+def test_alike_counts_of_none_and_few(spark):
+    rows = [(5, [1.0, 0.0], 2), (7, [0.0, 0.0], 1), (9, [2.0, 0.01], 3)]
+    for most, want in ((0, set()), (1, set()), (3, {(5, 3, 9), (9, 2, 5)})):
+        frame = spark.createDataFrame(rows[:most], "id long, embedding array<double>, n long")
+        assert {tuple(r) for r in X.alike_counts(frame, 0.97).collect()} == want
